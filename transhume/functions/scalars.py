@@ -33,9 +33,14 @@ def text_or(value: Column, default: str) -> Column:
 
 
 def parsed_timestamp(text: Column) -> Column:
+    """Date text as a timestamp; of plain numbers only years and yyyyMMdd are dates."""
     tries = [F.try_to_timestamp(text)]
     tries += [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS]
-    return F.coalesce(*tries)
+    return (
+        F.when(text.rlike("^[0-9]{8}$"), F.try_to_timestamp(text, F.lit("yyyyMMdd")))
+        .when(text.rlike("^[0-9]{5,}$"), F.lit(None))
+        .otherwise(F.coalesce(*tries))
+    )
 
 
 def norm_timestamp(value: Column, ms_threshold: float = 1e9) -> Column:

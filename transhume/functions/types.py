@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ FIELD_TYPE_KEYS = ("type", "data_type", "dtype")
 DEPTH = 5
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, where repeating it would grow the expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def member(value: Column, key: str) -> Column:
     """A member as VARIANT; null when it is missing or JSON null."""
     found = F.try_variant_get(value, f"$.{key}", "variant")
@@ -39,36 +46,43 @@ def render_type(value: Column, depth: int = DEPTH) -> Column:
     Expressions cannot recurse, so the nesting is unrolled ``depth`` levels; below that an object
     keeps its JSON text.
     """
+    return bind(value, lambda v: rendered(v, depth))
+
+
+def rendered(value: Column, depth: int) -> Column:
     as_text = F.try_variant_get(value, "$", "string")
     scalar = F.when(kind(value) == "BOOLEAN", F.initcap(as_text)).otherwise(as_text)
     if depth == 0:
         return F.coalesce(scalar, F.lit("string"))
     precision, scale = text_member(value, "precision"), text_member(value, "scale")
-    decimal = F.coalesce(F.format_string("decimal(%s,%s)", precision, scale), F.lit("decimal"))
-    decimal = F.when(precision.isNull() | scale.isNull(), F.lit("decimal")).otherwise(decimal)
+    decimal = F.concat(F.lit("decimal("), precision, F.lit(","), scale, F.lit(")"))
     fields = F.try_variant_get(value, "$.fields", "array<variant>")
     parts = F.transform(
         fields,
         lambda field: F.concat(
             F.coalesce(text_member(field, *FIELD_NAME_KEYS), F.lit("None")),
             F.lit(":"),
-            render_type(
-                F.coalesce(*[member(field, key) for key in FIELD_TYPE_KEYS]), depth - 1
-            ),
+            render_type(F.coalesce(*[member(field, key) for key in FIELD_TYPE_KEYS]), depth - 1),
         ),
     )
     element = F.try_variant_get(value, "$.elementType", "variant")
+    # Element and nested type share one rendering, so each level doubles the expression only.
     nested = render_type(F.coalesce(element, member(value, "type")), depth - 1)
-    rendered = (
-        F.when(text_member(value, "type").isin("decimal", "numeric"), decimal)
+    opening = F.when(element.isNotNull(), F.lit("array<")).otherwise(F.lit(""))
+    closing = F.when(element.isNotNull(), F.lit(">")).otherwise(F.lit(""))
+    has_inner = element.isNotNull() | member(value, "type").isNotNull()
+    inner = F.when(has_inner, F.concat(opening, nested, closing))
+    from_object = (
+        F.when(
+            text_member(value, "type").isin("decimal", "numeric"),
+            F.coalesce(decimal, F.lit("decimal")),
+        )
         .when(fields.isNotNull(), F.concat(F.lit("struct<"), F.array_join(parts, ", "), F.lit(">")))
-        .when(element.isNotNull(), F.concat(F.lit("array<"), nested, F.lit(">")))
-        .when(member(value, "type").isNotNull(), nested)
-        .otherwise(as_text)
+        .otherwise(F.coalesce(inner, as_text))
     )
     return (
         F.when(value.isNull() | F.is_variant_null(value), F.lit("string"))
-        .when(kind(value) == "OBJECT", rendered)
+        .when(kind(value) == "OBJECT", from_object)
         .otherwise(F.coalesce(scalar, F.lit("string")))
     )
 
