@@ -98,7 +98,7 @@ def copy_files(manifest: DataFrame, source: str, root: str, tasks: int | None =
 
     # Schemes are written in several ways (file:/x, file:///x), so the folder is cut off by name.
     folder = open_root(source)[1].strip("/")
-    relative = F.substring_index("path", F.lit(f"{folder}/"), -1)
+    relative = F.substring_index("path", f"{folder}/", -1)
     rows = manifest.select(relative.alias("key"), F.col("path").alias("item"))
     rows = rows.repartition(tasks, "item") if tasks else rows.repartition("item")
     return rows.mapInPandas(write, STATUS)

@@ -2,15 +2,24 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def table_known(spark: SparkSession, ref: str) -> bool:
+    """Whether the session knows the table; a name its catalogs cannot hold is just not known."""
+    try:
+        return spark.catalog.tableExists(ref)
+    except AnalysisException:
+        return False
+
+
 def read_table(
     spark: SparkSession, ref: str | None, location: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
     """The table by its name, else the files at its location."""
-    if ref and spark.catalog.tableExists(ref):
+    if ref and table_known(spark, ref):
         return spark.read.table(ref)
     if not location:
         raise ValueError(f"table {ref} is not known and has no storage location")
