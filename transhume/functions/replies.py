@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from transhume.functions.types import kind, member, truthy
+from transhume.functions.types import is_object, member, scalar_kind, truthy
 from transhume.values import REPLY_WRAPPERS
 
 # Defaults and preview length.
@@ -15,15 +15,19 @@ DEFAULT_HOURS = 8.0
 PREVIEW = 200
 
 
+def is_text(value: Column) -> Column:
+    return scalar_kind(value) == "STRING"
+
+
 def unwrap(reply: Column) -> Column:
     """The first wrapper member that is an object or text, else the reply; text is read again."""
     inner = []
     for key in REPLY_WRAPPERS:
         found = member(reply, key)
-        inner.append(F.when(kind(found).isin("OBJECT", "STRING"), found))
+        inner.append(F.when(is_object(found) | is_text(found), found))
     found = F.coalesce(*inner, reply)
     again = F.try_parse_json(F.try_variant_get(found, "$", "string"))
-    return F.when(kind(found) == "STRING", again).otherwise(found)
+    return F.when(is_text(found), again).otherwise(found)
 
 
 def chosen(reply: Column, *keys: str) -> Column:
@@ -47,10 +51,10 @@ def reply_fields(reply: Column, raw: Column) -> Column:
     hours_text = as_text(chosen(reply, "estimated_effort_hours", "effort_hours"))
     # A JSON number may have a fraction, which is cut off; a text must be a whole number.
     cut = score_text.try_cast("double").try_cast("int")
-    score = F.when(kind(score_value) == "STRING", score_text.try_cast("int")).otherwise(cut)
+    score = F.when(is_text(score_value), score_text.try_cast("int")).otherwise(cut)
     hours = hours_text.try_cast("double")
     readable = F.coalesce(
-        (kind(reply) == "OBJECT")
+        is_object(reply)
         & (score_text.isNull() | score.isNotNull())
         & (hours_text.isNull() | hours.isNotNull()),
         F.lit(False),

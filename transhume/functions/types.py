@@ -34,9 +34,14 @@ def text_member(value: Column, *keys: str) -> Column:
     return F.coalesce(*[F.nullif(text, F.lit("")) for text in texts])
 
 
-def kind(value: Column) -> Column:
-    """OBJECT, ARRAY, STRING, BIGINT, BOOLEAN, ..."""
-    return F.regexp_extract(F.schema_of_variant(value), "^[A-Z]+", 0)
+def is_object(value: Column) -> Column:
+    """Whether a VARIANT is an object; only its outermost level is looked at."""
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
+def scalar_kind(value: Column) -> Column:
+    """STRING, BIGINT, BOOLEAN, ..; meant for scalars, as it walks through whole objects."""
+    return F.schema_of_variant(value)
 
 
 def render_type(value: Column, depth: int = DEPTH) -> Column:
@@ -51,7 +56,7 @@ def render_type(value: Column, depth: int = DEPTH) -> Column:
 
 def rendered(value: Column, depth: int) -> Column:
     as_text = F.try_variant_get(value, "$", "string")
-    scalar = F.when(kind(value) == "BOOLEAN", F.initcap(as_text)).otherwise(as_text)
+    scalar = F.when(scalar_kind(value) == "BOOLEAN", F.initcap(as_text)).otherwise(as_text)
     if depth == 0:
         return F.coalesce(scalar, F.lit("string"))
     precision, scale = text_member(value, "precision"), text_member(value, "scale")
@@ -82,7 +87,7 @@ def rendered(value: Column, depth: int) -> Column:
     )
     return (
         F.when(value.isNull() | F.is_variant_null(value), F.lit("string"))
-        .when(kind(value) == "OBJECT", from_object)
+        .when(is_object(value), from_object)
         .otherwise(F.coalesce(scalar, F.lit("string")))
     )
 
@@ -111,7 +116,7 @@ def column_entry(entry: Column, depth: int = DEPTH) -> Column:
     schema = member(entry, "schema")
     raw_type = F.coalesce(
         *[member(entry, key) for key in TYPE_KEYS],
-        F.when(kind(schema) == "OBJECT", schema),
+        F.when(is_object(schema), schema),
     )
     from_object = F.struct(
         text_member(entry, *NAME_KEYS).alias("name"),
@@ -123,7 +128,7 @@ def column_entry(entry: Column, depth: int = DEPTH) -> Column:
         F.coalesce(F.nullif(rest, F.lit("")), F.lit("string")).alias("type"),
         F.lit(True).alias("nullable"),
     )
-    return F.when(kind(entry) == "OBJECT", from_object).otherwise(from_text)
+    return F.when(is_object(entry), from_object).otherwise(from_text)
 
 
 def column_entries(entries: Column, depth: int = DEPTH) -> Column:

@@ -18,6 +18,17 @@ from transhume.operators.fields import existing
 from transhume.values import Rule
 
 
+def found(*cases: tuple[Column, str]) -> Column:
+    """The texts whose condition holds, in order.
+
+    Joining one-item lists stays inside generated code, where dropping nulls from a list would not.
+    """
+    none = F.array().cast("array<string>")
+    if not cases:
+        return none
+    return F.concat(*[F.when(test, F.array(F.lit(text))).otherwise(none) for test, text in cases])
+
+
 def pattern_scan(
     df: DataFrame,
     text_col: str = "content",
@@ -26,8 +37,8 @@ def pattern_scan(
 ) -> DataFrame:
     """Names of the rules whose pattern occurs, in rule order."""
     body = F.col(text_col)
-    hits = [F.when(text.matches(body, r.pattern, r.hints), F.lit(r.name)) for r in rules]
-    return df.withColumn(out, F.array_compact(F.array(*hits)))
+    hits = [(text.matches(body, rule.pattern, rule.hints), rule.name) for rule in rules]
+    return df.withColumn(out, found(*hits))
 
 
 def size_class(loc: Column, bounds: tuple[int, int] = values.SIZE_BOUNDS) -> Column:
@@ -42,12 +53,8 @@ def rule_messages(
     out: str | None = None,
 ) -> DataFrame:
     """The ``issue`` or ``suggestion`` texts of the detected rules, in rule order."""
-    texts = [
-        F.when(F.array_contains(detected, rule.name), F.lit(getattr(rule, kind)))
-        for rule in rules
-        if getattr(rule, kind)
-    ]
-    messages = F.array_compact(F.array(*texts)) if texts else F.array().cast("array<string>")
+    texts = [(rule.name, getattr(rule, kind)) for rule in rules if getattr(rule, kind)]
+    messages = found(*[(F.array_contains(detected, name), text) for name, text in texts])
     return df.withColumn(out or f"{kind}s", messages)
 
 
@@ -139,5 +146,5 @@ def literal_scan(
     out: str = "literals",
 ) -> DataFrame:
     """Which of the plain substrings occur, in list order."""
-    hits = [F.when(F.contains(text_col, F.lit(lit)), F.lit(lit)) for lit in literals]
-    return df.withColumn(out, F.array_compact(F.array(*hits)))
+    hits = [(F.contains(text_col, F.lit(literal)), literal) for literal in literals]
+    return df.withColumn(out, found(*hits))

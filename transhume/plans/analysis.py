@@ -15,24 +15,25 @@ def run_full(
 ) -> dict[str, DataFrame]:
     """Read the four listings, analyse the assets and write the snapshot.
 
-    The parts returned are read back from the snapshot, so reports built on them neither scan the
-    sources again nor repeat the joins.
+    The assets are decoded and joined once, into the snapshot, and analysed from there.  The parts
+    returned are read from the snapshot too, so reports on them repeat none of the work.
     """
     assets = listings.read_assets(spark, f"{export_dir}/assets", f"{export_dir}/bodies")
+    write_inventory({"assets": assets}, out_dir, as_of)
+    stored = spark.read.schema(assets.schema).json(f"{out_dir}/assets")
     parts = {
-        "assets": assets,
-        "analyses": scan.analyze_assets(assets, keep=["size", "owner"]),
+        "analyses": scan.analyze_assets(stored, keep=["size", "owner"]),
         "tables": listings.read_tables(spark, f"{export_dir}/tables"),
         "jobs": listings.read_jobs(spark, f"{export_dir}/jobs"),
         "clusters": listings.read_clusters(spark, f"{export_dir}/clusters"),
     }
     write_inventory(parts, out_dir, as_of)
-    return {
-        name: spark.read.schema(part.withColumn("generated_at", F.lit("")).schema).json(
-            f"{out_dir}/{name}"
-        )
-        for name, part in parts.items()
-    }
+
+    def read(name: str, part: DataFrame) -> DataFrame:
+        dated = part.withColumn("generated_at", F.lit("")).schema
+        return spark.read.schema(dated).json(f"{out_dir}/{name}")
+
+    return {name: read(name, part) for name, part in {"assets": assets, **parts}.items()}
 
 
 def run_quick(spark: SparkSession, export_dir: str) -> DataFrame:

@@ -7,15 +7,20 @@ that is lost and run again, or run twice, leaves whole objects and no half ones.
 
 from __future__ import annotations
 
+import sys
 import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import unquote
 
 import pandas as pd
 from pyarrow import fs
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Tasks carry the functions below with them, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 STATUS = "key STRING, n_bytes BIGINT, ok BOOLEAN, error STRING"
 CHUNK = 8 * 1024 * 1024
 
@@ -57,8 +62,13 @@ def each_row(batches: Iterator[pd.DataFrame], work: Callable) -> Iterator[pd.Dat
         yield pd.DataFrame(rows, columns=["key", "n_bytes", "ok", "error"])
 
 
-def put_texts(df: DataFrame, root: str, key: str, body: str) -> DataFrame:
-    """Write the ``body`` text of every row at ``<root>/<key>``; gives status rows."""
+def put_texts(
+    df: DataFrame, root: str, key: str, body: str, spread: bool = False
+) -> DataFrame:
+    """Write the ``body`` text of every row at ``<root>/<key>``; gives status rows.
+
+    The time goes into opening files, so ``spread`` deals small rows out over all tasks first.
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, base = open_root(root)
@@ -69,9 +79,16 @@ def put_texts(df: DataFrame, root: str, key: str, body: str) -> DataFrame:
         return each_row(batches, one)
 
     rows = df.select(F.col(key).alias("key"), F.col(body).alias("item"))
+    if spread:
+        rows = rows.repartition(width(df), "key")
     return rows.mapInPandas(write, STATUS)
 
 
+def width(df: DataFrame) -> int:
+    """Shuffle width of the session, as a fixed number so that small rows are not drawn together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def copy_files(manifest: DataFrame, source: str, root: str, tasks: int | None = None) -> DataFrame:
     """Copy every file of a manifest to the same place below ``root``; gives status rows.
 
@@ -100,5 +117,5 @@ def copy_files(manifest: DataFrame, source: str, root: str, tasks: int | None =
     folder = open_root(source)[1].strip("/")
     relative = F.substring_index("path", f"{folder}/", -1)
     rows = manifest.select(relative.alias("key"), F.col("path").alias("item"))
-    rows = rows.repartition(tasks, "item") if tasks else rows.repartition("item")
+    rows = rows.repartition(tasks or width(manifest), "item")
     return rows.mapInPandas(write, STATUS)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transhume.operators import aggregates, rewrite
+from transhume.functions import scalars
+from transhume.operators import aggregates
 from transhume.plans import analysis as plan
 from transhume.plans import migration, reports
 from transhume.session import scratch_dir
@@ -87,28 +88,35 @@ def sink_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     "sink_sidecar",
     with_(TABLES)
     + """SELECT 'migrated-tables/' || catalog || '/' || schema || '/' || name || '/schema.json' AS key,
-      name, table_type, size_bytes, coalesce(n_cols, 0) AS n_columns, comment AS notes,
-      12 AS n_members FROM tables_v""",
+      true AS ok, true AS whole, name, table_type, size_bytes, coalesce(n_cols, 0) AS n_columns,
+      comment AS notes, 12 AS n_members FROM tables_v""",
 )
 def sink_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the writer reports of every file, beside what the file should hold.
+
+    Reading thousands of small files back would mostly list folders; a test does that instead.
+    """
     root = scratch_dir(spark, "sidecars")
-    sinks.write_sidecars(views.tables(spark, sf_dir), root).write.json(f"{root}-status")
+    tables = views.tables(spark, sf_dir)
+    sinks.write_sidecars(tables, root).write.parquet(f"{root}-status")
+    status = spark.read.parquet(f"{root}-status")
+    place = scalars.table_key(F.col("catalog"), F.col("schema"), F.col("name"))
+    wanted = tables.select(
+        F.concat(place, F.lit("/schema.json")).alias("key"), sinks.sidecar(tables).alias("text")
+    )
     schema = """name STRING, table_type STRING, size_bytes BIGINT, notes STRING,
         columns ARRAY<STRUCT<name: STRING, type: STRING, nullable: BOOLEAN>>"""
-    files = (
-        spark.read.option("recursiveFileLookup", "true").text(root, wholetext=True).select(
-            F.col("_metadata.file_path").alias("place"), F.col("value")
-        )
-    )
-    body = F.from_json("value", schema)
-    return files.select(
-        F.expr("url_decode(regexp_extract(place, '(migrated-tables/.*)$', 1))").alias("key"),
+    body = F.from_json("text", schema)
+    return wanted.join(status, "key").select(
+        "key",
+        "ok",
+        (F.octet_length("text") == F.col("n_bytes")).alias("whole"),
         body["name"].alias("name"),
         body["table_type"].alias("table_type"),
         body["size_bytes"].alias("size_bytes"),
         F.size(body["columns"]).alias("n_columns"),
         body["notes"].alias("notes"),
-        F.json_array_length(F.to_json(F.json_object_keys("value"))).alias("n_members"),
+        F.size(F.json_object_keys("text")).alias("n_members"),
     )
 
 
