@@ -15,7 +15,7 @@ TYPE_KEYS = ("type", "data_type", "dtype", "type_name", "dataType")
 FIELD_NAME_KEYS = ("name", "field")
 FIELD_TYPE_KEYS = ("type", "data_type", "dtype")
 
-DEPTH = 5
+DEPTH = 8
 
 
 def bind(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -54,6 +54,26 @@ def render_type(value: Column, depth: int = DEPTH) -> Column:
     return bind(value, lambda v: rendered(v, depth))
 
 
+def inner_types(value: Column) -> Column:
+    """What a type description holds, as (prefix, type): its fields, or its one inner type.
+
+    One list for both keeps the unrolled expression from doubling at every level.
+    """
+    fields = F.transform(
+        F.try_variant_get(value, "$.fields", "array<variant>"),
+        lambda field: F.struct(
+            F.concat(F.coalesce(text_member(field, *FIELD_NAME_KEYS), F.lit("None")), F.lit(":"))
+            .alias("prefix"),
+            F.coalesce(*[member(field, key) for key in FIELD_TYPE_KEYS]).alias("type"),
+        ),
+    )
+    element = F.try_variant_get(value, "$.elementType", "variant")
+    one = F.struct(
+        F.lit("").alias("prefix"), F.coalesce(element, member(value, "type")).alias("type")
+    )
+    return F.coalesce(fields, F.array(one))
+
+
 def rendered(value: Column, depth: int) -> Column:
     as_text = F.try_variant_get(value, "$", "string")
     scalar = F.when(scalar_kind(value) == "BOOLEAN", F.initcap(as_text)).otherwise(as_text)
@@ -61,33 +81,28 @@ def rendered(value: Column, depth: int) -> Column:
         return F.coalesce(scalar, F.lit("string"))
     precision, scale = text_member(value, "precision"), text_member(value, "scale")
     decimal = F.concat(F.lit("decimal("), precision, F.lit(","), scale, F.lit(")"))
-    fields = F.try_variant_get(value, "$.fields", "array<variant>")
-    parts = F.transform(
-        fields,
-        lambda field: F.concat(
-            F.coalesce(text_member(field, *FIELD_NAME_KEYS), F.lit("None")),
-            F.lit(":"),
-            render_type(F.coalesce(*[member(field, key) for key in FIELD_TYPE_KEYS]), depth - 1),
-        ),
+    inner = F.transform(
+        inner_types(value), lambda i: F.concat(i["prefix"], render_type(i["type"], depth - 1))
     )
-    element = F.try_variant_get(value, "$.elementType", "variant")
-    # Element and nested type share one rendering, so each level doubles the expression only.
-    nested = render_type(F.coalesce(element, member(value, "type")), depth - 1)
-    opening = F.when(element.isNotNull(), F.lit("array<")).otherwise(F.lit(""))
-    closing = F.when(element.isNotNull(), F.lit(">")).otherwise(F.lit(""))
-    has_inner = element.isNotNull() | member(value, "type").isNotNull()
-    inner = F.when(has_inner, F.concat(opening, nested, closing))
-    from_object = (
+    inner = F.array_join(inner, ", ")
+    has_fields = F.try_variant_get(value, "$.fields", "array<variant>").isNotNull()
+    has_element = F.try_variant_get(value, "$.elementType", "variant").isNotNull()
+    opening = F.when(has_fields, "struct<").when(has_element, "array<").otherwise("")
+    closing = F.when(has_fields | has_element, ">").otherwise("")
+    of_object = (
         F.when(
             text_member(value, "type").isin("decimal", "numeric"),
             F.coalesce(decimal, F.lit("decimal")),
         )
-        .when(fields.isNotNull(), F.concat(F.lit("struct<"), F.array_join(parts, ", "), F.lit(">")))
-        .otherwise(F.coalesce(inner, as_text))
+        .when(
+            has_fields | has_element | member(value, "type").isNotNull(),
+            F.concat(opening, inner, closing),
+        )
+        .otherwise(as_text)
     )
     return (
         F.when(value.isNull() | F.is_variant_null(value), F.lit("string"))
-        .when(is_object(value), from_object)
+        .when(is_object(value), of_object)
         .otherwise(F.coalesce(scalar, F.lit("string")))
     )
 
