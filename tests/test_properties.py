@@ -13,7 +13,7 @@ from transhume.sources import listings
 
 RANDOM = random.Random(11)
 PIECES = [
-    "\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", " ", " ",
+    "\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029",
     "a", "é", " ", "display", "display(", "displayHTML (", "dbutils", "dbutils.fs.ls\n(", "_",
     "dbutils.fs.cp(", "%sql", "spark.", "spark.read", 'spark.read.format( "delta" )',
     "spark.read.format('delta')", "/dbfs/", "dbfs:/", "dbfs:/dbfs/", "DeltaTable", "delta.tables",

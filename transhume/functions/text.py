@@ -12,7 +12,7 @@ from transhume.values import TRUNCATE_LIMIT, TRUNCATE_MARKER
 # Line ends: \R covers \r\n as one, \n \v \f \r, U+0085, U+2028, U+2029; the separators
 # U+001C..U+001E end a line too.
 LINE_END = r"\R|[\x1c-\x1e]"
-LINE_END_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
+LINE_END_CHARS = "\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029"
 
 
 def java_regex(pattern: str) -> str:

@@ -1,49 +1,27 @@
 """Files written one by one at keys of their own: raw copies, sidecars, converted sources.
 
 Spark's writers name their files themselves, so these run as Arrow-batched tasks that put each
-object below the root.  Every object is written beside its key and then moved there, so a task
-that is lost and run again, or run twice, leaves whole objects and no half ones.
+object below the root and report what became of it.
 """
 
 from __future__ import annotations
 
 import sys
-import uuid
 from collections.abc import Callable, Iterator
-from urllib.parse import unquote
 
 import pandas as pd
-from pyarrow import fs
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Tasks carry the functions below with them, so executors need no copy of this package.
+from transhume.storage import open_root, put
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATUS = "key STRING, n_bytes BIGINT, ok BOOLEAN, error STRING"
 CHUNK = 8 * 1024 * 1024
 
 
-def open_root(location: str) -> tuple[fs.FileSystem, str]:
-    """File system and plain path of a URI or path (file, s3, gs, hdfs, ..)."""
-    if location.startswith("file:"):
-        return fs.LocalFileSystem(), unquote("/" + location[len("file:") :].lstrip("/"))
-    if "://" not in location:
-        return fs.LocalFileSystem(), location
-    return fs.FileSystem.from_uri(location)
-
-
-def put(store: fs.FileSystem, target: str, fill: Callable) -> int:
-    folder, _, name = target.rpartition("/")
-    store.create_dir(folder, recursive=True)
-    part = f"{folder}/.{name}.{uuid.uuid4().hex}"
-    with store.open_output_stream(part) as out:
-        size = fill(out)
-    store.move(part, target)
-    return size
-
-
 def safe_key(key: str) -> str:
     if not key or ".." in key.split("/"):
         raise ValueError("key leaves the root")
@@ -62,6 +40,11 @@ def each_row(batches: Iterator[pd.DataFrame], work: Callable) -> Iterator[pd.Dat
         yield pd.DataFrame(rows, columns=["key", "n_bytes", "ok", "error"])
 
 
+def width(df: DataFrame) -> int:
+    """Shuffle width of the session, as a fixed number so that small rows are not drawn together."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def put_texts(
     df: DataFrame, root: str, key: str, body: str, spread: bool = False
 ) -> DataFrame:
@@ -84,16 +67,11 @@ def put_texts(
     return rows.mapInPandas(write, STATUS)
 
 
-def width(df: DataFrame) -> int:
-    """Shuffle width of the session, as a fixed number so that small rows are not drawn together."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
-def copy_files(manifest: DataFrame, source: str, root: str, tasks: int | None = None) -> DataFrame:
-    """Copy every file of a manifest to the same place below ``root``; gives status rows.
+def copy_files(manifest: DataFrame, root: str, tasks: int | None = None) -> DataFrame:
+    """Copy every file of a manifest to its place below ``root``; gives status rows.
 
-    Files are streamed in chunks, so their size is not bound by memory.  The manifest is spread
-    over tasks first, since listing packs many files into few partitions.
+    Files are streamed in chunks, so their size is not bound by memory.  They are dealt out over
+    the tasks first, since a listing holds many files in few partitions.
     """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,9 +91,5 @@ def copy_files(manifest: DataFrame, source: str, root: str, tasks: int | None =
 
         return each_row(batches, one)
 
-    # Schemes are written in several ways (file:/x, file:///x), so the folder is cut off by name.
-    folder = open_root(source)[1].strip("/")
-    relative = F.substring_index("path", f"{folder}/", -1)
-    rows = manifest.select(relative.alias("key"), F.col("path").alias("item"))
-    rows = rows.repartition(tasks or width(manifest), "item")
-    return rows.mapInPandas(write, STATUS)
+    rows = manifest.select(F.col("relative").alias("key"), F.col("path").alias("item"))
+    return rows.repartition(tasks or width(manifest), "item").mapInPandas(write, STATUS)

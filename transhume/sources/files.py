@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from transhume.session import scratch_dir
+from transhume.storage import LISTED, list_folders
+
 
 def table_known(spark: SparkSession, ref: str) -> bool:
     """Whether the session knows the table; a name its catalogs cannot hold is just not known."""
@@ -27,19 +32,33 @@ def read_table(
 
 
 def file_manifest(spark: SparkSession, location: str) -> DataFrame:
-    """Path, length and time of every file below a location; no content is read."""
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(location)
-    )
-    return files.select("path", "length", F.col("modificationTime").alias("modified_at"))
+    """Path, place below the location, length and time of every file, hidden and empty ones too.
+
+    Folders are listed in tasks, one level of all of them at a time, and each level is written to
+    the shared scratch folder: a deep tree is spread over the cluster and none of it is held by
+    the driver.
+    """
+    root = scratch_dir(spark, "manifest")
+    folders = spark.createDataFrame([(location, "")], "path STRING, relative STRING")
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for level in count():
+        listed = folders.repartition(width, "path").mapInPandas(list_folders, LISTED)
+        listed.write.parquet(f"{root}/level={level}")
+        found = spark.read.schema(LISTED).parquet(f"{root}/level={level}")
+        folders = found.where("is_folder").select("path", "relative")
+        if folders.isEmpty():
+            break
+    files = spark.read.schema(LISTED).parquet(f"{root}/level=*").where("NOT is_folder")
+    return files.select("path", "relative", "length", "modified_at")
 
 
 def latest_path(spark: SparkSession, folder: str, glob: str) -> str | None:
     """The saved result whose name sorts last, a file or a folder; found without reading any."""
     name = glob.replace(".", r"\.").replace("*", "[^/]*")
-    path = F.regexp_extract("path", f"^(.*/{name})(/.*)?$", 1)
-    found = file_manifest(spark, folder).select(path.alias("path")).where("path != ''")
-    return found.agg(F.max_by("path", F.substring_index("path", "/", -1))).first()[0]
+    top = F.substring_index("relative", "/", 1)
+    found = file_manifest(spark, folder).where(top.rlike(f"^{name}$"))
+    newest = found.agg(F.max(top)).first()[0]
+    return newest and f"{folder.rstrip('/')}/{newest}"
 
 
 def read_latest(

@@ -76,7 +76,7 @@ def sink_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("sink_copy", counts_sql())
 def sink_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = scratch_dir(spark, "copied")
-    status = objects.copy_files(file_manifest(spark, sf_dir), sf_dir, root)
+    status = objects.copy_files(file_manifest(spark, sf_dir), root)
     status.where(~F.col("ok")).write.json(f"{root}-errors")
     counts = aggregates.summary_counts(
         **{name: spark.read.parquet(f"{root}/{name}.parquet") for name in GIVEN}

@@ -203,10 +203,11 @@ def src_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     views.table(spark, sf_dir, "documents").select("lang", "text").write.partitionBy("lang").text(
         root
     )
-    found = files.file_manifest(spark, root)
-    folder = F.regexp_extract("path", "/(lang=[^/]*)/", 1)
+    # Beside the data Spark leaves a marker and, on a local disk, hidden checksum files.
+    found = files.file_manifest(spark, root).where(F.col("relative").rlike(r"/part-[^/]*\.txt$"))
+    folder = F.substring_index("relative", "/", 1)
     return (
-        found.where(folder != "")
+        found
         .groupBy(folder.alias("folder"))
         .agg(F.sum("length").alias("n_bytes"))
     )
