@@ -250,7 +250,7 @@ def test_column_entries(spark):
         {"column_name":"d","type":null,"data_type":"date","is_nullable":0},
         {"name":"","field":"e","schema":{"type":"decimal"}},
         {"col_name":"f","type":{"type":"int","nullable":false}},
-        {"name":"g","nullable":null}]"""
+        {"name":"g","nullable":null}, "", "  ", null]"""
     df = spark.createDataFrame([(entries,)], "j STRING")
     df = df.selectExpr("cast(parse_json(j) AS ARRAY<VARIANT>) AS columns")
     found = [tuple(c) for c in fields.normalize_columns(df).first()["columns"]]
@@ -262,6 +262,7 @@ def test_column_entries(spark):
         ("e", "decimal", True),
         ("f", "int", False),
         ("g", "string", False),
+        ("None", "string", True),
     ]
 
 

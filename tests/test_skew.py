@@ -81,3 +81,13 @@ def test_many_missing_owners(spark):
     rows = joins.with_owner(assets, doubled)
     assert rows.count() == N
     assert rows.where("owner = path").count() == N // 3
+
+
+def test_paths_repeated_on_both_sides(spark):
+    """A path that is a third of both sides gives one row per listed asset, not all pairs."""
+    listing = spark.range(N).select(hot(F.col("id")).alias("path"), F.col("id").alias("asset"))
+    bodies = spark.range(N).select(
+        hot(F.col("id")).alias("path"), F.concat(F.lit("s"), (F.col("id") % 3)).alias("content")
+    )
+    rows = joins.with_body(listing, bodies)
+    assert rows.count() == N and rows.select("asset").distinct().count() == N

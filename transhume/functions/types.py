@@ -125,13 +125,11 @@ def nullable_flag(entry: Column) -> Column:
 
 def column_entry(entry: Column, depth: int = DEPTH) -> Column:
     """One entry, an object or a ``name type ..`` text, as (name, type, nullable)."""
-    words = F.regexp_extract(F.try_variant_get(entry, "$", "string"), r"^\s*(\S+)\s*(.*?)\s*$", 1)
-    rest = F.regexp_extract(F.try_variant_get(entry, "$", "string"), r"^\s*(\S+)\s*(.*?)\s*$", 2)
-    rest = F.regexp_replace(rest, r"\s+", " ")
+    text = F.coalesce(F.try_variant_get(entry, "$", "string"), F.lit("None"))
+    words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ", 2)
     schema = member(entry, "schema")
     raw_type = F.coalesce(
-        *[member(entry, key) for key in TYPE_KEYS],
-        F.when(is_object(schema), schema),
+        *[member(entry, key) for key in TYPE_KEYS], F.when(is_object(schema), schema)
     )
     from_object = F.struct(
         text_member(entry, *NAME_KEYS).alias("name"),
@@ -139,14 +137,19 @@ def column_entry(entry: Column, depth: int = DEPTH) -> Column:
         nullable_flag(entry).alias("nullable"),
     )
     from_text = F.struct(
-        words.alias("name"),
-        F.coalesce(F.nullif(rest, F.lit("")), F.lit("string")).alias("type"),
+        F.get(words, F.lit(0)).alias("name"),
+        F.coalesce(F.get(words, F.lit(1)), F.lit("string")).alias("type"),
         F.lit(True).alias("nullable"),
     )
     return F.when(is_object(entry), from_object).otherwise(from_text)
 
 
 def column_entries(entries: Column, depth: int = DEPTH) -> Column:
-    """An ARRAY<VARIANT> of column entries as a typed array; empty when there is none."""
+    """An ARRAY<VARIANT> of column entries as a typed array; blank texts are no entries."""
     empty = F.array().cast(COLUMN_LIST)
-    return F.coalesce(F.transform(entries, lambda entry: column_entry(entry, depth)), empty)
+
+    def given(entry: Column) -> Column:
+        return F.coalesce(F.trim(F.try_variant_get(entry, "$", "string")) != "", F.lit(True))
+
+    typed = F.transform(F.filter(entries, given), lambda entry: column_entry(entry, depth))
+    return F.coalesce(typed, empty)

@@ -37,11 +37,13 @@ def with_analysis(assets: DataFrame, analyses: DataFrame, order: str = "ord") ->
 
 
 def resolve_tables(names: DataFrame, tables: DataFrame, order: str = "ord") -> DataFrame:
-    """The first table row of every selected ``fq_name``; names without one are left out."""
+    """The first table row of every selected ``fq_name``; names without one are left out.
+
+    Tables are cut to one row per key before the join, so a key listed over and over is combined
+    map-side; the join then reuses that partitioning.
+    """
     wanted = fields.parse_fq(names.select("fq_name").distinct(), "fq_name")
-    found = tables.join(wanted, list(TABLE_KEY))
-    # Grouped by the join key too, so the sort-merge form needs no second shuffle.
-    return one_per_key(found, [*TABLE_KEY, "fq_name"], order)
+    return one_per_key(tables, TABLE_KEY, order).join(wanted, list(TABLE_KEY))
 
 
 def missing_tables(names: DataFrame, tables: DataFrame) -> DataFrame:
@@ -58,9 +60,14 @@ def with_columns_detail(tables: DataFrame, details: DataFrame) -> DataFrame:
 
 
 def with_body(listing: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Listed assets with their source and its length; assets without a source are left out."""
-    joined = listing.join(bodies.select("path", "content"), "path")
-    return joined.where(F.length("content") > 0).withColumn("size", F.length("content"))
+    """Listed assets with their source and its length; assets without a source are left out.
+
+    A path exported more than once has one source, so a path repeated on both sides cannot
+    multiply.
+    """
+    sources = bodies.where(F.length("content") > 0).groupBy("path")
+    joined = listing.join(sources.agg(F.min("content").alias("content")), "path")
+    return joined.withColumn("size", F.length("content"))
 
 
 def status_owner() -> Column:

@@ -10,7 +10,18 @@ from pyspark.sql import functions as F
 from transhume.operators.fields import fq_name
 from transhume.sinks.reports import export_table, write_sidecars
 
-EXPORT_COLUMNS = ("catalog", "schema", "name", "storage_location", "source_format")
+# What an export needs to know of a table, as far as the listing has it.
+EXPORT_COLUMNS = (
+    "full_name",
+    "catalog",
+    "schema",
+    "db",
+    "name",
+    "table_name",
+    "storage_location",
+    "location",
+    "source_format",
+)
 STATUS = "fq_name STRING, destination STRING, n_rows LONG, ok BOOLEAN, error STRING"
 
 

@@ -8,13 +8,12 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from transhume.functions import scalars
+from transhume.operators.fields import dest_key, existing
 from transhume.operators.rewrite import diff_ops, op_list
-from transhume.operators.fields import existing
 from transhume.schemas import COLUMN_LIST
 from transhume.sinks.objects import put_texts
 from transhume.sources.files import read_table
-from transhume.values import ASSETS_PREFIX
+from transhume.values import ASSETS_PREFIX, TABLES_PREFIX
 
 
 def export_table(
@@ -24,14 +23,16 @@ def export_table(
 
     Rows are counted by an observation while they are written, so the data is read once.
     """
-    parts = [info.get("catalog"), info.get("schema"), info.get("name")]
-    ref = info.get("full_name") or (".".join(parts) if all(parts) else None)
-    data = read_table(
-        spark, ref, info.get("storage_location"), info.get("source_format") or fmt
+    parts = (
+        info.get("catalog"),
+        info.get("schema") or info.get("db"),
+        info.get("name") or info.get("table_name"),
     )
-    defaults = ("default", "default", "table")
-    key = "/".join(part or default for part, default in zip(parts, defaults))
-    place = f"{root.rstrip('/')}/migrated-tables/{key}"
+    ref = info.get("full_name") or (".".join(parts) if all(parts) else None)
+    location = info.get("storage_location") or info.get("location")
+    data = read_table(spark, ref, location, info.get("source_format") or fmt)
+    key = "/".join(part or default for part, default in zip(parts, ("default", "default", "table")))
+    place = f"{root.rstrip('/')}/{TABLES_PREFIX}/{key}"
     seen = Observation()
     data = data.observe(seen, F.count(F.lit(1)).alias("n"))
     data.write.format(fmt).mode("overwrite").option("overwriteSchema", "true").save(place)
@@ -60,9 +61,8 @@ def sidecar(df: DataFrame) -> Column:
 
 def write_sidecars(tables: DataFrame, root: str) -> DataFrame:
     """One ``schema.json`` per table beside its data; gives status rows."""
-    key = scalars.table_key(F.col("catalog"), F.col("schema"), F.col("name"))
-    rows = tables.select(
-        F.concat(key, F.lit("/schema.json")).alias("key"), sidecar(tables).alias("body")
+    rows = dest_key(tables, out="_key").select(
+        F.concat("_key", F.lit("/schema.json")).alias("key"), sidecar(tables).alias("body")
     )
     return put_texts(rows, root, "key", "body", spread=True)
 
