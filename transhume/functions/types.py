@@ -29,11 +29,6 @@ def member(value: Column, key: str) -> Column:
     return F.when(~F.is_variant_null(found), found)
 
 
-def text_member(value: Column, *keys: str) -> Column:
-    texts = [F.try_variant_get(value, f"$.{key}", "string") for key in keys]
-    return F.coalesce(*[F.nullif(text, F.lit("")) for text in texts])
-
-
 def is_object(value: Column) -> Column:
     """Whether a VARIANT is an object; only its outermost level is looked at."""
     return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
@@ -44,6 +39,27 @@ def scalar_kind(value: Column) -> Column:
     return F.schema_of_variant(value)
 
 
+def members(value: Column) -> Column:
+    """An object as a map from key to VARIANT, null for anything else.
+
+    Several keys are looked up in each object, which a map serves faster than a path each.
+    """
+    return F.try_variant_get(value, "$", "map<string,variant>")
+
+
+def given(found: Column) -> Column:
+    return F.when(~F.is_variant_null(found), found)
+
+
+def first_given(m: Column, *keys: str) -> Column:
+    return F.coalesce(*[given(m[key]) for key in keys])
+
+
+def first_text(m: Column, *keys: str) -> Column:
+    texts = [F.try_variant_get(m[key], "$", "string") for key in keys]
+    return F.coalesce(*[F.nullif(text, F.lit("")) for text in texts])
+
+
 def render_type(value: Column, depth: int = DEPTH) -> Column:
     """A SQL-like type text for a VARIANT type description.
 
@@ -54,56 +70,62 @@ def render_type(value: Column, depth: int = DEPTH) -> Column:
     return bind(value, lambda v: rendered(v, depth))
 
 
-def inner_types(value: Column) -> Column:
+def rendered(value: Column, depth: int) -> Column:
+    text = F.try_variant_get(value, "$", "string")
+    # Only a boolean reads true or false without quotes, and only texts are quoted in JSON.
+    plain = F.when(
+        text.isin("true", "false") & (scalar_kind(value) == "BOOLEAN"), F.initcap(text)
+    ).otherwise(text)
+    plain = F.coalesce(plain, F.lit("string"))
+    if depth == 0:
+        return plain
+    of_object = bind(members(value), lambda m: F.when(m.isNotNull(), render_object(m, text, depth)))
+    return F.when(value.isNull() | F.is_variant_null(value), F.lit("string")).otherwise(
+        F.coalesce(of_object, plain)
+    )
+
+
+def inner_types(m: Column, fields: Column) -> Column:
     """What a type description holds, as (prefix, type): its fields, or its one inner type.
 
     One list for both keeps the unrolled expression from doubling at every level.
     """
-    fields = F.transform(
-        F.try_variant_get(value, "$.fields", "array<variant>"),
-        lambda field: F.struct(
-            F.concat(F.coalesce(text_member(field, *FIELD_NAME_KEYS), F.lit("None")), F.lit(":"))
-            .alias("prefix"),
-            F.coalesce(*[member(field, key) for key in FIELD_TYPE_KEYS]).alias("type"),
-        ),
-    )
-    element = F.try_variant_get(value, "$.elementType", "variant")
+
+    def field(f: Column) -> Column:
+        name = F.coalesce(first_text(f, *FIELD_NAME_KEYS), F.lit("None"))
+        return F.struct(
+            F.concat(name, F.lit(":")).alias("prefix"),
+            first_given(f, *FIELD_TYPE_KEYS).alias("type"),
+        )
+
     one = F.struct(
-        F.lit("").alias("prefix"), F.coalesce(element, member(value, "type")).alias("type")
+        F.lit("").alias("prefix"),
+        F.coalesce(m["elementType"], given(m["type"])).alias("type"),
     )
-    return F.coalesce(fields, F.array(one))
+    return F.coalesce(F.transform(fields, field), F.array(one))
 
 
-def rendered(value: Column, depth: int) -> Column:
-    as_text = F.try_variant_get(value, "$", "string")
-    scalar = F.when(scalar_kind(value) == "BOOLEAN", F.initcap(as_text)).otherwise(as_text)
-    if depth == 0:
-        return F.coalesce(scalar, F.lit("string"))
-    precision, scale = text_member(value, "precision"), text_member(value, "scale")
+def render_object(m: Column, text: Column, depth: int) -> Column:
+    precision, scale = first_text(m, "precision"), first_text(m, "scale")
     decimal = F.concat(F.lit("decimal("), precision, F.lit(","), scale, F.lit(")"))
+    fields = F.try_variant_get(m["fields"], "$", "array<map<string,variant>>")
     inner = F.transform(
-        inner_types(value), lambda i: F.concat(i["prefix"], render_type(i["type"], depth - 1))
+        inner_types(m, fields),
+        lambda i: F.concat(i["prefix"], render_type(i["type"], depth - 1)),
     )
-    inner = F.array_join(inner, ", ")
-    has_fields = F.try_variant_get(value, "$.fields", "array<variant>").isNotNull()
-    has_element = F.try_variant_get(value, "$.elementType", "variant").isNotNull()
+    has_fields, has_element = fields.isNotNull(), m["elementType"].isNotNull()
     opening = F.when(has_fields, "struct<").when(has_element, "array<").otherwise("")
     closing = F.when(has_fields | has_element, ">").otherwise("")
-    of_object = (
+    return (
         F.when(
-            text_member(value, "type").isin("decimal", "numeric"),
+            first_text(m, "type").isin("decimal", "numeric"),
             F.coalesce(decimal, F.lit("decimal")),
         )
         .when(
-            has_fields | has_element | member(value, "type").isNotNull(),
-            F.concat(opening, inner, closing),
+            has_fields | has_element | given(m["type"]).isNotNull(),
+            F.concat(opening, F.array_join(inner, ", "), closing),
         )
-        .otherwise(as_text)
-    )
-    return (
-        F.when(value.isNull() | F.is_variant_null(value), F.lit("string"))
-        .when(is_object(value), of_object)
-        .otherwise(F.coalesce(scalar, F.lit("string")))
+        .otherwise(text)
     )
 
 
@@ -113,43 +135,44 @@ def truthy(value: Column) -> Column:
     return F.coalesce(~text.isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False))
 
 
-def nullable_flag(entry: Column) -> Column:
+def nullable_flag(m: Column) -> Column:
     flag = F.lit(True)
-    type_flag = F.try_variant_get(entry, "$.type.nullable", "variant")
-    flag = F.when(type_flag.isNotNull() & ~F.is_variant_null(type_flag), truthy(type_flag))
+    of_type = given(F.try_variant_get(m["type"], "$.nullable", "variant"))
+    flag = F.when(of_type.isNotNull(), truthy(of_type)).otherwise(flag)
     for key in ("is_nullable", "nullable"):
-        found = F.try_variant_get(entry, f"$.{key}", "variant")
-        flag = F.when(found.isNotNull(), truthy(found)).otherwise(flag)
-    return F.coalesce(flag, F.lit(True))
+        flag = F.when(m[key].isNotNull(), truthy(m[key])).otherwise(flag)
+    return flag
 
 
 def column_entry(entry: Column, depth: int = DEPTH) -> Column:
     """One entry, an object or a ``name type ..`` text, as (name, type, nullable)."""
+
+    def from_object(m: Column) -> Column:
+        schema = F.when(is_object(m["schema"]), m["schema"])
+        raw_type = F.coalesce(first_given(m, *TYPE_KEYS), schema)
+        return F.struct(
+            first_text(m, *NAME_KEYS).alias("name"),
+            render_type(raw_type, depth).alias("type"),
+            nullable_flag(m).alias("nullable"),
+        )
+
     text = F.coalesce(F.try_variant_get(entry, "$", "string"), F.lit("None"))
     words = F.split(F.trim(F.regexp_replace(text, r"\s+", " ")), " ", 2)
-    schema = member(entry, "schema")
-    raw_type = F.coalesce(
-        *[member(entry, key) for key in TYPE_KEYS], F.when(is_object(schema), schema)
-    )
-    from_object = F.struct(
-        text_member(entry, *NAME_KEYS).alias("name"),
-        render_type(raw_type, depth).alias("type"),
-        nullable_flag(entry).alias("nullable"),
-    )
     from_text = F.struct(
         F.get(words, F.lit(0)).alias("name"),
         F.coalesce(F.get(words, F.lit(1)), F.lit("string")).alias("type"),
         F.lit(True).alias("nullable"),
     )
-    return F.when(is_object(entry), from_object).otherwise(from_text)
+    return bind(members(entry), lambda m: F.when(m.isNotNull(), from_object(m)).otherwise(from_text))
 
 
 def column_entries(entries: Column, depth: int = DEPTH) -> Column:
     """An ARRAY<VARIANT> of column entries as a typed array; blank texts are no entries."""
     empty = F.array().cast(COLUMN_LIST)
 
-    def given(entry: Column) -> Column:
-        return F.coalesce(F.trim(F.try_variant_get(entry, "$", "string")) != "", F.lit(True))
+    def not_blank(entry: Column) -> Column:
+        text = F.trim(F.try_variant_get(entry, "$", "string"))
+        return is_object(entry) | F.coalesce(text != "", F.lit(True))
 
-    typed = F.transform(F.filter(entries, given), lambda entry: column_entry(entry, depth))
+    typed = F.transform(F.filter(entries, not_blank), lambda entry: column_entry(entry, depth))
     return F.coalesce(typed, empty)

@@ -127,13 +127,10 @@ def diff_ops(
 ) -> DataFrame:
     """Add ``pairs`` of body lines, ``header_lines`` and the ``aligned`` flag."""
     head = text.lines(F.col(header)) if header else F.array().cast("array<string>")
-    split = df.withColumns(
-        {
-            "_before": text.lines(F.col(before)),
-            "_after": text.lines(F.col(body)),
-            "header_lines": head,
-        }
-    )
+    split = df.withColumns({"_before": text.lines(F.col(before)), "header_lines": head})
+    # Most sources are not changed by any rule, and those are split once.
+    unchanged = F.when(F.col(body) == F.col(before), F.col("_before"))
+    split = split.withColumn("_after", unchanged.otherwise(text.lines(F.col(body))))
     return split.withColumns(
         {
             "aligned": F.size("_before") == F.size("_after"),
@@ -143,20 +140,36 @@ def diff_ops(
 
 
 def op_list(pairs: Column, header_lines: Column) -> Column:
-    """All diff operations in order: header lines as added, then each pair as one or two."""
+    """All diff operations in order: header lines as added, then the body.
 
-    def op(sign: str, line: Column) -> Column:
-        return F.struct(F.lit(sign).alias("op"), line.alias("line")).cast(DIFF_OP)
+    A run of changed pairs gives all its removed lines, then all its added ones.  Runs are the
+    gaps between equal pairs, so each pair is visited once.
+    """
 
-    def ops(pair: Column) -> Column:
-        l, r = pair["l"], pair["r"]
-        changed = F.array(F.when(l.isNotNull(), op("-", l)), F.when(r.isNotNull(), op("+", r)))
-        return F.when(l == r, F.array(op(" ", l))).otherwise(F.array_compact(changed))
+    def ops(sign: str, lines: Column) -> Column:
+        listed = F.transform(
+            F.filter(lines, F.isnotnull), lambda l: F.struct(F.lit(sign).alias("op"), l.alias("line"))
+        )
+        return listed.cast(f"array<{DIFF_OP}>")
+
+    def up_to(last: Column, upto: Column) -> Column:
+        """The equal pair at ``last`` (if any) and the changed ones after it, before ``upto``."""
+        same = F.struct(F.lit(" ").alias("op"), F.get(pairs, last)["l"].alias("line")).cast(DIFF_OP)
+        run = F.slice(pairs, last + 2, upto - last - 1)
+        none = F.array().cast(f"array<{DIFF_OP}>")
+        removed = ops("-", F.transform(run, lambda p: p["l"]))
+        added = ops("+", F.transform(run, lambda p: p["r"]))
+        return F.concat(
+            F.when(last >= 0, F.array(same)).otherwise(none),
+            F.when(upto - last > 1, F.concat(removed, added)).otherwise(none),
+        )
 
-    return F.concat(
-        F.transform(header_lines, lambda line: op("+", line)),
-        F.flatten(F.transform(pairs, ops)),
+    equal = F.filter(
+        F.transform(pairs, lambda p, i: F.when(p["l"] == p["r"], i)), F.isnotnull
     )
+    starts = F.concat(F.array(F.lit(-1)), equal)
+    ends = F.concat(equal, F.array(F.size(pairs)))
+    return F.concat(ops("+", header_lines), F.flatten(F.zip_with(starts, ends, up_to)))
 
 
 def line_diff(df: DataFrame, key: str = "path", **cols: str) -> DataFrame:
@@ -168,7 +181,7 @@ def line_diff(df: DataFrame, key: str = "path", **cols: str) -> DataFrame:
 
 def diff_head(df: DataFrame, n: int = 200, key: str = "path", **cols: str) -> DataFrame:
     """The first ``n`` operations of each asset, cut inside the row."""
-    # Every header line and every pair gives at least one operation, so n of each suffice.
+    # Every header line and every pair gives an operation, and a cut run loses only its last ones.
     ops = op_list(F.slice("pairs", 1, n), F.slice("header_lines", 1, n))
     rows = diff_ops(df, **cols).select(key, F.posexplode(F.slice(ops, 1, n)).alias("seq", "_op"))
     return rows.select(key, "seq", "_op.op", "_op.line")

@@ -206,13 +206,19 @@ h AS (SELECT path, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos F
     chr(10)) AS lines FROM full_converted WHERE length(after) > length(body))),
 both_sides AS (
   SELECT path, pos, b.line AS l, a.line AS r FROM b FULL JOIN a USING (path, pos)),
+anchored AS (
+  SELECT *, coalesce(max(CASE WHEN l = r THEN pos END) OVER (
+    PARTITION BY path ORDER BY pos ROWS UNBOUNDED PRECEDING), 0) AS anchor FROM both_sides),
 ops AS (
-  SELECT path, pos - 1000000 AS pos, '+' AS op, line, 0 AS sub FROM h
-  UNION ALL SELECT path, pos, ' ', l, 0 FROM both_sides WHERE l = r
-  UNION ALL SELECT path, pos, '-', l, 0 FROM both_sides WHERE l IS DISTINCT FROM r AND l IS NOT NULL
-  UNION ALL SELECT path, pos, '+', r, 1 FROM both_sides WHERE l IS DISTINCT FROM r AND r IS NOT NULL),
+  SELECT path, -1 AS anchor, pos, '+' AS op, line, 0 AS sub FROM h
+  UNION ALL SELECT path, anchor, pos, ' ', l, 0 FROM anchored WHERE l = r
+  UNION ALL SELECT path, anchor, pos, '-', l, 1 FROM anchored
+    WHERE l IS DISTINCT FROM r AND l IS NOT NULL
+  UNION ALL SELECT path, anchor, pos, '+', r, 2 FROM anchored
+    WHERE l IS DISTINCT FROM r AND r IS NOT NULL),
 diff AS (
-  SELECT path, CAST(row_number() OVER (PARTITION BY path ORDER BY pos, sub) - 1 AS INTEGER) AS seq,
+  SELECT path,
+    CAST(row_number() OVER (PARTITION BY path ORDER BY anchor, sub, pos) - 1 AS INTEGER) AS seq,
     op, line FROM ops)"""
 
 
