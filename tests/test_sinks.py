@@ -133,6 +133,18 @@ def test_latest_result(spark, tmp_path):
     assert files.read_latest(spark, f"{tmp_path}/dir", "r_*.json").first()["id"] == 4
     with pytest.raises(FileNotFoundError):
         files.read_latest(spark, f"{tmp_path}/dir", "none_*.json")
+    saved = {"notebooks": [{"path": "p"}], "generated_at": "now"}
+    (tmp_path / "dir/r_5.json").write_text(json.dumps(saved, indent=2))
+    row = files.read_latest(spark, f"{tmp_path}/dir", "r_*.json", multi_line=True).first()
+    assert row["notebooks"][0]["path"] == "p" and row["generated_at"] == "now"
+
+
+def test_pretty_printed_pages(spark, tmp_path):
+    for i in range(3):
+        page = {"clusters": [{"cluster_id": f"c{i}", "num_workers": i}, {"cluster_id": "x"}]}
+        (tmp_path / f"page{i}.json").write_text(json.dumps(page, indent=2))
+    rows = listings.read_clusters(spark, str(tmp_path), multi_line=True)
+    assert rows.count() == 6 and rows.where("num_workers IS NULL").count() == 3
 
 
 def test_fallback(spark):

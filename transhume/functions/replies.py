@@ -65,7 +65,9 @@ def reply_fields(reply: Column, raw: Column) -> Column:
 
     return F.struct(
         field(score, DEFAULT_SCORE).alias("complexity_score"),
-        field(as_text(chosen(reply, "risk_assessment", "risk")), DEFAULT_RISK).alias("risk_assessment"),
+        field(as_text(chosen(reply, "risk_assessment", "risk")), DEFAULT_RISK).alias(
+            "risk_assessment"
+        ),
         field(as_text(chosen(reply, "migration_challenges", "challenges")), "[]").alias(
             "migration_challenges"
         ),

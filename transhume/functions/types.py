@@ -163,7 +163,9 @@ def column_entry(entry: Column, depth: int = DEPTH) -> Column:
         F.coalesce(F.get(words, F.lit(1)), F.lit("string")).alias("type"),
         F.lit(True).alias("nullable"),
     )
-    return bind(members(entry), lambda m: F.when(m.isNotNull(), from_object(m)).otherwise(from_text))
+    return bind(
+        members(entry), lambda m: F.when(m.isNotNull(), from_object(m)).otherwise(from_text)
+    )
 
 
 def column_entries(entries: Column, depth: int = DEPTH) -> Column:

@@ -147,9 +147,8 @@ def op_list(pairs: Column, header_lines: Column) -> Column:
     """
 
     def ops(sign: str, lines: Column) -> Column:
-        listed = F.transform(
-            F.filter(lines, F.isnotnull), lambda l: F.struct(F.lit(sign).alias("op"), l.alias("line"))
-        )
+        present = F.filter(lines, F.isnotnull)
+        listed = F.transform(present, lambda l: F.struct(F.lit(sign).alias("op"), l.alias("line")))
         return listed.cast(f"array<{DIFF_OP}>")
 
     def up_to(last: Column, upto: Column) -> Column:

@@ -48,7 +48,7 @@ def report_fields(assets: DataFrame) -> DataFrame:
 
 
 def asset_report(assets: DataFrame, analyses: DataFrame, order: str = "ord") -> DataFrame:
-    """Assets with the facts of their last analysis: (path, ord, risk, complexity, n_issues, status).
+    """Assets with risk, enrichment status and confidence from their last analysis.
 
     Both sides are cut to a few short columns before the join.
     """

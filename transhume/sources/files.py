@@ -62,9 +62,13 @@ def latest_path(spark: SparkSession, folder: str, glob: str) -> str | None:
 
 
 def read_latest(
-    spark: SparkSession, folder: str, glob: str = "migration_results_*.json"
+    spark: SparkSession,
+    folder: str,
+    glob: str = "migration_results_*.json",
+    multi_line: bool = False,
 ) -> DataFrame:
+    """The newest saved result; ``multi_line`` for one written as a pretty-printed file."""
     path = latest_path(spark, folder, glob)
     if path is None:
         raise FileNotFoundError(f"no saved result {glob} in {folder}")
-    return spark.read.json(path)
+    return spark.read.json(path, multiLine=multi_line)

@@ -15,14 +15,24 @@ from transhume.operators.fields import CREATED_ALIASES, MODIFIED_ALIASES
 from transhume.operators.joins import with_body
 
 
-def read_pages(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All items of all pages below a path or glob; ``schema`` has the one array column."""
-    pages = spark.read.schema(schema).json(path)
+def read_pages(
+    spark: SparkSession, path: str, schema: str, multi_line: bool = False
+) -> DataFrame:
+    """All items of all pages below a path or glob; ``schema`` has the one array column.
+
+    JSON lines are split over tasks.  ``multi_line`` reads pretty-printed files, each as a whole
+    by one task, so such pages should be many and not large.
+    """
+    pages = spark.read.schema(schema).json(path, multiLine=multi_line)
     return pages.select(F.explode(pages.columns[0]).alias("item")).select("item.*")
 
 
 def read_assets(
-    spark: SparkSession, path: str, bodies: str | None = None, ms_threshold: float = 1e9
+    spark: SparkSession,
+    path: str,
+    bodies: str | None = None,
+    ms_threshold: float = 1e9,
+    multi_line: bool = False,
 ) -> DataFrame:
     """The listed code assets; with ``bodies`` joined to their decoded sources."""
 
@@ -30,7 +40,8 @@ def read_assets(
         raw = scalars.first_set([F.col(name) for name in aliases], "", "0")
         return scalars.norm_timestamp(raw, ms_threshold)
 
-    listed = read_pages(spark, path, schemas.LISTING).where(F.col("object_type") == "NOTEBOOK")
+    listed = read_pages(spark, path, schemas.LISTING, multi_line)
+    listed = listed.where(F.col("object_type") == "NOTEBOOK")
     assets = listed.select(
         "path",
         F.coalesce("language", F.lit("PYTHON")).alias("language"),
@@ -81,9 +92,9 @@ def scope_assets(df: DataFrame, prefix: str = "/", recursive: bool = True) -> Da
     return df.where(text.parent_path(F.col("path")) == folder)
 
 
-def read_tables(spark: SparkSession, path: str) -> DataFrame:
+def read_tables(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """The listed tables with defaults filled in and column metadata normalised."""
-    listed = read_pages(spark, path, schemas.TABLES)
+    listed = read_pages(spark, path, schemas.TABLES, multi_line)
     fmt = scalars.first_set(
         [F.col("data_source_format"), F.col("format"), F.col("storage_format")], ""
     )
@@ -103,9 +114,9 @@ def read_tables(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_jobs(spark: SparkSession, path: str) -> DataFrame:
+def read_jobs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Jobs with name and schedule; the raw settings stay for the job report."""
-    listed = read_pages(spark, path, schemas.JOBS)
+    listed = read_pages(spark, path, schemas.JOBS, multi_line)
     return listed.select(
         "job_id",
         jobs.job_name(F.col("settings"), F.col("name"), F.col("job_id")).alias("name"),
@@ -118,8 +129,8 @@ def read_jobs(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def read_clusters(spark: SparkSession, path: str) -> DataFrame:
-    return read_pages(spark, path, schemas.CLUSTERS)
+def read_clusters(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    return read_pages(spark, path, schemas.CLUSTERS, multi_line)
 
 
 def read_owner_status(spark: SparkSession, path: str) -> DataFrame:

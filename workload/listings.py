@@ -46,10 +46,11 @@ def asset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def body_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base64 bodies; every 13th is cut wrongly, every 17th is no UTF-8, every 19th empty."""
     rows = views.assets(spark, sf_dir)
-    whole = F.base64(F.encode("content", "UTF-8"))
+    encoded = F.encode("content", "UTF-8")
+    whole = F.base64(encoded)
     body = (
         F.when(F.col("ord") % 13 == 0, F.concat(whole, F.lit("A")))
-        .when(F.col("ord") % 17 == 0, F.base64(F.concat(F.unhex(F.lit("FF")), F.encode("content", "UTF-8"))))
+        .when(F.col("ord") % 17 == 0, F.base64(F.concat(F.unhex(F.lit("FF")), encoded)))
         .when(F.col("ord") % 19 == 0, F.lit(""))
         .otherwise(whole)
     )
@@ -86,8 +87,9 @@ COLUMN_TEXT = """list_aggregate(list_transform(range(1, {n} + 1), lambda i: 'c'
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page per table, as JSON text, since the column entries differ in shape."""
     rows = views.tables(spark, sf_dir)
+    numbers = "sequence(1, cast(ord % 12 as int) + 1)"
     entries = F.expr(
-        f"concat('[', array_join(transform(sequence(1, cast(ord % 12 as int) + 1), i -> {column_json()}), ','), ']')"
+        f"concat('[', array_join(transform({numbers}, i -> {column_json()}), ','), ']')"
     )
     info = F.to_json(
         F.struct(

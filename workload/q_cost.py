@@ -160,7 +160,8 @@ def cost_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
       SELECT ord AS seq, 'Cluster ' || cluster_id
         || ' has high usage; consider profiling and right-sizing.' AS tip
       FROM (SELECT * FROM costs ORDER BY ord LIMIT 5) WHERE dbu_hours > 1000
-      UNION ALL SELECT 1000000000, '{values.TIPS[0]}' UNION ALL SELECT 1000000001, '{values.TIPS[1]}')""",
+      UNION ALL SELECT 1000000000, '{values.TIPS[0]}'
+      UNION ALL SELECT 1000000001, '{values.TIPS[1]}')""",
 )
 def cost_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import Window

@@ -16,7 +16,8 @@ from workload.views import ASSETS, COLUMNS_TEXT, JOBS, TABLES, TIMES, iso_sql, w
 
 @query(
     "fn_alias",
-    with_(ASSETS, TIMES) + "SELECT ord, created_raw AS created, modified_raw AS modified FROM times",
+    with_(ASSETS, TIMES)
+    + "SELECT ord, created_raw AS created, modified_raw AS modified FROM times",
 )
 def fn_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = views.assets(spark, sf_dir)
@@ -145,8 +146,9 @@ def fn_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 def variant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables with raw column entries as ARRAY<VARIANT>, up to 59 each."""
     rows = views.tables(spark, sf_dir).select("name", "ord")
-    entries = f"transform(sequence(1, cast(ord % 59 as int) + 1), i -> parse_json({export.column_json()}))"
-    return rows.withColumn("columns", F.expr(entries))
+    numbers = "sequence(1, cast(ord % 59 as int) + 1)"
+    entry = f"parse_json({export.column_json()})"
+    return rows.withColumn("columns", F.expr(f"transform({numbers}, i -> {entry})"))
 
 
 @query(
@@ -184,11 +186,15 @@ TYPE_JSON = """CASE ord % 8
       ELSE 'string' END AS type FROM tables_v""",
 )
 def fn_render_type(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.tables(spark, sf_dir).select("ord", F.expr(f"parse_json({TYPE_JSON})").alias("type"))
+    parsed = F.expr(f"parse_json({TYPE_JSON})")
+    rows = views.tables(spark, sf_dir).select("ord", parsed.alias("type"))
     return fields.render_type(rows, "type")
 
 
-@query("fn_col_count", with_(TABLES) + "SELECT name, coalesce(n_cols, 0) AS n_columns FROM tables_v")
+@query(
+    "fn_col_count",
+    with_(TABLES) + "SELECT name, coalesce(n_cols, 0) AS n_columns FROM tables_v",
+)
 def fn_col_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fields.column_count(views.tables(spark, sf_dir)).select("name", "n_columns")
 
@@ -214,7 +220,8 @@ def fn_col_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("name", views.columns_text("shown").alias("shown_text"), "n_more")
 
 
-FQ = "CASE WHEN ord % 5 <> 0 THEN catalog END AS catalog, schema, CASE WHEN ord % 8 <> 0 THEN name END AS name"
+FQ = """CASE WHEN ord % 5 <> 0 THEN catalog END AS catalog, schema,
+  CASE WHEN ord % 8 <> 0 THEN name END AS name"""
 
 
 @query(

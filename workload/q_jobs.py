@@ -19,7 +19,6 @@ from workload.listings import BAD_BODY, UNREADABLE
 from workload.q_fields import TRIGGER
 from workload.q_reports import LAST, analyses, overview
 from workload.q_scan import ANALYSIS, BUCKET, CONVERTED, LABEL, PCT, converted
-from workload.q_sources import LISTED_LANGUAGE, LISTED_OWNER
 from workload.registry import query
 from workload.views import ASSETS, JOBS, SCAN, TABLES, confidence_sql, with_
 
@@ -142,7 +141,8 @@ OVERVIEW_SCHEMA = """path STRING, name STRING, owner STRING, complexity STRING,
 @query(
     "sink_csv",
     OVERVIEW.replace("coalesce(owner, '') AS owner", "nullif(owner, '') AS owner")
-    .replace("risk, issues, suggestions", "risk, nullif(issues, '') AS issues, nullif(suggestions, '') AS suggestions"),
+    .replace("risk, issues,", "risk, nullif(issues, '') AS issues,")
+    .replace(" suggestions,", " nullif(suggestions, '') AS suggestions,", 1),
 )
 def sink_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "csv")

@@ -18,7 +18,6 @@ from workload.views import (
     COLUMNS_TEXT,
     COSTS,
     JOBS,
-    SCAN,
     TABLES,
     with_,
 )
@@ -26,7 +25,8 @@ from workload.views import (
 
 @query(
     "flt_facets",
-    ANALYSIS + "SELECT path, language, risk FROM analysis WHERE language = 'PYTHON' AND risk = 'red'",
+    ANALYSIS
+    + "SELECT path, language, risk FROM analysis WHERE language = 'PYTHON' AND risk = 'red'",
 )
 def flt_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = analysis(spark, sf_dir).select("path", "language", "risk", "complexity")
@@ -174,7 +174,9 @@ def join_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "join_missing",
-    with_(TABLES) + f"SELECT DISTINCT fq_name FROM (SELECT ord, {FQ_TEXT} FROM tables_v) WHERE ord % 4 <> 0",
+    with_(TABLES)
+    + f"""SELECT DISTINCT fq_name FROM (SELECT ord, {FQ_TEXT} FROM tables_v)
+    WHERE ord % 4 <> 0""",
 )
 def join_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.missing_tables(selected(spark, sf_dir), twice(spark, sf_dir))
@@ -283,7 +285,8 @@ def join_complement(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "agg_risk",
     ANALYSIS
-    + """SELECT risk, sum(n)::BIGINT AS n FROM (SELECT risk, count(*) AS n FROM analysis GROUP BY risk
+    + """SELECT risk, sum(n)::BIGINT AS n FROM (
+      SELECT risk, count(*) AS n FROM analysis GROUP BY risk
       UNION ALL SELECT unnest(['green', 'yellow', 'red']), 0) GROUP BY risk""",
 )
 def agg_risk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from transhume.session import scratch_dir
 from transhume.sources import files, listings
 from workload import listings as export
 from workload import views
-from workload.listings import BAD_BODY, COLUMN_TEXT, UNREADABLE
+from workload.listings import BAD_BODY, COLUMN_TEXT
 from workload.registry import query
 from workload.views import ASSETS, CLUSTERS, JOBS, TABLES, TIMES, iso_sql, with_
 

@@ -26,7 +26,8 @@ def case(selector: str, **cases: str) -> Column:
 
 def assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    pad = F.expr("repeat('\\n', CASE WHEN doc_id % 50 = 0 THEN 60 WHEN doc_id % 10 = 1 THEN 12 ELSE 1 END)")
+    blank = "CASE WHEN doc_id % 50 = 0 THEN 60 WHEN doc_id % 10 = 1 THEN 12 ELSE 1 END"
+    pad = F.expr(f"repeat('\\n', {blank})")
     markers = [
         (7, 'files = dbutils.fs.ls("dbfs:/raw")\n'),
         (5, "display(df)\n"),
