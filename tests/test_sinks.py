@@ -185,6 +185,17 @@ def test_validation(spark):
     assert not missed["content_ok"]
 
 
+def test_validation_of_nested_values(spark, tmp_path):
+    source = spark.range(50).selectExpr(
+        "id", "map('a', id) AS m", "array(struct(id AS x, map(id, 'y') AS z)) AS `n.s`"
+    )
+    source.write.parquet(f"{tmp_path}/copy")
+    copy = spark.read.parquet(f"{tmp_path}/copy")
+    assert tuple(migration.validate_export(source, copy).first()) == (50, 50, True, True, True)
+    other = copy.withColumn("m", F.expr("map('a', id + 1)"))
+    assert not migration.validate_export(source, other).first()["content_ok"]
+
+
 def test_errors_stay_in_their_row(spark):
     df = spark.createDataFrame(
         [("a", "PYTHON", "ZGlzcGxheSh4KQ=="), ("b", "SQL", "A"), ("c", "SQL", None)],

@@ -47,8 +47,10 @@ def resolve_tables(names: DataFrame, tables: DataFrame, order: str = "ord") -> D
 
 
 def missing_tables(names: DataFrame, tables: DataFrame) -> DataFrame:
+    """The selected names no table has; repeated tables are combined before the join."""
     wanted = fields.parse_fq(names.select("fq_name").distinct(), "fq_name")
-    return wanted.join(tables.select(*TABLE_KEY), list(TABLE_KEY), "left_anti").select("fq_name")
+    listed = tables.select(*TABLE_KEY).distinct()
+    return wanted.join(listed, list(TABLE_KEY), "left_anti").select("fq_name")
 
 
 def with_columns_detail(tables: DataFrame, details: DataFrame) -> DataFrame:

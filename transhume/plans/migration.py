@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from transhume.operators.fields import fq_name
@@ -55,12 +55,19 @@ def migrate_tables(
     return spark.createDataFrame(status, STATUS)
 
 
+def hashable(df: DataFrame, name: str) -> Column:
+    """The column, as JSON text where it holds maps or variants, which have no hash."""
+    kind = df.schema[name].dataType.simpleString()
+    column = F.col(f"`{name}`")
+    return F.to_json(F.struct(column)) if "map<" in kind or "variant" in kind else column
+
+
 def fingerprint(df: DataFrame, cols: list[str]) -> DataFrame:
     """Row count and two order-free sums over row hashes, as one row.
 
     The sum tells repeated rows apart, the xor needs no wide numbers; both combine map-side.
     """
-    row_hash = F.xxhash64(*[F.col(name) for name in sorted(cols)])
+    row_hash = F.xxhash64(*[hashable(df, name) for name in sorted(cols)])
     return df.select(row_hash.alias("h")).agg(
         F.count(F.lit(1)).alias("n"),
         F.coalesce(F.sum(F.col("h").cast("decimal(20,0)")), F.lit(0)).alias("hash_sum"),
@@ -88,7 +95,7 @@ def validate_export(
     def share(df: DataFrame) -> DataFrame:
         if pct is None or pct >= 100:
             return df
-        bucket = F.pmod(F.xxhash64(*[F.col(name) for name in keys or cols]), F.lit(10000))
+        bucket = F.pmod(F.xxhash64(*[hashable(df, name) for name in keys or cols]), F.lit(10000))
         return df.where(bucket < int(pct * 100))
 
     def one(df: DataFrame) -> DataFrame:

@@ -32,6 +32,12 @@ def overview(analyses: DataFrame) -> DataFrame:
     )
 
 
+def shown_name(rows: DataFrame) -> DataFrame:
+    path = scalars.unless(F.col("path"), "")
+    named = fields.base_name(rows)
+    return named.withColumn("name", F.when(path.isNull(), "Unknown").otherwise(F.col("name")))
+
+
 def report_fields(assets: DataFrame) -> DataFrame:
     """What the report takes from an asset itself.  Here the content ends: no join carries it."""
     shown = scalars.first_set(fields.existing(assets, *SHOWN_TIME), "")
@@ -43,7 +49,7 @@ def report_fields(assets: DataFrame) -> DataFrame:
         }
     )
     rows = fields.newline_count(fields.owner_from_path(rows), "content")
-    rows = fields.display_ts(fields.base_name(rows), "_shown")
+    rows = fields.display_ts(shown_name(rows), "_shown")
     return rows.select("path", "name", "language", "owner", "last_modified", "size_kb", "lines")
 
 
@@ -80,7 +86,7 @@ def asset_report_inline(assets: DataFrame) -> DataFrame:
     shown = scalars.first_set(fields.existing(scanned, *SHOWN_TIME), "")
     rows = scanned.withColumns({"_shown": shown, "size_kb": scalars.kilobytes(F.col("size"))})
     rows = fields.newline_count(fields.owner_from_path(rows), "content")
-    rows = scan.confidence(fields.display_ts(fields.base_name(rows), "_shown"))
+    rows = scan.confidence(fields.display_ts(shown_name(rows), "_shown"))
     return rows.select(
         "path",
         "name",

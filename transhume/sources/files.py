@@ -31,19 +31,26 @@ def read_table(
     return spark.read.format(fmt).load(location)
 
 
+def list_level(spark: SparkSession, folders: DataFrame) -> DataFrame:
+    """What is directly in the given (path, relative) folders, listed in tasks."""
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return folders.repartition(width, "path").mapInPandas(list_folders, LISTED)
+
+
+def top_folder(spark: SparkSession, location: str) -> DataFrame:
+    return spark.createDataFrame([(location, "")], "path STRING, relative STRING")
+
+
 def file_manifest(spark: SparkSession, location: str) -> DataFrame:
     """Path, place below the location, length and time of every file, hidden and empty ones too.
 
-    Folders are listed in tasks, one level of all of them at a time, and each level is written to
-    the shared scratch folder: a deep tree is spread over the cluster and none of it is held by
-    the driver.
+    All folders of a level are listed at a time, and each level is written to the shared scratch
+    folder: a deep tree is spread over the cluster and none of it is held by the driver.
     """
     root = scratch_dir(spark, "manifest")
-    folders = spark.createDataFrame([(location, "")], "path STRING, relative STRING")
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folders = top_folder(spark, location)
     for level in count():
-        listed = folders.repartition(width, "path").mapInPandas(list_folders, LISTED)
-        listed.write.parquet(f"{root}/level={level}")
+        list_level(spark, folders).write.parquet(f"{root}/level={level}")
         found = spark.read.schema(LISTED).parquet(f"{root}/level={level}")
         folders = found.where("is_folder").select("path", "relative")
         if folders.isEmpty():
@@ -55,9 +62,8 @@ def file_manifest(spark: SparkSession, location: str) -> DataFrame:
 def latest_path(spark: SparkSession, folder: str, glob: str) -> str | None:
     """The saved result whose name sorts last, a file or a folder; found without reading any."""
     name = glob.replace(".", r"\.").replace("*", "[^/]*")
-    top = F.substring_index("relative", "/", 1)
-    found = file_manifest(spark, folder).where(top.rlike(f"^{name}$"))
-    newest = found.agg(F.max(top)).first()[0]
+    found = list_level(spark, top_folder(spark, folder))
+    newest = found.where(F.col("relative").rlike(f"^{name}$")).agg(F.max("relative")).first()[0]
     return newest and f"{folder.rstrip('/')}/{newest}"
 
 

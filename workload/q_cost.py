@@ -156,19 +156,14 @@ def cost_roi(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "cost_tips",
     CLUSTER_COSTS
-    + f"""SELECT row_number() OVER (ORDER BY seq) AS seq, tip FROM (
-      SELECT ord AS seq, 'Cluster ' || cluster_id
+    + f"""SELECT ord AS seq, 'Cluster ' || cluster_id
         || ' has high usage; consider profiling and right-sizing.' AS tip
       FROM (SELECT * FROM costs ORDER BY ord LIMIT 5) WHERE dbu_hours > 1000
-      UNION ALL SELECT 1000000000, '{values.TIPS[0]}'
-      UNION ALL SELECT 1000000001, '{values.TIPS[1]}')""",
+      UNION ALL SELECT {2**62}, '{values.TIPS[0]}'
+      UNION ALL SELECT {2**62 + 1}, '{values.TIPS[1]}'""",
 )
 def cost_tips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    # At most seven rows are left, so numbering them in one task is bounded.
-    number = F.row_number().over(Window.orderBy("seq")).cast("long")
-    return cost.tips(costs(spark, sf_dir)).select(number.alias("seq"), "tip")
+    return cost.tips(costs(spark, sf_dir))
 
 
 @query(
