@@ -229,3 +229,45 @@ def test_metastore_listing(spark):
         spark.sql("DROP DATABASE listed CASCADE")
     with pytest.raises(ValueError):
         files.read_table(spark, "listed.numbers")
+
+
+def test_full_analysis_of_an_export(spark, tmp_path):
+    """The whole path on hand-written listings: bad sources dropped, formats kept, times filled."""
+
+    def page(name, rows, key):
+        (tmp_path / "in" / name).mkdir(parents=True)
+        (tmp_path / "in" / name / "p.json").write_text(json.dumps({key: rows}) + "\n")
+
+    page(
+        "assets",
+        [
+            {"object_type": "NOTEBOOK", "path": "/a", "created_time": 1704067200000, "owner": ""},
+            {"object_type": "NOTEBOOK", "path": "/b", "object_meta": {"owner": "eve"}},
+            {"object_type": "DIRECTORY", "path": "/c"},
+        ],
+        "objects",
+    )
+    (tmp_path / "in/bodies").mkdir()
+    bodies = [{"path": "/a", "content": "ZGlzcGxheSh4KQ=="}, {"path": "/b", "content": "?"}]
+    (tmp_path / "in/bodies/p.json").write_text("\n".join(map(json.dumps, bodies)))
+    page("tables", [{"name": "csv", "format": "CSV"}, {"name": "x"}], "tables")
+    page("jobs", [{"job_id": 3, "settings": {"schedule": {"cron": "0 1"}}}], "jobs")
+    page("clusters", [{"cluster_id": "c", "autoscale": {"min_workers": 2}}], "clusters")
+    parts = analysis.run_full(spark, f"{tmp_path}/in", f"{tmp_path}/out", "now")
+    asset = parts["assets"].first()
+    assert (asset["path"], asset["language"], asset["size"]) == ("/a", "PYTHON", 10)
+    assert asset["modified_at"] == "2024-01-01T00:00:00Z" and asset["generated_at"] == "now"
+    found = parts["analyses"].first()
+    assert found["detected_patterns"] == ["display"] and found["size"] == 10
+    table = parts["tables"].first()
+    assert (table["name"], table["table_type"], table["columns"]) == ("x", "MANAGED", [])
+    assert parts["tables"].count() == 1
+    job = parts["jobs"].first()
+    assert (job["name"], job["schedule"]) == ("job_3", "0 1")
+    assert parts["clusters"].first()["autoscale"]["min_workers"] == 2
+    assert analysis.run_quick(spark, f"{tmp_path}/in").first()["n"] == 1
+    other = spark.createDataFrame([], parts["tables"].drop("generated_at").schema)
+    again = analysis.run_full(
+        spark, f"{tmp_path}/in", f"{tmp_path}/o2", "now", "ORC", other_tables=other
+    )
+    assert [r["name"] for r in again["tables"].collect()] == ["x"]

@@ -5,25 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transhume.operators import aggregates, rewrite, scan
+from transhume.operators import aggregates, filters, rewrite, scan
 from transhume.sinks.reports import write_inventory
 from transhume.sources import listings
 
 
 def run_full(
-    spark: SparkSession, export_dir: str, out_dir: str, as_of: str
+    spark: SparkSession,
+    export_dir: str,
+    out_dir: str,
+    as_of: str,
+    table_format: str = "DELTA",
+    other_tables: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Read the four listings, analyse the assets and write the snapshot.
 
+    Tables of another known format than ``table_format`` are left out; when none is listed at all,
+    ``other_tables`` (of an older metastore, say) take their place.
+
     The assets are decoded and joined once, into the snapshot, and analysed from there.  The parts
     returned are read from the snapshot too, so reports on them repeat none of the work.
     """
     assets = listings.read_assets(spark, f"{export_dir}/assets", f"{export_dir}/bodies")
+    tables = filters.format_filter(
+        listings.read_tables(spark, f"{export_dir}/tables"), table_format
+    )
+    if other_tables is not None:
+        tables = listings.with_fallback(tables, other_tables)
     write_inventory({"assets": assets}, out_dir, as_of)
     stored = spark.read.schema(assets.schema).json(f"{out_dir}/assets")
     parts = {
         "analyses": scan.analyze_assets(stored, keep=["size", "owner"]),
-        "tables": listings.read_tables(spark, f"{export_dir}/tables"),
+        "tables": tables,
         "jobs": listings.read_jobs(spark, f"{export_dir}/jobs"),
         "clusters": listings.read_clusters(spark, f"{export_dir}/clusters"),
     }

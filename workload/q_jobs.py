@@ -242,10 +242,11 @@ def job_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "job_analyze",
-    with_(ASSETS, SCAN)
+    with_(ASSETS, SCAN, TABLES)
     + f"""SELECT 'assets' AS part, '' AS risk, count(*) AS n FROM analysis WHERE NOT {BAD_BODY}
     UNION ALL SELECT 'analyses', risk, count(*) FROM analysis WHERE NOT {BAD_BODY} GROUP BY risk
-    UNION ALL SELECT 'tables', '', count(*) FROM part
+    UNION ALL SELECT 'tables', '', count(*) FROM tables_v
+      WHERE data_source_format = '' OR upper(data_source_format) = 'DELTA'
     UNION ALL SELECT 'jobs', '', count(*) FROM orders
     UNION ALL SELECT 'clusters', '', count(DISTINCT user_id) FROM events""",
 )
