@@ -104,14 +104,3 @@ def table_key(catalog: Column, schema: Column, name: Column) -> Column:
 
 def asset_key(path: Column) -> Column:
     return F.concat(F.lit(ASSETS_PREFIX + "/"), F.regexp_replace(path, "^/+", ""))
-
-
-def json_truthy(value: Column) -> Column:
-    """Whether JSON text taken out by path holds anything: not null, empty, zero or false."""
-    return F.coalesce(~value.isin("", "{}", "[]", "0", "0.0", "false"), F.lit(False))
-
-
-def json_text(document: Column, path: str) -> Column:
-    """A JSON member as text, null when it is missing or empty."""
-    value = F.get_json_object(document, path)
-    return F.when(json_truthy(value), value)

@@ -15,8 +15,9 @@ from transhume.operators.scan import is_auto
 def risk_counts(df: DataFrame, classes: Sequence[str] = values.RISKS) -> DataFrame:
     """Assets per risk; the known classes are there even at zero, unset counts as green."""
     risk = F.coalesce("risk", F.lit("green")).alias("risk")
-    counted = df.groupBy(risk).agg(F.count(F.lit(1)).alias("n"))
-    zeros = df.sparkSession.createDataFrame([(name, 0) for name in classes], "risk STRING, n LONG")
+    counted = df.select(risk, F.lit(1).alias("n"))
+    known = F.explode(F.array(*[F.lit(name) for name in classes])).alias("risk")
+    zeros = df.sparkSession.range(1).select(known, F.lit(0).alias("n"))
     return counted.unionByName(zeros).groupBy("risk").agg(F.sum("n").alias("n"))
 
 

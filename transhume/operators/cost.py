@@ -189,5 +189,10 @@ def tips(costs: DataFrame, fixed: Sequence[str] = values.TIPS, n: int = 5) -> Da
     )
     found = high_usage(costs, n=n).select(F.col("ord").cast("long").alias("seq"), text.alias("tip"))
     last = 2**62
-    rows = [(last + i, tip) for i, tip in enumerate(fixed)]
-    return found.unionByName(costs.sparkSession.createDataFrame(rows, "seq LONG, tip STRING"))
+    rows = [
+        F.struct(F.lit(last + i).alias("seq"), F.lit(tip).alias("tip"))
+        for i, tip in enumerate(fixed)
+    ]
+    if not rows:
+        return found
+    return found.unionByName(costs.sparkSession.range(1).select(F.inline(F.array(*rows))))

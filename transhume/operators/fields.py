@@ -147,24 +147,38 @@ def join_lists(df: DataFrame, cols: Sequence[str], sep: str = ", ") -> DataFrame
     return df.withColumns(joined)
 
 
+def with_settings(df: DataFrame) -> DataFrame:
+    """Add the parsed job settings, which the three job operators below share."""
+    return df.withColumn("_settings", jobs.settings_map(F.col("settings")))
+
+
+def from_settings(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    if "_settings" in df.columns:
+        return df.withColumns(columns)
+    return with_settings(df).withColumns(columns).drop("_settings")
+
+
 def job_type(df: DataFrame, out: str = "type") -> DataFrame:
-    return df.withColumn(out, jobs.job_type(F.col("settings")))
+    return from_settings(df, {out: jobs.job_type(F.col("_settings"))})
 
 
 def job_trigger(df: DataFrame, out: str = "trigger") -> DataFrame:
-    return df.withColumn(out, jobs.job_trigger(F.col("settings"), F.col("is_paused")))
+    trigger = jobs.job_trigger(F.col("_settings"), F.col("settings"), F.col("is_paused"))
+    return from_settings(df, {out: trigger})
 
 
 def job_run_as(df: DataFrame) -> DataFrame:
     """Job id, name and the user it runs as, each over its aliases."""
-    settings = F.col("settings")
+    settings = F.col("_settings")
+    run_as = jobs.job_run_as(settings, F.col("creator_user_name"), F.col("created_by"))
     job_id = F.coalesce(*[F.nullif(col, F.lit(0)) for col in existing(df, "job_id", "id")])
-    return df.withColumns(
+    return from_settings(
+        df,
         {
             "name": jobs.job_name(settings, F.col("name"), F.col("job_id")),
-            "run_as": jobs.job_run_as(settings, F.col("creator_user_name"), F.col("created_by")),
+            "run_as": run_as,
             "job_id": job_id,
-        }
+        },
     )
 
 

@@ -117,5 +117,6 @@ def table_report(tables: DataFrame) -> DataFrame:
 
 
 def job_report(raw_jobs: DataFrame) -> DataFrame:
-    rows = fields.job_trigger(fields.job_type(fields.job_run_as(raw_jobs)))
+    rows = fields.job_run_as(fields.with_settings(raw_jobs))
+    rows = fields.job_trigger(fields.job_type(rows))
     return rows.select("job_id", "name", "type", "run_as", "trigger")

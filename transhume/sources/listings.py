@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from transhume import schemas
 from transhume.functions import jobs, scalars, text, types
-from transhume.operators.fields import CREATED_ALIASES, MODIFIED_ALIASES
+from transhume.operators.fields import CREATED_ALIASES, MODIFIED_ALIASES, with_settings
 from transhume.operators.joins import with_body
 
 
@@ -116,11 +116,11 @@ def read_tables(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
 
 def read_jobs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """Jobs with name and schedule; the raw settings stay for the job report."""
-    listed = read_pages(spark, path, schemas.JOBS, multi_line)
+    listed = with_settings(read_pages(spark, path, schemas.JOBS, multi_line))
     return listed.select(
         "job_id",
-        jobs.job_name(F.col("settings"), F.col("name"), F.col("job_id")).alias("name"),
-        jobs.job_schedule(F.col("settings")).alias("schedule"),
+        jobs.job_name(F.col("_settings"), F.col("name"), F.col("job_id")).alias("name"),
+        jobs.job_schedule(F.col("_settings")).alias("schedule"),
         "id",
         "settings",
         "is_paused",
