@@ -42,24 +42,28 @@ def test_diff_gives_both_sides_back(spark):
 
 
 def test_aligned_flag(spark):
-    df = converted(spark, ["a\ndisplay(x)", "a\ndisplay\n(x)\nb\nc"])
+    df = converted(spark, ["a\ndisplay(x)", "a\ndisplay\n(x)\nb\nc", "display\n(xdisplay\n(b\nc"])
     flags = {r["path"]: r["aligned"] for r in rewrite.line_diff(df).collect()}
-    assert flags == {"p0": True, "p1": False}
-    ops = ops_by_path(rewrite.line_diff(df))["p1"]
-    assert ops == [
+    # In the last source the text of a match occurs where it is no match, so lines do not line up.
+    assert flags == {"p0": True, "p1": True, "p2": False}
+    ops = ops_by_path(rewrite.line_diff(df))
+    assert ops["p1"] == [
         (" ", "a"), ("-", "display"), ("-", "(x)"), ("+", "print(x)"), (" ", "b"), (" ", "c"),
     ]
+    assert ops["p2"][-1] == (" ", "c")
 
 
 def test_same_operations_as_a_sequence_match(spark):
-    """With distinct lines and equal line counts it is the diff a sequence matcher gives."""
+    """With distinct lines it is the diff a sequence matcher gives, also over joined lines."""
     items = []
-    for i in range(60):
-        picked = RANDOM.sample(["display(a)", "dbfs:/q", "k = 1", "m = 2", "display\n(z)"], 4)
+    for i in range(80):
+        pool = ["display(a)", "dbfs:/q", "k = 1", "m = 2", "display\n(z)", "dbutils.fs.ls\n\n("]
+        picked = RANDOM.sample(pool, 5)
         items.append("\n".join(f"{line} # {i}.{j}" for j, line in enumerate(picked)))
     df = converted(spark, items).cache()
     ops = ops_by_path(rewrite.line_diff(df))
-    for row in df.where("size(split(before, '\n')) = size(split(body, '\n'))").collect():
+    assert rewrite.line_diff(df).where("NOT aligned").isEmpty()
+    for row in df.collect():
         a, b = row["before"].splitlines(), row["after"].splitlines()
         wanted = []
         for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(a=a, b=b, autojunk=False).get_opcodes():
@@ -67,6 +71,7 @@ def test_same_operations_as_a_sequence_match(spark):
                 wanted += [(" ", line) for line in a[i1:i2]]
             else:
                 wanted += [("-", line) for line in a[i1:i2]] + [("+", line) for line in b[j1:j2]]
+        # Neighbouring runs of a changed and a joined line are one run to the matcher as well.
         assert ops[row["path"]] == wanted
 
 

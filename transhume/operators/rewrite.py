@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Mapping, Sequence
+from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from transhume.operators.fields import existing
 from transhume.values import Rewrite
 
 DIFF_OP = "struct<op: string, line: string>"
+LINE_MARK = "\ue000"  # a private-use character
 
 
 def rewrite(
@@ -86,12 +88,12 @@ def convert_assets(
     return rows.withColumn("after", F.concat("header", "body"))
 
 
-def aligned_pairs(before: Column, after: Column) -> Column:
-    """Pairs (l, r) of before and after lines; a null side marks a removed or added line.
+def zipped(left: Column, right: Column) -> Column:
+    return F.arrays_zip(left.alias("l"), right.alias("r"))
 
-    With equal line counts the lines pair up by position.  Otherwise the common lines at both ends
-    pair up and what lies between is removed and added as a whole.
-    """
+
+def end_pairs(before: Column, after: Column) -> Column:
+    """Pairs of the common lines at both ends; what lies between is removed and added whole."""
     n_before, n_after = F.size(before), F.size(after)
     shorter = F.least(n_before, n_after)
 
@@ -115,28 +117,58 @@ def aligned_pairs(before: Column, after: Column) -> Column:
         F.array_repeat(nothing, n_before - tail - head),
         F.slice(after, head + 1, n_after - head),
     )
-
-    def pairs(l: Column, r: Column) -> Column:
-        return F.arrays_zip(l.alias("l"), r.alias("r"))
-
-    return F.when(n_before == n_after, pairs(before, after)).otherwise(pairs(left, right))
+    return zipped(left, right)
+
+
+def joined_lines(source: Column, rule: Rewrite) -> Column:
+    """The source with the line ends inside matches of a rule turned into a mark."""
+    found = F.regexp_extract_all(source, F.lit(text.java_regex(rule.pattern)), F.lit(0))
+    spanning = F.filter(found, lambda match: match.rlike(text.LINE_END))
+    return F.aggregate(
+        spanning,
+        source,
+        lambda so_far, match: F.replace(
+            so_far, match, F.regexp_replace(match, text.LINE_END, LINE_MARK)
+        ),
+    )
 
 
 def diff_ops(
-    df: DataFrame, before: str = "before", body: str = "body", header: str | None = "header"
+    df: DataFrame,
+    before: str = "before",
+    body: str = "body",
+    header: str | None = "header",
+    rules: Sequence[Rewrite] = values.REWRITES,
 ) -> DataFrame:
-    """Add ``pairs`` of body lines, ``header_lines`` and the ``aligned`` flag."""
+    """Add ``pairs`` (l, r) of body lines, ``header_lines`` and the ``aligned`` flag.
+
+    A null side marks a removed or added line.  With equal line counts the lines pair up by
+    position.  Where rules took line ends away, each match over several lines is paired as one;
+    where even that does not line up, only the common lines at both ends pair up.
+    """
     head = text.lines(F.col(header)) if header else F.array().cast("array<string>")
     split = df.withColumns({"_before": text.lines(F.col(before)), "header_lines": head})
     # Most sources are not changed by any rule, and those are split once.
     unchanged = F.when(F.col(body) == F.col(before), F.col("_before"))
     split = split.withColumn("_after", unchanged.otherwise(text.lines(F.col(body))))
-    return split.withColumns(
-        {
-            "aligned": F.size("_before") == F.size("_after"),
-            "pairs": aligned_pairs(F.col("_before"), F.col("_after")),
-        }
-    ).drop("_before", "_after")
+    split = split.withColumn("aligned", F.size("_before") == F.size("_after"))
+    # The marked source is null, and costs nothing, wherever lines pair up by position.
+    marked = ~F.col("aligned") & ~F.contains(F.col(before), F.lit(LINE_MARK))
+    split = split.withColumn("_marked", F.when(marked, F.col(before)))
+    for rule in rules:
+        split = split.withColumn("_marked", joined_lines(F.col("_marked"), rule))
+    split = split.withColumn("_marked", text.lines(F.col("_marked")))
+    joins = F.coalesce(F.size("_marked") == F.size("_after"), F.lit(False))
+    by_match = F.flatten(
+        F.zip_with("_marked", "_after", lambda l, r: zipped(F.split(l, LINE_MARK), F.array(r)))
+    )
+    pairs = (
+        F.when(F.col("aligned"), zipped(F.col("_before"), F.col("_after")))
+        .when(joins, by_match)
+        .otherwise(end_pairs(F.col("_before"), F.col("_after")))
+    )
+    split = split.withColumns({"pairs": pairs, "aligned": F.col("aligned") | joins})
+    return split.drop("_before", "_after", "_marked")
 
 
 def op_list(pairs: Column, header_lines: Column) -> Column:
@@ -171,29 +203,29 @@ def op_list(pairs: Column, header_lines: Column) -> Column:
     return F.concat(ops("+", header_lines), F.flatten(F.zip_with(starts, ends, up_to)))
 
 
-def line_diff(df: DataFrame, key: str = "path", **cols: str) -> DataFrame:
+def line_diff(df: DataFrame, key: str = "path", **args: Any) -> DataFrame:
     """One row per diff operation: key, seq, op (' ', '-', '+'), line, aligned."""
     ops = op_list(F.col("pairs"), F.col("header_lines"))
-    rows = diff_ops(df, **cols).select(key, "aligned", F.posexplode(ops).alias("seq", "_op"))
+    rows = diff_ops(df, **args).select(key, "aligned", F.posexplode(ops).alias("seq", "_op"))
     return rows.select(key, "seq", "_op.op", "_op.line", "aligned")
 
 
-def diff_head(df: DataFrame, n: int = 200, key: str = "path", **cols: str) -> DataFrame:
+def diff_head(df: DataFrame, n: int = 200, key: str = "path", **args: Any) -> DataFrame:
     """The first ``n`` operations of each asset, cut inside the row."""
     # Every header line and every pair gives an operation, and a cut run loses only its last ones.
     ops = op_list(F.slice("pairs", 1, n), F.slice("header_lines", 1, n))
-    rows = diff_ops(df, **cols).select(key, F.posexplode(F.slice(ops, 1, n)).alias("seq", "_op"))
+    rows = diff_ops(df, **args).select(key, F.posexplode(F.slice(ops, 1, n)).alias("seq", "_op"))
     return rows.select(key, "seq", "_op.op", "_op.line")
 
 
-def diff_counts(df: DataFrame, key: str = "path", **cols: str) -> DataFrame:
+def diff_counts(df: DataFrame, key: str = "path", **args: Any) -> DataFrame:
     """Lines kept, removed and added per asset, whatever their order; header lines on their own.
 
     Lines that pair up equal are counted inside the row.  Only the changed lines are exploded and
     grouped; a line both removed and added counts as kept.
     """
     unequal = F.filter("pairs", lambda p: ~p["l"].eqNullSafe(p["r"]))
-    rows = diff_ops(df, **cols).select(
+    rows = diff_ops(df, **args).select(
         key,
         F.size("header_lines").alias("n_header"),
         F.size("pairs").alias("n_pairs"),
