@@ -39,9 +39,17 @@ def replacement_text(text: str) -> str:
     return text.replace("\\", "\\\\").replace("$", "\\$")
 
 
+def ends_line(text: Column) -> Column:
+    """Whether the last character ends a line; looks at the last bytes only."""
+    test = F.lit(False)
+    for char in LINE_END_CHARS:
+        test = test | text.endswith(char)
+    return test
+
+
 def line_count(text: Column) -> Column:
     """Number of lines; a line end at the very end opens no further line."""
-    closed = (text == "") | F.right(text, F.lit(1)).isin(*LINE_END_CHARS)
+    closed = (text == "") | ends_line(text)
     return F.regexp_count(text, F.lit(LINE_END)) + F.when(closed, 0).otherwise(1)
 
 
@@ -50,7 +58,7 @@ def lines(text: Column) -> Column:
     size = F.length(text)
     body = (
         F.when(text.endswith("\r\n"), F.left(text, size - 2))
-        .when(F.right(text, F.lit(1)).isin(*LINE_END_CHARS), F.left(text, size - 1))
+        .when(ends_line(text), F.left(text, size - 1))
         .otherwise(text)
     )
     return F.when(text == "", F.array().cast("array<string>")).otherwise(

@@ -31,10 +31,11 @@ def read_table(
     return spark.read.format(fmt).load(location)
 
 
-def list_level(spark: SparkSession, folders: DataFrame) -> DataFrame:
-    """What is directly in the given (path, relative) folders, listed in tasks."""
+def list_level(spark: SparkSession, folders: DataFrame, n_folders: int) -> DataFrame:
+    """What is directly in the given (path, relative) folders, listed in as many tasks as pay."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return folders.repartition(width, "path").mapInPandas(list_folders, LISTED)
+    spread = folders.repartition(min(width, n_folders), "path")
+    return spread.mapInPandas(list_folders, LISTED)
 
 
 def top_folder(spark: SparkSession, location: str) -> DataFrame:
@@ -48,12 +49,13 @@ def file_manifest(spark: SparkSession, location: str) -> DataFrame:
     folder: a deep tree is spread over the cluster and none of it is held by the driver.
     """
     root = scratch_dir(spark, "manifest")
-    folders = top_folder(spark, location)
+    folders, n_folders = top_folder(spark, location), 1
     for level in count():
-        list_level(spark, folders).write.parquet(f"{root}/level={level}")
+        list_level(spark, folders, n_folders).write.parquet(f"{root}/level={level}")
         found = spark.read.schema(LISTED).parquet(f"{root}/level={level}")
         folders = found.where("is_folder").select("path", "relative")
-        if folders.isEmpty():
+        n_folders = folders.count()
+        if n_folders == 0:
             break
     files = spark.read.schema(LISTED).parquet(f"{root}/level=*").where("NOT is_folder")
     return files.select("path", "relative", "length", "modified_at")
@@ -62,7 +64,7 @@ def file_manifest(spark: SparkSession, location: str) -> DataFrame:
 def latest_path(spark: SparkSession, folder: str, glob: str) -> str | None:
     """The saved result whose name sorts last, a file or a folder; found without reading any."""
     name = glob.replace(".", r"\.").replace("*", "[^/]*")
-    found = list_level(spark, top_folder(spark, folder))
+    found = list_level(spark, top_folder(spark, folder), 1)
     newest = found.where(F.col("relative").rlike(f"^{name}$")).agg(F.max("relative")).first()[0]
     return newest and f"{folder.rstrip('/')}/{newest}"
 
