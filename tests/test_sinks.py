@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from transhume.operators import rewrite
-from transhume.plans import analysis, migration
+from transhume.plans import analysis, conversion, migration
 from transhume.sinks import objects
 from transhume.sinks import reports as sinks
 from transhume.sources import files, listings
@@ -124,6 +124,24 @@ def test_conversion_report(spark, tmp_path):
     assert [d["op"] for d in row["diffs"][-3:]] == [" ", "-", "+"]
 
 
+def test_batch_conversion(spark, tmp_path):
+    df = spark.createDataFrame(
+        [("/a", "SQL", "display(x)"), ("a", "SQL", "display(x)"), ("/../b", "SQL", "y")],
+        "path STRING, language STRING, content STRING",
+    )
+    status = conversion.convert_batch(spark, df, f"{tmp_path}/out", report=f"{tmp_path}/report")
+    found = {r["converted_key"]: (r["uploaded"], r["error"]) for r in status.collect()}
+    assert found["migrated-notebooks/a"] == (True, None)
+    assert found["migrated-notebooks/../b"] == (False, "key leaves the root")
+    report = spark.read.json(f"{tmp_path}/report")
+    assert sorted((r["path"], r["uploaded"]) for r in report.collect()) == [
+        ("/../b", False),
+        ("/a", True),
+        ("a", True),
+    ]
+    assert open(tmp_path / "out/migrated-notebooks/a").read() == "print(x)"
+
+
 def test_latest_result(spark, tmp_path):
     for name, value in (("r_1.json", 1), ("r_3.json", 3), ("other_9.json", 9)):
         spark.range(value, value + 1).write.json(f"{tmp_path}/dir/{name}")
@@ -163,6 +181,7 @@ def test_migration_goes_on_after_a_failure(spark, tmp_path):
     rows = {r["fq_name"]: r for r in migration.migrate_tables(spark, tables, str(tmp_path)).collect()}
     assert not rows["c.s.bad"]["ok"] and rows["c.s.bad"]["error"]
     assert rows["c.s.good"]["n_rows"] == 7
+    assert all(row["sidecar_ok"] for row in rows.values())
     assert spark.read.parquet(f"{tmp_path}/migrated-tables/c/s/good").count() == 7
     assert os.path.exists(tmp_path / "migrated-tables/c/s/bad/schema.json")
 
@@ -201,7 +220,7 @@ def test_errors_stay_in_their_row(spark):
         [("a", "PYTHON", "ZGlzcGxheSh4KQ=="), ("b", "SQL", "A"), ("c", "SQL", None)],
         "path STRING, language STRING, content STRING",
     )
-    rows = {r["path"]: r for r in analysis.convert_with_errors(df).collect()}
+    rows = {r["path"]: r for r in conversion.convert_with_errors(df).collect()}
     assert rows["a"]["body"] == "print(x)" and rows["a"]["error"] is None
     assert rows["b"]["after"] is None and rows["b"]["error"]
     assert rows["c"]["converted_key"] is None and rows["c"]["error"]

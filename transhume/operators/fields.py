@@ -131,7 +131,7 @@ def parse_fq(df: DataFrame, col: str = "fq_name") -> DataFrame:
 
 
 def dest_key(df: DataFrame, root: str = "", out: str = "dest_key") -> DataFrame:
-    """Key of a table (by its three name parts) or else of an asset (by its path)."""
+    """Key of an asset (by its path) or else of a table (by its three name parts)."""
     if "path" in df.columns:
         key = scalars.asset_key(F.col("path"))
     else:

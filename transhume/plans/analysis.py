@@ -1,11 +1,11 @@
-"""Workspace analysis from exported listings, and conversion with per-item errors."""
+"""Workspace analysis from exported listings."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transhume.operators import aggregates, filters, rewrite, scan
+from transhume.operators import aggregates, filters, scan
 from transhume.sinks.reports import write_inventory
 from transhume.sources import listings
 
@@ -53,20 +53,3 @@ def run_quick(spark: SparkSession, export_dir: str) -> DataFrame:
     """Count of the listed assets with a source; nothing is scanned."""
     assets = listings.read_assets(spark, f"{export_dir}/assets", f"{export_dir}/bodies")
     return aggregates.summary_counts(assets=assets)
-
-
-def convert_with_errors(
-    df: DataFrame, bucket: str | None = None, body: str = "content"
-) -> DataFrame:
-    """Conversion of base64 bodies; an unreadable one gives a row with ``error`` set."""
-    unread = F.lit("source is not base64-encoded UTF-8 text")
-    source = df.withColumn("content", listings.decoded(F.col(body)))
-    source = source.withColumn("error", F.when(F.col("content").isNull(), unread))
-    converted = rewrite.convert_assets(source, bucket, keep=["error"])
-    failed = F.col("error").isNotNull()
-    return converted.withColumns(
-        {
-            name: F.when(~failed, F.col(name))
-            for name in ("converted_key", "before", "header", "body", "after")
-        }
-    )

@@ -7,7 +7,8 @@ from concurrent.futures import ThreadPoolExecutor
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from transhume.operators.fields import fq_name
+from transhume.operators.fields import dest_key, fq_name
+from transhume.session import scratch_dir
 from transhume.sinks.reports import export_table, write_sidecars
 
 # What an export needs to know of a table, as far as the listing has it.
@@ -22,37 +23,35 @@ EXPORT_COLUMNS = (
     "location",
     "source_format",
 )
-STATUS = "fq_name STRING, destination STRING, n_rows LONG, ok BOOLEAN, error STRING"
+STATUS = "fq_name STRING, dest_key STRING, n_rows LONG, ok BOOLEAN, error STRING"
 
 
 def migrate_tables(
-    spark: SparkSession,
-    tables: DataFrame,
-    root: str,
-    fmt: str = "parquet",
-    parallel: int = 4,
-    sidecars: bool = True,
+    spark: SparkSession, tables: DataFrame, root: str, fmt: str = "parquet", parallel: int = 4
 ) -> DataFrame:
     """Sidecar and export of every table; a failing table is reported and stops no other.
 
-    Each export is a Spark job of its own; a few run side by side so that small tables do not
-    leave the cluster idle.  Only the names and places of the tables pass through the driver.
+    Sidecars are written by one distributed job.  Each export is a Spark job of its own; a few run
+    side by side so that small tables do not leave the cluster idle.  Only the names and places of
+    the tables pass through the driver.  A table listed twice is moved once.
     """
-    if sidecars:
-        write_sidecars(tables, root).select(F.count_if(~F.col("ok"))).collect()
+    log = scratch_dir(spark, "sidecar-status")
+    write_sidecars(tables, root).write.parquet(log)
 
     def move(row: Row) -> tuple:
         try:
-            place, n_rows = export_table(spark, row.asDict(), root, fmt)
-            return row["fq_name"], place, n_rows, True, None
+            _, n_rows = export_table(spark, row.asDict(), root, fmt)
+            return row["fq_name"], row["dest_key"], n_rows, True, None
         except Exception as error:
-            return row["fq_name"], None, None, False, str(error).split("\n", 1)[0]
+            return row["fq_name"], row["dest_key"], None, False, str(error).split("\n", 1)[0]
 
     wanted = [name for name in EXPORT_COLUMNS if name in tables.columns]
-    listed = fq_name(tables).select("fq_name", *wanted)
+    listed = dest_key(fq_name(tables)).select("fq_name", "dest_key", *wanted)
     with ThreadPoolExecutor(parallel) as pool:
-        status = list(pool.map(move, listed.toLocalIterator()))
-    return spark.createDataFrame(status, STATUS)
+        moved = list(pool.map(move, listed.dropDuplicates(["dest_key"]).toLocalIterator()))
+    key = F.regexp_replace("key", "/schema.json$", "").alias("dest_key")
+    sidecars = spark.read.parquet(log).groupBy(key).agg(F.bool_and("ok").alias("sidecar_ok"))
+    return spark.createDataFrame(moved, STATUS).join(sidecars, "dest_key", "left")
 
 
 def hashable(df: DataFrame, name: str) -> Column:
@@ -92,24 +91,15 @@ def validate_export(
     def types_of(df: DataFrame) -> list:
         return sorted((f.name, f.dataType.simpleString()) for f in df.schema.fields)
 
+    whole = pct is None or pct >= 100
+
     def share(df: DataFrame) -> DataFrame:
-        if pct is None or pct >= 100:
-            return df
         bucket = F.pmod(F.xxhash64(*[hashable(df, name) for name in keys or cols]), F.lit(10000))
-        return df.where(bucket < int(pct * 100))
+        return df if whole else df.where(bucket < int(pct * 100))
 
     def one(df: DataFrame) -> DataFrame:
-        sums = fingerprint(share(df), cols)
-        if pct is None or pct >= 100:
-            return sums.select(F.struct("n", "n", "hash_sum", "hash_xor").cast(
-                "struct<total: bigint, n: bigint, hash_sum: decimal(38,0), hash_xor: bigint>"
-            ))
-        total = df.agg(F.count(F.lit(1)).alias("total"))
-        return sums.select(
-            F.struct(total.scalar().alias("total"), "n", "hash_sum", "hash_xor").cast(
-                "struct<total: bigint, n: bigint, hash_sum: decimal(38,0), hash_xor: bigint>"
-            )
-        )
+        total = F.col("n") if whole else df.agg(F.count(F.lit(1)).alias("total")).scalar()
+        return fingerprint(share(df), cols).select(F.struct(total.alias("total"), "*"))
 
     sides = spark.range(1).select(
         one(source).scalar().alias("a"), one(copy).scalar().alias("b")

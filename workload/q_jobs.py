@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from transhume.functions import scalars
 from transhume.operators import aggregates
 from transhume.plans import analysis as plan
-from transhume.plans import migration, reports
+from transhume.plans import conversion, migration, reports
 from transhume.session import scratch_dir
 from transhume.sinks import objects
 from transhume.sinks import reports as sinks
@@ -310,7 +310,7 @@ def job_report_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     FROM converted JOIN (SELECT path, ord FROM assets_v) USING (path)""",
 )
 def job_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = plan.convert_with_errors(export.body_rows(spark, sf_dir), BUCKET)
+    rows = conversion.convert_with_errors(export.body_rows(spark, sf_dir), BUCKET)
     return rows.select("path", "converted_key", "body", "error")
 
 

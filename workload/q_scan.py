@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from transhume import values
 from transhume.functions import scalars
 from transhume.operators import rewrite, scan
+from transhume.plans import conversion
 from transhume.session import scratch_dir
-from transhume.sinks import reports
 from workload import views
 from workload.registry import query
 from workload.views import ASSETS, SCAN, confidence_sql, with_
@@ -257,5 +257,6 @@ def conv_diff_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     with_(ASSETS) + "SELECT count(*) AS n_uploaded, count(*) AS n_total FROM assets_v",
 )
 def conv_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
-    status = reports.write_converted(converted(spark, sf_dir), scratch_dir(spark, "converted"))
-    return rewrite.conversion_tally(status, "ok")
+    root = scratch_dir(spark, "converted")
+    status = conversion.convert_batch(spark, views.assets(spark, sf_dir), root, BUCKET)
+    return rewrite.conversion_tally(status)
