@@ -61,15 +61,19 @@ def with_columns_detail(tables: DataFrame, details: DataFrame) -> DataFrame:
     return joined.withColumn("columns", F.coalesce("_columns", "columns")).drop("_columns")
 
 
-def with_body(listing: DataFrame, bodies: DataFrame) -> DataFrame:
+def with_body(
+    listing: DataFrame, bodies: DataFrame, distinct_paths: bool = False
+) -> DataFrame:
     """Listed assets with their source and its length; assets without a source are left out.
 
     A path exported more than once has one source, so a path repeated on both sides cannot
-    multiply.
+    multiply.  Where the export is known to hold each path once, ``distinct_paths`` saves that
+    aggregation, which sorts the sources before they are shuffled.
     """
-    sources = bodies.where(F.length("content") > 0).groupBy("path")
-    joined = listing.join(sources.agg(F.min("content").alias("content")), "path")
-    return joined.withColumn("size", F.length("content"))
+    sources = bodies.select("path", "content").where(F.length("content") > 0)
+    if not distinct_paths:
+        sources = sources.groupBy("path").agg(F.min("content").alias("content"))
+    return listing.join(sources, "path").withColumn("size", F.length("content"))
 
 
 def status_owner() -> Column:

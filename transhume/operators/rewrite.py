@@ -241,21 +241,18 @@ def diff_counts(df: DataFrame, key: str = "path", **args: Any) -> DataFrame:
             header.cast("bigint").alias("header"),
         )
 
-    zero = F.lit(0)
-    whole = entry(F.lit(None), 0, 0, F.col("n_pairs") - F.size("changed"), F.col("n_header"))
-    entries = F.concat(
-        F.array(whole),
-        F.transform("changed", lambda p: entry(p["l"], 1, 0, zero, zero)),
-        F.transform("changed", lambda p: entry(p["r"], 0, 1, zero, zero)),
-    )
+    def side(name: str, before: int, after: int) -> Column:
+        lines = F.filter(F.col("changed")[name], F.isnotnull)
+        return F.transform(lines, lambda line: entry(line, before, after, F.lit(0), F.lit(0)))
+
+    # One entry per asset carries what was counted inside the row; its line is null.
+    n_same = F.col("n_pairs") - F.size("changed")
+    whole = entry(F.lit(None), 0, 0, n_same, F.col("n_header"))
+    entries = F.concat(F.array(whole), side("l", 1, 0), side("r", 0, 1))
     exploded = rows.select(key, F.explode(entries).alias("e")).select(key, "e.*")
-    # Grouping by (key, line) spreads one huge file over the cluster; null stands for no line.
-    by_line = exploded.groupBy(key, "line").agg(
-        F.sum(F.when(F.col("line").isNotNull(), F.col("before")).otherwise(0)).alias("before"),
-        F.sum(F.when(F.col("line").isNotNull(), F.col("after")).otherwise(0)).alias("after"),
-        F.sum("same").alias("same"),
-        F.sum("header").alias("header"),
-    )
+    # Grouping by (key, line) first spreads one huge file over the cluster.
+    sums = [F.sum(name).alias(name) for name in ("before", "after", "same", "header")]
+    by_line = exploded.groupBy(key, "line").agg(*sums)
     both = F.least("before", "after")
     return by_line.groupBy(key).agg(
         F.sum(F.col("same") + both).alias("kept"),

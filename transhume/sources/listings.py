@@ -33,6 +33,7 @@ def read_assets(
     bodies: str | None = None,
     ms_threshold: float = 1e9,
     multi_line: bool = False,
+    distinct_paths: bool = False,
 ) -> DataFrame:
     """The listed code assets; with ``bodies`` joined to their decoded sources."""
 
@@ -52,7 +53,9 @@ def read_assets(
             scalars.first_set([F.col("owner"), F.col("object_meta.owner")], ""), F.lit("")
         ).alias("owner"),
     )
-    return with_body(assets, read_bodies(spark, bodies)) if bodies else assets
+    if bodies is None:
+        return assets
+    return with_body(assets, read_bodies(spark, bodies), distinct_paths)
 
 
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
