@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from transhume.functions.types import is_object, member, scalar_kind, truthy
 from transhume.values import REPLY_WRAPPERS
 
-# Defaults and preview length.
-DEFAULT_SCORE = 3
-DEFAULT_RISK = "medium"
-DEFAULT_HOURS = 8.0
+# The fields, each with the two keys it is looked for under and its default; the
+# length of the preview.
+SCORE = ("complexity_score", "complexity", 3)
+RISK = ("risk_assessment", "risk", "medium")
+CHALLENGES = ("migration_challenges", "challenges", "[]")
+FEATURES = ("databricks_specific_features", "features", "[]")
+HOURS = ("estimated_effort_hours", "effort_hours", 8.0)
+ADVICE = ("aws_service_recommendations", "recommendations", "[]")
 PREVIEW = 200
 
 
@@ -46,9 +50,9 @@ def reply_fields(reply: Column, raw: Column) -> Column:
     List fields are JSON text, since their items may be of any shape.  A score or effort that is
     no number makes the whole reply unreadable.
     """
-    score_value = chosen(reply, "complexity_score", "complexity")
+    score_value = chosen(reply, *SCORE[:2])
     score_text = as_text(score_value)
-    hours_text = as_text(chosen(reply, "estimated_effort_hours", "effort_hours"))
+    hours_text = as_text(chosen(reply, *HOURS[:2]))
     # A JSON number may have a fraction, which is cut off; a text must be a whole number.
     cut = score_text.try_cast("double").try_cast("int")
     score = F.when(is_text(score_value), score_text.try_cast("int")).otherwise(cut)
@@ -60,23 +64,18 @@ def reply_fields(reply: Column, raw: Column) -> Column:
         F.lit(False),
     )
 
-    def field(value: Column, default: object) -> Column:
-        return F.when(readable, F.coalesce(value, F.lit(default))).otherwise(F.lit(default))
+    def field(spec: tuple, value: Column | None = None) -> Column:
+        name, other, default = spec
+        value = as_text(chosen(reply, name, other)) if value is None else value
+        kept = F.when(readable, F.coalesce(value, F.lit(default))).otherwise(F.lit(default))
+        return kept.alias(name)
 
     return F.struct(
-        field(score, DEFAULT_SCORE).alias("complexity_score"),
-        field(as_text(chosen(reply, "risk_assessment", "risk")), DEFAULT_RISK).alias(
-            "risk_assessment"
-        ),
-        field(as_text(chosen(reply, "migration_challenges", "challenges")), "[]").alias(
-            "migration_challenges"
-        ),
-        field(as_text(chosen(reply, "databricks_specific_features", "features")), "[]").alias(
-            "databricks_specific_features"
-        ),
-        field(hours, DEFAULT_HOURS).alias("estimated_effort_hours"),
-        field(as_text(chosen(reply, "aws_service_recommendations", "recommendations")), "[]").alias(
-            "aws_service_recommendations"
-        ),
+        field(SCORE, score),
+        field(RISK),
+        field(CHALLENGES),
+        field(FEATURES),
+        field(HOURS, hours),
+        field(ADVICE),
         F.when(~readable, F.left(raw, F.lit(PREVIEW))).alias("raw_response_preview"),
     )

@@ -182,11 +182,7 @@ def roi(df: DataFrame, source: str = "source_usd", target: str = "target_usd") -
 
 def tips(costs: DataFrame, fixed: Sequence[str] = values.TIPS, n: int = 5) -> DataFrame:
     """One tip per high-usage cluster in input order, then the fixed ones: (seq, tip), by seq."""
-    text = F.concat(
-        F.lit("Cluster "),
-        F.coalesce("cluster_id", F.lit("None")),
-        F.lit(" has high usage; consider profiling and right-sizing."),
-    )
+    text = F.format_string(values.CLUSTER_TIP, F.coalesce("cluster_id", F.lit("None")))
     found = high_usage(costs, n=n).select(F.col("ord").cast("long").alias("seq"), text.alias("tip"))
     last = 2**62
     rows = [

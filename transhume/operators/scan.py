@@ -69,12 +69,8 @@ def risk(df: DataFrame, out: str = "risk") -> DataFrame:
 
 def summary(df: DataFrame, out: str = "summary") -> DataFrame:
     found = F.size("detected_patterns")
-    some = F.format_string(
-        "Detected %d Databricks-specific patterns. Complexity: %s.", found, F.col("complexity")
-    )
-    none = F.format_string(
-        "Complexity: %s. No obvious Databricks-specific patterns detected.", F.col("complexity")
-    )
+    some = F.format_string(values.SUMMARY_SOME, found, F.col("complexity"))
+    none = F.format_string(values.SUMMARY_NONE, F.col("complexity"))
     return df.withColumn(out, F.when(found > 0, some).otherwise(none))
 
 

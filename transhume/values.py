@@ -95,6 +95,9 @@ LOWEST_LABEL = "Low"
 RISKS = ("green", "yellow", "red")
 
 # Texts.
+SUMMARY_SOME = "Detected %d Databricks-specific patterns. Complexity: %s."
+SUMMARY_NONE = "Complexity: %s. No obvious Databricks-specific patterns detected."
+CLUSTER_TIP = "Cluster %s has high usage; consider profiling and right-sizing."
 TRUNCATE_LIMIT = 8000
 TRUNCATE_MARKER = "\n\n...TRUNCATED...\n\n"
 REPLY_WRAPPERS = ("result", "output", "body", "Response", "content")
