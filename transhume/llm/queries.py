@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transhume.llm import encoding, exact, packing, shared, sharding, token_counts, wavelet
+from transhume.llm import (
+    encoding,
+    exact,
+    language,
+    packing,
+    secrets,
+    shared,
+    sharding,
+    token_counts,
+    wavelet,
+    winnow,
+)
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +36,55 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: The matches of each kind with their places, then the links; the patterns are those of the operator.
+SECRETS_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), kinds(kind, number, least) AS (VALUES "
+    + ", ".join(f"('{k}', {i}, {v[2]})" for i, (k, v) in enumerate(secrets.KINDS.items()))
+    + "), lists AS ("
+    + " UNION ALL ".join(
+        f"""SELECT doc_id, '{kind}' AS kind, string_split_regex(text, '{quoted}') AS b,
+        regexp_extract_all(text, '{quoted}', 0) AS w, regexp_extract_all(text, '{quoted}', {group}) AS m FROM d"""
+        for kind, quoted, group in (
+            (k, v[0].replace("'", "''"), v[1]) for k, v in secrets.KINDS.items()
+        )
+    )
+    + f"""), each AS (
+        SELECT doc_id, kind, i, length(b[i]) AS gap, w[i] AS word, length(m[i]) AS measured
+        FROM (SELECT *, unnest(generate_series(1, len(w))) AS i FROM lists)
+    ), placed AS (
+        SELECT *, sum(gap + length(word)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS stop FROM each
+    ), part AS (
+        SELECT doc_id, kind, number, CAST(stop - length(word) AS BIGINT) AS a, CAST(stop AS BIGINT) AS z
+        FROM placed JOIN kinds USING (kind)
+        WHERE measured >= least AND (kind <> 'key' OR (regexp_matches(word, '[0-9]')
+              AND regexp_matches(word, '[a-z]') AND regexp_matches(word, '[A-Z]')))
+    ), strong AS (SELECT * FROM part WHERE number < 3), weak AS (
+        SELECT * FROM part p WHERE number >= 3 AND NOT EXISTS (
+            SELECT 1 FROM strong s WHERE s.doc_id = p.doc_id AND s.a < p.z AND s.z > p.a)
+    ), every AS (SELECT * FROM strong UNION ALL SELECT * FROM weak), linked AS (
+        SELECT w.*,
+               EXISTS (SELECT 1 FROM every e WHERE e.doc_id = w.doc_id AND e.kind IN ('access', 'ident')
+                       AND e.a < w.z + {secrets.SCOPE} AND e.z > w.a - {secrets.SCOPE}) AS by_id,
+               EXISTS (SELECT 1 FROM every e WHERE e.doc_id = w.doc_id AND e.kind IN ('assign', 'hex', 'key')
+                       AND e.a < w.z + {secrets.SCOPE} AND e.z > w.a - {secrets.SCOPE}) AS by_secret
+        FROM weak w
+    ), found AS (
+        SELECT * FROM strong UNION ALL SELECT doc_id, kind, number, a, z FROM linked
+        WHERE CASE kind WHEN 'key' THEN by_id WHEN 'ident' THEN by_secret ELSE by_id AND by_secret END
+    ), marks AS (
+        SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign,
+               count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+               string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, number) FILTER (number < 3) AS base,
+               string_agg(kind || ':' || a || ':' || z, ',' ORDER BY a, number) AS spans
+        FROM found GROUP BY doc_id
+    )
+    SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+           coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+           coalesce(spans, '') AS spans
+    FROM d LEFT JOIN marks USING (doc_id)"""
+)
+
+
 @query("op1_sharding")
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document, by its id."""
@@ -32,6 +92,16 @@ def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(docs).select("doc_id", "slot", "shard")
 
 
+@query("op2_language_mixture")
+def language_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, by a model of those that are not held out."""
+    docs = shared.documents(spark, sf_dir)
+    model = language.fit(docs)
+    rows = language.predict(docs, model)
+    held = F.coalesce(language.held_out("doc_id"), F.lit(False))
+    return rows.select("doc_id", held.alias("held_out"), "lang_pred", "score", "n_langs")
+
+
 @query("op3_wavelet_matrix")
 def wavelet_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place, size and checksum, read back from the shard files."""
@@ -43,6 +113,56 @@ def wavelet_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.read_documents(manifest)
 
 
+@query(
+    "op4_winnowing",
+    r"""
+    WITH dw AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM documents
+    ), iw AS (
+        SELECT item_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+        FROM benchmark
+    ), win AS (
+        SELECT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+        FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i
+              FROM iw WHERE len(w) > 0)
+    ), dg AS (
+        SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS g
+        FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i
+              FROM dw, (SELECT DISTINCT n FROM win) WHERE len(w) >= n)
+    ), hit AS (
+        SELECT DISTINCT dg.* FROM dg JOIN (SELECT DISTINCT n, g FROM win) USING (n, g)
+    ), covered AS (
+        SELECT doc_id, count(DISTINCT p) AS n_hit
+        FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM hit) GROUP BY doc_id
+    ), listed AS (
+        SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+        FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit JOIN win USING (n, g))
+        GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+           sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+    FROM dw LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
+    """,
+)
+def winnowing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document stands in the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    rows = winnow.decontaminate(shared.documents(spark, sf_dir), items)
+    return rows.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
+
+
 @query("op6_best_fit_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place there."""
@@ -51,6 +171,14 @@ def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op7_linked_secrets", SECRETS_SQL)
+def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, and what is linked to them."""
+    rows = secrets.find_secrets(shared.documents(spark, sf_dir))
+    base = F.sha2("base", 256).alias("base_sha256")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", base, "spans")
+
+
 @query("op9_token_counts")
 def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
