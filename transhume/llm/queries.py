@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from transhume.llm import (
     encoding,
     exact,
+    jaccard,
     language,
     packing,
     secrets,
@@ -163,6 +164,42 @@ def winnowing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "op5_grouped_prefix_join",
+    r"""
+    WITH RECURSIVE d AS (
+        SELECT doc_id, regexp_extract_all(
+            translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x20\x09-\x0D]+') AS w
+        FROM documents
+    ), s AS (
+        SELECT DISTINCT doc_id, array_to_string(w[i:i + least(len(w), 5) - 1], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i
+              FROM d WHERE len(w) > 0)
+    ), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+    p AS (
+        SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k
+        FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id
+    ), l AS (
+        SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y
+        WHERE 100 * k >= 75 * (nx.n + ny.n - k)
+    ), e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+    r(doc_id, c) AS (
+        SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id
+    ), m AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+    SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM m LEFT JOIN n USING (doc_id)
+    """,
+)
+def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size of every document's shingle set, and the least document that links reach."""
+    rows = jaccard.members(shared.documents(spark, sf_dir))
+    return rows.select(
+        F.col("doc").alias("doc_id"),
+        F.col("n").alias("n_shingles"),
+        F.col("component").alias("component_id"),
+    )
+
+
 @query("op6_best_fit_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its sequence and place there."""
