@@ -60,16 +60,14 @@ def refine(
     bits = shared.filter_of(candidates(docs, key, text), "row")
     bits = shared.written(bits, "exact-filter")
     whole = F.sha2(normalised(text), 256)
-    word = F.shiftright(F.col("_row").bitwiseAND(F.lit(shared.FILTER_WORDS * 64 - 1)), 6)
-    in_filter = F.getbit("_mask", F.col("_row").bitwiseAND(F.lit(63)).cast("int")) == 1
     names = [key, *keep]
-    scan = docs.withColumn("_row", _row_hash(key, text)).withColumn("_at", word)
-    rows = scan.join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left").select(
+    scan = shared.marked(docs.withColumn("_row", _row_hash(key, text)), F.col("_row"), bits)
+    rows = scan.select(
         *[F.col(f"`{c}`") for c in names],
         F.length(F.coalesce(F.col(text), F.lit(""))).alias("_points"),
         # a document alone gets a mark of its own that no digest equals, spread over all tasks
-        F.when(in_filter, whole).otherwise(F.concat(F.lit("-"), F.col("_row"))).alias("_full"),
-        F.coalesce(in_filter, F.lit(False)).alias("_shared"),
+        F.when(F.col("_maybe"), whole).otherwise(F.concat(F.lit("-"), F.col("_row"))).alias("_full"),
+        F.col("_maybe").alias("_shared"),
     )
     groups = (
         rows.where("_shared")

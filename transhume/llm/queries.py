@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transhume.llm import (
+    debruijn,
     encoding,
     exact,
     jaccard,
@@ -216,6 +217,36 @@ def secrets_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_assign", "n_access", "n_hex", base, "spans")
 
 
+@query(
+    "op8_debruijn_compaction",
+    r"""
+    WITH d AS (
+        SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+    ), win AS (
+        SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+        FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 12)) AS i FROM d WHERE len(w) >= 13)
+    ), first AS (SELECT g, min(doc_id) AS first FROM win GROUP BY g),
+    gone AS (
+        SELECT doc_id, list_distinct(flatten(list(generate_series(i, i + 12)))) AS p
+        FROM win JOIN first USING (g) WHERE doc_id > first GROUP BY doc_id
+    ), left_over AS (
+        SELECT doc_id, w, coalesce(p, []) AS p FROM d LEFT JOIN gone USING (doc_id)
+    ), word AS (
+        SELECT doc_id, i, w[i] AS word FROM (SELECT doc_id, w, unnest(generate_series(1, len(w))) AS i FROM d)
+    ), gone_word AS (SELECT doc_id, unnest(p) AS i FROM gone),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept
+        FROM word ANTI JOIN gone_word USING (doc_id, i) GROUP BY doc_id
+    )
+    SELECT doc_id, len(w) AS n_words, len(p) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+    FROM left_over LEFT JOIN kept USING (doc_id)
+    """,
+)
+def debruijn_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, without the spans that smaller ids have as well."""
+    return debruijn.dedup(shared.documents(spark, sf_dir))
+
+
 @query("op9_token_counts")
 def token_counts_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""

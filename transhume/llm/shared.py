@@ -51,12 +51,12 @@ def text_hash(text: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def filter_of(hashes: DataFrame, key: str) -> DataFrame:
-    """A bit set of 64-bit hashes as (word, mask): FILTER_WORDS rows at most, whatever the input.
+def filter_of(hashes: DataFrame, key: str, words: int = FILTER_WORDS) -> DataFrame:
+    """A bit set of 64-bit hashes as (word, mask): `words` rows at most, whatever the input.
 
-    Bits are the lowest 24 of the hash, 64 to a row, combined before the shuffle.
+    Bits are the lowest ones of the hash, 64 to a row, combined before the shuffle.
     """
-    place = F.col(key).bitwiseAND(F.lit(FILTER_WORDS * 64 - 1))
+    place = F.col(key).bitwiseAND(F.lit(words * 64 - 1))
     bit = F.expr(f"shiftleft(1L, cast(`{key}` & 63 as int))")
     return (
         hashes.select(F.shiftright(place, 6).alias("_word"), bit.alias("_bit"))
@@ -65,14 +65,19 @@ def filter_of(hashes: DataFrame, key: str) -> DataFrame:
     )
 
 
-def maybe_in(df: DataFrame, key: Column, bits: DataFrame) -> DataFrame:
-    """The rows whose 64-bit hash may be in the filter: none of its members is lost, and few others
-    pass until the filter fills up.  The filter has a fixed largest size, so it is broadcast."""
-    word = F.shiftright(key.bitwiseAND(F.lit(FILTER_WORDS * 64 - 1)), 6)
+def marked(df: DataFrame, key: Column, bits: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """Adds _maybe: whether the 64-bit hash may be in the filter.  It is true for all members, and for
+    few others until the filter fills up.  The filter has a fixed largest size, so it is broadcast."""
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    word = F.shiftright(key.bitwiseAND(F.lit(words * 64 - 1)), 6)
     hit = F.getbit("_mask", key.bitwiseAND(F.lit(63)).cast("int")) == 1
-    columns = df.columns
-    joined = df.withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("_word"))
-    return joined.where(hit).select(*[F.col(f"`{c}`") for c in columns])
+    joined = df.withColumn("_at", word).join(F.broadcast(bits), F.col("_at") == F.col("_word"), "left")
+    return joined.select(*columns, F.coalesce(hit, F.lit(False)).alias("_maybe"))
+
+
+def maybe_in(df: DataFrame, key: Column, bits: DataFrame, words: int = FILTER_WORDS) -> DataFrame:
+    """The rows whose hash may be in the filter."""
+    return marked(df, key, bits, words).where("_maybe").drop("_maybe")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
