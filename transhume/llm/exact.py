@@ -92,15 +92,15 @@ def refine(
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with the columns they came with.
 
-    A row that repeats id and whole text of one that stays is dropped as well.
+    Of rows that repeat id and normalised text of one that stays, one stays.
     """
-    norm = F.sha2(normalised(text), 256)
-    verdicts = refine(docs.withColumn("_digest", norm), key, text, ["_digest"])
-    gone = shared.written(
-        verdicts.where("not kept").select(F.col(key).alias("_key"), F.col("_digest").alias("_d")).distinct(),
-        "exact-dropped",
-    )
-    kept = docs.withColumn("_digest", norm).join(
-        gone, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_digest") == F.col("_d")), "left_anti"
-    )
-    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn("_digest", F.sha2(normalised(text), 256)).withColumn("_id", F.col(key))
+    verdicts = refine(rows, "_id", text, ["_digest"]).where("group_size > 1")
+    verdicts = shared.written(verdicts.select(F.col("_id").alias("i"), F.col("_digest").alias("d"), "kept"), "exact-verdicts")
+    again = verdicts.where("kept").groupBy("i", "d").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    again = shared.written(again.select("i", "d"), "exact-again")
+    gone = verdicts.where("not kept").select("i", "d").unionByName(again)
+    stay = shared.without(rows, gone, {"_id": "i", "_digest": "d"})
+    same = rows["_id"].eqNullSafe(again["i"]) & (rows["_digest"] == again["d"])
+    once = rows.join(again, same, "left_semi").dropDuplicates(["_id", "_digest"])
+    return stay.unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])

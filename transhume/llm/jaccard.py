@@ -182,7 +182,8 @@ def verify(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc, t, n, member, component) of every row; component is the least doc that links reach."""
+    """(doc, t, n, component, cluster) of every row; component is the least doc that links reach, and
+    cluster tells components apart even where ids repeat."""
     spark = docs.sparkSession
     rows = _rows(docs, key, text)
     shapes = shared.written(rows.mapInArrow(_shapes, SHAPES), "jaccard-shapes")
@@ -251,7 +252,23 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     named = reps.select("member", "least").join(final, F.col("member") == F.col("node"), "left")
     named = named.select("member", "least", F.coalesce("component", "member").alias("c"))
     ids = named.groupBy("c").agg(F.min("least").alias("component"))
-    ids = shared.written(named.join(ids, "c").select("member", "component"), "jaccard-ids")
-    linked = full.join(ids, "member").select("doc", "t", "n", "member", "component")
-    empty = shapes.where("is_doc and n = 0").select("doc", "t", "n", "member", F.col("doc").alias("component"))
-    return linked.unionByName(empty)
+    ids = named.join(ids, "c").select("member", "component", F.col("c").alias("cluster"))
+    linked = full.join(shared.written(ids, "jaccard-ids"), "member")
+    empty = shapes.where("is_doc and n = 0").withColumns(
+        {"component": F.col("doc"), "cluster": F.xxhash64(F.lit(0), "doc", "t")}
+    )
+    names = ["doc", "t", "n", "component", "cluster"]
+    return linked.select(*names).unionByName(empty.select(*names))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each component, the one with the least id, with the columns it came with.
+
+    Documents without words are not linked and all stay."""
+    found = shared.written(members(docs, key, text), "jaccard-members")
+    heads = found.where("n > 0").groupBy("cluster").agg(F.min(F.struct("doc", "t")).alias("head"))
+    apart = ~(F.col("doc").eqNullSafe(F.col("head.doc")) & (F.col("t") == F.col("head.t")))
+    gone = found.where("n > 0").join(heads, "cluster").where(apart).select("doc", "t")
+    rows = docs.withColumn("_t", shared.text_hash(text)).withColumn("_id", F.col(key).cast("long"))
+    left = shared.without(rows, gone, {"_id": "doc", "_t": "t"})
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -34,6 +34,8 @@ FIT_ROWS = 4000
 PENALTY = 1.5
 ROUNDS = 12
 SMOOTH = 0.5
+#: A document whose largest share is smaller has no language.
+LEAST_SHARE = 0.3
 UND = "und"
 #: A document of many trigrams is worked on with those of others up to this many characters.
 AT_ONCE = 4 << 20
@@ -216,10 +218,9 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     return rows.mapInArrow(_predictor(model), ROWS)
 
 
-def keep_known(docs: DataFrame, model: Model, least: float = 0.5, key: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SHARE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents in a known language that makes up at least that share, as they came."""
     rejected = predict(docs, model, key, text).where((F.col("lang_pred") == UND) | (F.col("score") < least))
-    rejected = shared.written(rejected.select(F.col("doc_id").alias("_doc"), F.col("row").alias("_row")).distinct(), "language-rejected")
-    rows = docs.withColumn("_t", shared.text_hash(text))
-    same = rows[key].eqNullSafe(rejected["_doc"]) & (rows["_t"] == rejected["_row"])
-    return rows.join(rejected, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn("_t", shared.text_hash(text)).withColumn("_id", F.col(key).cast("long"))
+    left = shared.without(rows, rejected.select("doc_id", "row"), {"_id": "doc_id", "_t": "row"})
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

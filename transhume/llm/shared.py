@@ -80,5 +80,19 @@ def maybe_in(df: DataFrame, key: Column, bits: DataFrame, words: int = FILTER_WO
     return marked(df, key, bits, words).where("_maybe").drop("_maybe")
 
 
+def without(rows: DataFrame, gone: DataFrame, pairs: dict[str, str]) -> DataFrame:
+    """The rows that have no match in `gone` (null equals null); pairs: column of rows to column of gone.
+
+    Rows that a filter of fixed size rules out stay where they are; the others go through the join.
+    """
+    gone = written(gone.select(*pairs.values()).distinct(), "gone")
+    bits = written(filter_of(gone.select(F.xxhash64(*pairs.values()).alias("k")), "k"), "gone-filter")
+    seen = marked(rows, F.xxhash64(*pairs), bits)
+    doubt = seen.where("_maybe")
+    same = [doubt[a].eqNullSafe(gone[b]) for a, b in pairs.items()]
+    stay = doubt.join(gone, same, "left_anti")
+    return seen.where("not _maybe").unionByName(stay).drop("_maybe")
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

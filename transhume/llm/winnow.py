@@ -141,7 +141,6 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents without a hit, with the columns they came with."""
     found, _ = hits(docs, items, key, text, item)
-    hit = shared.written(found.select("doc", "t").distinct(), "winnow-hit")
-    rows = docs.withColumn("_t", shared.text_hash(text))
-    same = rows[key].eqNullSafe(hit["doc"]) & (rows["_t"] == hit["t"])
-    return rows.join(hit, same, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.withColumn("_t", shared.text_hash(text)).withColumn("_id", F.col(key))
+    left = shared.without(rows, found.select("doc", "t"), {"_id": "doc", "_t": "t"})
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
