@@ -21,7 +21,10 @@ import pyarrow.compute as pc
 from transhume.llm import spans
 
 #: Pieces remembered by a Python worker: about 60 bytes each.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_500_000
+#: Bytes of texts worked on at once, and new pieces the library gets at once: it keeps much of each token.
+AT_ONCE = 8 << 20
+NEW_AT_ONCE = 30_000
 
 #: White space beyond ASCII, as the tokenizer's pattern takes it.
 WIDE = [chr(c) for c in (0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
@@ -93,10 +96,12 @@ class Encoder:
         return out, size
 
     def learn(self, data: np.ndarray, hashes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
-        if len(self.known) + len(hashes) > REMEMBERED:
-            self.forget()
         raw = data.tobytes()
-        ids, size = self.encode_pieces([raw[a:b] for a, b in zip(starts.tolist(), ends.tolist())])
+        parts = []
+        for i in range(0, len(hashes), NEW_AT_ONCE):
+            some = zip(starts[i : i + NEW_AT_ONCE].tolist(), ends[i : i + NEW_AT_ONCE].tolist())
+            parts.append(self.encode_pieces([raw[a:b] for a, b in some]))
+        ids, size = (np.concatenate(x) for x in zip(*parts))
         first = len(self.ids) + np.cumsum(size) - size
         at = np.searchsorted(self.known, hashes)
         self.known = np.insert(self.known, at, hashes)
@@ -135,7 +140,7 @@ class Encoder:
         for token in self.added:
             marked |= pc.match_substring(filled, token).to_numpy(zero_copy_only=False)
         rest = pc.if_else(pa.array(marked), "", filled) if marked.any() else filled
-        for lo, hi, data, bounds in spans.slices(rest):
+        for lo, hi, data, bounds in spans.slices(rest, AT_ONCE):
             ids, at = self.encode_run(data, bounds)
             at = at.tolist()
             for row in range(lo, hi):

@@ -205,7 +205,7 @@ class Merges:
             marked |= pc.match_substring(filled, token).to_numpy(zero_copy_only=False)
         rest = pc.if_else(pa.array(marked), "", filled) if marked.any() else filled
         out = np.zeros(len(filled), np.int64)
-        for lo, hi, data, bounds in spans.slices(rest):
+        for lo, hi, data, bounds in spans.slices(rest, encoding.AT_ONCE):
             out[lo:hi] = self.count_run(data, bounds)
         mark = re.compile("|".join(map(re.escape, sorted(self.added, key=len, reverse=True))))
         for row in np.flatnonzero(marked).tolist():
