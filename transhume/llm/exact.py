@@ -61,7 +61,8 @@ def refine(
     bits = shared.written(bits, "exact-filter")
     whole = F.sha2(normalised(text), 256)
     names = [key, *keep]
-    scan = shared.marked(docs.withColumn("_row", _row_hash(key, text)), F.col("_row"), bits)
+    needed = docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys([key, text, *keep])])
+    scan = shared.marked(needed.withColumn("_row", _row_hash(key, text)), F.col("_row"), bits)
     rows = scan.select(
         *[F.col(f"`{c}`") for c in names],
         F.length(F.coalesce(F.col(text), F.lit(""))).alias("_points"),
@@ -94,13 +95,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
     Of rows that repeat id and normalised text of one that stays, one stays.
     """
-    rows = docs.withColumn("_digest", F.sha2(normalised(text), 256)).withColumn("_id", F.col(key))
-    verdicts = refine(rows, "_id", text, ["_digest"]).where("group_size > 1")
-    verdicts = shared.written(verdicts.select(F.col("_id").alias("i"), F.col("_digest").alias("d"), "kept"), "exact-verdicts")
+    digest = F.sha2(normalised(text), 256)
+    narrow = docs.select(F.col(key).alias("i"), F.col(text).alias("x"), digest.alias("d"))
+    verdicts = refine(narrow, "i", "x", ["d"]).where("group_size > 1").select("i", "d", "kept")
+    verdicts = shared.written(verdicts, "exact-verdicts")
     again = verdicts.where("kept").groupBy("i", "d").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     again = shared.written(again.select("i", "d"), "exact-again")
     gone = verdicts.where("not kept").select("i", "d").unionByName(again)
-    stay = shared.without(rows, gone, {"_id": "i", "_digest": "d"})
-    same = rows["_id"].eqNullSafe(again["i"]) & (rows["_digest"] == again["d"])
-    once = rows.join(again, same, "left_semi").dropDuplicates(["_id", "_digest"])
-    return stay.unionByName(once).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = shared.packed(docs, id=F.col(key), digest=digest)
+    stay = shared.without(rows, gone, {"id": "i", "digest": "d"})
+    same = rows["id"].eqNullSafe(again["i"]) & (rows["digest"] == again["d"])
+    once = rows.join(again, same, "left_semi").dropDuplicates(["id", "digest"])
+    return stay.unionByName(once).select("row.*")

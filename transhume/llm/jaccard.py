@@ -266,9 +266,10 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     Documents without words are not linked and all stay."""
     found = shared.written(members(docs, key, text), "jaccard-members")
-    heads = found.where("n > 0").groupBy("cluster").agg(F.min(F.struct("doc", "t")).alias("head"))
+    heads = found.where("n > 0").groupBy("cluster").agg(
+        F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "t")).alias("head")
+    )
     apart = ~(F.col("doc").eqNullSafe(F.col("head.doc")) & (F.col("t") == F.col("head.t")))
     gone = found.where("n > 0").join(heads, "cluster").where(apart).select("doc", "t")
-    rows = docs.withColumn("_t", shared.text_hash(text)).withColumn("_id", F.col(key).cast("long"))
-    left = shared.without(rows, gone, {"_id": "doc", "_t": "t"})
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = shared.packed(docs, id=F.col(key).cast("long"), t=shared.text_hash(text))
+    return shared.without(rows, gone, {"id": "doc", "t": "t"}).select("row.*")

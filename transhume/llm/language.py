@@ -110,11 +110,13 @@ class Model:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> Model:
     """The model from about `rows` labelled documents of each language that are not held out."""
-    labelled = docs.where(F.col(lang).isNotNull() & ~F.coalesce(held_out(key), F.lit(False)))
-    sizes = labelled.groupBy(F.col(lang).alias("_lang")).agg(F.count(F.lit(1)).alias("_n"))
-    share = F.xxhash64(F.lit(2), F.col(key)).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(1 << 30)
-    sample = labelled.join(F.broadcast(sizes), F.col(lang) == F.col("_lang")).where(share * F.col("_n") < rows)
-    parts = sample.select(text, lang).mapInArrow(_count, COUNTS)
+    named = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    labelled = named.where(F.col("lang").isNotNull() & ~F.coalesce(held_out("id"), F.lit(False)))
+    sizes = labelled.groupBy(F.col("lang").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    share = F.xxhash64(F.lit(2), F.col("id")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(1 << 30)
+    # as many rows as there are languages
+    sample = labelled.join(F.broadcast(sizes), F.col("lang") == F.col("name")).where(share * F.col("n") < rows)
+    parts = sample.select("text", "lang").mapInArrow(_count, COUNTS)
     return Model(parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
 
 
@@ -197,7 +199,8 @@ def _predictor(model: Model):
                     b = min(hi, a + (1 << 15))
                     part = bounds[a - lo : b - lo + 1]
                     buckets, edges = trigrams(data[part[0] : part[-1]], part - part[0])
-                    chosen, score, count = identify(model, buckets, edges)
+                    if model.langs:
+                        chosen, score, count = identify(model, buckets, edges)
                     for i in range(b - a):
                         text = texts[a + i].as_py()
                         known = text is not None and model.langs and LETTER.search(text)
@@ -221,6 +224,5 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SHARE, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents in a known language that makes up at least that share, as they came."""
     rejected = predict(docs, model, key, text).where((F.col("lang_pred") == UND) | (F.col("score") < least))
-    rows = docs.withColumn("_t", shared.text_hash(text)).withColumn("_id", F.col(key).cast("long"))
-    left = shared.without(rows, rejected.select("doc_id", "row"), {"_id": "doc_id", "_t": "row"})
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = shared.packed(docs, id=F.col(key).cast("long"), t=shared.text_hash(text))
+    return shared.without(rows, rejected, {"id": "doc_id", "t": "row"}).select("row.*")

@@ -16,6 +16,8 @@ import hashlib
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from transhume.llm import shared
+
 SHARDS = tuple(f"shard-{i:03d}" for i in range(128))
 SIZE = 65_537
 MAX_SIZE = 1 << 21
@@ -74,11 +76,14 @@ def slot_of(key: str | Column, size: int = SIZE) -> Column:
 def place(
     docs: DataFrame, key: str = "doc_id", shards: list[str] = SHARDS, size: int = SIZE
 ) -> DataFrame:
-    """Every row with its slot and shard."""
+    """Every row with its slot and shard, which replace columns of these names."""
     table = lookup_table(docs.sparkSession, list(shards), size)
-    rows = docs.drop("slot", "shard").withColumn("slot", slot_of(key, size))
-    joined = rows.join(F.broadcast(table), F.col("slot") == F.col("_slot"), "left")
-    return joined.withColumnRenamed("_shard", "shard").drop("_slot")
+    rows = docs.drop("slot", "shard")
+    at, owner = shared.fresh(rows, "table_slot"), shared.fresh(rows, "table_shard")
+    rows = rows.withColumn("slot", slot_of(key, size))
+    table = table.withColumnsRenamed({"_slot": at, "_shard": owner})
+    joined = rows.join(F.broadcast(table), F.col("slot") == F.col(at), "left")
+    return joined.withColumnRenamed(owner, "shard").drop(at)
 
 
 def write_shards(placed: DataFrame, path: str, pieces: int = 8) -> None:

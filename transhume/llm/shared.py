@@ -80,8 +80,23 @@ def maybe_in(df: DataFrame, key: Column, bits: DataFrame, words: int = FILTER_WO
     return marked(df, key, bits, words).where("_maybe").drop("_maybe")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, lengthened until the frame has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def packed(docs: DataFrame, **columns: Column) -> DataFrame:
+    """Every row as one column `row` beside working columns, which so can't clash with its own."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(whole, *[value.alias(name) for name, value in columns.items()])
+
+
 def without(rows: DataFrame, gone: DataFrame, pairs: dict[str, str]) -> DataFrame:
-    """The rows that have no match in `gone` (null equals null); pairs: column of rows to column of gone.
+    """The packed rows that have no match in `gone` (null equals null); pairs: column of rows to column
+    of gone.
 
     Rows that a filter of fixed size rules out stay where they are; the others go through the join.
     """

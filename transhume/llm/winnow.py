@@ -141,6 +141,5 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 def clean(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id") -> DataFrame:
     """The documents without a hit, with the columns they came with."""
     found, _ = hits(docs, items, key, text, item)
-    rows = docs.withColumn("_t", shared.text_hash(text)).withColumn("_id", F.col(key))
-    left = shared.without(rows, found.select("doc", "t"), {"_id": "doc", "_t": "t"})
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = shared.packed(docs, id=F.col(key), t=shared.text_hash(text))
+    return shared.without(rows, found, {"id": "doc", "t": "t"}).select("row.*")
