@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from transhume.functions.scalars import bind
 from transhume.schemas import COLUMN_LIST
 
 # Where the parts of a column entry are looked for, in this order.
@@ -18,11 +17,6 @@ FIELD_TYPE_KEYS = ("type", "data_type", "dtype")
 DEPTH = 8
 
 
-def bind(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is computed once, where repeating it would grow the expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def member(value: Column, key: str) -> Column:
     """A member as VARIANT; null when it is missing or JSON null."""
     found = F.try_variant_get(value, f"$.{key}", "variant")
@@ -130,9 +124,20 @@ def render_object(m: Column, text: Column, depth: int) -> Column:
 
 
 def truthy(value: Column) -> Column:
-    """Truth of a VARIANT: null, false, zero and empty text are false."""
-    text = F.try_variant_get(value, "$", "string")
-    return F.coalesce(~text.isin("", "0", "0.0", "false", "[]", "{}"), F.lit(False))
+    """Truth of a VARIANT by its kind: null, false, zero, and what is empty are false.
+
+    Any text but the empty one is true, "0" and "false" too.
+    """
+    kind = scalar_kind(value)
+    of_scalar = (
+        F.when(kind == "STRING", F.try_variant_get(value, "$", "string") != "")
+        .when(kind == "BOOLEAN", F.try_variant_get(value, "$", "boolean"))
+        .otherwise(F.try_variant_get(value, "$", "double") != 0)
+    )
+    n_members = F.size(members(value))
+    n_items = F.size(F.try_variant_get(value, "$", "array<variant>"))
+    sized = F.when(n_members >= 0, n_members > 0).when(n_items >= 0, n_items > 0)
+    return F.coalesce(sized, of_scalar, F.lit(False))
 
 
 def nullable_flag(m: Column) -> Column:

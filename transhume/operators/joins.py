@@ -1,8 +1,8 @@
 """Joins by key.
 
-Duplicates are resolved before a join by ``min_by``/``max_by`` aggregation: those combine on the
-map side, so a key holding a large share of the rows sends one row per task, where ranking its
-rows would sort them all in one.  No side is forced to broadcast: Spark does that where measured
+Duplicates are resolved before a join by ``min_by``/``max_by`` aggregation.  Over rows and texts those sort
+within each task, and combine there, so a key holding a large share of the rows sends one row per
+task, where ranking its rows would sort them all in one.  No side is forced to broadcast: Spark does that where measured
 sizes allow, and splits skewed partitions of sort-merge joins otherwise.
 """
 
@@ -77,7 +77,7 @@ def with_body(
 
 
 def status_owner() -> Column:
-    """Owner of a status row, over its five places."""
+    """Owner of a status row.  Fixed values: its five places, in this order."""
     meta = F.col("object_meta")
     places = [
         F.col("owner"),

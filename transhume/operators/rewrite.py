@@ -121,16 +121,23 @@ def end_pairs(before: Column, after: Column) -> Column:
 
 
 def joined_lines(source: Column, rule: Rewrite) -> Column:
-    """The source with the line ends inside matches of a rule turned into a mark."""
-    found = F.regexp_extract_all(source, F.lit(text.java_regex(rule.pattern)), F.lit(0))
-    spanning = F.filter(found, lambda match: match.rlike(text.LINE_END))
-    return F.aggregate(
-        spanning,
-        source,
-        lambda so_far, match: F.replace(
-            so_far, match, F.regexp_replace(match, text.LINE_END, LINE_MARK)
-        ),
-    )
+    """The source with the line ends inside matches of a rule turned into a mark, in one pass.
+
+    What stands between the matches, and the matches, are put together again.
+    """
+    pattern = text.java_regex(rule.pattern)
+
+    def marked(body: Column) -> Column:
+        found = F.regexp_extract_all(body, F.lit(pattern), F.lit(0))
+        joined = F.transform(found, lambda match: F.regexp_replace(match, text.LINE_END, LINE_MARK))
+        pieces = F.zip_with(
+            F.split(body, pattern, -1),
+            joined,
+            lambda piece, match: F.concat(piece, F.coalesce(match, F.lit(""))),
+        )
+        return F.array_join(pieces, "")
+
+    return scalars.bind(source, marked)
 
 
 def diff_ops(

@@ -23,6 +23,8 @@ EXPORT_COLUMNS = (
     "location",
     "source_format",
 )
+# Parts that keys are dealt to by hash, of which a share is compared.
+SHARES = 1_000_000_000
 STATUS = "fq_name STRING, dest_key STRING, n_rows LONG, ok BOOLEAN, error STRING"
 
 
@@ -83,7 +85,8 @@ def validate_export(
     """One row: counts on both sides, and whether count, schema and content agree.
 
     With ``pct`` the contents are compared on the same share of the keys on both sides, picked by
-    key hash; counts always cover everything.
+    key hash; counts always cover everything.  Where the share holds no row of a table that has some,
+    nothing was compared and ``content_ok`` is null.
     """
     spark = source.sparkSession
     cols = sorted(set(source.columns) & set(copy.columns))
@@ -94,8 +97,8 @@ def validate_export(
     whole = pct is None or pct >= 100
 
     def share(df: DataFrame) -> DataFrame:
-        bucket = F.pmod(F.xxhash64(*[hashable(df, name) for name in keys or cols]), F.lit(10000))
-        return df if whole else df.where(bucket < int(pct * 100))
+        bucket = F.pmod(F.xxhash64(*[hashable(df, name) for name in keys or cols]), F.lit(SHARES))
+        return df if whole else df.where(bucket * F.lit(100.0) < F.lit(float(pct) * SHARES))
 
     def one(df: DataFrame) -> DataFrame:
         total = F.col("n") if whole else df.agg(F.count(F.lit(1)).alias("total")).scalar()
@@ -107,10 +110,12 @@ def validate_export(
     same = (F.col("a.hash_sum") == F.col("b.hash_sum")) & (
         F.col("a.hash_xor") == F.col("b.hash_xor")
     )
+    seen, there = F.greatest("a.n", "b.n"), F.greatest("a.total", "b.total")
+    compared = (seen > 0) | (there == 0)
     return sides.select(
         F.col("a.total").alias("source_rows"),
         F.col("b.total").alias("copy_rows"),
         (F.col("a.total") == F.col("b.total")).alias("count_ok"),
         F.lit(types_of(source) == types_of(copy)).alias("schema_ok"),
-        (same & (F.col("a.n") == F.col("b.n"))).alias("content_ok"),
+        F.when(compared, same & (F.col("a.n") == F.col("b.n"))).alias("content_ok"),
     )

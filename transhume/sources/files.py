@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from itertools import count
 
 from pyspark.errors import AnalysisException
@@ -23,9 +24,13 @@ def table_known(spark: SparkSession, ref: str) -> bool:
 def read_table(
     spark: SparkSession, ref: str | None, location: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
-    """The table by its name, else the files at its location."""
+    """The table by its name, else, also where it can't be read by name, the files at its location."""
     if ref and table_known(spark, ref):
-        return spark.read.table(ref)
+        try:
+            return spark.read.table(ref)
+        except Exception:
+            if not location:
+                raise
     if not location:
         raise ValueError(f"table {ref} is not known and has no storage location")
     return spark.read.format(fmt).load(location)
@@ -61,9 +66,19 @@ def file_manifest(spark: SparkSession, location: str) -> DataFrame:
     return files.select("path", "relative", "length", "modified_at")
 
 
+def glob_regex(glob: str) -> str:
+    """A file glob (``*``, ``?``, ``[..]``) as a regular expression for one name."""
+    parts = re.split(r"(\*|\?|\[!?\]?[^]]*\])", glob)
+    wild = {"*": "[^/]*", "?": "[^/]"}
+    return "".join(
+        wild.get(p) or (p.replace("[!", "[^", 1) if i % 2 else re.sub(r"([^\w/ ])", r"\\\1", p))
+        for i, p in enumerate(parts)
+    )
+
+
 def latest_path(spark: SparkSession, folder: str, glob: str) -> str | None:
     """The saved result whose name sorts last, a file or a folder; found without reading any."""
-    name = glob.replace(".", r"\.").replace("*", "[^/]*")
+    name = glob_regex(glob)
     found = list_level(spark, top_folder(spark, folder), 1)
     newest = found.where(F.col("relative").rlike(f"^{name}$")).agg(F.max("relative")).first()[0]
     return newest and f"{folder.rstrip('/')}/{newest}"

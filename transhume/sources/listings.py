@@ -70,12 +70,46 @@ def decoded(body: Column) -> Column:
     clean-up runs only on bodies that hold some; the possessive test passes over the rest quickly.
     """
     body = F.replace(F.replace(body, F.lit("\n"), F.lit("")), F.lit("\r"), F.lit(""))
-    pure = body.rlike("^[A-Za-z0-9+/=]*+$")
-    clean = F.when(pure, body).otherwise(F.regexp_replace(body, "[^A-Za-z0-9+/=]", ""))
+    pure = body.rlike("^[A-Za-z0-9+/]*+={0,2}$") & (F.length(body) % 4 == 0)
+    clean = F.when(pure, body).otherwise(padded(F.regexp_replace(body, "[^A-Za-z0-9+/=]", "")))
     raw = F.when(F.length(clean) % 4 == 0, F.try_to_binary(clean, F.lit("base64")))
     return F.try_validate_utf8(raw.cast("string"))
 
 
+def padded(body: Column) -> Column:
+    """Base64 with padding anywhere, as a lenient reader takes it: characters count by fours, padding
+    that does not complete a four is skipped, and the first that does ends the text."""
+    parts = F.split(body, "=", -1)
+    start = F.struct(
+        F.get(parts, F.lit(0)).alias("text"), F.lit(0).alias("pads"), F.lit(False).alias("done")
+    )
+
+    def next_part(state: Column, part: Column) -> Column:
+        place = F.length(state["text"]) % 4
+        pads = F.when(place >= 2, state["pads"] + 1).otherwise(state["pads"])
+        done = state["done"] | ((place >= 2) & (place + pads >= 4))
+        more = ~done & (part != "")
+        return F.struct(
+            F.when(more, F.concat(state["text"], part)).otherwise(state["text"]).alias("text"),
+            F.when(more, F.lit(0)).otherwise(pads).alias("pads"),
+            done.alias("done"),
+        )
+
+    rest = F.slice(parts, 2, F.size(parts))
+    whole = F.aggregate(rest, start, next_part)
+    return closed(whole)
+
+
+def closed(state: Column) -> Column:
+    """The text with the padding it lacks, where padding ended it."""
+
+    def close(s: Column) -> Column:
+        lacking = (F.lit(4) - F.length(s["text"]) % 4) % 4
+        return F.when(s["done"], F.concat(s["text"], F.repeat(F.lit("="), lacking))).otherwise(s["text"])
+
+    return scalars.bind(state, close)
+
+
 def decode_content(df: DataFrame, col: str = "content") -> DataFrame:
     """Decode and drop what is empty or undecodable.
 
@@ -169,13 +203,15 @@ def enumerate_metastore(spark: SparkSession, catalog: str | None = None) -> Data
     """Names of the tables the session's own catalogs list."""
     current = spark.catalog.currentCatalog()
     rows = []
-    for cat in [catalog] if catalog else [c.name for c in spark.catalog.listCatalogs()]:
-        spark.catalog.setCurrentCatalog(cat)
-        for db in spark.catalog.listDatabases():
-            for table in spark.catalog.listTables(db.name):
-                if not table.isTemporary:
-                    rows.append((cat, db.name, table.name, table.tableType))
-    spark.catalog.setCurrentCatalog(current)
+    try:
+        for cat in [catalog] if catalog else [c.name for c in spark.catalog.listCatalogs()]:
+            spark.catalog.setCurrentCatalog(cat)
+            for db in spark.catalog.listDatabases():
+                for table in spark.catalog.listTables(db.name):
+                    if not table.isTemporary:
+                        rows.append((cat, db.name, table.name, table.tableType))
+    finally:
+        spark.catalog.setCurrentCatalog(current)
     return spark.createDataFrame(
         rows, "catalog STRING, schema STRING, name STRING, table_type STRING"
     )

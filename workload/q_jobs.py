@@ -305,9 +305,9 @@ def job_report_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     "job_errors",
     with_(ASSETS, CONVERTED)
     + f"""SELECT path, CASE WHEN NOT {UNREADABLE} THEN converted_key END AS converted_key,
-      CASE WHEN {UNREADABLE} THEN NULL WHEN ord % 19 = 0 THEN '' ELSE body END AS body,
+      CASE WHEN {UNREADABLE} THEN NULL WHEN ord % 13 <> 0 AND ord % 19 = 0 THEN '' ELSE body END AS body,
       CASE WHEN {UNREADABLE} THEN 'source is not base64-encoded UTF-8 text' END AS error
-    FROM converted JOIN (SELECT path, ord FROM assets_v) USING (path)""",
+    FROM converted JOIN (SELECT path, ord, content FROM assets_v) USING (path)""",
 )
 def job_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = conversion.convert_with_errors(export.body_rows(spark, sf_dir), BUCKET)

@@ -15,6 +15,7 @@ SQL: dict[str, str] = {}
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(run: Query) -> Query:
         def in_utc(spark: SparkSession, sf_dir: str) -> DataFrame:
+            # The views write texts from the given timestamps, which the SQL reads as UTC.
             spark.conf.set("spark.sql.session.timeZone", "UTC")
             return run(spark, sf_dir)
 
