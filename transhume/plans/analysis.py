@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transhume.operators import aggregates, filters, scan
+from transhume.session import scratch_dir
 from transhume.sinks.reports import write_inventory
 from transhume.sources import listings
 
@@ -23,7 +24,7 @@ def run_full(
     Tables of another known format than ``table_format`` are left out; when none is listed at all,
     ``other_tables`` (of an older metastore, say) take their place.
 
-    The assets are decoded and joined once, into the snapshot, and analysed from there.  The parts
+    The assets are decoded and joined once, into a scratch table, and analysed from there.  The parts
     returned are read from the snapshot too, so reports on them repeat none of the work.
     """
     assets = listings.read_assets(spark, f"{export_dir}/assets", f"{export_dir}/bodies")
@@ -32,9 +33,12 @@ def run_full(
     )
     if other_tables is not None:
         tables = listings.with_fallback(tables, other_tables)
-    write_inventory({"assets": assets}, out_dir, as_of)
-    stored = spark.read.schema(assets.schema).json(f"{out_dir}/assets")
+    # The sources are kept as Parquet for the analysis; the JSON snapshot is written from that.
+    kept = scratch_dir(spark, "assets")
+    assets.write.parquet(kept)
+    stored = spark.read.schema(assets.schema).parquet(kept)
     parts = {
+        "assets": stored,
         "analyses": scan.analyze_assets(stored, keep=["size", "owner"]),
         "tables": tables,
         "jobs": listings.read_jobs(spark, f"{export_dir}/jobs"),
@@ -46,7 +50,7 @@ def run_full(
         dated = part.withColumn("generated_at", F.lit("")).schema
         return spark.read.schema(dated).json(f"{out_dir}/{name}")
 
-    return {name: read(name, part) for name, part in {"assets": assets, **parts}.items()}
+    return {name: read(name, part) for name, part in parts.items()}
 
 
 def run_quick(spark: SparkSession, export_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -25,35 +26,64 @@ EXPORT_COLUMNS = (
 )
 # Parts that keys are dealt to by hash, of which a share is compared.
 SHARES = 1_000_000_000
-STATUS = "fq_name STRING, dest_key STRING, n_rows LONG, ok BOOLEAN, error STRING"
+STATUS = "dest_key STRING, n_rows LONG, ok BOOLEAN, error STRING"
+CLASH = "tables of different places have this key"
 
 
 def migrate_tables(
-    spark: SparkSession, tables: DataFrame, root: str, fmt: str = "parquet", parallel: int = 4
+    spark: SparkSession,
+    tables: DataFrame,
+    root: str,
+    fmt: str = "parquet",
+    parallel: int = 4,
+    batch: int = 200,
 ) -> DataFrame:
-    """Sidecar and export of every table; a failing table is reported and stops no other.
+    """Sidecar and export of every table, and a status row for every row handed in.
 
     Sidecars are written by one distributed job.  Each export is a Spark job of its own; a few run
-    side by side so that small tables do not leave the cluster idle.  Only the names and places of
-    the tables pass through the driver.  A table listed twice is moved once.
+    side by side so that small tables do not leave the cluster idle.  Names and places pass through
+    the driver ``batch`` tables at a time, and each batch's outcome is appended to a log.
+
+    A table listed twice is moved once, and both rows get its status.  Tables of different places
+    under one key would overwrite each other: none of them is moved, and each row says so.
     """
-    log = scratch_dir(spark, "sidecar-status")
-    write_sidecars(tables, root).write.parquet(log)
+    wanted = [name for name in EXPORT_COLUMNS if name in tables.columns]
+    rows = dest_key(fq_name(tables)).withColumn("_place", F.xxhash64(*wanted))
+    by_key = rows.groupBy("dest_key").agg(
+        F.min("_place").alias("_place"), (F.min("_place") != F.max("_place")).alias("_clash")
+    )
+    chosen = rows.join(by_key.where("NOT _clash").drop("_clash"), ["dest_key", "_place"])
+    chosen = chosen.dropDuplicates(["dest_key"])
+    sidecar_log = scratch_dir(spark, "sidecar-status")
+    write_sidecars(chosen.select(*tables.columns), root).write.parquet(sidecar_log)
+    export_log = scratch_dir(spark, "export-status")
 
     def move(row: Row) -> tuple:
         try:
             _, n_rows = export_table(spark, row.asDict(), root, fmt)
-            return row["fq_name"], row["dest_key"], n_rows, True, None
+            return row["dest_key"], n_rows, True, None
         except Exception as error:
-            return row["fq_name"], row["dest_key"], None, False, str(error).split("\n", 1)[0]
+            return row["dest_key"], None, False, str(error).split("\n", 1)[0]
 
-    wanted = [name for name in EXPORT_COLUMNS if name in tables.columns]
-    listed = dest_key(fq_name(tables)).select("fq_name", "dest_key", *wanted)
+    spark.createDataFrame([], STATUS).write.parquet(export_log)
+    listed = chosen.select("dest_key", *wanted).toLocalIterator()
     with ThreadPoolExecutor(parallel) as pool:
-        moved = list(pool.map(move, listed.dropDuplicates(["dest_key"]).toLocalIterator()))
+        while some := list(islice(listed, batch)):
+            moved = spark.createDataFrame(list(pool.map(move, some)), STATUS)
+            moved.coalesce(1).write.mode("append").parquet(export_log)
     key = F.regexp_replace("key", "/schema.json$", "").alias("dest_key")
-    sidecars = spark.read.parquet(log).groupBy(key).agg(F.bool_and("ok").alias("sidecar_ok"))
-    return spark.createDataFrame(moved, STATUS).join(sidecars, "dest_key", "left")
+    sidecars = spark.read.parquet(sidecar_log).groupBy(key).agg(F.bool_and("ok").alias("sidecar_ok"))
+    done = spark.read.schema(STATUS).parquet(export_log)
+    status = rows.select("fq_name", "dest_key").join(by_key, "dest_key")
+    status = status.join(done, "dest_key", "left").join(sidecars, "dest_key", "left")
+    return status.select(
+        "dest_key",
+        "fq_name",
+        "n_rows",
+        F.coalesce("ok", F.lit(False)).alias("ok"),
+        F.when(F.col("_clash"), CLASH).otherwise(F.col("error")).alias("error"),
+        "sidecar_ok",
+    )
 
 
 def hashable(df: DataFrame, name: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transhume.storage import open_root, put
+from transhume.storage import open_root, put, resolve
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -61,6 +61,7 @@ def put_texts(
 
         return each_row(batches, one)
 
+    root = resolve(df.sparkSession, root)
     rows = df.select(F.col(key).alias("key"), F.col(body).alias("item"))
     if spread:
         rows = rows.repartition(width(df), "key")
@@ -91,5 +92,9 @@ def copy_files(manifest: DataFrame, root: str, tasks: int | None = None) -> Data
 
         return each_row(batches, one)
 
-    rows = manifest.select(F.col("relative").alias("key"), F.col("path").alias("item"))
+    spark = manifest.sparkSession
+    root, default = resolve(spark, root), resolve(spark, "/").rstrip("/")
+    path = F.when(F.contains(F.col("path"), F.lit(":/")), F.col("path"))
+    path = F.coalesce(path, F.concat(F.lit(default), F.col("path")))
+    rows = manifest.select(F.col("relative").alias("key"), path.alias("item"))
     return rows.repartition(tasks or width(manifest), "item").mapInPandas(write, STATUS)

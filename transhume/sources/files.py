@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transhume.session import scratch_dir
-from transhume.storage import LISTED, list_folders
+from transhume.storage import LISTED, list_folders, resolve
 
 
 def table_known(spark: SparkSession, ref: str) -> bool:
@@ -44,7 +44,8 @@ def list_level(spark: SparkSession, folders: DataFrame, n_folders: int) -> DataF
 
 
 def top_folder(spark: SparkSession, location: str) -> DataFrame:
-    return spark.createDataFrame([(location, "")], "path STRING, relative STRING")
+    rows = [(resolve(spark, location), "")]
+    return spark.createDataFrame(rows, "path STRING, relative STRING")
 
 
 def file_manifest(spark: SparkSession, location: str) -> DataFrame:

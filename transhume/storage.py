@@ -14,6 +14,7 @@ from urllib.parse import unquote
 import pandas as pd
 from pyarrow import fs
 from pyspark import cloudpickle
+from pyspark.sql import SparkSession
 
 # Tasks carry these functions with them, so executors need no copy of this package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -22,12 +23,33 @@ LISTED = "path STRING, relative STRING, is_folder BOOLEAN, length BIGINT, modifi
 LIST_CHUNK = 10_000
 
 
+# Schemes that name the same store by another driver.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
+
+
+def resolve(spark: SparkSession, location: str) -> str:
+    """The location with its scheme, as Spark's own readers take it.
+
+    A path without scheme is on the default file system of the session.  Where that is the local disk,
+    it is refused on a cluster, as every executor has another one.
+    """
+    scheme, mark, rest = location.partition(":/")
+    if mark and "/" not in scheme:
+        return f"{SCHEMES.get(scheme, scheme)}:/{rest}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(location)
+    store = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = store.makeQualified(place).toString()
+    if found.startswith("file:") and not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError(f"{location} is on the local disk of each executor; name a shared store")
+    return found
+
+
 def open_root(location: str) -> tuple[fs.FileSystem, str]:
-    """File system and plain path of a URI or path (file, s3, gs, hdfs, ..)."""
+    """File system and plain path of a URI (file, s3, gs, hdfs, ..)."""
     if location.startswith("file:"):
         return fs.LocalFileSystem(), unquote("/" + location[len("file:") :].lstrip("/"))
-    if "://" not in location:
-        return fs.LocalFileSystem(), location
+    if ":/" not in location:
+        raise ValueError(f"{location} has no scheme")
     return fs.FileSystem.from_uri(location)
 
 
@@ -37,8 +59,10 @@ def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for location, below in zip(batch["path"], batch["relative"]):
             store, plain = open_root(location)
             plain = plain.rstrip("/")
-            scheme = "" if isinstance(store, fs.LocalFileSystem) else location.rstrip("/")
-            scheme = scheme.removesuffix(plain)
+            if isinstance(store, fs.LocalFileSystem):
+                scheme = "file:"
+            else:
+                scheme = location.rstrip("/").removesuffix(plain)
             infos = store.get_file_info(fs.FileSelector(plain, recursive=False))
             for start in range(0, len(infos), LIST_CHUNK):
                 rows = [
