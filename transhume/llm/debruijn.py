@@ -3,6 +3,9 @@
 Every 13 words in a row are an edge, between the nodes of its first and its last 12.  Only edges that start
 in two documents or more matter.
 
+Documents with the same words are found first, by a hash over all their windows in order: the path of a
+copy is that of its first document from end to end, so a copy goes whole and only firsts enter the graph.
+
 1. A window of 13 words has as its fingerprint the least hash of the 6-word runs in it, which neighbours
    mostly share.  The fingerprints of each document are joined up, and those in more than one document
    go into a bit set of limited size.
@@ -45,6 +48,7 @@ MOST_FILTER_WORDS = 1 << 22
 #: No edge follows.
 NONE = np.int64(np.iinfo(np.int64).min)
 
+SEQUENCES = "doc BIGINT, t BIGINT, sequence BIGINT, words BIGINT"
 PRINTS = "print BIGINT, doc BIGINT"
 RUNS = "print BIGINT, doc BIGINT, place BIGINT, edges ARRAY<BIGINT>, next BIGINT"
 ROWS = "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING"
@@ -52,7 +56,7 @@ ROWS = "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING"
 
 def windows(column: pa.Array, hasher: spans.Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """(first row, row of each window, its first word, its hash, its fingerprint) of runs of texts."""
-    for lo, hi, data, bounds in spans.slices(column, 8 << 20):
+    for lo, hi, data, bounds in spans.slices(column):
         starts, ends, first = spans.words(data, bounds)
         hashes = hasher(data, starts, ends)
         if len(hashes) < WINDOW:
@@ -66,7 +70,8 @@ def windows(column: pa.Array, hasher: spans.Hasher) -> Iterator[tuple[int, np.nd
         at = np.arange(len(whole))
         inside = owner[: len(whole)] == owner[at + WINDOW - 1]
         rows = owner[: len(whole)][inside]
-        yield lo, rows, (at - first[owner[: len(whole)]])[inside], whole[inside], least[inside]
+        if len(rows):
+            yield lo, rows, (at - first[owner[: len(whole)]])[inside], whole[inside], least[inside]
 
 
 def _runs(rows: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -76,6 +81,22 @@ def _runs(rows: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text with a window: a hash that depends on all its words in order, and their number."""
+    hasher = spans.Hasher()
+    for batch in batches:
+        for lo, rows, words, whole, _ in windows(batch.column(2), hasher):
+            at = _runs(rows, np.zeros(len(rows)))
+            placed = spans.mixed(whole ^ spans.mixed(words.astype(np.uint64) + np.uint64(1)))
+            sums = spans.mixed(np.add.reduceat(placed, at)) if len(at) else placed
+            count = np.diff(np.append(at, len(rows))) + WINDOW - 1
+            chosen = pa.array(lo + rows[at])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(chosen), batch.column(1).take(chosen), pa.array(spans.signed(sums)), pa.array(count)],
+                names=["doc", "t", "sequence", "words"],
+            )
+
+
 def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = spans.Hasher()
     for batch in batches:
@@ -117,8 +138,16 @@ def _filter(hashes: DataFrame, key: str, label: str) -> tuple[DataFrame, int]:
     return shared.written(shared.filter_of(hashes, key, words), label), words
 
 
+def copies(rows: DataFrame) -> DataFrame:
+    """(doc, t, words) of the documents whose words are those of a document with a smaller id."""
+    found = shared.written(rows.where("doc is not null").mapInArrow(_sequences, SEQUENCES), "debruijn-sequences")
+    firsts = found.groupBy("sequence").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
+    later = found.join(firsts.select("sequence", "first"), "sequence").where("doc > first")
+    return shared.written(later.select("doc", "t", "words"), "debruijn-copies")
+
+
 def occurrences(rows: DataFrame) -> DataFrame:
-    """(print, doc, place, edges, next): runs of windows that may start in several documents."""
+    """(doc, place, edges, next): runs of windows that may start in several documents."""
     known = rows.where("doc is not null")
     prints = known.mapInArrow(_prints, PRINTS)
     several = prints.groupBy("print").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
@@ -202,9 +231,15 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def spans_by_document(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, t, text, found): every row with the word spans to remove, null where there are none."""
     rows = _rows(docs, key, text)
-    runs = occurrences(rows)
+    later = copies(rows)
+    runs = occurrences(shared.without(rows, later, {"doc": "doc", "t": "t"}))
     found = paths(runs)
-    cut = repeated_spans(runs, found)
+    whole = later.select(
+        "doc",
+        F.shiftleft(F.col("t").bitwiseAND(F.lit(0x7FFFFFFF)), WORD_BITS).alias("place"),
+        "words",
+    )
+    cut = repeated_spans(runs, found).unionByName(whole)
     part = F.shiftright("place", WORD_BITS)
     at = F.col("place").bitwiseAND(F.lit((1 << WORD_BITS) - 1))
     lists = cut.groupBy("doc", part.alias("part")).agg(F.collect_set(F.struct(at.alias("at"), "words")).alias("found"))
