@@ -91,22 +91,20 @@ def sink_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
       comment AS notes, 12 AS n_members FROM tables_v""",
 )
 def sink_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the writer reports of every file, beside what the file should hold.
-
-    Reading thousands of small files back would mostly list folders; a test does that instead.
-    """
+    """Every file read back, beside what the writer reports of it."""
     root = scratch_dir(spark, "sidecars")
     tables = views.tables(spark, sf_dir)
     sinks.write_sidecars(tables, root).write.parquet(f"{root}-status")
     status = spark.read.parquet(f"{root}-status")
-    place = scalars.table_key(F.col("catalog"), F.col("schema"), F.col("name"))
-    wanted = tables.select(
-        F.concat(place, F.lit("/schema.json")).alias("key"), sinks.sidecar(tables).alias("text")
+    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
+    place = F.url_decode(F.col("_metadata.file_path"))
+    found = files.select(
+        F.regexp_extract(place, "/(migrated-tables/.*)$", 1).alias("key"), F.col("value").alias("text")
     )
     schema = """name STRING, table_type STRING, size_bytes BIGINT, notes STRING,
         columns ARRAY<STRUCT<name: STRING, type: STRING, nullable: BOOLEAN>>"""
     body = F.from_json("text", schema)
-    return wanted.join(status, "key").select(
+    return found.join(status, "key").select(
         "key",
         "ok",
         (F.octet_length("text") == F.col("n_bytes")).alias("whole"),
