@@ -43,10 +43,12 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         ),
         "exact-shapes",
     )
-    lengths = shapes.groupBy("n").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("n")
-    alike = shapes.join(lengths, "n", "left_semi")
-    pairs = alike.groupBy("n", "prefix").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    return alike.join(pairs.select("n", "prefix"), ["n", "prefix"], "left_semi").select("row")
+    # the levels work on counts, which are combined before any shuffle, so a hot length is one row a task
+    counts = shapes.groupBy("n", "prefix").agg(F.count(F.lit(1)).alias("m"))
+    lengths = counts.groupBy("n").agg(F.sum("m").alias("all")).where("all > 1").select("n")
+    pairs = counts.where("m > 1").join(lengths, "n", "left_semi").select("n", "prefix")
+    pairs = shared.written(pairs, "exact-pairs")
+    return shapes.join(pairs, ["n", "prefix"], "left_semi").select("row")
 
 
 def refine(
@@ -79,6 +81,8 @@ def refine(
         .where("_size > 1")
         .withColumnRenamed("_full", "_group")
     )
+    # a table of its own, so that Spark can split the join at a group of very many copies
+    groups = shared.written(groups, "exact-groups")
     joined = rows.join(groups, F.col("_full") == F.col("_group"), "left")
     return joined.select(
         *[F.col(f"`{c}`") for c in names],
