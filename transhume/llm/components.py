@@ -8,35 +8,42 @@ from pyspark.sql import functions as F
 from transhume.llm import shared
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Every neighbour above a node moves to the least of the node and its neighbours."""
+def _large_star(edges: DataFrame) -> list[DataFrame]:
+    """Every neighbour above a node moves to the least of the node and its neighbours.
+
+    The least neighbours are a table of their own, so that Spark can split the join at a node with very
+    many of them."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = shared.written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links")
+    moved = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return [shared.written(moved.distinct(), "links"), least]
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame) -> list[DataFrame]:
     """Every node and its lower neighbours move to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = shared.written(down.groupBy("u").agg(F.min("v").alias("m")), "links")
     moved = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return moved.unionByName(least.select("u", F.col("m").alias("v")))
+    closed = moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    return [shared.written(closed, "links"), least]
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of all nodes of links (u, v); a component's name is its least node.
 
-    Each round is written to the shared folder, and the one before deleted; the number of rounds grows
+    Each round is written to the shared folder, and what it came from deleted; the number of rounds grows
     with the logarithm of the longest path.  Links of a node with itself and repeats do no harm.
     """
     edges = shared.written(links.where("u <> v").select("u", "v"), "links")
     before = None
     while True:
-        after = shared.written(_small_star(_large_star(edges).distinct()).distinct(), "links")
+        wide = _large_star(edges)
+        after, *used = _small_star(wide[0])
         mark = after.agg(
             F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")
         ).first()
-        shared.drop_table(edges)
+        for table in (edges, *wide, *used):
+            shared.drop_table(table)
         edges = after
         if mark == before:
             break

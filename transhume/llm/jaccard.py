@@ -10,13 +10,14 @@ similarity of at least 0.75, and the join finds the components of these links.
 3. Groups that share a prefix shingle are candidate pairs, unless their sizes or the places of the shingle
    rule out the similarity.  At first each group is paired only with the first and the one before it
    under each shingle, in order of size, and members of a group with its first.  These pairs are
-   verified on the whole texts, and the links found join most of what belongs together.
-4. All other candidate pairs whose members are not in one component yet are then expanded to members and
-   verified.  Pairs inside a component can't change it, so every link that matters is found, and a group
+   verified, by parity bits that rule out most and then on the whole texts, and the links found join most of what belongs together.
+   In one more round each member is paired with two neighbours in other components.
+4. All other candidate pairs whose members are not in one component yet are then expanded to members,
+   cut down by a short parity within the join, and verified.  Pairs inside a component can't change it, so every link that matters is found, and a group
    of thousands of near copies never turns into all its pairs.
 
 No group is collected anywhere: shingles and pairs are dealt out by joins, which Spark splits where a
-key is hot.  The bucket counts (1 MB) are the only thing the driver holds.
+key is hot.  The bucket counts (8 MB) are the only thing the driver holds.
 
 A text that is null or has no words has an empty set and is alone, under its own id.  Rows that repeat an id
 are members by their text; a component's name is the least id in it, null only if it has no other.
@@ -37,11 +38,19 @@ from transhume.llm.components import components
 SHINGLE = 5
 #: Similarity in percent.
 LEAST = 75
-BUCKET_BITS = 17
+BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
+#: Buckets whose counts travel as one value.
+CHUNK = 1 << 12
+#: Rounds in which each member is compared with two others at most, before all candidates left are.
+TURNS = 1
+#: Words of 64 bits of the short parity that is compared within joins.
+SHORT = 8
 
-SHAPES = "is_doc BOOLEAN, doc BIGINT, t BIGINT, n BIGINT, member BIGINT, bucket INT, load BIGINT"
-PREFIXES = "member BIGINT, n BIGINT, grp BIGINT, tokens ARRAY<BIGINT>"
+SHAPES = "is_doc BOOLEAN, doc BIGINT, t BIGINT, n BIGINT, member BIGINT, chunk INT, loads BINARY"
+PREFIXES = (
+    "member BIGINT, n BIGINT, grp BIGINT, parity BINARY, short ARRAY<BIGINT>, tokens ARRAY<BIGINT>"
+)
 
 
 def sets(column: pa.Array, hasher: spans.Hasher) -> Iterator[np.ndarray]:
@@ -73,7 +82,7 @@ def identity(found: np.ndarray) -> int:
 def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = spans.Hasher(fold=True)
     loads = np.zeros(BUCKETS, np.int64)
-    names = ["is_doc", "doc", "t", "n", "member", "bucket", "load"]
+    names = ["is_doc", "doc", "t", "n", "member", "chunk", "loads"]
     for batch in batches:
         n, member, fresh, size = [], [], [], 0
         for found in sets(batch.column(2), hasher):
@@ -87,13 +96,76 @@ def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size:
             loads += np.bincount(np.concatenate(fresh), minlength=BUCKETS)
         rows = len(n)
-        empty = pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.int64())
+        empty = pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())
         columns = [pa.array([True] * rows, pa.bool_()), batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(member, pa.int64()), *empty]
         yield pa.RecordBatch.from_arrays(columns, names=names)
-    seen = np.flatnonzero(loads)
-    gaps = [pa.nulls(len(seen), pa.int64())] * 4
-    columns = [pa.array([False] * len(seen), pa.bool_()), *gaps, pa.array(seen, pa.int32()), pa.array(loads[seen], pa.int64())]
-    yield pa.RecordBatch.from_arrays(columns, names=names)
+    yield _chunks(enumerate(loads.reshape(-1, CHUNK)), names)
+
+
+def _chunks(parts: Iterator[tuple[int, np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    """Counts of buckets that are not all zero, a row for each chunk."""
+    found = [(chunk, loads.astype("<u8").tobytes()) for chunk, loads in parts if loads.any()]
+    columns = [pa.array([False] * len(found), pa.bool_()), *[pa.nulls(len(found), pa.int64())] * 4]
+    columns += [pa.array([x for x, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _add_loads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of each chunk, as the rows stream by."""
+    total: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for chunk, loads in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            total.setdefault(chunk, np.zeros(CHUNK, np.uint64))
+            total[chunk] += np.frombuffer(loads, "<u8")
+    chunks = list(total)
+    sums = [total[c].astype("<u8").tobytes() for c in chunks]
+    yield pa.RecordBatch.from_arrays(
+        [pa.array(chunks, pa.int32()), pa.array(sums, pa.binary())], names=["chunk", "loads"]
+    )
+
+
+def bucket_ranks(shapes: DataFrame) -> np.ndarray:
+    """The rank of each bucket, the least filled first.  8 MB, whatever the input."""
+    parts = shapes.where("not is_doc").select("chunk", "loads")
+    kind = "chunk INT, loads BINARY"
+    # first within sixteenths of the tasks, then all: no task adds up a whole chunk alone
+    some = parts.withColumn("salt", F.pmod(F.xxhash64("loads"), F.lit(16)))
+    some = some.repartition("chunk", "salt").select("chunk", "loads").mapInArrow(_add_loads, kind)
+    whole = some.repartition("chunk").mapInArrow(_add_loads, kind)
+    load = np.zeros(BUCKETS, np.uint64)
+    for row in whole.collect():
+        load[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["loads"], "<u8")
+    rank = np.empty(BUCKETS, np.uint64)
+    rank[np.argsort(load, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    return rank
+
+
+def parity(found: np.ndarray) -> bytes:
+    """A bit for every few shingles: whether an odd number of them falls there.
+
+    It has at least two bits for each shingle, and a power of two of them, so that the half of a
+    longer one is had by laying its halves over each other."""
+    size = max(64, 1 << int(2 * len(found) - 1).bit_length())
+    place = (spans.mixed(found) & np.uint64(size - 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=size).astype(np.uint8) & 1).tobytes()
+
+
+def short_parity(found: np.ndarray) -> np.ndarray:
+    """The same in SHORT words, whatever the size of the set."""
+    place = (spans.mixed(found) & np.uint64(64 * SHORT - 1)).astype(np.int64)
+    odd = np.bincount(place, minlength=64 * SHORT).astype(np.uint8) & 1
+    return np.packbits(odd).view("<i8")
+
+
+def most_common(a: bytes, b: bytes, sizes: int) -> int:
+    """No fewer than the shingles two sets have in common: where their parities differ, some shingle
+    is in one of them alone."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return (sizes - int(np.bitwise_count(x ^ y).sum())) // 2
 
 
 def _prefixes(rank: np.ndarray):
@@ -102,7 +174,7 @@ def _prefixes(rank: np.ndarray):
         shift = np.uint64(64 - BUCKET_BITS)
         low = np.uint64((1 << (64 - BUCKET_BITS)) - 1)
         for batch in batches:
-            member, n, grp, tokens, ends = [], [], [], [], [0]
+            member, n, grp, bits, short, tokens, ends = [], [], [], [], [], [], [0]
             for found in sets(batch.column(0), hasher):
                 if not len(found):
                     continue
@@ -111,14 +183,23 @@ def _prefixes(rank: np.ndarray):
                 prefix = ordered[: len(found) - -(-LEAST * len(found) // 100) + 1]
                 member.append(identity(found))
                 n.append(len(found))
+                bits.append(parity(found))
+                short.append(short_parity(found).tolist())
                 grp.append(identity(prefix ^ np.uint64(len(found))))
                 tokens.append(prefix)
                 ends.append(ends[-1] + len(prefix))
             flat = np.concatenate(tokens) if tokens else np.zeros(0, np.uint64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(spans.signed(flat)))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(member, pa.int64()), pa.array(n, pa.int64()), pa.array(grp, pa.int64()), lists],
-                names=["member", "n", "grp", "tokens"],
+                [
+                    pa.array(member, pa.int64()),
+                    pa.array(n, pa.int64()),
+                    pa.array(grp, pa.int64()),
+                    pa.array(bits, pa.binary()),
+                    pa.array(short, pa.list_(pa.int64())),
+                    lists,
+                ],
+                names=["member", "n", "grp", "parity", "short", "tokens"],
             )
 
     return make
@@ -163,8 +244,32 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def verify(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs of members that link, by the whole texts of one document of each member."""
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y, n, m, a, b = (batch.column(i).to_pylist() for i in range(6))
+        keep = [
+            (100 + LEAST) * most_common(p, q, i + j) >= LEAST * (i + j) for i, j, p, q in zip(n, m, a, b)
+        ]
+        mask = pa.array(keep, pa.bool_())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["x", "y"]
+        )
+
+
+def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
+    """The pairs whose parities leave room for the similarity; no pair that links is lost."""
+    for side in ("x", "y"):
+        named = marks.select(
+            F.col("member").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}")
+        )
+        pairs = pairs.join(named, side)
+    wanted = pairs.select("x", "y", "n_x", "n_y", "parity_x", "parity_y")
+    return shared.written(wanted.mapInArrow(_possible, "x BIGINT, y BIGINT"), "jaccard-possible")
+
+
+def verify(pairs: DataFrame, marks: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs of members that link: first by parity, then by the whole texts of one document of each."""
+    pairs = possible(pairs, marks)
     involved = pairs.select(F.col("x").alias("member")).unionByName(pairs.select(F.col("y").alias("member"))).distinct()
     chosen = shared.written(involved.join(reps, "member").select("member", "doc", "t"), "jaccard-involved")
     bits = shared.filter_of(chosen.select(F.xxhash64("doc", "t").alias("k")), "k")
@@ -181,17 +286,66 @@ def verify(pairs: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
     return out
 
 
+def _open_lists(
+    lists: DataFrame, in_group: DataFrame, heads: DataFrame, marks: DataFrame, links: DataFrame
+) -> DataFrame:
+    """The members under each shared token that the links so far leave in several components, with the
+    component most of them are in."""
+    part = shared.written(components(links), "jaccard-parts")
+    placed = in_group.select("grp", "member").join(part, F.col("member") == F.col("node"), "left")
+    placed = placed.select("grp", "member", F.coalesce("component", "member").alias("component"))
+    expanded = lists.select("token", "grp", "n", "at").join(placed, "grp")
+    # a group is a list of its own, as its members share their first token
+    alike = placed.join(heads.where("k > 1").select("grp"), "grp").join(in_group, ["grp", "member"])
+    alike = alike.select(F.col("grp").alias("token"), "n", F.lit(0).alias("at"), "member", "component")
+    expanded = expanded.select("token", "n", "at", "member", "component").unionByName(alike)
+    per_token = expanded.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
+    mixed = per_token.agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "k").alias("main"))
+    mixed = shared.written(mixed.where("parts > 1").select("token", "main"), "jaccard-mixed")
+    words = [F.col("short")[i].alias(f"p{i}") for i in range(SHORT)]
+    found = expanded.join(mixed, "token").join(marks.select("member", *words), "member")
+    return shared.written(found, "jaccard-open")
+
+
+def _room() -> Column:
+    """Whether the short parities leave room: where they differ, some shingle is in one set alone."""
+    words = [F.bit_count(F.col(f"p{i}").bitwiseXOR(F.col(f"_p{i}"))) for i in range(SHORT)]
+    both = F.col("n") + F.col("_n")
+    return (both - sum(words, F.lit(0))) * (100 + LEAST) >= both * (2 * LEAST)
+
+
+def _some_pairs(opened: DataFrame, turn: int) -> DataFrame:
+    """Two candidates at most for each member: neighbours under some token, in an order of this turn."""
+    order = Window.partitionBy("token").orderBy(F.xxhash64("member", F.lit(turn)))
+    names = ["n", "at", "member", "component", *[f"p{i}" for i in range(SHORT)]]
+    seen = opened.select("token", *names, *[F.lag(c).over(order).alias(f"_{c}") for c in names])
+    near = seen.where((F.col("component") != F.col("_component")) & _fits("n", "at", "_n", "_at") & _room())
+    lot = F.xxhash64("token", F.lit(turn))
+    two = near.groupBy("member").agg(
+        F.min_by("_member", lot).alias("a"), F.max_by("_member", lot).alias("b")
+    )
+    return _pairs(two, "member", "a").unionByName(_pairs(two, "member", "b")).distinct()
+
+
+def _all_pairs(opened: DataFrame) -> DataFrame:
+    """Every candidate pair of members in different components."""
+    a, b = opened.where("component <> main"), opened
+    names = ["n", "at", "member", "component", *[f"p{i}" for i in range(SHORT)]]
+    b = b.select("token", *[F.col(c).alias(f"_{c}") for c in names])
+    apart = (F.col("component") != F.col("_component")) & (
+        (F.col("_component") == F.col("main")) | (F.col("member") < F.col("_member"))
+    )
+    met = a.join(b, (a["token"] == b["token"]) & apart & _fits("n", "at", "_n", "_at") & _room())
+    return _pairs(met, "member", "_member")
+
+
 def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, t, n, component, cluster) of every row; component is the least doc that links reach, and
     cluster tells components apart even where ids repeat."""
-    spark = docs.sparkSession
+    shared.small_batches(docs.sparkSession)
     rows = _rows(docs, key, text)
     shapes = shared.written(rows.mapInArrow(_shapes, SHAPES), "jaccard-shapes")
-    loads = shapes.where("not is_doc").groupBy("bucket").agg(F.sum("load").alias("load")).toPandas()
-    load = np.zeros(BUCKETS, np.int64)
-    load[loads["bucket"].to_numpy(np.int64)] = loads["load"].to_numpy(np.int64)
-    rank = np.empty(BUCKETS, np.uint64)
-    rank[np.argsort(load, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
+    rank = bucket_ranks(shapes)
 
     full = shapes.where("is_doc and n > 0").select("doc", "t", "n", "member")
     reps = full.groupBy("member").agg(F.min(F.struct("doc", "t")).alias("r"), F.min("doc").alias("least"))
@@ -214,6 +368,12 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     )
     shared_tokens = F.col("last_grp").isNotNull() | F.col("next_grp").isNotNull()
     lists = shared.written(seen.where(shared_tokens).drop("next_grp"), "jaccard-lists")
+    marks = shared.written(
+        prefixes.groupBy("member").agg(
+            *[F.any_value(c).alias(c) for c in ("n", "parity", "short")]
+        ),
+        "jaccard-marks",
+    )
     shared.drop_table(prefixes)
 
     near = [
@@ -226,27 +386,15 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     inside = in_group.join(heads.where("k > 1"), "grp").where("member <> head")
     tried = _pairs(near, "head_x", "head_y").unionByName(_pairs(inside, "member", "head")).distinct()
     tried = shared.written(tried, "jaccard-tried")
-    links = verify(tried, reps, rows)
-    part = shared.written(components(links), "jaccard-parts")
-
-    # what is left: candidates whose members are in different components
-    placed = in_group.select("grp", "member").join(part, F.col("member") == F.col("node"), "left")
-    placed = placed.select("grp", "member", F.coalesce("component", "member").alias("component"))
-    expanded = lists.select("token", "grp", "n", "at").join(placed, "grp")
-    # a group is a list of its own, as its members share their first token
-    alike = placed.join(heads.where("k > 1").select("grp"), "grp").join(in_group, ["grp", "member"])
-    alike = alike.select(F.col("grp").alias("token"), "n", F.lit(0).alias("at"), "member", "component")
-    expanded = expanded.select("token", "n", "at", "member", "component").unionByName(alike)
-    per_token = expanded.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
-    mixed = per_token.agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "k").alias("main")).where("parts > 1")
-    open_lists = shared.written(expanded.join(mixed.select("token", "main"), "token"), "jaccard-open")
-    a, b = open_lists.where("component <> main"), open_lists
-    b = b.select("token", *[F.col(c).alias(f"_{c}") for c in ("n", "at", "member", "component")])
-    apart = (F.col("component") != F.col("_component")) & ((F.col("_component") == F.col("main")) | (F.col("member") < F.col("_member")))
-    met = a.join(b, (a["token"] == b["token"]) & apart & _fits("n", "at", "_n", "_at"))
-    rest = _pairs(met, "member", "_member")
+    links = verify(tried, marks, reps, rows)
+    for turn in range(TURNS):
+        pairs = _some_pairs(_open_lists(lists, in_group, heads, marks, links), turn)
+        pairs = shared.written(pairs.join(tried, ["x", "y"], "left_anti"), "jaccard-pairs")
+        tried = tried.unionByName(pairs)
+        links = links.unionByName(verify(pairs, marks, reps, rows))
+    rest = _all_pairs(_open_lists(lists, in_group, heads, marks, links))
     rest = shared.written(rest.join(tried, ["x", "y"], "left_anti"), "jaccard-rest")
-    more = verify(rest, reps, rows)
+    more = verify(rest, marks, reps, rows)
     final = shared.written(components(links.unionByName(more)), "jaccard-components")
 
     named = reps.select("member", "least").join(final, F.col("member") == F.col("node"), "left")
@@ -269,6 +417,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     heads = found.where("n > 0").groupBy("cluster").agg(
         F.min(F.struct(F.col("doc").isNull().alias("unnamed"), "doc", "t")).alias("head")
     )
+    heads = shared.written(heads, "jaccard-heads")
     apart = ~(F.col("doc").eqNullSafe(F.col("head.doc")) & (F.col("t") == F.col("head.t")))
     gone = found.where("n > 0").join(heads, "cluster").where(apart).select("doc", "t")
     rows = shared.packed(docs, id=F.col(key).cast("long"), t=shared.text_hash(text))

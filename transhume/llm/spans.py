@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 
 #: Bytes hashed at once, and bytes of a batch worked on at once.
 SEGMENT = 1 << 19
-AT_ONCE = 24 << 20
+AT_ONCE = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
