@@ -29,6 +29,8 @@ from transhume.llm import shared
 GRAM = 8
 SPAN = 10
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same before A to Z are lower-cased, where words are only counted.
+RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -124,8 +126,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
     listed = spans.join(names, ["n", "span"]).groupBy("doc", "t").agg(F.sort_array(F.collect_set("item")).alias("items"))
     marks = n_hit.join(listed, n_hit["doc"].eqNullSafe(listed["doc"]) & (n_hit["t"] == listed["t"]), "left")
     marks = shared.written(marks.select(n_hit["doc"], n_hit["t"], "n_hit", "items"), "winnow-marks")
+    counted = F.size(F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(RAW_WORD), F.lit(0)))
     rows = docs.select(
-        F.col(key).alias("_doc"), shared.text_hash(text).alias("_t"), F.size(words(text)).cast("long").alias("n_words")
+        F.col(key).alias("_doc"), shared.text_hash(text).alias("_t"), counted.cast("long").alias("n_words")
     )
     joined = rows.join(marks, rows["_doc"].eqNullSafe(marks["doc"]) & (rows["_t"] == marks["t"]), "left")
     count = F.coalesce("n_hit", F.lit(0).cast("long"))
