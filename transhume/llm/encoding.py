@@ -23,7 +23,7 @@ from transhume.llm import spans
 #: Pieces remembered by a Python worker: about 60 bytes each.
 REMEMBERED = 1_500_000
 #: Bytes of texts worked on at once, and new pieces the library gets at once: it keeps much of each token.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 NEW_AT_ONCE = 30_000
 
 #: White space beyond ASCII, as the tokenizer's pattern takes it.

@@ -37,6 +37,9 @@ END = 2
 #: Ids in a shard, but for a longer document; bounds the memory of a task.
 SHARD_IDS = 1 << 21
 
+#: Files that a task reads back, one after the other.
+FILES_AT_ONCE = 4
+
 NO_ID = np.iinfo(np.int64).min
 MANIFEST = "part INT, k INT, path STRING, n_docs BIGINT, n_ids BIGINT"
 ROWS = "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
@@ -45,11 +48,14 @@ ROWS = "doc_id BIGINT, start BIGINT, n_tokens BIGINT, ids_crc32 BIGINT"
 def planes_of(symbols: np.ndarray, depth: int) -> list[np.ndarray]:
     """One packed bit plane per bit, highest first."""
     out = []
+    symbols, other = symbols.copy(), np.empty_like(symbols)
     for level in range(depth - 1, -1, -1):
-        bit = (symbols >> symbols.dtype.type(level)).astype(np.uint8) & 1
-        out.append(np.packbits(bit, bitorder="little"))
-        one = bit.view(bool)
-        symbols = np.concatenate([symbols[~one], symbols[one]])
+        one = (symbols & symbols.dtype.type(1 << level)) != 0
+        out.append(np.packbits(one, bitorder="little"))
+        zeros = len(symbols) - int(np.count_nonzero(one))
+        np.compress(~one, symbols, out=other[:zeros])
+        np.compress(one, symbols, out=other[zeros:])
+        symbols, other = other, symbols
     return out
 
 
@@ -187,12 +193,13 @@ class Shard:
         """All ids: from the last plane up, each plane takes its ids back to where they stood."""
         symbols = np.zeros(self.n, np.uint16 if self.depth <= 16 else np.uint32)
         for level in range(self.depth - 1, -1, -1):
-            bit = np.unpackbits(self.bits[level], count=self.n, bitorder="little")
-            one = bit.view(bool)
+            one = np.unpackbits(self.bits[level], count=self.n, bitorder="little").view(bool)
+            zeros, value = self.zeros[level], symbols.dtype.type(1 << (self.depth - 1 - level))
             before = np.empty_like(symbols)
-            before[~one] = symbols[: self.zeros[level]]
-            before[one] = symbols[self.zeros[level] :]
-            before |= bit.astype(symbols.dtype) << symbols.dtype.type(self.depth - 1 - level)
+            if zeros:
+                np.place(before, ~one, symbols[:zeros])
+            if zeros < self.n:
+                np.place(before, one, symbols[zeros:] | value)
             symbols = before
         return self.alphabet[symbols] if self.n else np.zeros(0, np.uint32)
 
@@ -243,6 +250,7 @@ def write_shards(
 ) -> DataFrame:
     """Writes the files below `target` and returns their manifest, in ascending order of the key."""
     # ids that repeat are told apart by their text, so that no id has to fit one task
+    shared.small_batches(docs.sparkSession)
     ordered = docs.select(
         F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")
     ).withColumn("_t", shared.text_hash("text"))
@@ -287,4 +295,6 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_documents(manifest: DataFrame) -> DataFrame:
     """One row per document, read back from the files: doc_id, start, n_tokens, ids_crc32."""
     files = shared.written(with_starts(manifest), "wavelet-starts")
-    return files.repartition("path").mapInArrow(_read, ROWS)
+    # rows of the manifest are small but stand for much work: the number of tasks follows the files
+    tasks = max(1, -(-files.count() // FILES_AT_ONCE))
+    return files.repartition(tasks, "path").mapInArrow(_read, ROWS)
