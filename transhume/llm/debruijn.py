@@ -142,7 +142,9 @@ def copies(rows: DataFrame) -> DataFrame:
     """(doc, t, words) of the documents whose words are those of a document with a smaller id."""
     found = shared.written(rows.where("doc is not null").mapInArrow(_sequences, SEQUENCES), "debruijn-sequences")
     firsts = found.groupBy("sequence").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
-    later = found.join(firsts.select("sequence", "first"), "sequence").where("doc > first")
+    # a table of its own, so that Spark can split the join where one document has very many copies
+    firsts = shared.written(firsts.select("sequence", "first"), "debruijn-firsts")
+    later = found.join(firsts, "sequence").where("doc > first")
     return shared.written(later.select("doc", "t", "words"), "debruijn-copies")
 
 
@@ -230,6 +232,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def spans_by_document(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc, t, text, found): every row with the word spans to remove, null where there are none."""
+    shared.small_batches(docs.sparkSession)
     rows = _rows(docs, key, text)
     later = copies(rows)
     runs = occurrences(shared.without(rows, later, {"doc": "doc", "t": "t"}))

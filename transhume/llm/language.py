@@ -21,8 +21,8 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +38,7 @@ SMOOTH = 0.5
 LEAST_SHARE = 0.3
 UND = "und"
 #: A document of many trigrams is worked on with those of others up to this many characters.
-AT_ONCE = 4 << 20
+AT_ONCE = 2 << 20
 
 LETTER = re.compile(r"[^\W\d_]")
 COUNTS = "lang STRING, bucket INT, n BIGINT"
@@ -84,9 +84,8 @@ def trigrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     totals: dict[str, np.ndarray] = {}
     for batch in batches:
-        langs = batch.column(1).to_pandas().to_numpy(object)
-        for lang in set(langs):
-            chosen = batch.column(0).filter(pa.array(langs == lang))
+        for lang in batch.column(1).unique().to_pylist():
+            chosen = batch.column(0).filter(pc.equal(batch.column(1), lang))
             table = totals.setdefault(lang, np.zeros(TRIGRAMS, np.int64))
             for _, _, data, bounds in spans.slices(chosen, AT_ONCE):
                 table += np.bincount(trigrams(data, bounds)[0], minlength=TRIGRAMS)
@@ -99,11 +98,14 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Model:
     """Log likelihood of each trigram bucket in each language."""
 
-    def __init__(self, counts: pd.DataFrame):
-        self.langs = sorted(counts["lang"].unique())
-        table = np.zeros((len(self.langs), TRIGRAMS))
-        row = counts["lang"].map({lang: i for i, lang in enumerate(self.langs)}).to_numpy()
-        table[row.astype(int), counts["bucket"].to_numpy(int)] = counts["n"].to_numpy(float)
+    def __init__(self, counts: pa.Table):
+        named = counts.column("lang").combine_chunks().dictionary_encode()
+        found = named.dictionary.to_pylist()
+        self.langs = sorted(found)
+        table = np.zeros((len(found), TRIGRAMS))
+        place = np.array([self.langs.index(lang) for lang in found], np.int64)
+        row = place[named.indices.to_numpy()] if found else np.zeros(0, np.int64)
+        table[row, counts.column("bucket").to_numpy()] = counts.column("n").to_numpy()
         table += SMOOTH
         self.likelihood = (table / table.sum(1, keepdims=True)).astype(np.float32)
 
@@ -116,8 +118,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     share = F.xxhash64(F.lit(2), F.col("id")).bitwiseAND(F.lit((1 << 30) - 1)) / F.lit(1 << 30)
     # as many rows as there are languages
     sample = labelled.join(F.broadcast(sizes), F.col("lang") == F.col("name")).where(share * F.col("n") < rows)
+    shared.small_batches(docs.sparkSession)
     parts = sample.select("text", "lang").mapInArrow(_count, COUNTS)
-    return Model(parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas())
+    return Model(parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -217,6 +220,7 @@ def _predictor(model: Model):
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred, score, n_langs and row (a hash of the text) of every document."""
+    shared.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), shared.text_hash(text).alias("row"))
     return rows.mapInArrow(_predictor(model), ROWS)
 

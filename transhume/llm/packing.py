@@ -221,6 +221,7 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
+    shared.small_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = shared.written(source.mapInArrow(_cutter(tokenizer, capacity), PIECES), "packing-pieces")
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))

@@ -34,6 +34,14 @@ def remove(spark: SparkSession, *paths: str) -> None:
         place.getFileSystem(jsc.hadoopConfiguration()).delete(place, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """At most so many rows at once between Spark and Python: texts may be long, and a worker keeps the
+    memory of its largest batch."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """The rows as a table in the shared folder: computed once, and safe from lost executors."""
     path = folder(df.sparkSession, label)

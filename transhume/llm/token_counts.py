@@ -26,12 +26,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transhume.llm import encoding, spans
+from transhume.llm import encoding, shared, spans
 
 LIMIT = 2048
 LONG = 256
 #: Pieces whose count a worker remembers, 12 bytes each.
-REMEMBERED = 4_000_000
+REMEMBERED = 2_000_000
 NEVER = np.iinfo(np.int32).max
 
 ROWS = "doc_id BIGINT, n_bytes BIGINT, n_tokens BIGINT"
@@ -240,6 +240,7 @@ def count_tokens(
     docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", limit: int = LIMIT
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
+    shared.small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     rows = source.mapInArrow(_counter(tokenizer), ROWS)
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)
