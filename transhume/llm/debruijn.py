@@ -140,7 +140,7 @@ def _filter(hashes: DataFrame, key: str, label: str) -> tuple[DataFrame, int]:
 
 def copies(rows: DataFrame) -> DataFrame:
     """(doc, t, words) of the documents whose words are those of a document with a smaller id."""
-    found = shared.written(rows.where("doc is not null").mapInArrow(_sequences, SEQUENCES), "debruijn-sequences")
+    found = shared.written(rows.where("doc is not null").mapInArrow(spans.tidy(_sequences), SEQUENCES), "debruijn-sequences")
     firsts = found.groupBy("sequence").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).where("first < last")
     # a table of its own, so that Spark can split the join where one document has very many copies
     firsts = shared.written(firsts.select("sequence", "first"), "debruijn-firsts")
@@ -151,11 +151,11 @@ def copies(rows: DataFrame) -> DataFrame:
 def occurrences(rows: DataFrame) -> DataFrame:
     """(doc, place, edges, next): runs of windows that may start in several documents."""
     known = rows.where("doc is not null")
-    prints = known.mapInArrow(_prints, PRINTS)
+    prints = known.mapInArrow(spans.tidy(_prints), PRINTS)
     several = prints.groupBy("print").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).where("a < b")
     several = shared.written(several.select("print"), "debruijn-prints")
     bits, words = _filter(several, "print", "debruijn-filter")
-    runs = known.mapInArrow(_edges, RUNS)
+    runs = known.mapInArrow(spans.tidy(_edges), RUNS)
     return shared.written(shared.maybe_in(runs, F.col("print"), bits, words).drop("print"), "debruijn-runs")
 
 
@@ -259,4 +259,4 @@ def spans_by_document(docs: DataFrame, key: str = "doc_id", text: str = "text")
 
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256."""
-    return spans_by_document(docs, key, text).select("doc", "text", "found").mapInArrow(_cut, ROWS)
+    return spans_by_document(docs, key, text).select("doc", "text", "found").mapInArrow(spans.tidy(_cut), ROWS)

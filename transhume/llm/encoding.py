@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from transhume.llm import spans
 
 #: Pieces remembered by a Python worker: about 60 bytes each.
-REMEMBERED = 1_500_000
+REMEMBERED = 800_000
 #: Bytes of texts worked on at once, and new pieces the library gets at once: it keeps much of each token.
 AT_ONCE = 4 << 20
 NEW_AT_ONCE = 30_000

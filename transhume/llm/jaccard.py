@@ -130,8 +130,8 @@ def bucket_ranks(shapes: DataFrame) -> np.ndarray:
     kind = "chunk INT, loads BINARY"
     # first within sixteenths of the tasks, then all: no task adds up a whole chunk alone
     some = parts.withColumn("salt", F.pmod(F.xxhash64("loads"), F.lit(16)))
-    some = some.repartition("chunk", "salt").select("chunk", "loads").mapInArrow(_add_loads, kind)
-    whole = some.repartition("chunk").mapInArrow(_add_loads, kind)
+    some = some.repartition("chunk", "salt").select("chunk", "loads").mapInArrow(spans.tidy(_add_loads), kind)
+    whole = some.repartition("chunk").mapInArrow(spans.tidy(_add_loads), kind)
     load = np.zeros(BUCKETS, np.uint64)
     for row in whole.collect():
         load[row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = np.frombuffer(row["loads"], "<u8")
@@ -264,7 +264,7 @@ def possible(pairs: DataFrame, marks: DataFrame) -> DataFrame:
         )
         pairs = pairs.join(named, side)
     wanted = pairs.select("x", "y", "n_x", "n_y", "parity_x", "parity_y")
-    return shared.written(wanted.mapInArrow(_possible, "x BIGINT, y BIGINT"), "jaccard-possible")
+    return shared.written(wanted.mapInArrow(spans.tidy(_possible), "x BIGINT, y BIGINT"), "jaccard-possible")
 
 
 def verify(pairs: DataFrame, marks: DataFrame, reps: DataFrame, rows: DataFrame) -> DataFrame:
@@ -280,7 +280,7 @@ def verify(pairs: DataFrame, marks: DataFrame, reps: DataFrame, rows: DataFrame)
     # the one in more pairs last, so that its rows come together
     left = pairs.join(texts.withColumnsRenamed({"member": "y", "text": "text_y"}), "y")
     both = left.join(texts.withColumnsRenamed({"member": "x", "text": "text_x"}), "x")
-    found = both.select("x", "y", "text_x", "text_y").mapInArrow(_linked, "u BIGINT, v BIGINT")
+    found = both.select("x", "y", "text_x", "text_y").mapInArrow(spans.tidy(_linked), "u BIGINT, v BIGINT")
     out = shared.written(found, "jaccard-links")
     shared.drop_table(texts)
     return out
@@ -344,7 +344,7 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     cluster tells components apart even where ids repeat."""
     shared.small_batches(docs.sparkSession)
     rows = _rows(docs, key, text)
-    shapes = shared.written(rows.mapInArrow(_shapes, SHAPES), "jaccard-shapes")
+    shapes = shared.written(rows.mapInArrow(spans.tidy(_shapes), SHAPES), "jaccard-shapes")
     rank = bucket_ranks(shapes)
 
     full = shapes.where("is_doc and n > 0").select("doc", "t", "n", "member")
@@ -352,7 +352,7 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     reps = shared.written(reps.select("member", "r.doc", "r.t", "least"), "jaccard-reps")
     bits = shared.filter_of(reps.select(F.xxhash64("doc", "t").alias("k")), "k")
     chosen = shared.maybe_in(rows, F.xxhash64("doc", "t"), bits).select("text")
-    prefixes = shared.written(chosen.mapInArrow(_prefixes(rank), PREFIXES), "jaccard-prefixes")
+    prefixes = shared.written(chosen.mapInArrow(spans.tidy(_prefixes(rank)), PREFIXES), "jaccard-prefixes")
 
     in_group = shared.written(prefixes.groupBy("grp", "member").agg(F.any_value("n").alias("n")), "jaccard-groups")
     sizes = in_group.groupBy("grp").agg(F.min("member").alias("head"), F.count(F.lit(1)).alias("k"))

@@ -119,7 +119,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     # as many rows as there are languages
     sample = labelled.join(F.broadcast(sizes), F.col("lang") == F.col("name")).where(share * F.col("n") < rows)
     shared.small_batches(docs.sparkSession)
-    parts = sample.select("text", "lang").mapInArrow(_count, COUNTS)
+    parts = sample.select("text", "lang").mapInArrow(spans.tidy(_count), COUNTS)
     return Model(parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
 
 
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "tex
     """doc_id, lang_pred, score, n_langs and row (a hash of the text) of every document."""
     shared.small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), shared.text_hash(text).alias("row"))
-    return rows.mapInArrow(_predictor(model), ROWS)
+    return rows.mapInArrow(spans.tidy(_predictor(model)), ROWS)
 
 
 def keep_known(docs: DataFrame, model: Model, least: float = LEAST_SHARE, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from transhume.llm import encoding, shared
+from transhume.llm import encoding, shared, spans
 
 CAPACITY = 1024
 END = 2
@@ -223,7 +223,7 @@ def pack(
     spark = docs.sparkSession
     shared.small_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = shared.written(source.mapInArrow(_cutter(tokenizer, capacity), PIECES), "packing-pieces")
+    pieces = shared.written(source.mapInArrow(spans.tidy(_cutter(tokenizer, capacity)), PIECES), "packing-pieces")
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = shared.written(

@@ -242,5 +242,5 @@ def count_tokens(
     """One row per document: doc_id, n_bytes, n_tokens, over_limit."""
     shared.small_batches(docs.sparkSession)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows = source.mapInArrow(_counter(tokenizer), ROWS)
+    rows = source.mapInArrow(spans.tidy(_counter(tokenizer)), ROWS)
     return rows.withColumn("over_limit", F.col("n_tokens") > limit)

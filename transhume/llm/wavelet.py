@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transhume import storage
-from transhume.llm import encoding, shared
+from transhume.llm import encoding, shared, spans
 
 MAGIC = b"WVMX0001"
 BLOCK = 512
@@ -255,7 +255,7 @@ def write_shards(
         F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")
     ).withColumn("_t", shared.text_hash("text"))
     dealt = ordered.repartitionByRange("doc_id", "_t").sortWithinPartitions("doc_id", "_t")
-    made = dealt.select("doc_id", "text").mapInArrow(_writer(tokenizer, target, shard_ids), MANIFEST)
+    made = dealt.select("doc_id", "text").mapInArrow(spans.tidy(_writer(tokenizer, target, shard_ids)), MANIFEST)
     return shared.written(made, "wavelet-manifest")
 
 
@@ -297,4 +297,4 @@ def read_documents(manifest: DataFrame) -> DataFrame:
     files = shared.written(with_starts(manifest), "wavelet-starts")
     # rows of the manifest are small but stand for much work: the number of tasks follows the files
     tasks = max(1, -(-files.count() // FILES_AT_ONCE))
-    return files.repartition(tasks, "path").mapInArrow(_read, ROWS)
+    return files.repartition(tasks, "path").mapInArrow(spans.tidy(_read), ROWS)
