@@ -257,6 +257,44 @@ def test_packing_is_as_small_as_can_be(items):
     assert sum(n for _, n in fillings) == fewest(sorted(items, reverse=True), 20)
 
 
+def test_packing_tries_fillings_of_equal_sum():
+    """Beside 60, both (25, 15) and (14, 13, 13) fill 40 and neither holds the other; only the second leads to 3."""
+    items = [60, 55, 50, 35, 25, 20, 15, 14, 13, 13]
+    fillings = packing.solve(Counter(items), 100)
+    assert sum(n for _, n in fillings) == 3
+    assert Counter(x for filling, n in fillings for x in filling * n) == Counter(items)
+
+
+@pytest.mark.parametrize("n", [60, 200])
+def test_packing_finds_a_full_one_again(n):
+    """Sequences of 1,024 cut at random places; best fit alone takes one more."""
+    rng, items = random.Random({60: 1, 200: 2}[n]), []
+    for _ in range(n):
+        cuts = sorted(rng.sample(range(1, 1024), rng.choice([1, 2, 3])))
+        items += [b - a for a, b in zip([0, *cuts], [*cuts, 1024])]
+    assert sum(k for _, k in packing.best_fit(Counter(items), 1024)) == n + 1
+    assert sum(k for _, k in packing.solve(Counter(items), 1024)) == n
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(1, 20), min_size=1, max_size=7), st.integers(20, 30))
+def test_only_dominated_fillings_are_left_out(items, space):
+    """Against all fillings and all ways to group one's pieces into another's."""
+    counts = Counter(items)
+    every = {tuple(sorted((x for i, x in enumerate(items) if m >> i & 1), reverse=True)) for m in range(1 << len(items))}
+    every = {f for f in every if sum(f) <= space}
+
+    def into(pieces, rooms):
+        if not pieces:
+            return True
+        return any(
+            r >= pieces[0] and into(pieces[1:], [*rooms[:i], r - pieces[0], *rooms[i + 1 :]]) for i, r in enumerate(rooms)
+        )
+
+    wanted = {f for f in every if not any(g != f and into(f, list(g)) for g in every)}
+    assert set(packing.completions(counts, space, space, iter(range(10**6)))) == wanted
+
+
 @given(st.integers(1, 5000), st.integers(1, 64))
 def test_cut(n, capacity):
     pieces = packing.cut(n, capacity)

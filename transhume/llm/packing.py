@@ -6,9 +6,10 @@ runs on the count of pieces of each length, of which there are as many as a sequ
 
 * Best fit decreasing over the counts gives the first incumbent.
 * Bin completion takes the largest length left, enumerates the fillings of the space beside it that no
-  other filling dominates, tries them from the least waste up, each as often as the counts allow, and
-  goes back where the waste so far leaves no better packing possible.  It ends at the lower bound or
-  after NODES steps, and keeps the best packing seen, which always places every piece.
+  other filling dominates, tries them from the least waste up, each as often as the counts allow and
+  then less often, and goes back where the waste so far leaves no better packing possible.  It ends at
+  the lower bound, when all is tried, or after NODES steps or LOOKS times as many fillings enumerated,
+  and keeps the best packing seen, which always places every piece.
 
 The fillings go back to the pieces as a small table (at most a few rows for each length and filling): a
 piece's number among those of its length, counted per task and added up, tells its sequence and place.
@@ -33,9 +34,9 @@ from transhume.llm import encoding, shared, spans
 
 CAPACITY = 1024
 END = 2
-#: Steps of the search beyond the first packing, and fillings tried at a step.
+#: Steps of the search beyond the first packing, and fillings enumerated for each of them on average.
 NODES = 2000
-WIDTH = 40
+LOOKS = 50
 
 PIECES = (
     "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT, part INT, number BIGINT"
@@ -94,44 +95,104 @@ def best_fit(counts: dict[int, int], capacity: int) -> list[Filling]:
     return list(out.items())
 
 
-def completions(counts: dict[int, int], space: int, width: int = WIDTH) -> list[tuple[int, ...]]:
-    """Fillings of `space` from the lengths left, least waste first, none dominated by another.
+def _sums(lengths: list[int], counts: dict[int, int], space: int) -> list[int]:
+    """For each place in `lengths`, the sums up to `space` of it and those behind it, as bits."""
+    inside = (1 << space + 1) - 1
+    sums = [1] * (len(lengths) + 1)
+    for i in range(len(lengths) - 1, -1, -1):
+        bits, todo, step = sums[i + 1], min(counts[lengths[i]], space // lengths[i]), 1
+        while todo:
+            step = min(step, todo)
+            bits |= bits << step * lengths[i] & inside
+            todo -= step
+            step *= 2
+        sums[i] = bits
+    return sums
 
-    A filling is dominated if another holds its pieces grouped under larger ones, so a single piece
-    that fits as well as several is tried first and they are not; and one that leaves room for a piece
-    still there is never taken.
+
+def dominated(taken: tuple[int, ...], counts: dict[int, int], space: int, there: int) -> bool:
+    """Whether the pieces can be grouped into those of another filling of `space`.
+
+    If so, one step towards it does it: some pieces, or none, make way for one spare piece that is as
+    large as they are together and still fits.  there: the lengths of `counts` up to `space`, as bits.
+    """
+    room = space - sum(taken)
+    spare = there
+    for x in set(taken):
+        if counts[x] <= taken.count(x):
+            spare &= ~(1 << x)
+    sums, low = 1, 0
+    for x in [*sorted(set(taken)), space]:
+        # sums of pieces under x, each with what there is room for: a spare piece up to x may be one
+        wide, reach = sums, 0
+        while reach < room:
+            step = min(reach + 1, room - reach)
+            wide |= wide << step
+            reach += step
+        if wide & spare & ((1 << x + 1) - (1 << low + 1)):
+            return True
+        for _ in range(taken.count(x)):
+            sums |= sums << x
+        low = x
+    return False
+
+
+def completions(counts: dict[int, int], space: int, slack: int, look: Iterator) -> Iterator[tuple[int, ...]]:
+    """Fillings of `space` from the lengths left that no other dominates and that leave at most `slack`,
+    the fullest first, of equal sums those with larger pieces first.
+
+    One at a time, each costs an item of `look`, dominated ones too; it ends with them.
     """
     lengths = sorted((x for x, n in counts.items() if n and x <= space), reverse=True)
-    found: list[tuple[int, tuple[int, ...]]] = []
-    if not lengths:
-        return [()]
-    small = lengths[-1]
+    sums = _sums(lengths, counts, space)
+    there = sum(1 << x for x in lengths)
 
-    def extend(at: int, left: int, taken: tuple[int, ...]) -> None:
-        if len(found) >= 4 * width:
-            return
-        if left < small or at == len(lengths):
-            if left < small or all(counts[x] <= taken.count(x) for x in lengths if x <= left):
-                found.append((left, taken))
+    def extend(at: int, left: int, taken: tuple[int, ...]) -> Iterator[tuple[int, ...]]:
+        if not left:
+            yield taken
             return
-        while at < len(lengths) and lengths[at] > left:
-            at += 1
-        for i in range(at, min(len(lengths), at + 8)):
+        for i in range(at, len(lengths)):
+            if not sums[i] >> left & 1:
+                return
             length = lengths[i]
-            if counts[length] > taken.count(length):
-                extend(i, left - length, (*taken, length))
-            elif i + 1 == len(lengths):
-                extend(i + 1, left, taken)
-
-    extend(0, space, ())
-    best: list[tuple[int, ...]] = []
-    sums = set()
-    for _, taken in sorted(set(found), key=lambda x: (x[0], len(x[1]))):
-        # of fillings with one sum, the one with fewer and larger pieces dominates
-        if sum(taken) not in sums:
-            sums.add(sum(taken))
-            best.append(taken)
-    return best[:width] or [()]
+            for k in range(min(counts[length], left // length), 0, -1):
+                if sums[i + 1] >> left - k * length & 1:
+                    yield from extend(i + 1, left - k * length, taken + (length,) * k)
+
+    for total in range(space, max(space - slack, 0) - 1, -1):
+        if sums[0] >> total & 1:
+            for taken in extend(0, total, ()):
+                if next(look, None) is None:
+                    return
+                if not dominated(taken, counts, space, there):
+                    yield taken
+
+
+def _choices(
+    left: dict[int, int], capacity: int, slack: int, last: tuple[int, ...], look: Iterator
+) -> Iterator[Filling]:
+    """Fillings with the largest length left, each as often as can be, then each less often.
+
+    Those of one largest length are taken in the order of completions(), so none before `last` or like it.
+    A dominating filling comes earlier in that order: the packing that is first in it has no dominated one,
+    and so is never left out.
+    """
+    largest = max(left)
+    beside = {x: k - (x == largest) for x, k in left.items()}
+    again = []
+    for taken in completions(beside, capacity - largest, slack, look):
+        filling = (largest, *taken)
+        if last and last[0] == largest and (sum(filling), filling) >= (sum(last), last):
+            continue
+        most = min(left[x] // filling.count(x) for x in set(filling))
+        if gap := capacity - sum(filling):
+            most = min(most, slack // gap)
+        yield filling, most
+        if most > 1:
+            again.append((filling, most))
+    for filling, most in again:
+        for times in range(most - 1, 0, -1):
+            yield filling, times
 
 
 def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES) -> list[Filling]:
@@ -144,32 +205,36 @@ def solve(counts: dict[int, int], capacity: int = CAPACITY, nodes: int = NODES)
     used = sum(n for _, n in best)
     if used == bound:
         return best
+    look = iter(range(LOOKS * nodes))
+
+    def spare(waste: int) -> int:
+        """What may still be wasted in a packing better than the best."""
+        return (used - 1) * capacity - total - waste
+
     steps = 0
-    # depth first: (counts left, fillings so far, sequences so far, waste so far)
-    stack: list[tuple[dict[int, int], tuple[Filling, ...], int, int]] = [(counts, (), 0, 0)]
+    # depth first: (counts left, fillings so far, sequences so far, waste so far, what to try)
+    stack = [(counts, (), 0, 0, _choices(counts, capacity, spare(0), (), look))]
     while stack and steps < nodes and used > bound:
-        left, chosen, n, waste = stack.pop()
+        left, chosen, n, waste, tries = stack[-1]
+        filling, times = next(tries, ((), 0))
+        if not times:
+            stack.pop()
+            continue
         steps += 1
+        waste += (capacity - sum(filling)) * times
+        if spare(waste) < 0:
+            continue  # nothing below this wastes little enough to be better
+        n, chosen = n + times, (*chosen, (filling, times))
+        left = {x: m for x, k in left.items() if (m := k - times * filling.count(x))}
         if not left:
-            if n < used:
-                best, used = list(chosen), n
+            best, used = list(chosen), n
             continue
-        if total + waste > (used - 1) * capacity:
-            continue  # nothing below this wastes little enough to be better
         if steps % 16 == 1:
             rest = best_fit(left, capacity)
             if (m := n + sum(k for _, k in rest)) < used:
                 best, used = [*chosen, *rest], m
-        largest = max(left)
-        beside = {x: k - (x == largest) for x, k in left.items()}
-        for taken in reversed(completions(beside, capacity - largest)):
-            filling = (largest, *taken)
-            times = min(left[x] // filling.count(x) for x in set(filling))
-            after = {x: k - times * filling.count(x) for x, k in left.items()}
-            gap = (capacity - sum(filling)) * times
-            stack.append(
-                ({x: k for x, k in after.items() if k}, (*chosen, (filling, times)), n + times, waste + gap)
-            )
+        if spare(waste) >= 0:
+            stack.append((left, chosen, n, waste, _choices(left, capacity, spare(waste), filling, look)))
     return best
 
 
