@@ -4,7 +4,9 @@ language     what is in no learned language goes
 exact        of equal texts one stays
 near         of documents linked by 5-word shingles one stays
 benchmark    documents that hold passages of the benchmark go
-packing      what is left, cut and packed into sequences
+packing      what is left, cut and packed into sequences: each piece with its ids and place
+
+packing.sequences() gives the ids of each sequence from the last stage's rows.
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the documents with their places in sequences."""
-    return packing.pack(docs, encoding.default_path("byte_bpe_50k.json"))
+    """The pieces of the documents with their ids, a digest of these, and their places in sequences."""
+    return packing.digests(packing.pack(docs, encoding.default_path("byte_bpe_50k.json")))
 
 
 STAGES = [

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from texts import AWKWARD, LONG, prose
 
 import transhume.llm.encoding as encoding
-from transhume.llm import components, jaccard, language, packing, shared, sharding, spans, token_counts, wavelet
+from transhume.llm import components, debruijn, jaccard, language, packing, shared, sharding, spans, token_counts, wavelet
 from transhume.llm.queries import QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -328,6 +328,41 @@ def test_packing_of_all_documents(spark):
     check_packed(rows, texts)
 
 
+def test_sequences_hold_the_ids_of_their_pieces(spark, frame, tmp_path):
+    library = encoding.encoder(BPE).tokenizer
+    texts = [(i, t) for i, t in AWKWARD if i is not None and i < 20]
+    packed = shared.written(packing.pack(frame(texts), BPE), "test-packed")
+    packing.write_sequences(packed, f"{tmp_path}/out")
+    out = {r["sequence_id"]: r["ids"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    found, places, pieces = defaultdict(dict), defaultdict(int), packed.collect()
+    for r in pieces:
+        ids = out[r["sequence_id"]][r["offset"] : r["offset"] + r["length"]]
+        assert ids == r["ids"]
+        found[r["doc_id"]][r["start"]] = ids
+        places[r["sequence_id"]] += r["length"]
+    assert {k: len(v) for k, v in out.items()} == places and max(places.values()) <= packing.CAPACITY
+    for i, text in texts:
+        whole = [x for _, ids in sorted(found[i].items()) for x in ids]
+        assert whole == [*library.encode(text or "", add_special_tokens=False).ids, 2]
+    sums = {(r["doc_id"], r["piece"]): r["ids_crc32"] for r in packing.digests(packed).collect()}
+    assert sums == {(r["doc_id"], r["piece"]): zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in pieces}
+
+
+def test_pieces_leave_python_in_small_batches(frame, monkeypatch):
+    whole = sorted(map(tuple, packing.pack(frame(AWKWARD[3:16]), BPE).select("doc_id", "piece", "ids").collect()))
+    monkeypatch.setattr(packing, "IDS_AT_ONCE", 1)
+    assert sorted(map(tuple, packing.pack(frame(AWKWARD[3:16]), BPE).select("doc_id", "piece", "ids").collect())) == whole
+
+
+# Compaction ----------------------------------------------------------------------------------------
+
+
+def test_cleaned_texts(frame):
+    texts = [(1, LONG), (2, "before\n" + LONG + "  after it"), (3, LONG), (4, None), (5, "two  words")]
+    rows = {r["doc_id"]: r["text"] for r in debruijn.cleaned(frame(texts)).collect()}
+    assert rows == {1: LONG, 2: "before after it", 3: "", 4: "", 5: "two words"}
+
+
 # Links ---------------------------------------------------------------------------------------------
 
 

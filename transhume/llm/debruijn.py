@@ -29,7 +29,6 @@ than 13 words is kept whole.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,7 +50,7 @@ NONE = np.int64(np.iinfo(np.int64).min)
 SEQUENCES = "doc BIGINT, t BIGINT, sequence BIGINT, words BIGINT"
 PRINTS = "print BIGINT, doc BIGINT"
 RUNS = "print BIGINT, doc BIGINT, place BIGINT, edges ARRAY<BIGINT>, next BIGINT"
-ROWS = "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, kept_sha256 STRING"
+ROWS = "doc_id BIGINT, n_words BIGINT, n_removed BIGINT, text STRING"
 
 
 def windows(column: pa.Array, hasher: spans.Hasher) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -211,7 +210,7 @@ def repeated_spans(runs: DataFrame, found: DataFrame) -> DataFrame:
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n_words, n_removed, digests = [], [], []
+        n_words, n_removed, texts = [], [], []
         for text, found in zip(batch.column(1), batch.column(2).to_pylist()):
             words = (text.as_py() or "").encode().split()
             kept = words
@@ -223,10 +222,10 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = [w for w, covered in zip(words, np.cumsum(steps[:-1]).tolist()) if not covered]
             n_words.append(len(words))
             n_removed.append(len(words) - len(kept))
-            digests.append(hashlib.sha256(b" ".join(kept)).hexdigest())
+            texts.append(b" ".join(kept).decode())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(digests, pa.string())],
-            names=["doc_id", "n_words", "n_removed", "kept_sha256"],
+            [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())],
+            names=["doc_id", "n_words", "n_removed", "text"],
         )
 
 
@@ -257,6 +256,12 @@ def spans_by_document(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return hit.unionByName(seen.where("not _maybe").select("doc", "t", "text", F.lit(None).cast(lists.schema["found"].dataType).alias("found")))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept_sha256."""
+def cleaned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, text (the words that stay, a blank between two)."""
     return spans_by_document(docs, key, text).select("doc", "text", "found").mapInArrow(spans.tidy(_cut), ROWS)
+
+
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_words, n_removed, kept_sha256 (of the cleaned text)."""
+    digest = F.sha2("text", 256).alias("kept_sha256")
+    return cleaned(docs, key, text).select("doc_id", "n_words", "n_removed", digest)

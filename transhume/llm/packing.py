@@ -14,6 +14,9 @@ runs on the count of pieces of each length, of which there are as many as a sequ
 The fillings go back to the pieces as a small table (at most a few rows for each length and filling): a
 piece's number among those of its length, counted per task and added up, tells its sequence and place.
 
+Each piece keeps its ids, and sequences() joins those of a sequence end to end.  The pieces with their ids
+are written once, where they are cut.
+
 A null text is empty and is one piece with the end id.  Repeated rows are packed once each.  An empty
 table gives no row.
 """
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from transhume.llm import encoding, shared, spans
 
@@ -37,9 +41,11 @@ END = 2
 #: Steps of the search beyond the first packing, and fillings enumerated for each of them on average.
 NODES = 2000
 LOOKS = 50
+#: Ids that go from Python to Spark at once, or those of one longer text.
+IDS_AT_ONCE = 1 << 20
 
 PIECES = (
-    "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, ids_crc32 BIGINT, part INT, number BIGINT"
+    "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, part INT, number BIGINT, ids ARRAY<INT>"
 )
 
 #: A filling: lengths in descending order, and how many sequences are filled so.
@@ -259,19 +265,30 @@ def _cutter(tokenizer: str, capacity: int):
         part = TaskContext.get().partitionId()
         encoder = encoding.encoder(tokenizer)
         seen = [0] * (capacity + 1)
-        names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "number"]
-        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+        names = ["doc_id", "piece", "start", "length", "part", "number", "ids"]
+        kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+
+        def made(rows: list[tuple], held: list[np.ndarray]) -> pa.RecordBatch:
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
+            # the pieces of a text follow each other, and so do their ids
+            ends = np.cumsum([0, *(row[3] for row in rows)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(held)))
+            return pa.RecordBatch.from_arrays([*columns, ids], names=names)
+
         for batch in batches:
-            rows = []
+            rows, held, size = [], [], 0
             for key, ids in zip(batch.column(0).to_pylist(), encoder.encode(batch.column(1))):
-                ids = np.append(ids, np.uint32(END)).astype("<u4")
+                ids = np.append(ids, np.uint32(END)).astype(np.int32)
                 for i, (at, n) in enumerate(cut(len(ids), capacity)):
-                    rows.append((key, i, at, n, zlib.crc32(ids[at : at + n]), part, seen[n]))
+                    rows.append((key, i, at, n, part, seen[n]))
                     seen[n] += 1
-            columns = list(zip(*rows)) or [[]] * 7
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], names=names
-            )
+                held.append(ids)
+                size += len(ids)
+                if size >= IDS_AT_ONCE:
+                    yield made(rows, held)
+                    rows, held, size = [], [], 0
+            if rows:
+                yield made(rows, held)
 
     return pieces
 
@@ -284,11 +301,12 @@ def pack(
     capacity: int = CAPACITY,
     nodes: int = NODES,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids, sequence_id, offset."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     pieces = shared.written(source.mapInArrow(spans.tidy(_cutter(tokenizer, capacity)), PIECES), "packing-pieces")
+    # only the last join reads the ids
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = shared.written(
@@ -311,7 +329,33 @@ def pack(
         "piece",
         "start",
         "length",
-        "ids_crc32",
+        "ids",
         (F.col("sequence") + F.floor(index / F.col("k"))).alias("sequence_id"),
         (F.col("at") + index % F.col("k") * F.col("length")).alias("offset"),
     )
+
+
+def sequences(packed: DataFrame) -> DataFrame:
+    """sequence_id and ids of each sequence, at most as many as it holds, from the rows of pack()."""
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids"))).alias("parts")
+    return packed.groupBy("sequence_id").agg(parts).select("sequence_id", F.flatten("parts.ids").alias("ids"))
+
+
+def write_sequences(packed: DataFrame, path: str) -> None:
+    """The sequences as a table of Parquet files."""
+    sequences(packed).write.parquet(path)
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids = batch.column("ids")
+        values, ends = ids.values.to_numpy().astype("<u4"), ids.offsets.to_pylist()
+        sums = pa.array([zlib.crc32(values[a:b]) for a, b in zip(ends, ends[1:])], pa.int64())
+        yield batch.append_column("ids_crc32", sums)
+
+
+def digests(packed: DataFrame) -> DataFrame:
+    """The rows of pack() and ids_crc32, of the ids as 32-bit little-endian numbers."""
+    shared.small_batches(packed.sparkSession)
+    schema = StructType([*packed.schema.fields, StructField("ids_crc32", LongType())])
+    return packed.mapInArrow(spans.tidy(_digests), schema)

@@ -203,10 +203,10 @@ def jaccard_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op6_best_fit_packing")
 def packing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every piece of every document with its sequence and place there."""
-    return packing.pack(
-        shared.documents(spark, sf_dir), encoding.default_path("byte_bpe_50k.json")
-    )
+    """Every piece of every document with its sequence and place there, and a digest of its ids."""
+    rows = packing.pack(shared.documents(spark, sf_dir), encoding.default_path("byte_bpe_50k.json"))
+    rows = packing.digests(rows)
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 @query("op7_linked_secrets", SECRETS_SQL)
