@@ -24,9 +24,25 @@ def test_given_tables(spark, name):
     assert differences(QUERIES[name](spark, sf_dir), database(sf_dir), SQL[name]) == []
 
 
+VECTORS = [
+    *[(i, [((i * 37 + j * 11) % 23 - 11) / 7 for j in range(64)]) for i in range(40)],
+    (100, [0.0] * 64),
+    (101, [0.0] * 64),
+    (102, [0.0] * 63),
+    (103, [0.0] * 65),
+    (104, None),
+    (105, [None] + [0.0] * 63),
+    (106, [float("nan")] + [0.0] * 63),
+    (107, [float("-inf")] + [0.0] * 63),
+    (108, []),
+    (None, [1.0] * 64),
+]
+LABELS = [(0, 1, 0), (5, 1, None), (5, 0, 1), (6, None, 1), (7, 0, 0), (999, 1, 1), (None, 1, 1)]
+
+
 @pytest.fixture(scope="module")
 def awkward(tables):
-    return tables([(i, t, "en") for i, t in DISTINCT], ITEMS)
+    return tables([(i, t, "en") for i, t in DISTINCT], ITEMS, VECTORS, LABELS)
 
 
 @pytest.mark.parametrize("name", list(SQL))
@@ -34,7 +50,7 @@ def test_awkward_rows(spark, awkward, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("documents", "benchmark"):
+    for table in ("documents", "benchmark", "embeddings", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{awkward}/{table}.parquet/*.parquet')")
     assert differences(QUERIES[name](spark, awkward), con, SQL[name]) == []
 

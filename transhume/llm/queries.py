@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over whole tables, and their SQL where SQL can say it."""
+"""The queries of the operators, each over whole tables, and their SQL where SQL can say it."""
 
 from __future__ import annotations
 
@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transhume.llm import (
+    audit,
+    clustering,
     debruijn,
     encoding,
     exact,
     jaccard,
     language,
+    lm,
     packing,
     secrets,
     shared,
@@ -87,6 +90,87 @@ SECRETS_SQL = (
 )
 
 
+#: Ten rounds, each from the centroids of the one before.
+CLUSTERING_SQL = (
+    f"""WITH kept AS MATERIALIZED (
+        SELECT row_number() OVER () AS r, vec_id,
+               list_transform(embedding, lambda x: CAST(floor({clustering.SCALE} * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+        FROM embeddings
+        WHERE len(embedding) = {clustering.DIM}
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {clustering.DIM}
+    ), c0 AS MATERIALIZED (
+        SELECT row_number() OVER (ORDER BY h NULLS LAST, v) - 1 AS c, v
+        FROM (SELECT sha256('{clustering.SEED}:' || vec_id) AS h, v FROM kept ORDER BY h NULLS LAST, v LIMIT {clustering.CLUSTERS})
+    )"""
+    + "".join(
+        f""", a{i} AS MATERIALIZED (
+        SELECT r, best % {clustering.CLUSTERS} AS c, best // {clustering.CLUSTERS} AS d FROM (
+            SELECT k.r, min(list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) * {clustering.CLUSTERS} + c.c) AS best
+            FROM kept k, c{i} c GROUP BY k.r)
+    ), c{i + 1} AS MATERIALIZED (
+        SELECT c, coalesce(m, v) AS v FROM c{i} LEFT JOIN (
+            SELECT c, list(CAST(CASE WHEN s >= 0 THEN s // n ELSE -((n - 1 - s) // n) END AS BIGINT) ORDER BY i) AS m
+            FROM (SELECT a.c, i, sum(v[i]) AS s, count(*) AS n
+                  FROM a{i} a JOIN kept USING (r), generate_series(1, {clustering.DIM}) t(i) GROUP BY a.c, i)
+            GROUP BY c) USING (c)
+    )"""
+        for i in range(clustering.ROUNDS + 1)
+    )
+    + f"""
+    SELECT vec_id, CAST(a.c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance,
+           CAST(sum(d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+           sha256(array_to_string(e.v, ',')) AS centroid_sha256
+    FROM a{clustering.ROUNDS} a JOIN kept USING (r) JOIN c{clustering.ROUNDS} e ON e.c = a.c"""
+)
+
+AUDIT_SQL = r"""
+    WITH d AS (
+        SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+               min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS least
+        FROM documents
+    ), m AS (
+        SELECT doc_id, part,
+               CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+               + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+               + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 4 ELSE 0 END
+               + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END
+               + CASE WHEN doc_id > least THEN 16 ELSE 0 END AS mask
+        FROM d
+    ), l AS (
+        SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+               max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+        FROM labels GROUP BY doc_id
+    ), k AS (
+        SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic
+        FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask
+    ), f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')), o AS (
+        SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+        WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+    ), s AS (
+        SELECT filter_order, step, 1 << (strpos('ABCDE', filter_order[step]) - 1) AS bit,
+               CAST(coalesce(list_sum(list_transform(string_split(filter_order[1:step - 1], ''),
+                    lambda x: CASE WHEN x = '' THEN 0 ELSE 1 << (strpos('ABCDE', x) - 1) END)), 0) AS INTEGER) AS before
+        FROM o, generate_series(1, 5) t(step)
+    ), r AS (
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, bit,
+               sum(n) FILTER (mask & before = 0 AND mask & bit = 0) AS kept,
+               sum(n) FILTER (mask & before = 0 AND mask & bit <> 0) AS removed,
+               sum(n) FILTER (mask & before <> 0 AND mask & bit <> 0) AS redundant,
+               sum(n) FILTER (mask = bit) AS unique_fails,
+               sum(good) FILTER (mask & before = 0 AND mask & bit <> 0) AS good_lost,
+               sum(toxic) FILTER (mask & before = 0 AND mask & bit <> 0) AS toxic_lost
+        FROM k, s GROUP BY part, filter_order, step, bit
+    )
+    SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+           CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+           CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+           CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+           CAST(coalesce(sum(removed) OVER (PARTITION BY part, bit), 0) AS BIGINT) AS shapley
+    FROM r
+"""
+
+
 @query("op1_sharding")
 def sharding_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slot and shard of every document, by its id."""
@@ -276,3 +360,22 @@ def exact_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = shared.documents(spark, sf_dir)
     digest = F.sha2(exact.normalised("text"), 256)
     return exact.refine(docs.withColumn("text_sha256", digest), keep=["text_sha256"])
+
+
+@query("op11_rotated_clustering", CLUSTERING_SQL)
+def clustering_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cluster of every vector after ten rounds."""
+    return clustering.report(*clustering.cluster(spark.read.parquet(f"{sf_dir}/embeddings.parquet")))
+
+
+@query("op12_bloom_lm")
+def lm_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every document, by a model of those that are not held out."""
+    docs = shared.documents(spark, sf_dir)
+    return lm.score(docs, lm.train(docs))
+
+
+@query("op13_filter_audit", AUDIT_SQL)
+def audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each filter removes in every order of the five."""
+    return audit.audit(spark, f"{sf_dir}/documents.parquet", spark.read.parquet(f"{sf_dir}/labels.parquet"))
