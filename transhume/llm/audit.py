@@ -4,9 +4,10 @@ Five filters fail a text: A too few words, B too few distinct words, C too many
 markup, E a smaller id has the identical text.  A to D are seen in the text alone.  E is not: whether a
 document is the first of its text is open until all files are read.
 
-All files are read as a stream, some at a time (available now).  For each text, keyed by a 128-bit hash,
-the state holds the least id so far and where its rows count.  A document with a larger id fails E for
-good.  One with a smaller id takes over: the stream gives out its verdict, takes that of the former least id
+All files are read as a stream, some at a time (available now).  For each text, known by a 128-bit hash, the
+state holds the least id so far and where its rows count.  The state is keyed by buckets of the hash, as many
+as keep TEXTS texts to a bucket, whatever the number of texts: a call for each text would cost milliseconds,
+and a bucket larger than that would be written again too often.  A document with a larger id fails E for good.  One with a smaller id takes over: the stream gives out its verdict, takes that of the former least id
 back (a row with n = -1) and gives it anew with E.  What the stream wrote so sums up to the right counts after
 every batch, and a batch that runs twice is written once, as the stream's log of files says.
 
@@ -45,12 +46,13 @@ MOST_CAPITALS = 2  # percent of the code points
 SIGNS = b"#$%&*|"
 DUPLICATE = 1 << FILTERS.index("E")
 
+#: Texts of a bucket, about.
+TEXTS = 64
+
 #: doc_id is 0 where named is false: a null among integers would make them floats on their way through pandas.
-VERDICTS = "key STRING, named BOOLEAN, doc_id BIGINT, part STRING, mask INT, n BIGINT"
+VERDICTS = "bucket BIGINT, text STRING, named BOOLEAN, doc_id BIGINT, part STRING, mask INT, n BIGINT"
 DELTAS = "named BOOLEAN, doc_id BIGINT, part STRING, mask INT, n BIGINT"
-STATE = "least BIGINT, parts ARRAY<STRING>, times ARRAY<BIGINT>"
-#: Key of rows that need no state; a hash has no such sign.
-SETTLED = "~"
+STATE = "texts ARRAY<STRING>, least ARRAY<BIGINT>, parts ARRAY<STRING>, times ARRAY<BIGINT>"
 
 
 def masks(hasher: spans.Hasher, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -75,68 +77,75 @@ def masks(hasher: spans.Hasher, data: np.ndarray, bounds: np.ndarray) -> np.ndar
     return sum(f.astype(np.int32) << i for i, f in enumerate(failed))
 
 
-def _verdicts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, part) to verdicts: of each text the least id of a slice, open, and the others, settled."""
-    hasher = spans.Hasher()
-    context = TaskContext.get()
-    number = 0
-    for batch in batches:
-        for lo, hi, data, bounds in spans.slices(batch.column(1)):
-            number += 1
-            settled = f"{SETTLED}{context.partitionId() if context else 0}-{number}"
-            found = masks(hasher, data, bounds)
-            raw = memoryview(data)
-            edges = bounds.tolist()
-            ids = batch.column(0).slice(lo, hi - lo).to_pylist()
-            parts = batch.column(2).slice(lo, hi - lo).to_pylist()
-            keys = [hashlib.blake2b(raw[a:b], digest_size=16).hexdigest() for a, b in zip(edges, edges[1:])]
-            least: dict[str, int] = {}
-            for key, i in zip(keys, ids):
-                if i is not None and (key not in least or i < least[key]):
-                    least[key] = i
-            rows: dict[tuple, int] = {}
-            for key, mask, i, part in zip(keys, found.tolist(), ids, parts):
-                if i is None:
-                    row = (settled, False, 0, part, mask)
-                elif i == least[key]:
-                    row = (key, True, i, part, mask)
-                else:
-                    row = (settled, True, i, part, mask | DUPLICATE)
-                rows[row] = rows.get(row, 0) + 1
-            kinds = (pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int32())
-            arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)] + [pa.array(list(rows.values()), pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["key", "named", "doc_id", "part", "mask", "n"])
-
-
-def _retract(key: tuple[str], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """The verdicts of one text in one batch: a smaller id takes back what the former least id got."""
-    out: list[tuple] = []
-    if key[0].startswith(SETTLED):
+def _judge(buckets: int):
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(doc_id, text, part) to verdicts: of each text the least id of a slice, open, and the others,
+        settled.  What is settled needs no state: it has a bucket below 0, one for each slice."""
+        hasher = spans.Hasher()
+        context = TaskContext.get()
+        settled = -1 - ((context.partitionId() if context else 0) << 32)
+        for batch in batches:
+            for lo, hi, data, bounds in spans.slices(batch.column(1)):
+                settled -= 1
+                found = masks(hasher, data, bounds)
+                raw = memoryview(data)
+                edges = bounds.tolist()
+                ids = batch.column(0).slice(lo, hi - lo).to_pylist()
+                parts = batch.column(2).slice(lo, hi - lo).to_pylist()
+                texts = [hashlib.blake2b(raw[a:b], digest_size=16).hexdigest() for a, b in zip(edges, edges[1:])]
+                least: dict[str, int] = {}
+                for text, i in zip(texts, ids):
+                    if i is not None and (text not in least or i < least[text]):
+                        least[text] = i
+                rows: dict[tuple, int] = {}
+                for text, mask, i, part in zip(texts, found.tolist(), ids, parts):
+                    if i is None:
+                        row = (settled, "", False, 0, part, mask)
+                    elif i == least[text]:
+                        row = (int(text[:15], 16) % buckets, text, True, i, part, mask)
+                    else:
+                        row = (settled, "", True, i, part, mask | DUPLICATE)
+                    rows[row] = rows.get(row, 0) + 1
+                kinds = (pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.string(), pa.int32())
+                arrays = [pa.array(list(c), kind) for c, kind in zip(zip(*rows), kinds)]
+                arrays.append(pa.array(list(rows.values()), pa.int64()))
+                names = ["bucket", "text", "named", "doc_id", "part", "mask", "n"]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return judge
+
+
+def _retract(bucket: tuple[int], frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """The verdicts of the texts of a bucket in one batch: a smaller id takes back what the former least id
+    of its text got."""
+    columns = ["named", "doc_id", "part", "mask", "n"]
+    if bucket[0] < 0:
         for frame in frames:
-            yield frame[["named", "doc_id", "part", "mask", "n"]]
+            yield frame[columns]
         return
-    least, parts, times = state.get if state.exists else (None, [], [])
-    parts, times = list(parts), list(times)
-    before = least, len(parts)
+    known: dict[str, tuple[int, dict[str, int]]] = {}
+    if state.exists:
+        for text, i, part, n in zip(*state.get):
+            known.setdefault(text, (i, {}))[1][part] = n
+    out: list[tuple] = []
+    changed = False
     for frame in frames:
-        for mask, i, part, n in zip(frame["mask"].tolist(), frame["doc_id"].tolist(), frame["part"].tolist(), frame["n"].tolist()):
-            if least is not None and i > least:
+        for text, i, part, mask, n in zip(*(frame[c].tolist() for c in ("text", "doc_id", "part", "mask", "n"))):
+            least, counts = known.get(text, (i, {}))
+            if i > least:
                 out.append((True, i, part, mask | DUPLICATE, n))
                 continue
-            if least is None or i < least:
-                for was, k in zip(parts, times):
+            if i < least:
+                for was, k in counts.items():
                     out += [(True, least, was, mask, -k), (True, least, was, mask | DUPLICATE, k)]
-                least, parts, times = i, [], []
+                counts = {}
             out.append((True, i, part, mask, n))
-            if part in parts:
-                times[parts.index(part)] += n
-                before = None, 0
-            else:
-                parts.append(part)
-                times.append(n)
-    if (least, len(parts)) != before:
-        state.update((least, parts, times))
-    yield pd.DataFrame(out, columns=["named", "doc_id", "part", "mask", "n"])
+            known[text] = i, {**counts, part: counts.get(part, 0) + n}
+            changed = True
+    if changed:
+        flat = [(text, i, part, n) for text, (i, counts) in known.items() for part, n in counts.items()]
+        state.update(tuple(list(c) for c in zip(*flat)))
+    yield pd.DataFrame(out, columns=columns)
 
 
 def verdicts(
@@ -144,20 +153,20 @@ def verdicts(
 ) -> DataFrame:
     """(doc_id, part, mask, n) rows whose n sum up to how often each document fails that set of filters.
 
-    files: how many a batch takes, by default as many as the cluster has cores, 8 at least."""
+    files: how many a batch takes, by default four for each core of the cluster, 8 at least."""
     shared.small_batches(spark)
-    files = files or max(8, spark.sparkContext.defaultParallelism)
-    kind = spark.read.parquet(path).schema
+    files = files or max(8, 4 * spark.sparkContext.defaultParallelism)
+    still = spark.read.parquet(path)
     # a stream reads folders; as a pattern the path may also be a single file
     pattern = f"{path.rstrip('/')[:-1]}[{path.rstrip('/')[-1]}]"
-    stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", files).parquet(pattern)
+    stream = spark.readStream.schema(still.schema).option("maxFilesPerTrigger", files).parquet(pattern)
     rows = stream.select(
         F.col(key).cast("long").alias("doc_id"),
         F.col(text).cast("string").alias("text"),
         F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
     )
-    open_ = rows.mapInArrow(spans.tidy(_verdicts), VERDICTS)
-    given = open_.groupBy("key").applyInPandasWithState(_retract, DELTAS, STATE, "append", "NoTimeout")
+    open_ = rows.mapInArrow(spans.tidy(_judge(1 + still.count() // TEXTS)), VERDICTS)
+    given = open_.groupBy("bucket").applyInPandasWithState(_retract, DELTAS, STATE, "append", "NoTimeout")
     out, log = shared.folder(spark, "audit-verdicts"), shared.folder(spark, "audit-stream")
     run = given.writeStream.format("parquet").option("checkpointLocation", log).outputMode("append")
     run.trigger(availableNow=True).start(out).awaitTermination()
