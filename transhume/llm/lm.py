@@ -10,8 +10,8 @@ stands for the middle of the counts that share it.  A probability is smoothed wi
 and a text's score is the sum of log10 p over its words and its end; before the first word stands an end.
 Beside that, the base score uses the exact counts of single words.
 
-Counting: tasks combine what they see of a text slice, n-grams are dealt to segments by hash, and each
-segment is added up and kept as one row.  Segments follow the size of the corpus, so none outgrows a task.
+Counting: tasks combine what they see in COMBINED n-grams, deal it to segments by hash, each a row of packed
+arrays, and each segment is added up and kept as one row.  Segments follow the size of the corpus, so none outgrows a task.
 
 The filter: 1,024 parts by hash of the n-gram, all of one width, put together by Spark and sent to every
 worker.  It has a width in proportion to its entries up to MOST_WORDS words of 64 bits (128 MB).  Where
@@ -51,11 +51,12 @@ MOST_WORDS = 1 << 24
 COMMON = 1 << 20
 #: Bytes of text for each segment of counts.
 SEGMENT_BYTES = 4 << 20
-#: Bytes of text whose n-grams are combined before they are sent.
-AT_ONCE = 6 << 20
+#: Bytes of text counted at once, and distinct n-grams that a task holds before it sends them.
+AT_ONCE = 4 << 20
+COMBINED = 3_000_000
 
 END = np.uint64(0x51ED270B0A3F7C95)
-COUNTS = "segment BIGINT, word BOOLEAN, key BIGINT, n BIGINT"
+COUNTS = "segment BIGINT, word_keys BINARY, word_counts BINARY, pair_keys BINARY, pair_counts BINARY"
 TABLES = (
     "segment BIGINT, word_keys BINARY, word_counts BINARY, pair_keys BINARY, pair_levels BINARY, "
     "entries ARRAY<BIGINT>, words ARRAY<BIGINT>, tokens BIGINT"
@@ -103,44 +104,85 @@ def _part(keys: np.ndarray) -> np.ndarray:
     return (spans.mixed(keys) >> np.uint64(54)).astype(np.int64)
 
 
+def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sum of their counts."""
+    if not len(keys):
+        return keys, n
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(n[order], first)
+
+
+class _Sums:
+    """Counts of n-grams of one kind, combined as they come."""
+
+    def __init__(self):
+        self.keys, self.n, self.more = np.zeros(0, np.uint64), np.zeros(0, np.int64), []
+
+    def add(self, keys: np.ndarray) -> None:
+        self.more.append(np.unique(keys, return_counts=True))
+        if sum(len(k) for k, _ in self.more) > len(self.keys) // 2:
+            self.combine()
+
+    def combine(self) -> None:
+        keys, n = zip((self.keys, self.n), *self.more)
+        self.keys, self.n = _added(np.concatenate(keys), np.concatenate(n))
+        self.more = []
+
+    def dealt(self, fine: int) -> dict[int, tuple[bytes, bytes]]:
+        """What there is as packed arrays by segment: a part of the filter, and a share of that."""
+        self.combine()
+        segment = _part(self.keys) * fine + (self.keys % np.uint64(fine)).astype(np.int64)
+        order = np.argsort(segment, kind="stable")
+        keys, n, segment = self.keys[order], self.n[order], segment[order]
+        found, first = np.unique(segment, return_index=True)
+        edges = np.append(first, len(segment)).tolist()
+        self.__init__()
+        return {s: (keys[a:b].tobytes(), n[a:b].tobytes()) for s, a, b in zip(found.tolist(), edges, edges[1:])}
+
+
 def _counter(fine: int):
+    def sent(words: _Sums, both: _Sums) -> pa.RecordBatch:
+        one, two = words.dealt(fine), both.dealt(fine)
+        segments = sorted({*one, *two})
+        columns = [pa.array(segments, pa.int64())]
+        for packed in (one, two):
+            found = [packed.get(s, (b"", b"")) for s in segments]
+            columns += [pa.array([f[i] for f in found], pa.binary()) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays(columns, names=["segment", "word_keys", "word_counts", "pair_keys", "pair_counts"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = spans.Hasher(fold=True)
+        words, both = _Sums(), _Sums()
         for batch in batches:
             for _, _, data, bounds in spans.slices(batch.column(0), AT_ONCE):
                 hashes, edges = tokens(hasher, data, bounds)
-                for word, keys in ((True, hashes), (False, pairs(hashes, edges)[1])):
-                    found, n = np.unique(keys, return_counts=True)
-                    # a part of the filter, and within it a segment of counts
-                    segment = _part(found) * fine + (found % np.uint64(fine)).astype(np.int64)
-                    columns = [pa.array(segment), pa.array(np.full(len(found), word)), pa.array(spans.signed(found)), pa.array(n.astype(np.int64))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["segment", "word", "key", "n"])
+                words.add(hashes)
+                both.add(pairs(hashes, edges)[1])
+                if len(both.keys) > COMBINED:
+                    yield sent(words, both)
+        yield sent(words, both)
 
     return count
 
 
-def _added(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the sum of their counts."""
-    order = np.argsort(keys, kind="stable")
-    keys, n = keys[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(n, first) if len(first) else n
-
-
 def _segment(rows: pa.Table) -> pa.Table:
     """One segment: its words with exact counts, its pairs with levels, and how many are on each level."""
-    word = rows.column("word").to_numpy().astype(bool)
-    keys, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-    words, counts = _added(keys[word], n[word])
-    both, times = _added(keys[~word], n[~word])
+
+    def whole(name: str, kind: type) -> np.ndarray:
+        return np.frombuffer(b"".join(rows.column(name).to_pylist()), kind)
+
+    words, counts = _added(whole("word_keys", np.uint64), whole("word_counts", np.int64))
+    both, times = _added(whole("pair_keys", np.uint64), whole("pair_counts", np.int64))
     by_word = np.bincount(level(counts), minlength=LEVELS + 1)
     by_level = by_word + np.bincount(level(times), minlength=LEVELS + 1)
     return pa.table(
         {
-            "segment": pa.array(rows.column("segment")[:1].to_numpy()),
-            "word_keys": pa.array([words.astype("<i8").tobytes()], pa.binary()),
-            "word_counts": pa.array([counts.astype("<i8").tobytes()], pa.binary()),
-            "pair_keys": pa.array([both.astype("<i8").tobytes()], pa.binary()),
+            "segment": rows.column("segment")[:1].combine_chunks(),
+            "word_keys": pa.array([words.tobytes()], pa.binary()),
+            "word_counts": pa.array([counts.tobytes()], pa.binary()),
+            "pair_keys": pa.array([both.tobytes()], pa.binary()),
             "pair_levels": pa.array([level(times).tobytes()], pa.binary()),
             "entries": pa.array([by_level.tolist()], pa.list_(pa.int64())),
             "words": pa.array([by_word.tolist()], pa.list_(pa.int64())),
