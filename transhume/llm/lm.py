@@ -53,7 +53,7 @@ COMMON = 1 << 20
 SEGMENT_BYTES = 4 << 20
 #: Bytes of text counted at once, and distinct n-grams that a task holds before it sends them.
 AT_ONCE = 4 << 20
-COMBINED = 3_000_000
+COMBINED = 1_500_000
 
 END = np.uint64(0x51ED270B0A3F7C95)
 COUNTS = "segment BIGINT, word_keys BINARY, word_counts BINARY, pair_keys BINARY, pair_counts BINARY"
