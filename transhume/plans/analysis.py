@@ -39,7 +39,7 @@ def run_full(
     stored = spark.read.schema(assets.schema).parquet(kept)
     parts = {
         "assets": stored,
-        "analyses": scan.analyze_assets(stored, keep=["size", "owner"]),
+        "analyses": scan.analyze_assets(stored, keep=["size", "owner", "ord"]),
         "tables": tables,
         "jobs": listings.read_jobs(spark, f"{export_dir}/jobs"),
         "clusters": listings.read_clusters(spark, f"{export_dir}/clusters"),
@@ -55,5 +55,7 @@ def run_full(
 
 def run_quick(spark: SparkSession, export_dir: str) -> DataFrame:
     """Count of the listed assets with a source; nothing is scanned."""
-    assets = listings.read_assets(spark, f"{export_dir}/assets", f"{export_dir}/bodies")
+    assets = listings.read_assets(
+        spark, f"{export_dir}/assets", f"{export_dir}/bodies", ordered=False
+    )
     return aggregates.summary_counts(assets=assets)

@@ -13,17 +13,21 @@ from transhume import schemas
 from transhume.functions import jobs, scalars, text, types
 from transhume.operators.fields import CREATED_ALIASES, MODIFIED_ALIASES, with_settings
 from transhume.operators.joins import with_body
+from transhume.sources import ordinals
 
 
 def read_pages(
-    spark: SparkSession, path: str, schema: str, multi_line: bool = False
+    spark: SparkSession, path: str, schema: str, multi_line: bool = False, ordered: bool = False
 ) -> DataFrame:
     """All items of all pages below a path or glob; ``schema`` has the one array column.
 
     JSON lines are split over tasks.  ``multi_line`` reads pretty-printed files, each as a whole
-    by one task, so such pages should be many and not large.
+    by one task, so such pages should be many and not large.  ``ordered`` adds ``ord``, the item's
+    number in input order, for which the listing is counted first.
     """
     pages = spark.read.schema(schema).json(path, multiLine=multi_line)
+    if ordered:
+        return ordinals.items_in_order(pages, pages.columns[0])
     return pages.select(F.explode(pages.columns[0]).alias("item")).select("item.*")
 
 
@@ -34,14 +38,18 @@ def read_assets(
     ms_threshold: float = 1e9,
     multi_line: bool = False,
     distinct_paths: bool = False,
+    ordered: bool = True,
 ) -> DataFrame:
-    """The listed code assets; with ``bodies`` joined to their decoded sources."""
+    """The listed code assets; with ``bodies`` joined to their decoded sources.
+
+    ``ord`` is their place in the listing, folders included; without ``ordered`` it is left out.
+    """
 
     def time_of(aliases: tuple[str, ...]) -> Column:
         raw = scalars.first_set([F.col(name) for name in aliases], "", "0")
         return scalars.norm_timestamp(raw, ms_threshold)
 
-    listed = read_pages(spark, path, schemas.LISTING, multi_line)
+    listed = read_pages(spark, path, schemas.LISTING, multi_line, ordered)
     listed = listed.where(F.col("object_type") == "NOTEBOOK")
     assets = listed.select(
         "path",
@@ -52,12 +60,17 @@ def read_assets(
         F.coalesce(
             scalars.first_set([F.col("owner"), F.col("object_meta.owner")], ""), F.lit("")
         ).alias("owner"),
+        *place_of(ordered),
     )
     if bodies is None:
         return assets
     return with_body(assets, read_bodies(spark, bodies), distinct_paths)
 
 
+def place_of(ordered: bool) -> list[Column]:
+    return [F.col("ord")] if ordered else []
+
+
 def read_bodies(spark: SparkSession, path: str) -> DataFrame:
     """Exported sources, base64 in the file; undecodable and empty ones are left out."""
     return decode_content(spark.read.schema(schemas.BODIES).json(path), "content")
@@ -129,9 +142,11 @@ def scope_assets(df: DataFrame, prefix: str = "/", recursive: bool = True) -> Da
     return df.where(text.parent_path(F.col("path")) == folder)
 
 
-def read_tables(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """The listed tables with defaults filled in and column metadata normalised."""
-    listed = read_pages(spark, path, schemas.TABLES, multi_line)
+def read_tables(
+    spark: SparkSession, path: str, multi_line: bool = False, ordered: bool = True
+) -> DataFrame:
+    """The listed tables with defaults filled in, column metadata normalised, and their place (``ord``)."""
+    listed = read_pages(spark, path, schemas.TABLES, multi_line, ordered)
     fmt = scalars.first_set(
         [F.col("data_source_format"), F.col("format"), F.col("storage_format")], ""
     )
@@ -148,12 +163,15 @@ def read_tables(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
         "updated_at",
         F.coalesce("owner", F.lit("")).alias("owner"),
         F.coalesce("comment", F.lit("")).alias("comment"),
+        *place_of(ordered),
     )
 
 
-def read_jobs(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    """Jobs with name and schedule; the raw settings stay for the job report."""
-    listed = with_settings(read_pages(spark, path, schemas.JOBS, multi_line))
+def read_jobs(
+    spark: SparkSession, path: str, multi_line: bool = False, ordered: bool = True
+) -> DataFrame:
+    """Jobs with name, schedule and place (``ord``); the raw settings stay for the job report."""
+    listed = with_settings(read_pages(spark, path, schemas.JOBS, multi_line, ordered))
     return listed.select(
         "job_id",
         jobs.job_name(F.col("_settings"), F.col("name"), F.col("job_id")).alias("name"),
@@ -163,11 +181,15 @@ def read_jobs(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
         "is_paused",
         "creator_user_name",
         "created_by",
+        *place_of(ordered),
     )
 
 
-def read_clusters(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
-    return read_pages(spark, path, schemas.CLUSTERS, multi_line)
+def read_clusters(
+    spark: SparkSession, path: str, multi_line: bool = False, ordered: bool = True
+) -> DataFrame:
+    """The listed clusters as they are, with their place (``ord``)."""
+    return read_pages(spark, path, schemas.CLUSTERS, multi_line, ordered)
 
 
 def read_owner_status(spark: SparkSession, path: str) -> DataFrame:

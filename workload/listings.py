@@ -15,8 +15,8 @@ def save(df: DataFrame, path: str) -> str:
 
 
 def asset_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page per asset: the asset, and the folder it is in."""
-    rows = views.assets(spark, sf_dir)
+    """A page per asset, in order: the asset, and the folder it is in."""
+    rows = views.assets(spark, sf_dir).drop("content").orderBy("ord")
     folder = F.regexp_replace("path", "/[^/]+$", "")
     nothing = F.lit(None).cast("string")
 
@@ -93,8 +93,8 @@ COLUMN_TEXT = """list_aggregate(list_transform(range(1, {n} + 1), lambda i: 'c'
 
 
 def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page per table, as JSON text, since the column entries differ in shape."""
-    rows = views.tables(spark, sf_dir)
+    """A page per table, in order, as JSON text, since the column entries differ in shape."""
+    rows = views.tables(spark, sf_dir).orderBy("ord")
     numbers = "sequence(1, cast(ord % 12 as int) + 1)"
     entries = F.expr(
         f"concat('[', array_join(transform({numbers}, i -> {column_json()}), ','), ']')"
@@ -125,7 +125,7 @@ def table_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.jobs(spark, sf_dir).withColumn(
+    rows = views.jobs(spark, sf_dir).orderBy("ord").withColumn(
         "info",
         F.to_json(F.struct("job_id", "id", "name", "is_paused", "creator_user_name", "created_by")),
     )
@@ -137,7 +137,7 @@ def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def cluster_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = views.clusters(spark, sf_dir).drop("ord")
+    rows = views.clusters(spark, sf_dir).orderBy("ord").drop("ord")
     return rows.select(F.array(F.struct(*rows.columns)).alias("clusters"))
 
 

@@ -20,10 +20,12 @@ LISTED_LANGUAGE = "CASE WHEN ord % 4 <> 0 THEN language ELSE 'PYTHON' END"
 @query(
     "src_assets",
     with_(ASSETS, TIMES)
-    + f"""SELECT path, {LISTED_LANGUAGE} AS language, content, CAST(size AS INTEGER) AS size,
+    + f"""SELECT ord, path, language, content, size, object_id, created_at, modified_at, owner FROM (
+    SELECT 2 * row_number() OVER (ORDER BY ord) - 1 AS ord, {BAD_BODY} AS bad, path,
+      {LISTED_LANGUAGE} AS language, content, CAST(size AS INTEGER) AS size,
       object_id, {iso_sql("created_raw")} AS created_at, {iso_sql("modified_raw")} AS modified_at,
       {LISTED_OWNER} AS owner
-    FROM times WHERE NOT {BAD_BODY}""",
+    FROM times) WHERE NOT bad""",
 )
 def src_assets(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = export.export_dir(spark, sf_dir, "assets", "bodies")
@@ -54,7 +56,7 @@ def src_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listings.decode_content(rows, "content")
 
 
-LISTED_TABLE = f"""SELECT name, catalog, schema, coalesce(table_type, 'MANAGED') AS table_type,
+LISTED_TABLE = f"""SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, name, catalog, schema, coalesce(table_type, 'MANAGED') AS table_type,
   data_source_format, coalesce(storage_location, '') AS storage_location,
   CASE WHEN ord % 10 <> 0 THEN {COLUMN_TEXT.format(n="(ord % 12 + 1)")} ELSE '' END AS columns_text,
   coalesce(size_bytes, 0)::BIGINT AS size_bytes, created_at, updated_at,
@@ -139,16 +141,20 @@ def src_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("src_jobs", with_(JOBS) + "SELECT job_id, name, schedule FROM jobs_v")
+@query(
+    "src_jobs",
+    with_(JOBS)
+    + "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, job_id, name, schedule FROM jobs_v",
+)
 def src_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = export.export_dir(spark, sf_dir, "jobs")
-    return listings.read_jobs(spark, f"{root}/jobs").select("job_id", "name", "schedule")
+    return listings.read_jobs(spark, f"{root}/jobs").select("ord", "job_id", "name", "schedule")
 
 
 @query(
     "src_clusters",
     with_(CLUSTERS)
-    + """SELECT cluster_id, num_workers, min_workers, driver_node_type_id, node_type_id, start_time,
+    + """SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, cluster_id, num_workers, min_workers, driver_node_type_id, node_type_id, start_time,
       NULL::BIGINT AS created_time, terminated_time, NULL::BIGINT AS end_time FROM clusters_v""",
 )
 def src_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
