@@ -3,6 +3,10 @@
 Everything happens inside the row: a source is rewritten, split and compared where it is read, so
 neither the rewrite nor the diff shuffles.  Only the order-free tally shuffles, and it sends the
 changed lines alone.
+
+Lines pair up by expressions alone wherever rules account for the change.  For texts that came about
+otherwise, ``sequence=True`` finds a longest common subsequence of the lines, in Arrow batches of the
+sources that don't line up; the others send nothing there.
 """
 
 from __future__ import annotations
@@ -11,11 +15,12 @@ import re
 from collections.abc import Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transhume import values
-from transhume.functions import scalars, text
+from transhume.functions import scalars, sequences, text
 from transhume.operators.fields import existing
 from transhume.values import Rewrite
 
@@ -120,6 +125,21 @@ def end_pairs(before: Column, after: Column) -> Column:
     return zipped(left, right)
 
 
+def sequence_pairs(before: Column, after: Column) -> Column:
+    """Pairs along a longest common subsequence of the lines; null where either side is."""
+
+    @F.arrow_udf("array<struct<l: string, r: string>>")
+    def paired(left: pa.Array, right: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string())]))
+        rows = zip(left.to_pylist(), right.to_pylist())
+        return pa.array(
+            [None if a is None or b is None else [{"l": x, "r": y} for x, y in sequences.paired(a, b)] for a, b in rows],
+            kind,
+        )
+
+    return paired(before, after)
+
+
 def joined_lines(source: Column, rule: Rewrite) -> Column:
     """The source with the line ends inside matches of a rule turned into a mark, in one pass.
 
@@ -146,36 +166,49 @@ def diff_ops(
     body: str = "body",
     header: str | None = "header",
     rules: Sequence[Rewrite] = values.REWRITES,
+    sequence: bool = False,
 ) -> DataFrame:
     """Add ``pairs`` (l, r) of body lines, ``header_lines`` and the ``aligned`` flag.
 
     A null side marks a removed or added line.  With equal line counts the lines pair up by
     position.  Where rules took line ends away, each match over several lines is paired as one;
-    where even that does not line up, only the common lines at both ends pair up.
+    where even that does not line up, only the common lines at both ends pair up, or with ``sequence``
+    those of a longest common subsequence.  Without rules (texts that were edited by hand, say) lines
+    pair up by position only if no longer subsequence can be expected: ``sequence`` then compares all
+    texts that differ.
     """
     head = text.lines(F.col(header)) if header else F.array().cast("array<string>")
     split = df.withColumns({"_before": text.lines(F.col(before)), "header_lines": head})
     # Most sources are not changed by any rule, and those are split once.
     unchanged = F.when(F.col(body) == F.col(before), F.col("_before"))
     split = split.withColumn("_after", unchanged.otherwise(text.lines(F.col(body))))
-    split = split.withColumn("aligned", F.size("_before") == F.size("_after"))
+    same_size = F.size("_before") == F.size("_after")
+    by_place = same_size if rules or not sequence else F.col(body) == F.col(before)
+    split = split.withColumn("aligned", by_place)
     # The marked source is null, and costs nothing, wherever lines pair up by position.
     marked = ~F.col("aligned") & ~F.contains(F.col(before), F.lit(LINE_MARK))
     split = split.withColumn("_marked", F.when(marked, F.col(before)))
     for rule in rules:
         split = split.withColumn("_marked", joined_lines(F.col("_marked"), rule))
     split = split.withColumn("_marked", text.lines(F.col("_marked")))
-    joins = F.coalesce(F.size("_marked") == F.size("_after"), F.lit(False))
+    joins = F.coalesce(F.size("_marked") == F.size("_after"), F.lit(False)) & F.lit(bool(rules))
     by_match = F.flatten(
         F.zip_with("_marked", "_after", lambda l, r: zipped(F.split(l, LINE_MARK), F.array(r)))
     )
+    if sequence:
+        split = split.withColumn("_done", F.col("aligned") | joins)
+        sides = [F.when(~F.col("_done"), F.col(c)) for c in ("_before", "_after")]
+        split = split.withColumn("_other", sequence_pairs(*sides))
+        other = F.col("_other")
+    else:
+        other = end_pairs(F.col("_before"), F.col("_after"))
     pairs = (
         F.when(F.col("aligned"), zipped(F.col("_before"), F.col("_after")))
         .when(joins, by_match)
-        .otherwise(end_pairs(F.col("_before"), F.col("_after")))
+        .otherwise(other)
     )
     split = split.withColumns({"pairs": pairs, "aligned": F.col("aligned") | joins})
-    return split.drop("_before", "_after", "_marked")
+    return split.drop("_before", "_after", "_marked", "_done", "_other")
 
 
 def op_list(pairs: Column, header_lines: Column) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from concurrent.futures import ThreadPoolExecutor
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -104,10 +105,12 @@ def write_inventory(parts: Mapping[str, DataFrame], path: str, as_of: str | None
         list(pool.map(write, parts))
 
 
-def write_conversion_report(df: DataFrame, path: str) -> None:
-    """Path, key, outcome, lines and diff of every conversion; the lists stay inside the row."""
+def write_conversion_report(df: DataFrame, path: str, **args: Any) -> None:
+    """Path, key, outcome, lines and diff of every conversion; the lists stay inside the row.
+
+    ``args`` go to the diff; sources that don't line up are compared as sequences."""
     ops = op_list(F.col("pairs"), F.col("header_lines"))
-    lines = diff_ops(df)
+    lines = diff_ops(df, **{"sequence": True, **args})
     before = F.transform(
         F.filter("pairs", lambda p: p["l"].isNotNull()), lambda p: p["l"]
     )
