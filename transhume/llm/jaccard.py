@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from transhume.llm import shared, spans
-from transhume.llm.components import components
+from transhume.llm.components import components, extended
 
 SHINGLE = 5
 #: Similarity in percent.
@@ -46,6 +46,8 @@ CHUNK = 1 << 12
 TURNS = 1
 #: Words of 64 bits of the short parity that is compared within joins.
 SHORT = 8
+#: Tokens before a shared one that are looked at to tell whether the pair has met already.
+BACK = 4
 
 SHAPES = "is_doc BOOLEAN, doc BIGINT, t BIGINT, n BIGINT, member BIGINT, chunk INT, loads BINARY"
 PREFIXES = (
@@ -286,24 +288,32 @@ def verify(pairs: DataFrame, marks: DataFrame, reps: DataFrame, rows: DataFrame)
     return out
 
 
-def _open_lists(
-    lists: DataFrame, in_group: DataFrame, heads: DataFrame, marks: DataFrame, links: DataFrame
-) -> DataFrame:
+def _open_lists(lists: DataFrame, in_group: DataFrame, heads: DataFrame, marks: DataFrame, part: DataFrame) -> DataFrame:
     """The members under each shared token that the links so far leave in several components, with the
-    component most of them are in."""
-    part = shared.written(components(links), "jaccard-parts")
+    component most of them are in, and the tokens of that kind that come before in the member's order."""
     placed = in_group.select("grp", "member").join(part, F.col("member") == F.col("node"), "left")
     placed = placed.select("grp", "member", F.coalesce("component", "member").alias("component"))
-    expanded = lists.select("token", "grp", "n", "at").join(placed, "grp")
+    # what a group's members are in, with how many of them
+    in_parts = placed.groupBy("grp", "component").agg(F.count(F.lit(1)).alias("k"))
     # a group is a list of its own, as its members share their first token
-    alike = placed.join(heads.where("k > 1").select("grp"), "grp").join(in_group, ["grp", "member"])
-    alike = alike.select(F.col("grp").alias("token"), "n", F.lit(0).alias("at"), "member", "component")
-    expanded = expanded.select("token", "n", "at", "member", "component").unionByName(alike)
-    per_token = expanded.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("token")
+    several = heads.where("k > 1").select("grp")
+    tokens = lists.select("token", "grp").join(in_parts, "grp").select("token", "component", "k")
+    own = in_parts.join(several, "grp").select(F.col("grp").alias("token"), "component", "k")
+    per_token = tokens.unionByName(own).groupBy("token", "component").agg(F.sum("k").alias("k")).groupBy("token")
     mixed = per_token.agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "k").alias("main"))
     mixed = shared.written(mixed.where("parts > 1").select("token", "main"), "jaccard-mixed")
     words = [F.col("short")[i].alias(f"p{i}") for i in range(SHORT)]
-    found = expanded.join(mixed, "token").join(marks.select("member", *words), "member")
+    # a group has as many rows here as its prefix has tokens at most
+    order = Window.partitionBy("grp").orderBy("at")
+    before = F.array_compact(F.array(*[F.lag("token", i + 1).over(order) for i in range(BACK)]))
+    open_ = lists.select("token", "grp", "n", "at").join(mixed, "token").withColumn("back", before)
+    open_ = open_.join(placed, "grp").select("token", "grp", "n", "at", "back", "main", "member", "component")
+    alike = placed.join(several, "grp").join(mixed.withColumnRenamed("token", "grp"), "grp")
+    alike = alike.join(in_group, ["grp", "member"]).select(
+        F.col("grp").alias("token"), F.lit(None).cast("long").alias("grp"), "n", F.lit(0).alias("at"),
+        F.array().cast("array<bigint>").alias("back"), "main", "member", "component",
+    )
+    found = open_.unionByName(alike).join(marks.select("member", *words), "member")
     return shared.written(found, "jaccard-open")
 
 
@@ -328,14 +338,19 @@ def _some_pairs(opened: DataFrame, turn: int) -> DataFrame:
 
 
 def _all_pairs(opened: DataFrame) -> DataFrame:
-    """Every candidate pair of members in different components."""
+    """Every candidate pair of members in different components.
+
+    A pair that shares one of the tokens just before has met under that one, and members of one group meet
+    under the group: so of a run of shared tokens the first alone gives the pair.  The first token that
+    two members share has none before it, and no pair is lost."""
     a, b = opened.where("component <> main"), opened
-    names = ["n", "at", "member", "component", *[f"p{i}" for i in range(SHORT)]]
+    names = ["grp", "back", "n", "at", "member", "component", *[f"p{i}" for i in range(SHORT)]]
     b = b.select("token", *[F.col(c).alias(f"_{c}") for c in names])
     apart = (F.col("component") != F.col("_component")) & (
         (F.col("_component") == F.col("main")) | (F.col("member") < F.col("_member"))
     )
-    met = a.join(b, (a["token"] == b["token"]) & apart & _fits("n", "at", "_n", "_at") & _room())
+    new = F.coalesce(F.col("grp") != F.col("_grp"), F.lit(True)) & ~F.arrays_overlap("back", "_back")
+    met = a.join(b, (a["token"] == b["token"]) & apart & new & _fits("n", "at", "_n", "_at") & _room())
     return _pairs(met, "member", "_member")
 
 
@@ -386,16 +401,15 @@ def members(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     inside = in_group.join(heads.where("k > 1"), "grp").where("member <> head")
     tried = _pairs(near, "head_x", "head_y").unionByName(_pairs(inside, "member", "head")).distinct()
     tried = shared.written(tried, "jaccard-tried")
-    links = verify(tried, marks, reps, rows)
+    part = shared.written(components(verify(tried, marks, reps, rows)), "jaccard-parts")
     for turn in range(TURNS):
-        pairs = _some_pairs(_open_lists(lists, in_group, heads, marks, links), turn)
+        pairs = _some_pairs(_open_lists(lists, in_group, heads, marks, part), turn)
         pairs = shared.written(pairs.join(tried, ["x", "y"], "left_anti"), "jaccard-pairs")
         tried = tried.unionByName(pairs)
-        links = links.unionByName(verify(pairs, marks, reps, rows))
-    rest = _all_pairs(_open_lists(lists, in_group, heads, marks, links))
+        part = extended(part, verify(pairs, marks, reps, rows))
+    rest = _all_pairs(_open_lists(lists, in_group, heads, marks, part))
     rest = shared.written(rest.join(tried, ["x", "y"], "left_anti"), "jaccard-rest")
-    more = verify(rest, marks, reps, rows)
-    final = shared.written(components(links.unionByName(more)), "jaccard-components")
+    final = extended(part, verify(rest, marks, reps, rows))
 
     named = reps.select("member", "least").join(final, F.col("member") == F.col("node"), "left")
     named = named.select("member", "least", F.coalesce("component", "member").alias("c"))
