@@ -159,6 +159,11 @@ def encoder(path: str) -> Encoder:
     return vars(kept)[path]
 
 
+def release(path: str) -> None:
+    """Let go of this process's encoder."""
+    vars(sys.modules.get("_kept_encoders", types.ModuleType("none"))).pop(path, None)
+
+
 def default_path(name: str) -> str:
     import public_tokenizers
 

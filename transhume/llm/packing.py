@@ -260,7 +260,7 @@ def places(fillings: list[Filling]) -> list[tuple[int, int, int, int, int, int]]
     return rows
 
 
-def _cutter(tokenizer: str, capacity: int):
+def _cutter(tokenizer: str, capacity: int, forget: bool = False):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         encoder = encoding.encoder(tokenizer)
@@ -289,6 +289,9 @@ def _cutter(tokenizer: str, capacity: int):
                     rows, held, size = [], [], 0
             if rows:
                 yield made(rows, held)
+        if forget:
+            del encoder
+            encoding.release(tokenizer)
 
     return pieces
 
@@ -300,12 +303,15 @@ def pack(
     text: str = "text",
     capacity: int = CAPACITY,
     nodes: int = NODES,
+    forget: bool = False,
 ) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids, sequence_id, offset."""
+    """One row per piece: doc_id, piece, start, length, ids, sequence_id, offset.
+
+    With ``forget`` workers don't keep the encoder after a task, for jobs whose other stages need the memory."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    pieces = shared.written(source.mapInArrow(spans.tidy(_cutter(tokenizer, capacity)), PIECES), "packing-pieces")
+    pieces = shared.written(source.mapInArrow(spans.tidy(_cutter(tokenizer, capacity, forget)), PIECES), "packing-pieces")
     # only the last join reads the ids
     parts = pieces.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
