@@ -39,7 +39,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their ids, a digest of these, and their places in sequences."""
-    return packing.digests(packing.pack(docs, encoding.default_path("byte_bpe_50k.json")))
+    return packing.digests(packing.pack(docs, encoding.default_path("byte_bpe_50k.json"), forget=True))
 
 
 STAGES = [
