@@ -1,19 +1,20 @@
-"""Sequence diff, page chains and differing rows, on data derived from the given tables."""
+"""Sequence diff, page chains, differing rows, facets and united activity, on data derived from the given
+tables."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transhume import schemas
+from transhume.operators import activity, facets
 from transhume.plans import differences
 from transhume.session import scratch_dir
 from transhume.sinks import reports as sinks
 from transhume.sources import chains
-from workload import listings as export
 from workload import views
+from workload.q_scan import analysis
 from workload.registry import query
-from workload.views import ASSETS, TABLES, with_
+from workload.views import ASSETS, SCAN, TABLES, UNITS, with_
 
 
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,3 +146,69 @@ def job_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "differing")
     copy.write.parquet(path)
     return differences.differing_rows(source, spark.read.schema(source.schema).parquet(path), ["o_orderkey"])
+
+
+def facet_sql(name: str, others: str) -> str:
+    return f"""SELECT '{name}' AS facet, {name} AS value, count(*) FILTER ({others}) AS n, count(*) AS n_all
+      FROM analysis WHERE {name} IS NOT NULL GROUP BY {name}"""
+
+
+@query(
+    "agg_facet_counts",
+    with_(ASSETS, SCAN)
+    + facet_sql("language", "complexity = 'simple' AND risk = 'red'")
+    + " UNION ALL " + facet_sql("complexity", "language = 'PYTHON' AND risk = 'red'")
+    + " UNION ALL " + facet_sql("risk", "language = 'PYTHON' AND complexity = 'simple'")
+    + " UNION ALL " + facet_sql("owner", "language = 'PYTHON' AND complexity = 'simple' AND risk = 'red'"),
+)
+def agg_facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = ["language", "complexity", "risk", "owner"]
+    chosen = {"language": "PYTHON", "complexity": "simple", "risk": "red", "owner": "All"}
+    return facets.facet_counts(analysis(spark, sf_dir), names, chosen)
+
+
+def repeated_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A cluster for each user, listed once for each kind of event and every half of the month."""
+    events = views.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("t"))
+    half = F.floor(F.col("t") / (15 * 86400000))
+    spans = events.groupBy("user_id", "event_type", half.alias("half")).agg(
+        F.min("t").alias("a"), F.max("t").alias("b"), F.min("event_id").alias("ord")
+    )
+    user = F.col("user_id")
+    return spans.select(
+        "ord",
+        F.concat(F.lit("u"), user.cast("string")).alias("cluster_id"),
+        (user % 5).cast("int").alias("num_workers"),
+        F.lit(None).cast("struct<min_workers: int>").alias("autoscale"),
+        F.lit("").alias("driver_node_type_id"),
+        views.case("ord % 3", n0="'i3.large'", n1="'i3.xlarge'", n2="'m5.metal'").alias("node_type_id"),
+        F.when(user % 9 != 0, F.col("a")).alias("start_time"),
+        F.lit(None).cast("long").alias("created_time"),
+        F.col("b").alias("terminated_time"),
+        F.lit(None).cast("long").alias("end_time"),
+    )
+
+
+@query(
+    "cost_activity",
+    f"""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) // 1000 AS t FROM events),
+    s AS (SELECT user_id, event_type, t // 1296000000 AS half, min(t) / 1000.0::DOUBLE AS a, max(t) / 1000.0::DOUBLE AS b,
+      min(event_id) AS ord FROM e GROUP BY user_id, event_type, t // 1296000000),
+    w AS (SELECT user_id, greatest(a, {views.AS_OF - 30 * 86400}) AS a, b FROM s WHERE user_id % 9 <> 0),
+    o AS (SELECT user_id, a, b, max(b) OVER (PARTITION BY user_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m
+      FROM w WHERE b > a),
+    h AS (SELECT user_id, sum(greatest(b - greatest(a, coalesce(m, a)), 0)) / 3600.0 AS hours FROM o GROUP BY user_id),
+    l AS (SELECT user_id, count(*) AS listed, max(ord) AS ord FROM s GROUP BY user_id),
+    n AS (SELECT *, CASE ord % 3 WHEN 0 THEN 'i3.large' WHEN 1 THEN 'i3.xlarge' ELSE 'm5.metal' END AS node FROM l),
+    c AS (SELECT ord, 'u' || user_id AS cluster_id, listed, CAST(user_id % 5 AS INTEGER) AS workers, node,
+      CASE WHEN user_id % 9 = 0 THEN 180.0 ELSE coalesce(hours, 0) END::DOUBLE AS hours
+      FROM n LEFT JOIN h USING (user_id))
+    SELECT ord, cluster_id, listed, workers, round(hours, 4) AS hours,
+      round({UNITS.format("node")} * (1 + workers) * hours, 4) AS dbu_hours FROM c""",
+)
+def cost_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hours of clusters whose listings overlap, each hour once."""
+    rows = activity.cluster_cost_once(repeated_clusters(spark, sf_dir), views.AS_OF)
+    return rows.select(
+        "ord", "cluster_id", "listed", "workers", F.round("hours", 4).alias("hours"), F.round("dbu_hours", 4).alias("dbu_hours")
+    )
