@@ -25,6 +25,8 @@ the input.  Hashes of words and windows have 64 bits.
 A null text has no words.  A row without id has no order: it keeps all words and removes none elsewhere.
 Rows that repeat an id don't remove each other's words, and each is judged by its own text.  A text of fewer
 than 13 words is kept whole.
+
+An empty table gives no rows.  Further columns, whatever their names, and very long texts change nothing.
 """
 
 from __future__ import annotations

@@ -9,6 +9,8 @@ is ever shuffled.  All of it is DataFrame expressions.
 Null text counts as empty, and empty texts are equal to each other.  A document is known by its
 doc_id; rows that repeat a doc_id within a group each count in the group's size and share one verdict.
 The smallest id that is not null is preferred, so a group keeps a null id only if it has no other.
+
+An empty table gives no rows.  Further columns, whatever their names, and very long texts change nothing.
 """
 
 from __future__ import annotations

@@ -21,6 +21,8 @@ key is hot.  The bucket counts (8 MB) are the only thing the driver holds.
 
 A text that is null or has no words has an empty set and is alone, under its own id.  Rows that repeat an id
 are members by their text; a component's name is the least id in it, null only if it has no other.
+
+An empty table gives no rows.  Further columns, whatever their names, and very long texts change nothing.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ FIT_ROWS labelled documents, taken by a hash of the id over the whole table, all
 
 A text that is null or has no letter is `und` with score 0.  Every row of the input gives one row, repeated
 ids too.  Without labelled rows there is nothing to learn, and every text is `und`.
+
+An empty table gives no rows.  Further columns, whatever their names, and very long texts change nothing.
 """
 
 from __future__ import annotations

@@ -13,6 +13,8 @@ only the matches move.
 
 A null text is empty.  A document is known by doc_id and text: rows that repeat both get the same result
 each, and rows that repeat only the id their own.
+
+An empty table gives no rows.  Further columns, whatever their names, and very long texts change nothing.
 """
 
 from __future__ import annotations

@@ -7,6 +7,8 @@ rows, a parameter, so it is broadcast, and a key finds its shard by one hash loo
 
 The table depends on the shard names alone.  Placement is DataFrame expressions without a shuffle.
 A null key is not placed: its row stays, with null slot and shard.  Repeated keys get one shard.
+
+An empty table gives no rows.  Further columns, whatever their names, and very long texts change nothing.
 """
 
 from __future__ import annotations

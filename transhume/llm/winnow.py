@@ -17,6 +17,8 @@ that may be hit.
 A null or wordless text has no words and no hits; a null or wordless item is never found.  A document is
 known by doc_id and text, so rows that repeat an id are judged each by their own text, and repeated items
 count once by item_id (a null item_id is left out of the list).
+
+An empty table gives no rows.  Further columns, whatever their names, and very long texts change nothing.
 """
 
 from __future__ import annotations
