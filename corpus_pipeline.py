@@ -7,6 +7,11 @@ benchmark    documents that hold passages of the benchmark go
 packing      what is left, cut and packed into sequences: each piece with its ids and place
 
 packing.sequences() gives the ids of each sequence from the last stage's rows.
+
+Null texts have no language and go first; without any label nothing is rejected, and they are equal to empty
+ones.  Rows without an id are documents like others.  Of repeated rows one stays after the second stage.
+Stages before the last give the columns that came, whatever their names.  Empty tables give no rows, and an
+empty benchmark rejects nothing.
 """
 
 from __future__ import annotations
