@@ -18,7 +18,7 @@ from workload import views
 from workload.listings import BAD_BODY, UNREADABLE
 from workload.q_fields import TRIGGER
 from workload.q_reports import LAST, analyses, overview
-from workload.q_scan import ANALYSIS, BUCKET, CONVERTED, LABEL, PCT, converted
+from workload.q_scan import ANALYSIS, BUCKET, CONVERTED, DIFF, LABEL, PCT, converted
 from workload.registry import query
 from workload.views import ASSETS, JOBS, SCAN, TABLES, confidence_sql, with_
 
@@ -193,15 +193,18 @@ def sink_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "sink_conv_report",
-    with_(ASSETS, CONVERTED)
-    + """SELECT path, converted_key, true AS uploaded, content_lines + 0 AS n_before,
+    with_(ASSETS, CONVERTED, DIFF)
+    + """, w AS (SELECT path, md5(string_agg(op || line, chr(10) ORDER BY seq)) AS diffs_md5,
+      md5(string_agg(line, chr(10) ORDER BY seq) FILTER (op <> '+')) AS before_md5,
+      md5(string_agg(line, chr(10) ORDER BY seq) FILTER (op <> '-')) AS after_md5 FROM diff GROUP BY path)
+    SELECT path, converted_key, true AS uploaded, before_md5, after_md5, diffs_md5, content_lines + 0 AS n_before,
       content_lines + header_lines AS n_after, content_lines + changed + header_lines AS n_ops
     FROM (SELECT path, converted_key,
       length(before) - length(replace(before, chr(10), '')) AS content_lines,
       length(after) - length(replace(after, chr(10), '')) -
         (length(body) - length(replace(body, chr(10), ''))) AS header_lines,
       CAST(regexp_matches(before, 'dbutils\\.fs') AS INT) + CAST(contains(before, 'display(df)') AS INT)
-        + CAST(contains(before, '/dbfs/t') AS INT) AS changed FROM full_converted)""",
+        + CAST(contains(before, '/dbfs/t') AS INT) AS changed FROM full_converted) JOIN w USING (path)""",
 )
 def sink_conv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_dir(spark, "report")
@@ -217,6 +220,9 @@ def sink_conv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("before_lines").cast("long").alias("n_before"),
         F.size("after_lines").cast("long").alias("n_after"),
         F.size("diffs").cast("long").alias("n_ops"),
+        F.md5(F.array_join("before_lines", "\n")).alias("before_md5"),
+        F.md5(F.array_join("after_lines", "\n")).alias("after_md5"),
+        F.md5(F.array_join(F.transform("diffs", lambda d: F.concat(d["op"], d["line"])), "\n")).alias("diffs_md5"),
     )
 
 
