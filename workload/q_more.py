@@ -6,11 +6,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transhume.operators import activity, facets
+from transhume.operators import activity, facets, rule_index
 from transhume.plans import differences
 from transhume.session import scratch_dir
 from transhume.sinks import reports as sinks
 from transhume.sources import chains
+from transhume.values import Rule
 from workload import views
 from workload.q_scan import analysis
 from workload.registry import query
@@ -212,3 +213,36 @@ def cost_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(
         "ord", "cluster_id", "listed", "workers", F.round("hours", 4).alias("hours"), F.round("dbu_hours", 4).alias("dbu_hours")
     )
+
+
+# The parts that the words of the wide rule set are made of.
+PARTS = ("an", "at", "ed", "en", "er", "in", "is", "nd", "on", "or", "ou", "re", "th", "ti")
+WORDS = [a + b + c for a in PARTS for b in PARTS for c in PARTS]
+WIDE_RULES = [
+    Rule(word, rf"\b{word}\b", (word,), issue=f"has {word}" if i % 3 == 0 else None)
+    for i, word in enumerate(WORDS)
+]
+
+
+@query(
+    "scan_many_rules",
+    with_(ASSETS)
+    + f""", parts AS (SELECT unnest({list(PARTS)}) AS p),
+    words AS (SELECT a.p || b.p || c.p AS word,
+        row_number() OVER (ORDER BY a.p, b.p, c.p) - 1 AS i FROM parts a, parts b, parts c),
+    found AS (SELECT path, unnest(list_distinct(regexp_extract_all(content, '[\\p{{L}}\\p{{N}}_]+'))) AS word
+      FROM assets_v),
+    hits AS (SELECT path, string_agg(word, '|' ORDER BY i) AS detected,
+        coalesce(string_agg('has ' || word, '|' ORDER BY i) FILTER (WHERE i % 3 = 0), '') AS issues
+      FROM found JOIN words USING (word) GROUP BY path)
+    SELECT path, coalesce(detected, '') AS detected, coalesce(issues, '') AS issues
+    FROM assets_v LEFT JOIN hits USING (path)""",
+)
+def scan_many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """2,744 rules in one scan."""
+    rows = rule_index.scan_rules(views.assets(spark, sf_dir), WIDE_RULES, issues="issues")
+    return rows.select(
+        "path",
+        F.array_join("detected_patterns", "|").alias("detected"),
+        F.array_join("issues", "|").alias("issues"),
+    )
