@@ -2,22 +2,19 @@
 
 One test a rule is a pass over the text for each rule.  Here every literal of a rule (its hints, of which one
 occurs in each match) is filed under one of its q-grams, the one that fewest literals share.  A text is read
-once: numpy looks its q-grams up in the index, in Arrow batches, and gives the numbers of the rules that may
-match.  Spark then tests only these, literal first, inside the row: nothing is exploded or shuffled, and the
-text goes to Python but does not come back.  Rules without literals, or with one shorter than a q-gram, are
+once, in chunks of bounded size: its q-grams are cut to those of the index, which give the numbers of the rules
+that may match, and only these are tested, literal first.  All of it stays inside the row, in native
+expressions; nothing is exploded or shuffled.  Rules without literals, or with one shorter than a q-gram, are
 tested on every text.
 """
 
 from __future__ import annotations
 
 import json
-import sys
+import zlib
 from collections import Counter
 from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,87 +22,56 @@ from transhume import values
 from transhume.functions.text import java_regex
 from transhume.values import Rule
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+Q = 4  # characters of a q-gram
+CHUNK = 1 << 16  # characters whose q-grams are held at once
+SLOTS = 1 << 10  # of the index; a slot holds the q-grams of one remainder of their checksum
+ENTRY = "gram: string, rules: array<int>"
 
-Q = 4  # bytes of a q-gram, read as one number
-AT_ONCE = 1 << 20  # bytes of text whose q-grams are held at once
-HASH_BITS = 16  # of a first table that most q-grams of a text fail in
 
-
-def codes(data: np.ndarray) -> np.ndarray:
-    """The q-gram that starts at each byte, as a number; the last Q - 1 bytes start none."""
-    n = max(len(data) - Q + 1, 0)
-    out = np.zeros(n, np.uint32)
-    for i in range(Q):
-        out |= data[i : i + n].astype(np.uint32) << np.uint32(8 * i)
-    return out
-
-
-def slot(grams: np.ndarray) -> np.ndarray:
-    return (grams * np.uint32(2654435761)) >> np.uint32(32 - HASH_BITS)
+def grams(text: str) -> list[str]:
+    return [text[i : i + Q] for i in range(len(text) - Q + 1)]
 
 
 class RuleIndex:
-    """Literals of rules by q-gram; as many entries as there are literals, so tasks carry it with them."""
+    """Literals of rules by q-gram; as many entries as there are literals, kept in the plan."""
 
     def __init__(self, literals: Sequence[Sequence[str]]):
         """``literals`` holds, for each rule, texts of which at least one occurs in every match."""
-        raw = [[text.encode("utf-8") for text in texts] for texts in literals]
-        whole = [bool(texts) and all(len(text) >= Q for text in texts) for texts in raw]
-        self.always = [i for i, usable in enumerate(whole) if not usable]
-        grams = {
-            text: codes(np.frombuffer(text, np.uint8)).tolist()
-            for texts, usable in zip(raw, whole) if usable for text in texts
-        }
-        shared = Counter(gram for found in grams.values() for gram in set(found))
-        filed = sorted(
-            {
-                (min(grams[text], key=lambda gram: (shared[gram], gram)), i)
-                for i, usable in enumerate(whole) if usable for text in raw[i]
-            }
-        )
-        keys = np.array([gram for gram, _ in filed], np.uint32)
-        self.rules = np.array([i for _, i in filed], np.int32)
-        self.keys, self.first = np.unique(keys, return_index=True)
-        self.sizes = np.diff(np.append(self.first, len(keys)))
-        self.table = np.zeros(1 << HASH_BITS, bool)
-        self.table[slot(self.keys)] = True
-
-    def keys_in(self, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Distinct (text, number of key) in the texts that lie end to end, as text * keys + key."""
-        found = []
-        for at in range(0, len(data), AT_ONCE):
-            grams = codes(data[at : at + AT_ONCE + Q - 1])
-            place = np.flatnonzero(self.table[slot(grams)])
-            grams = grams[place]
-            key = np.minimum(np.searchsorted(self.keys, grams), len(self.keys) - 1)
-            real = self.keys[key] == grams
-            place, key = place[real] + at, key[real]
-            text = np.searchsorted(bounds, place, side="right") - 1
-            inside = place + Q <= bounds[text + 1]
-            found.append(np.unique(text[inside] * len(self.keys) + key[inside]))
-        return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-
-    def candidates(self, column: pa.Array) -> pa.Array:
-        """Numbers of the rules that may match each text, besides those tested always; none for null."""
-        column = column.cast(pa.large_string()).fill_null("")
-        size, item = len(column), pa.int32()
-        if not size or not len(self.keys):
-            return pa.array([[]] * size, pa.list_(item))
-        bounds = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + size + 1]
-        lo, hi = int(bounds[0]), int(bounds[-1])
-        buffer = column.buffers()[2]
-        data = np.frombuffer(buffer, np.uint8)[lo:hi] if buffer and hi > lo else np.zeros(0, np.uint8)
-        hits = self.keys_in(data, bounds - lo)
-        text, key = np.divmod(hits, len(self.keys))
-        n = self.sizes[key]
-        ends = np.cumsum(n)
-        total = int(ends[-1]) if len(ends) else 0
-        at = np.repeat(self.first[key] - ends + n, n) + np.arange(total)
-        pairs = np.unique(np.repeat(text, n) * (int(self.rules.max()) + 1) + self.rules[at])
-        text, rule = np.divmod(pairs, int(self.rules.max()) + 1)
-        starts = np.searchsorted(text, np.arange(size + 1)).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(starts), pa.array(rule.astype(np.int32), item))
+        usable = {i: texts for i, texts in enumerate(literals) if texts and min(map(len, texts)) >= Q}
+        self.always = [i for i in range(len(literals)) if i not in usable]
+        shared = Counter(g for text in {t for ts in usable.values() for t in ts} for g in set(grams(text)))
+        self.filed: dict[str, set[int]] = {}
+        for i, texts in usable.items():
+            for text in texts:
+                key = min(grams(text), key=lambda g: (shared[g], g))
+                self.filed.setdefault(key, set()).add(i)
+
+    def slots(self) -> list[list[dict]]:
+        out: list[list[dict]] = [[] for _ in range(SLOTS)]
+        for gram, rules in sorted(self.filed.items()):
+            place = zlib.crc32(gram.encode("utf-8")) % SLOTS
+            out[place].append({"gram": gram, "rules": sorted(rules)})
+        return out
+
+    def candidates(self, text: Column) -> Column:
+        """Numbers of the rules that may match, in order; only those tested always for null."""
+        if not self.filed:
+            return _constant(self.always, "array<int>")
+        keys = _constant(sorted(self.filed), "array<string>")
+        table = _constant(self.slots(), f"array<array<struct<{ENTRY}>>>")
+
+        def known(at: Column) -> Column:
+            part = F.substring(text, at, F.lit(CHUNK + Q - 1))
+            return F.array_intersect(F.regexp_extract_all(part, F.lit(f"(?s)(?=(.{{{Q}}}))"), F.lit(1)), keys)
+
+        def rules_of(gram: Column) -> Column:
+            slot = F.get(table, (F.crc32(F.encode(gram, "utf-8")) % SLOTS).cast("int"))
+            return F.flatten(F.transform(F.filter(slot, lambda e: e["gram"] == gram), lambda e: e["rules"]))
+
+        starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)), F.lit(CHUNK))
+        found = F.array_distinct(F.flatten(F.transform(starts, known)))
+        some = F.coalesce(F.flatten(F.transform(found, rules_of)), F.array().cast("array<int>"))
+        return F.array_sort(F.array_distinct(F.concat(some, _constant(self.always, "array<int>"))))
 
 
 def _constant(items: Sequence, kind: str) -> Column:
@@ -117,19 +83,6 @@ def _texts(texts: Sequence[str | None]) -> Column:
     return _constant(list(texts), "array<string>")
 
 
-def may_match(text: Column, literals: Sequence[Sequence[str]]) -> Column:
-    """Numbers of the rules left by the index, in order."""
-    index = RuleIndex(literals)
-
-    @F.arrow_udf("array<int>")
-    def probe(column: pa.Array) -> pa.Array:
-        return index.candidates(column)
-
-    if not index.always:
-        return probe(text)
-    return F.array_sort(F.concat(probe(text), _constant(index.always, "array<int>")))
-
-
 def hits(df: DataFrame, literals: Sequence[Sequence[str]], text_col: str, out: str, patterns: Sequence[str] = ()) -> DataFrame:
     """Numbers of the rules of which a literal occurs and, where given, the pattern."""
     text = F.col(f"`{text_col}`")
@@ -142,9 +95,7 @@ def hits(df: DataFrame, literals: Sequence[Sequence[str]], text_col: str, out: s
             test = test & F.rlike(text, F.get(_texts([java_regex(p) for p in patterns]), number))
         return F.coalesce(test, F.lit(False))
 
-    # a column of its own: the filter must not ask Python again for each use
-    left = df.withColumn(out, may_match(text, literals))
-    return left.withColumn(out, F.filter(out, real))
+    return df.withColumn(out, F.filter(RuleIndex(literals).candidates(text), real))
 
 
 def scan_rules(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transhume.operators import aggregates, filters, scan
+from transhume.plans import incremental
 from transhume.session import scratch_dir
 from transhume.sinks.reports import write_inventory
 from transhume.sources import listings
@@ -18,6 +19,7 @@ def run_full(
     as_of: str,
     table_format: str = "DELTA",
     other_tables: DataFrame | None = None,
+    results: str | None = None,
 ) -> dict[str, DataFrame]:
     """Read the four listings, analyse the assets and write the snapshot.
 
@@ -25,7 +27,8 @@ def run_full(
     ``other_tables`` (of an older metastore, say) take their place.
 
     The assets are decoded and joined once, into a scratch table, and analysed from there.  The parts
-    returned are read from the snapshot too, so reports on them repeat none of the work.
+    returned are read from the snapshot too, so reports on them repeat none of the work.  With a folder of
+    earlier ``results``, only sources whose content it lacks are scanned, and theirs are added to it.
     """
     assets = listings.read_assets(spark, f"{export_dir}/assets", f"{export_dir}/bodies")
     tables = filters.format_filter(
@@ -37,9 +40,10 @@ def run_full(
     kept = scratch_dir(spark, "assets")
     assets.write.parquet(kept)
     stored = spark.read.schema(assets.schema).parquet(kept)
+    keep = ["size", "owner", "ord"]
     parts = {
         "assets": stored,
-        "analyses": scan.analyze_assets(stored, keep=["size", "owner", "ord"]),
+        "analyses": incremental.analyze(stored, results, keep=keep) if results else scan.analyze_assets(stored, keep=keep),
         "tables": tables,
         "jobs": listings.read_jobs(spark, f"{export_dir}/jobs"),
         "clusters": listings.read_clusters(spark, f"{export_dir}/clusters"),
