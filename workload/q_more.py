@@ -3,16 +3,19 @@ tables."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transhume.operators import activity, facets, rule_index
-from transhume.plans import differences, incremental
+from transhume.operators import activity, facets, rule_index, search_index
+from transhume.plans import differences, incremental, reports
 from transhume.session import scratch_dir
 from transhume.sinks import reports as sinks
 from transhume.sources import chains
 from transhume.values import Rule
 from workload import views
+from workload.q_fields import OWNER
 from workload.q_scan import analysis
 from workload.registry import query
 from workload.views import ASSETS, SCAN, TABLES, UNITS, with_
@@ -281,3 +284,24 @@ def job_analyze_again(spark: SparkSession, sf_dir: str) -> DataFrame:
         "loc",
         F.lit(n_scanned).cast("long").alias("n_scanned"),
     )
+
+
+# Longer than a run, a run, shorter than one, in the other case, absent.
+SEARCHES = ("/users/src1", "rc1", "7", "OWNER_F", "src1/17", "absent text")
+
+
+@query(
+    "flt_search_index",
+    with_(ASSETS)
+    + f""", fields AS (SELECT path, split_part(path, '/', -1) AS name, {OWNER} AS owner FROM assets_v),
+    texts AS (SELECT unnest({list(SEARCHES)}) AS text)
+    SELECT text, path, owner FROM texts JOIN fields ON contains(lower(path), lower(text))
+      OR contains(lower(name), lower(text)) OR contains(lower(owner), lower(text))""",
+)
+def flt_search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Several searches by one stored index."""
+    rows = reports.report_fields(views.assets(spark, sf_dir)).select("path", "name", "owner")
+    path = scratch_dir(spark, "search-index")
+    search_index.build(rows, path)
+    found = [search_index.search(spark, path, text, rows.schema).withColumn("text", F.lit(text)) for text in SEARCHES]
+    return reduce(DataFrame.unionByName, found).select("text", "path", "owner")
