@@ -1,12 +1,14 @@
 """Analysis by distinct content: same rows as a whole scan, and only what is new is scanned."""
 
+import base64
+import json
 import os
 
 from pyspark.sql import functions as F
 
 from transhume import values
 from transhume.operators import scan
-from transhume.plans import incremental
+from transhume.plans import analysis, incremental
 from transhume.values import Rule
 
 KIND = "path STRING, language STRING, content STRING, size LONG"
@@ -76,3 +78,24 @@ def test_empty_repeated_and_stored_twice(spark, tmp_path):
     stored(spark, store).write.mode("append").parquet(f"{store}/copy")
     spark.read.parquet(f"{store}/copy").write.mode("append").parquet(f"{store}/rules={version}")
     same(incremental.analyze(twice, store), scan.analyze_assets(twice))
+
+
+def test_snapshot_is_the_same_with_stored_results(spark, tmp_path):
+    def page(folder, key, items):
+        (tmp_path / "in" / folder).mkdir(parents=True)
+        (tmp_path / "in" / folder / "p.json").write_text(json.dumps({key: items}))
+
+    page("assets", "objects", [{"object_type": "NOTEBOOK", "path": p} for p in ("/a", "/b")])
+    (tmp_path / "in/bodies").mkdir()
+    bodies = [{"path": p, "content": base64.b64encode(b"display(x)").decode()} for p in ("/a", "/b")]
+    (tmp_path / "in/bodies/p.json").write_text("\n".join(map(json.dumps, bodies)))
+    page("tables", "tables", [{"name": "x"}])
+    page("jobs", "jobs", [{"job_id": 3}])
+    page("clusters", "clusters", [{"cluster_id": "c"}])
+    run = [
+        analysis.run_full(spark, f"{tmp_path}/in", f"{tmp_path}/out{i}", "now", results=results)["analyses"]
+        for i, results in enumerate([None, f"{tmp_path}/store", f"{tmp_path}/store"])
+    ]
+    same(run[1], run[0])
+    same(run[2], run[0])
+    assert run[0].count() == 2 and stored(spark, f"{tmp_path}/store").count() == 1
