@@ -24,6 +24,8 @@ from transhume.llm import spans
 REMEMBERED = 800_000
 #: Bytes of texts worked on at once, and new pieces the library gets at once: it keeps much of each token.
 AT_ONCE = 4 << 20
+#: Both for jobs whose other stages need the memory.
+LEAN = {"at_once": 1 << 20, "remembered": 200_000}
 NEW_AT_ONCE = 30_000
 
 #: White space beyond ASCII, as the tokenizer's pattern takes it.
@@ -56,7 +58,8 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Encoder:
     """Encodes columns of texts with one tokenizer file."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, at_once: int = AT_ONCE, remembered: int = REMEMBERED):
+        self.at_once, self.remembered = at_once, remembered
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -120,7 +123,7 @@ class Encoder:
             fresh = self.known[place] != distinct if len(self.known) else np.ones(len(distinct), bool)
             if again or not fresh.any():
                 break
-            if len(self.known) + int(fresh.sum()) > REMEMBERED:
+            if len(self.known) + int(fresh.sum()) > self.remembered:
                 self.forget()
                 fresh[:] = True
             self.learn(data, distinct[fresh], starts[at[fresh]], ends[at[fresh]])
@@ -140,7 +143,7 @@ class Encoder:
         for token in self.added:
             marked |= pc.match_substring(filled, token).to_numpy(zero_copy_only=False)
         rest = pc.if_else(pa.array(marked), "", filled) if marked.any() else filled
-        for lo, hi, data, bounds in spans.slices(rest, AT_ONCE):
+        for lo, hi, data, bounds in spans.slices(rest, self.at_once):
             ids, at = self.encode_run(data, bounds)
             at = at.tolist()
             for row in range(lo, hi):
@@ -151,11 +154,11 @@ class Encoder:
                     yield ids[at[row - lo] : at[row - lo + 1]]
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, **sizes: int) -> Encoder:
     """The encoder of this Python process: a worker keeps it for its later tasks."""
     kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders"))
     if path not in vars(kept):
-        vars(kept)[path] = Encoder(path)
+        vars(kept)[path] = Encoder(path, **sizes)
     return vars(kept)[path]
 
 

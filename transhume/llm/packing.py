@@ -263,7 +263,8 @@ def places(fillings: list[Filling]) -> list[tuple[int, int, int, int, int, int]]
 def _cutter(tokenizer: str, capacity: int, forget: bool = False):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = encoding.encoder(tokenizer)
+        encoder = encoding.encoder(tokenizer, **(encoding.LEAN if forget else {}))
+        at_once = IDS_AT_ONCE // 4 if forget else IDS_AT_ONCE
         seen = [0] * (capacity + 1)
         names = ["doc_id", "piece", "start", "length", "part", "number", "ids"]
         kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
@@ -284,7 +285,7 @@ def _cutter(tokenizer: str, capacity: int, forget: bool = False):
                     seen[n] += 1
                 held.append(ids)
                 size += len(ids)
-                if size >= IDS_AT_ONCE:
+                if size >= at_once:
                     yield made(rows, held)
                     rows, held, size = [], [], 0
             if rows:
@@ -307,7 +308,8 @@ def pack(
 ) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids, sequence_id, offset.
 
-    With ``forget`` workers don't keep the encoder after a task, for jobs whose other stages need the memory."""
+    With ``forget`` workers work on smaller slices, remember fewer pieces and don't keep the encoder after a
+    task, for jobs whose other stages need the memory."""
     spark = docs.sparkSession
     shared.small_batches(spark)
     source = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
