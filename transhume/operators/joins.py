@@ -67,21 +67,16 @@ def with_body(
     """Listed assets with their source and its length; assets without a source are left out.
 
     A path exported more than once has one source, the one whose hash sorts first, so a path repeated on
-    both sides cannot multiply.  The choice is made on paths and hashes; the sources are shuffled once
-    and not sorted, and only those of repeated paths are compared as texts.  Where the export is known
-    to hold each path once, ``distinct_paths`` saves the choice.
+    both sides cannot multiply.  The sources are read, decoded and shuffled once: those of a path are
+    combined before the shuffle, and the listing joins what is left by the same key.  Where the export
+    is known to hold each path once, ``distinct_paths`` saves the choice.
     """
     sources = bodies.select("path", "content").where(F.length("content") > 0)
-    if distinct_paths:
-        return listing.join(sources, "path").withColumn("size", F.length("content"))
-    marked = sources.withColumn("_hash", F.xxhash64("content"))
-    chosen = marked.groupBy("path").agg(F.min("_hash").alias("_hash"), F.count("_hash").alias("_n"))
-    wanted = listing.join(chosen, "path")
-    keys = ["path", "_hash"]
-    once = wanted.where("_n = 1").hint("shuffle_hash").join(marked, keys)
-    again = marked.join(chosen.where("_n > 1").select(keys), keys, "left_semi").dropDuplicates(keys)
-    several = wanted.where("_n > 1").join(again, keys)
-    joined = once.unionByName(several).select(*listing.columns, "content")
+    if not distinct_paths:
+        first = F.min(F.struct(F.xxhash64("content").alias("hash"), "content"))
+        sources = sources.groupBy("path").agg(first.alias("_first"))
+        sources = sources.select("path", F.col("_first.content").alias("content"))
+    joined = listing.join(sources, "path").select(*listing.columns, "content")
     return joined.withColumn("size", F.length("content"))
 
 

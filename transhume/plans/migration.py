@@ -8,9 +8,11 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from transhume.operators.fields import dest_key, fq_name
+from transhume.functions import scalars
+from transhume.operators.fields import dest_key, existing, fq_name
+from transhume.plans.table_files import copy_tables
 from transhume.session import scratch_dir
-from transhume.sinks.reports import export_table, write_sidecars
+from transhume.sinks.reports import HIDDEN_SIDECAR, SIDECAR, export_table, write_sidecars
 
 # What an export needs to know of a table, as far as the listing has it.
 EXPORT_COLUMNS = (
@@ -23,13 +25,29 @@ EXPORT_COLUMNS = (
     "storage_location",
     "location",
     "source_format",
+    "data_source_format",
 )
 # Parts that keys are dealt to by hash, of which a share is compared.
 SHARES = 1_000_000_000
 STATUS = "dest_key STRING, n_rows LONG, ok BOOLEAN, error STRING"
+# Formats whose readers go by a log, not by the files in the folder.
+KEEPS_LOG = ("delta", "iceberg", "hudi")
 CLASH = "tables of different places have this key"
 
 
+def location_of(tables: DataFrame) -> Column:
+    """The first place that is listed, or null."""
+    return scalars.first_set([F.lit(None).cast("string"), *existing(tables, "storage_location", "location")], "")
+
+
+def as_files(tables: DataFrame, location: Column, fmt: str) -> Column:
+    """Whether a table is Parquet by its listing, has a place without wildcards, and is to be Parquet."""
+    formats = existing(tables, "source_format", "data_source_format")
+    listed = F.lower(scalars.first_set([F.lit(None).cast("string"), *formats], ""))
+    plain = location.isNotNull() & ~location.rlike(r"[*?{\[]")
+    return F.coalesce(F.lit(fmt.lower() == "parquet") & (listed == "parquet") & plain, F.lit(False))
+
+
 def migrate_tables(
     spark: SparkSession,
     tables: DataFrame,
@@ -38,11 +56,16 @@ def migrate_tables(
     parallel: int = 4,
     batch: int = 200,
 ) -> DataFrame:
-    """Sidecar and export of every table, and a status row for every row handed in.
+    """Export and sidecar of every table, and a status row for every row handed in.
+
+    Tables listed as Parquet with a location, to be Parquet again, are moved as files, all of them by
+    one listing and one copy (``table_files``).  Any other export reads a table and writes it in another
+    format, which is a Spark job of its own; a few run side by side so that small tables do not leave
+    the cluster idle.  Names and places of these pass through the driver ``batch`` tables at a time, and
+    each batch's outcome is appended to a log.
 
-    Sidecars are written by one distributed job.  Each export is a Spark job of its own; a few run
-    side by side so that small tables do not leave the cluster idle.  Names and places pass through
-    the driver ``batch`` tables at a time, and each batch's outcome is appended to a log.
+    Sidecars are written last, by one job, as an export replaces what is in its folder.  Beside the
+    files of a plain format their name begins with an underscore, or readers would take them for data.
 
     A table listed twice is moved once, and both rows get its status.  Tables of different places
     under one key would overwrite each other: none of them is moved, and each row says so.
@@ -54,8 +77,6 @@ def migrate_tables(
     )
     chosen = rows.join(by_key.where("NOT _clash").drop("_clash"), ["dest_key", "_place"])
     chosen = chosen.dropDuplicates(["dest_key"])
-    sidecar_log = scratch_dir(spark, "sidecar-status")
-    write_sidecars(chosen.select(*tables.columns), root).write.parquet(sidecar_log)
     export_log = scratch_dir(spark, "export-status")
 
     def move(row: Row) -> tuple:
@@ -66,14 +87,29 @@ def migrate_tables(
             return row["dest_key"], None, False, str(error).split("\n", 1)[0]
 
     spark.createDataFrame([], STATUS).write.parquet(export_log)
-    listed = chosen.select("dest_key", *wanted).toLocalIterator()
+    chosen = chosen.withColumn("_location", location_of(tables)).withColumn(
+        "_as_files", as_files(tables, F.col("_location"), fmt)
+    )
+    plan = scratch_dir(spark, "export-plan")
+    chosen.write.parquet(plan)
+    chosen = spark.read.schema(chosen.schema).parquet(plan)
+    by_files = chosen.where("_as_files").select("dest_key", F.col("_location").alias("location"))
+    copied = copy_tables(by_files, root).select("dest_key", "n_rows", "ok", "error")
+    copied.write.mode("append").parquet(export_log)
+    listed = chosen.where("NOT _as_files").select("dest_key", *wanted).toLocalIterator()
     with ThreadPoolExecutor(parallel) as pool:
         while some := list(islice(listed, batch)):
             moved = spark.createDataFrame(list(pool.map(move, some)), STATUS)
             moved.coalesce(1).write.mode("append").parquet(export_log)
-    key = F.regexp_replace("key", "/schema.json$", "").alias("dest_key")
-    sidecars = spark.read.parquet(sidecar_log).groupBy(key).agg(F.bool_and("ok").alias("sidecar_ok"))
     done = spark.read.schema(STATUS).parquet(export_log)
+    named = chosen.join(done.select("dest_key", "ok"), "dest_key", "left")
+    hidden = F.lit(fmt.lower() not in KEEPS_LOG) & F.coalesce("ok", F.lit(False))
+    name = F.when(hidden, HIDDEN_SIDECAR).otherwise(SIDECAR)
+    sidecar_log = scratch_dir(spark, "sidecar-status")
+    described = named.select(*tables.columns, name.alias("_sidecar"))
+    write_sidecars(described, root, F.col("_sidecar")).write.parquet(sidecar_log)
+    key = F.regexp_replace("key", "/_?schema.json$", "").alias("dest_key")
+    sidecars = spark.read.parquet(sidecar_log).groupBy(key).agg(F.bool_and("ok").alias("sidecar_ok"))
     status = rows.select("fq_name", "dest_key").join(by_key, "dest_key")
     status = status.join(done, "dest_key", "left").join(sidecars, "dest_key", "left")
     return status.select(

@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from transhume.storage import open_root, put, resolve
@@ -20,6 +20,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 STATUS = "key STRING, n_bytes BIGINT, ok BOOLEAN, error STRING"
 CHUNK = 8 * 1024 * 1024
+# Objects read as texts that go on together.
+TEXTS_AT_ONCE = 256
 
 
 def safe_key(key: str) -> str:
@@ -45,6 +47,13 @@ def width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def with_scheme(df: DataFrame, col: str) -> Column:
+    """The address with a scheme; one without is on the session's default file system."""
+    default = resolve(df.sparkSession, "/").rstrip("/")
+    path = F.when(F.contains(F.col(col), F.lit(":/")), F.col(col))
+    return F.coalesce(path, F.concat(F.lit(default), F.col(col)))
+
+
 def put_texts(
     df: DataFrame, root: str, key: str, body: str, spread: bool = False
 ) -> DataFrame:
@@ -92,9 +101,32 @@ def copy_files(manifest: DataFrame, root: str, tasks: int | None = None) -> Data
 
         return each_row(batches, one)
 
-    spark = manifest.sparkSession
-    root, default = resolve(spark, root), resolve(spark, "/").rstrip("/")
-    path = F.when(F.contains(F.col("path"), F.lit(":/")), F.col("path"))
-    path = F.coalesce(path, F.concat(F.lit(default), F.col("path")))
-    rows = manifest.select(F.col("relative").alias("key"), path.alias("item"))
+    root = resolve(manifest.sparkSession, root)
+    rows = manifest.select(F.col("relative").alias("key"), with_scheme(manifest, "path").alias("item"))
     return rows.repartition(tasks or width(manifest), "item").mapInPandas(write, STATUS)
+
+
+def get_texts(keys: DataFrame, root: str, key: str = "key", tasks: int | None = None) -> DataFrame:
+    """key and text of the objects at the given keys below ``root``, null where there is none.
+
+    They are read by the keys that a writer reported, in tasks, and not listed.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, base = open_root(root)
+
+        def text(name: str) -> str | None:
+            try:
+                with store.open_input_stream(f"{base}/{safe_key(name)}") as data:
+                    return data.read().decode("utf-8")
+            except (FileNotFoundError, ValueError):
+                return None
+
+        for batch in batches:
+            for start in range(0, len(batch), TEXTS_AT_ONCE):
+                names = batch["key"][start : start + TEXTS_AT_ONCE]
+                yield pd.DataFrame({"key": names, "text": [text(name) for name in names]})
+
+    root = resolve(keys.sparkSession, root)
+    rows = keys.select(F.col(key).alias("key")).repartition(tasks or width(keys), "key")
+    return rows.mapInPandas(read, "key STRING, text STRING")

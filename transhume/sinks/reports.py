@@ -16,6 +16,10 @@ from transhume.sinks.objects import put_texts
 from transhume.sources.files import read_table
 from transhume.values import ASSETS_PREFIX, TABLES_PREFIX
 
+# Readers of plain files would take the sidecar for data, but for names with an underscore.
+SIDECAR = "schema.json"
+HIDDEN_SIDECAR = "_schema.json"
+
 
 def export_table(
     spark: SparkSession, info: Mapping, root: str, fmt: str = "parquet"
@@ -60,10 +64,11 @@ def sidecar(df: DataFrame) -> Column:
     return F.to_json(F.struct(*members), {"ignoreNullFields": "false"})
 
 
-def write_sidecars(tables: DataFrame, root: str) -> DataFrame:
-    """One ``schema.json`` per table beside its data; gives status rows."""
+def write_sidecars(tables: DataFrame, root: str, name: Column | str = SIDECAR) -> DataFrame:
+    """One ``schema.json`` per table beside its data, or as ``name`` says; gives status rows."""
+    name = F.lit(name) if isinstance(name, str) else name
     rows = dest_key(tables, out="_key").select(
-        F.concat("_key", F.lit("/schema.json")).alias("key"), sidecar(tables).alias("body")
+        F.concat("_key", F.lit("/"), name).alias("key"), sidecar(tables).alias("body")
     )
     return put_texts(rows, root, "key", "body", spread=True)
 

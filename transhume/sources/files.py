@@ -36,11 +36,13 @@ def read_table(
     return spark.read.format(fmt).load(location)
 
 
-def list_level(spark: SparkSession, folders: DataFrame, n_folders: int) -> DataFrame:
+def list_level(
+    spark: SparkSession, folders: DataFrame, n_folders: int, must_exist: bool = True
+) -> DataFrame:
     """What is directly in the given (path, relative) folders, listed in as many tasks as pay."""
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = folders.repartition(min(width, n_folders), "path")
-    return spread.mapInPandas(list_folders, LISTED)
+    spread = folders.repartition(max(1, min(width, n_folders)), "path")
+    return spread.mapInPandas(lambda batches: list_folders(batches, must_exist), LISTED)
 
 
 def top_folder(spark: SparkSession, location: str) -> DataFrame:
@@ -49,15 +51,24 @@ def top_folder(spark: SparkSession, location: str) -> DataFrame:
 
 
 def file_manifest(spark: SparkSession, location: str) -> DataFrame:
-    """Path, place below the location, length and time of every file, hidden and empty ones too.
+    """Path, place below the location, length and time of every file, hidden and empty ones too."""
+    return walk(spark, top_folder(spark, location))
+
+
+def walk(spark: SparkSession, starts: DataFrame, must_exist: bool = True) -> DataFrame:
+    """Every file below each of the (path, relative) starts, its place beginning with its start's.
 
-    All folders of a level are listed at a time, and each level is written to the shared scratch
-    folder: a deep tree is spread over the cluster and none of it is held by the driver.
+    All folders of a level are listed at a time, whatever start they are below, and each level is
+    written to the shared scratch folder: a deep tree and many starts are spread over the cluster, and
+    none of it is held by the driver.  A start may be a file.  One that is not there is an error, or has
+    no files where it need not exist.
     """
     root = scratch_dir(spark, "manifest")
-    folders, n_folders = top_folder(spark, location), 1
+    folders, n_folders = starts.select("path", "relative"), starts.count()
     for level in count():
-        list_level(spark, folders, n_folders).write.parquet(f"{root}/level={level}")
+        # a folder that goes away meanwhile is left out
+        checked = must_exist and level == 0
+        list_level(spark, folders, n_folders, checked).write.parquet(f"{root}/level={level}")
         found = spark.read.schema(LISTED).parquet(f"{root}/level={level}")
         folders = found.where("is_folder").select("path", "relative")
         n_folders = folders.count()

@@ -6,9 +6,12 @@ on whole files (a table's log folder, a sidecar at its key) goes through these s
 
 from __future__ import annotations
 
+import os
 import sys
 import uuid
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta, timezone
+from itertools import islice
 from urllib.parse import unquote
 
 import pandas as pd
@@ -21,6 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LISTED = "path STRING, relative STRING, is_folder BOOLEAN, length BIGINT, modified_at TIMESTAMP"
 LIST_CHUNK = 10_000
+EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 
 
 # Schemes that name the same store by another driver.
@@ -53,8 +57,42 @@ def open_root(location: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(location)
 
 
-def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def entries(store: fs.FileSystem, plain: str, must_exist: bool = True) -> Iterator[tuple]:
+    """(path, name, is a folder, length, time) of what is directly in a folder, or of the file itself.
+
+    A folder on a disk is streamed.  A store's client gives it as one list, of small items.
+    """
+    here = store.get_file_info(plain)
+    if here.type == fs.FileType.NotFound:
+        if must_exist:
+            raise FileNotFoundError(plain)
+    elif here.is_file:
+        yield here.path, here.base_name, False, here.size, here.mtime
+    elif isinstance(store, fs.LocalFileSystem):
+        with os.scandir(plain or "/") as found:
+            for entry in found:
+                yield entry.path, entry.name, *stat_of(entry)
+    else:
+        for info in store.get_file_info(fs.FileSelector(plain, recursive=False)):
+            is_folder = info.type == fs.FileType.Directory
+            yield info.path, info.base_name, is_folder, info.size or 0, info.mtime
+
+
+def stat_of(entry: os.DirEntry) -> tuple:
+    """(is a folder, length, time) of a file on a disk; a link to nothing has no time."""
+    try:
+        stat = entry.stat()
+    except FileNotFoundError:
+        return False, 0, None
+    time = EPOCH + timedelta(microseconds=stat.st_mtime_ns // 1000)
+    return entry.is_dir(), 0 if entry.is_dir() else stat.st_size, time
+
+
+def list_folders(
+    batches: Iterator[pd.DataFrame], must_exist: bool = True
+) -> Iterator[pd.DataFrame]:
     """One level below each folder: its files and folders with their place below the start."""
+    names = ["path", "relative", "is_folder", "length", "modified_at"]
     for batch in batches:
         for location, below in zip(batch["path"], batch["relative"]):
             store, plain = open_root(location)
@@ -63,21 +101,13 @@ def list_folders(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 scheme = "file:"
             else:
                 scheme = location.rstrip("/").removesuffix(plain)
-            infos = store.get_file_info(fs.FileSelector(plain, recursive=False))
-            for start in range(0, len(infos), LIST_CHUNK):
+            found = entries(store, plain, must_exist)
+            while some := list(islice(found, LIST_CHUNK)):
                 rows = [
-                    (
-                        scheme + info.path,
-                        f"{below}/{info.base_name}".lstrip("/"),
-                        info.type == fs.FileType.Directory,
-                        info.size or 0,
-                        info.mtime,
-                    )
-                    for info in infos[start : start + LIST_CHUNK]
+                    (scheme + path, f"{below}/{name}".lstrip("/"), *rest)
+                    for path, name, *rest in some
                 ]
-                yield pd.DataFrame(
-                    rows, columns=["path", "relative", "is_folder", "length", "modified_at"]
-                )
+                yield pd.DataFrame(rows, columns=names)
 
 
 def put(store: fs.FileSystem, target: str, fill: Callable) -> int:

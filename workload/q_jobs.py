@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from transhume.operators import aggregates
 from transhume.plans import analysis as plan
 from transhume.plans import conversion, migration, reports
 from transhume.session import scratch_dir
-from transhume.sinks import objects
+from transhume.sinks import objects, parts
 from transhume.sinks import reports as sinks
 from transhume.sources.files import file_manifest, read_table
 from workload import listings as export
@@ -22,6 +24,9 @@ from workload.q_scan import ANALYSIS, BUCKET, CONVERTED, DIFF, LABEL, PCT, conve
 from workload.registry import query
 from workload.views import ASSETS, JOBS, SCAN, TABLES, confidence_sql, with_
 
+# Bytes of a range where files are copied in parts.
+RANGE = 1 << 20
+
 GIVEN = (
     "region",
     "nation",
@@ -40,10 +45,44 @@ GIVEN = (
 )
 
 
-def counts_sql(prefix: str = "") -> str:
-    """Row count of every given table."""
-    parts = [f"SELECT '{prefix}{name}' AS name, count(*) AS n_rows FROM {name}" for name in GIVEN]
-    return " UNION ALL ".join(parts)
+# The whole number that leads each given table.
+KEYS = {
+    "region": "r_regionkey",
+    "nation": "n_nationkey",
+    "customer": "c_custkey",
+    "supplier": "s_suppkey",
+    "part": "p_partkey",
+    "orders": "o_orderkey",
+    "lineitem": "l_orderkey",
+    "events": "event_id",
+    "documents": "doc_id",
+    "embeddings": "vec_id",
+    "pages": "page_id",
+    "benchmark": "item_id",
+    "labels": "doc_id",
+    "conversations": "conv_id",
+}
+
+
+def counts_sql() -> str:
+    """Row count and sum of keys of every given table."""
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS name, count(*) AS n_rows, sum({key})::BIGINT AS key_sum FROM {name}"
+        for name, key in KEYS.items()
+    )
+
+
+def contents(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
+    """Row count and sum of keys of every given table as it was written below a folder."""
+    found = [
+        spark.read.parquet(f"{folder}/{name}{suffix}").agg(
+            F.lit(name).alias("name"),
+            F.count(F.lit(1)).alias("n_rows"),
+            F.sum(F.col(key).cast("long")).alias("key_sum"),
+        )
+        for name, key in KEYS.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
 def given_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,11 +91,13 @@ def given_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name in GIVEN:
         fields = views.table(spark, sf_dir, name).schema.fields
         columns = [(f.name, f.dataType.simpleString(), f.nullable) for f in fields]
-        rows.append(("lake", "given", name, f"{sf_dir}/{name}.parquet", columns))
+        # Every other one is known to be Parquet, and is moved by its files.
+        fmt = "PARQUET" if GIVEN.index(name) % 2 else None
+        rows.append(("lake", "given", name, f"{sf_dir}/{name}.parquet", fmt, columns))
     return spark.createDataFrame(
         rows,
         "catalog STRING, schema STRING, name STRING, storage_location STRING, "
-        "columns ARRAY<STRUCT<name: STRING, type: STRING, nullable: BOOLEAN>>",
+        "data_source_format STRING, columns ARRAY<STRUCT<name: STRING, type: STRING, nullable: BOOLEAN>>",
     )
 
 
@@ -72,15 +113,15 @@ def sink_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(place)
 
 
-@query("sink_copy", counts_sql())
+@query("sink_copy", f"SELECT *, 0::BIGINT AS n_differing FROM ({counts_sql()})")
 def sink_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies read as tables, and their bytes compared; long files go in ranges of a megabyte."""
     root = scratch_dir(spark, "copied")
-    status = objects.copy_files(file_manifest(spark, sf_dir), root)
-    status.where(~F.col("ok")).write.json(f"{root}-errors")
-    counts = aggregates.summary_counts(
-        **{name: spark.read.parquet(f"{root}/{name}.parquet") for name in GIVEN}
-    )
-    return counts.select(F.col("part").alias("name"), F.col("n").alias("n_rows"))
+    manifest = file_manifest(spark, sf_dir)
+    parts.copy_large(manifest, root, RANGE).write.json(f"{root}-status")
+    compared = views.kept(parts.compare_files(manifest, root, RANGE), "compared")
+    name = F.regexp_replace("key", "\\.parquet$", "").alias("name")
+    return contents(spark, root, ".parquet").join(compared.select(name, "n_differing"), "name")
 
 
 @query(
@@ -96,11 +137,7 @@ def sink_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = views.tables(spark, sf_dir)
     sinks.write_sidecars(tables, root).write.parquet(f"{root}-status")
     status = spark.read.parquet(f"{root}-status")
-    files = spark.read.option("recursiveFileLookup", True).text(root, wholetext=True)
-    place = F.url_decode(F.col("_metadata.file_path"))
-    found = files.select(
-        F.regexp_extract(place, "/(migrated-tables/.*)$", 1).alias("key"), F.col("value").alias("text")
-    )
+    found = views.kept(objects.get_texts(status, root), "texts")
     schema = """name STRING, table_type STRING, size_bytes BIGINT, notes STRING,
         columns ARRAY<STRUCT<name: STRING, type: STRING, nullable: BOOLEAN>>"""
     body = F.from_json("text", schema)
@@ -157,14 +194,49 @@ def sink_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(OVERVIEW_SCHEMA).json(path)
 
 
-SNAPSHOT = """SELECT 'assets' AS part, count(*) AS n, '{0}' AS generated_at FROM documents
-    UNION ALL SELECT 'analyses', count(*), '{0}' FROM documents
-    UNION ALL SELECT 'tables', count(*), '{0}' FROM part
-    UNION ALL SELECT 'jobs', count(*), '{0}' FROM orders
-    UNION ALL SELECT 'clusters', count(DISTINCT user_id), '{0}' FROM events""".format(views.AS_OF_TEXT)
+# What a snapshot holds, row by row: the part, a name, its content, and the time.
+SNAPSHOT = """SELECT 'assets' AS part, path AS name, md5(content) AS content FROM assets_v {assets}
+    UNION ALL SELECT 'analyses', path, risk || '/' || complexity || '/' || issues FROM analysis {assets}
+    UNION ALL SELECT 'tables', catalog || '.' || schema || '.' || name, 
+      coalesce(size_bytes, 0)::VARCHAR FROM tables_v {tables}
+    UNION ALL SELECT 'jobs', coalesce(job_id::VARCHAR, ''),
+      CASE WHEN ord % 2 = 0 THEN 'order ' || ord END FROM jobs_v
+    UNION ALL SELECT 'clusters', cluster_id, num_workers::VARCHAR FROM clusters_v"""
+SNAPSHOT_SCHEMAS = {
+    "assets": "path STRING, content STRING, generated_at STRING",
+    "analyses": "path STRING, risk STRING, complexity STRING, issues ARRAY<STRING>, generated_at STRING",
+    "tables": "catalog STRING, schema STRING, name STRING, size_bytes BIGINT, generated_at STRING",
+    "jobs": "job_id BIGINT, settings STRING, generated_at STRING",
+    "clusters": "cluster_id STRING, num_workers INT, generated_at STRING",
+}
+SNAPSHOT_ROWS = {
+    "assets": ("path", "md5(cast(content AS BINARY))"),
+    "analyses": ("path", "concat_ws('/', risk, complexity, array_join(issues, ', '))"),
+    "tables": ("concat_ws('.', catalog, schema, name)", "cast(coalesce(size_bytes, 0) AS STRING)"),
+    "jobs": ("coalesce(cast(job_id AS STRING), '')", "get_json_object(settings, '$.name')"),
+    "clusters": ("cluster_id", "cast(num_workers AS STRING)"),
+}
+
+
+def snapshot_rows(spark: SparkSession, root: str) -> DataFrame:
+    """All rows of a written snapshot, read from its files."""
+    found = [
+        spark.read.schema(SNAPSHOT_SCHEMAS[part])
+        .json(f"{root}/{part}")
+        .selectExpr(f"'{part}' AS part", f"{name} AS name", f"{content} AS content", "generated_at")
+        for part, (name, content) in SNAPSHOT_ROWS.items()
+    ]
+    return reduce(DataFrame.unionByName, found)
 
 
-@query("sink_inventory", SNAPSHOT)
+def snapshot_sql(assets: str = "", tables: str = "") -> str:
+    rows = SNAPSHOT.format(assets=assets, tables=tables)
+    return with_(ASSETS, SCAN, TABLES, JOBS, views.CLUSTERS) + (
+        f"SELECT *, '{views.AS_OF_TEXT}' AS generated_at FROM ({rows})"
+    )
+
+
+@query("sink_inventory", snapshot_sql())
 def sink_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     from workload.q_scan import analysis
 
@@ -177,18 +249,7 @@ def sink_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
         "clusters": views.clusters(spark, sf_dir),
     }
     sinks.write_inventory(parts, root, views.AS_OF_TEXT)
-    read = [
-        spark.read.schema("generated_at STRING")
-        .json(f"{root}/{name}")
-        .groupBy("generated_at")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .select(F.lit(name).alias("part"), "n", "generated_at")
-        for name in parts
-    ]
-    result = read[0]
-    for other in read[1:]:
-        result = result.unionByName(other)
-    return result
+    return snapshot_rows(spark, root)
 
 
 @query(
@@ -231,38 +292,49 @@ def sink_conv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "job_migrate",
-    f"""SELECT 'lake.given.' || name AS fq_name, n_rows, true AS ok FROM ({counts_sql()})
-    UNION ALL SELECT 'lake.given.absent', NULL, false""",
+    f"""SELECT 'lake.given.' || name AS fq_name, n_rows, true AS ok, n_rows AS n_read, key_sum,
+      true AS described FROM ({counts_sql()})
+    UNION ALL SELECT 'lake.given.absent', NULL, false, NULL, NULL, true
+    UNION ALL SELECT 'lake.given.gone', NULL, false, NULL, NULL, true""",
 )
 def job_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All given tables, and one whose files do not exist."""
+    """All given tables, and two whose files do not exist; copies and sidecars are read back."""
     tables = given_tables(spark, sf_dir)
-    absent = tables.where("name = 'region'").withColumn("name", F.lit("absent"))
-    absent = absent.withColumn("storage_location", F.lit(f"{sf_dir}/absent.parquet"))
+    without = tables.where("name IN ('region', 'nation')").withColumns(
+        {
+            "name": F.when(F.col("name") == "region", "absent").otherwise("gone"),
+            "storage_location": F.lit(f"{sf_dir}/absent.parquet"),
+        }
+    )
     root = scratch_dir(spark, "migrated")
-    status = migration.migrate_tables(spark, tables.unionByName(absent), root)
-    return status.select("fq_name", "n_rows", "ok")
+    status = migration.migrate_tables(spark, tables.unionByName(without), root)
+    read = contents(spark, f"{root}/migrated-tables/lake/given").select(
+        F.concat(F.lit("lake.given."), "name").alias("fq_name"),
+        F.col("n_rows").alias("n_read"),
+        "key_sum",
+    )
+    file = F.when(F.col("ok"), sinks.HIDDEN_SIDECAR).otherwise(sinks.SIDECAR)
+    status = status.withColumn("key", F.concat_ws("/", "dest_key", file))
+    sidecars = views.kept(objects.get_texts(status, root), "texts").select(
+        "key", F.concat(F.lit("lake.given."), F.get_json_object("text", "$.name")).alias("described")
+    )
+    joined = status.join(read, "fq_name", "left").join(sidecars, "key", "left")
+    described = F.coalesce(F.col("described") == F.col("fq_name"), F.lit(False))
+    return joined.select("fq_name", "n_rows", "ok", "n_read", "key_sum", described.alias("described"))
 
 
 @query(
     "job_analyze",
-    with_(ASSETS, SCAN, TABLES)
-    + f"""SELECT 'assets' AS part, '' AS risk, count(*) AS n FROM analysis WHERE NOT {BAD_BODY}
-    UNION ALL SELECT 'analyses', risk, count(*) FROM analysis WHERE NOT {BAD_BODY} GROUP BY risk
-    UNION ALL SELECT 'tables', '', count(*) FROM tables_v
-      WHERE data_source_format = '' OR upper(data_source_format) = 'DELTA'
-    UNION ALL SELECT 'jobs', '', count(*) FROM orders
-    UNION ALL SELECT 'clusters', '', count(DISTINCT user_id) FROM events""",
+    snapshot_sql(
+        f"WHERE NOT {BAD_BODY}",
+        "WHERE data_source_format = '' OR upper(data_source_format) = 'DELTA'",
+    ),
 )
 def job_analyze(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = export.export_dir(spark, sf_dir, "assets", "bodies", "tables", "jobs", "clusters")
-    parts = plan.run_full(spark, root, scratch_dir(spark, "snapshot"), views.AS_OF_TEXT)
-    risks = parts["analyses"].groupBy("risk").agg(F.count(F.lit(1)).alias("n"))
-    others = {name: part for name, part in parts.items() if name != "analyses"}
-    counts = aggregates.summary_counts(**others).withColumn("risk", F.lit(""))
-    return counts.unionByName(risks.withColumn("part", F.lit("analyses"))).select(
-        "part", "risk", "n"
-    )
+    out = scratch_dir(spark, "snapshot")
+    plan.run_full(spark, root, out, views.AS_OF_TEXT)
+    return snapshot_rows(spark, out)
 
 
 @query("job_overview", OVERVIEW)

@@ -10,6 +10,7 @@ from transhume.functions import scalars
 from transhume.operators import rewrite, scan
 from transhume.plans import conversion
 from transhume.session import scratch_dir
+from transhume.sinks import objects
 from workload import views
 from workload.registry import query
 from workload.views import ASSETS, SCAN, confidence_sql, with_
@@ -254,9 +255,18 @@ def conv_diff_head(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "conv_tally",
-    with_(ASSETS) + "SELECT count(*) AS n_uploaded, count(*) AS n_total FROM assets_v",
+    with_(ASSETS, CONVERTED)
+    + """SELECT converted_key, md5(after) AS written_md5, count(*) OVER () AS n_uploaded,
+      count(*) OVER () AS n_total FROM full_converted""",
 )
 def conv_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tally beside every converted source as it was written, a file each."""
     root = scratch_dir(spark, "converted")
     status = conversion.convert_batch(spark, views.assets(spark, sf_dir), root, BUCKET)
-    return rewrite.conversion_tally(status)
+    texts = objects.get_texts(status.where("uploaded"), root, key="converted_key")
+    written = views.kept(texts, "texts")
+    tally = rewrite.conversion_tally(status)
+    found = written.select(
+        F.col("key").alias("converted_key"), F.md5(F.col("text").cast("binary")).alias("written_md5")
+    )
+    return found.withColumns({name: tally.select(name).scalar() for name in ("n_uploaded", "n_total")})

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from transhume.session import scratch_dir
+
 AS_OF = 1706659200  # 2024-01-31T00:00:00Z
 AS_OF_TEXT = "2024-01-31T00:00:00Z"
 
@@ -18,6 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(df: DataFrame, label: str) -> DataFrame:
+    """The rows as a table in the scratch folder: what tasks read from single files is read once."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def case(selector: str, **cases: str) -> Column:
     """CASE over a small integer, keys are n0, n1, .."""
     whens = " ".join(f"WHEN {key[1:]} THEN {value}" for key, value in cases.items())
