@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 from transhume import storage
 from transhume.operators import joins
 from transhume.plans import migration
+from transhume.sinks import objects
+from transhume.sources import files
 
 
 def test_every_listed_table_has_a_status(spark, tmp_path):
@@ -41,6 +43,46 @@ def test_addresses(spark, tmp_path):
         storage.open_root(str(tmp_path))
 
 
+class Cluster:
+    """The session as on a cluster, whose shared folder is a path without scheme."""
+
+    def __init__(self, spark):
+        self.spark, self.conf = spark, self
+
+    def get(self, key, *default):
+        return "spark://host:7077" if key == "spark.master" else self.spark.conf.get(key, *default)
+
+    def __getattr__(self, name):
+        return getattr(self.spark, name)
+
+
+def test_paths_without_scheme_on_a_cluster(spark, tmp_path):
+    assert storage.resolve(Cluster(spark), str(tmp_path)) == f"file:{tmp_path}"
+    (tmp_path / "migration_results_1.json").write_text('{"id": 1}\n')
+    assert files.latest_path(Cluster(spark), str(tmp_path), "*.json").endswith("_1.json")
+
+
+def test_mounted_folders_are_listed_copied_and_read(spark, tmp_path):
+    (tmp_path / "in" / "d").mkdir(parents=True)
+    (tmp_path / "in" / "d" / "x.txt").write_text("one")
+    hadoop = spark._jsc.hadoopConfiguration()
+    hadoop.set("fs.viewfs.mounttable.moves.link./given", f"file://{tmp_path}/in")
+    hadoop.set("fs.viewfs.mounttable.moves.link./given/far", f"file://{tmp_path}/far")
+    try:
+        assert storage.resolve(spark, "viewfs://moves/given/far/a") == f"file://{tmp_path}/far/a"
+        assert storage.resolve(spark, "viewfs://moves/givenness") == "viewfs://moves/givenness"
+        found = files.file_manifest(spark, "viewfs://moves/given")
+        assert [r["relative"] for r in found.collect()] == ["d/x.txt"]
+        named = found.withColumn("path", F.concat(F.lit("viewfs://moves/given/"), "relative"))
+        out = "viewfs://moves/given/far"
+        assert [r["ok"] for r in objects.copy_files(named, out).collect()] == [True]
+        texts = objects.get_texts(found.select(F.col("relative").alias("key")), out)
+        assert [r["text"] for r in texts.collect()] == ["one"]
+    finally:
+        hadoop.unset("fs.viewfs.mounttable.moves.link./given")
+        hadoop.unset("fs.viewfs.mounttable.moves.link./given/far")
+
+
 def test_repeated_bodies_do_not_multiply(spark):
     listing = spark.createDataFrame([("p",), ("p",), ("q",), ("r",)], "path STRING")
     bodies = spark.createDataFrame(

@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from transhume.storage import open_root, put, resolve
+from transhume.storage import default_store, mounts, open_root, put, resolve
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -49,9 +49,15 @@ def width(df: DataFrame) -> int:
 
 def with_scheme(df: DataFrame, col: str) -> Column:
     """The address with a scheme; one without is on the session's default file system."""
-    default = resolve(df.sparkSession, "/").rstrip("/")
+    spark = df.sparkSession
     path = F.when(F.contains(F.col(col), F.lit(":/")), F.col(col))
-    return F.coalesce(path, F.concat(F.lit(default), F.col(col)))
+    path = F.coalesce(path, F.concat(F.lit(default_store(spark)), F.col(col)))
+    out = path
+    for folder, place in reversed(mounts(spark)):
+        below = F.substr(path, F.lit(len(folder) + 1))
+        inside = (path == folder) | F.startswith(path, F.lit(f"{folder}/"))
+        out = F.when(inside, F.concat(F.lit(place), below)).otherwise(out)
+    return out
 
 
 def put_texts(

@@ -31,21 +31,44 @@ EPOCH = datetime(1970, 1, 1, tzinfo=timezone.utc)
 SCHEMES = {"s3a": "s3", "s3n": "s3", "gcs": "gs"}
 
 
-def resolve(spark: SparkSession, location: str) -> str:
-    """The location with its scheme, as Spark's own readers take it.
+def mounts(spark: SparkSession) -> list[tuple[str, str]]:
+    """Folders of Hadoop's mount tables (``viewfs``) and the places they stand for, longest first.
 
-    A path without scheme is on the default file system of the session.  Where that is the local disk,
-    it is refused on a cluster, as every executor has another one.
+    Only Spark knows these tables; the clients used in tasks get the place behind.
     """
-    scheme, mark, rest = location.partition(":/")
-    if mark and "/" not in scheme:
-        return f"{SCHEMES.get(scheme, scheme)}:/{rest}"
+    links = spark._jsc.hadoopConfiguration().getPropsWithPrefix("fs.viewfs.mounttable.")
+    found = []
+    for key in links.keySet():
+        table, mark, folder = key.partition(".link./")
+        if mark:
+            found.append((f"viewfs://{table}/{folder}".rstrip("/"), links.get(key).rstrip("/")))
+    return sorted(found, key=lambda link: len(link[0]), reverse=True)
+
+
+def unmounted(location: str, links: list[tuple[str, str]]) -> str:
+    for folder, place in links:
+        if location == folder or location.startswith(f"{folder}/"):
+            return place + location[len(folder) :]
+    return location
+
+
+def default_store(spark: SparkSession, location: str = "/") -> str:
+    """The location on the default file system of the session, with its scheme."""
     place = spark._jvm.org.apache.hadoop.fs.Path(location)
     store = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = store.makeQualified(place).toString()
-    if found.startswith("file:") and not spark.conf.get("spark.master", "").startswith("local"):
-        raise ValueError(f"{location} is on the local disk of each executor; name a shared store")
-    return found
+    return store.makeQualified(place).toString().rstrip("/")
+
+
+def resolve(spark: SparkSession, location: str) -> str:
+    """The location with its scheme, as Spark's own readers take it.
+
+    A path without scheme is on the default file system of the session.  Where that is the local disk it
+    has to be a folder that all executors share, as it has for Spark's readers and writers.
+    """
+    if ":/" not in location or "/" in location.partition(":/")[0]:
+        location = default_store(spark, location)
+    scheme, _, rest = unmounted(location, mounts(spark)).partition(":/")
+    return f"{SCHEMES.get(scheme, scheme)}:/{rest}"
 
 
 def open_root(location: str) -> tuple[fs.FileSystem, str]:
