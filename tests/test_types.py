@@ -86,3 +86,17 @@ def test_three_to_thirty_levels(spark):
     values = [nested(n) for n in (3, 8, 9, 15, 30, 60)]
     assert rendered(spark, values, types.DEPTH) == [plain(v) for v in values]
     assert "{" not in rendered(spark, values[-1:], types.DEPTH)[0]
+
+
+def test_column_entries_of_a_small_table_are_dealt_over_all_tasks(spark, tmp_path):
+    from workload import q_fields
+
+    rows = spark.range(40).selectExpr(
+        "id AS p_partkey", "concat('part ', id) AS p_name", "'Brand#1' AS p_brand", "'type' AS p_type",
+        "cast(id % 50 AS int) AS p_size", "cast(id AS double) AS p_retailprice",
+    )
+    rows.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    found = q_fields.fn_columns(spark, str(tmp_path))
+    tasks = found.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert tasks == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.count() == 40

@@ -145,7 +145,7 @@ def fn_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def variant_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tables with raw column entries as ARRAY<VARIANT>, up to 59 each."""
-    rows = views.tables(spark, sf_dir).select("name", "ord")
+    rows = views.spread(views.tables(spark, sf_dir).select("name", "ord"))
     numbers = "sequence(1, cast(ord % 59 as int) + 1)"
     entry = f"parse_json({export.column_json()})"
     return rows.withColumn("columns", F.expr(f"transform({numbers}, i -> {entry})"))

@@ -27,6 +27,11 @@ def kept(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Narrow rows that stand for much work, dealt out over all tasks: a small file gives one task or two."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def case(selector: str, **cases: str) -> Column:
     """CASE over a small integer, keys are n0, n1, .."""
     whens = " ".join(f"WHEN {key[1:]} THEN {value}" for key, value in cases.items())
