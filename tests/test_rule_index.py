@@ -87,3 +87,22 @@ def test_one_scan_no_exchange_no_python(spark, tmp_path):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall("FileScan", plan)) == 1 and "Exchange" not in plan
     assert "Python" not in plan
+
+
+def test_rules_for_whole_words(spark):
+    words = ["an", "ant", "ante", "re", "x", "read_1", "X"]
+    hints = [(), ("an",), ("zz",), ("re", "zz"), ("x",), ("read",), ()]
+    rules = [Rule(f"r{i}", rf"\b{w}\b", h) for i, (w, h) in enumerate(zip(words, hints))]
+    rules += [Rule("more", r"\bant\b|\bx\b", ("ant", "x")), Rule("again", r"\bant\b", ())]
+    texts = [*TEXTS, "an ant ante antes", "ante zz", "anté an\u0301 ant1 _an", "read_1,x.X", "re-ant\nx", "ant"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id INT, content STRING")
+    assert set(rule_index.whole_words(hints, [r.pattern for r in rules])) == {"an", "ant", "re", "x", "read_1", "X"}
+    plain = scan.pattern_scan(df, rules=rules)
+    assert sorted(rule_index.scan_rules(df, rules).collect()) == sorted(plain.collect())
+
+
+def test_whole_words_are_left_to_one_regex(spark):
+    rules = [Rule(w, rf"\b{w}\b", (w,)) for w in ("anread", "anreti", "tianre")]
+    df = rule_index.scan_rules(spark.createDataFrame([("anread",)], "content STRING"), rules)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan.upper() and "contains(" not in plan.lower()
