@@ -132,3 +132,23 @@ def test_report_holds_the_sequence_diff(spark, tmp_path):
     saved = json.loads(text)
     assert saved["before_lines"] == before.split("\n") and saved["after_lines"] == after.split("\n")
     assert [d["op"] + d["line"] for d in saved["diffs"]] == [" k0", "-x", " k1", "+z", " k2", "+k4"]
+
+
+def test_lists_of_a_batch_are_paired_as_one_by_one():
+    import pyarrow as pa
+
+    random_ = random.Random(9)
+    lists = [None, [], ["a"], ["a", None, "b"]]
+    for words in (3, 40, 4000):
+        lists += [[f"w{random_.randrange(words)}" for _ in range(random_.randrange(60))] for _ in range(60)]
+    a, b = lists[:], lists[1:] + lists[:1]
+    for lines in lists[4:40]:  # edits that leave lines out and put new ones in
+        a.append(lines)
+        b.append([x for i, l in enumerate(lines) for x in ([] if i % 5 == 3 else [l]) + ([f"new {i}"] if i % 7 == 2 else [])])
+    kind = pa.list_(pa.string())
+    found = sequences.paired_lists(pa.array([["skipped"], *a], kind)[1:], pa.array([None, *b], kind)[1:])
+    expected = [
+        None if x is None or y is None else [{"l": l, "r": r} for l, r in sequences.paired(x, y)] for x, y in zip(a, b)
+    ]
+    assert found.to_pylist() == expected
+    assert sequences.paired_lists(pa.array([], kind), pa.array([], kind)).to_pylist() == []

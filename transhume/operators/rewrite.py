@@ -130,12 +130,7 @@ def sequence_pairs(before: Column, after: Column) -> Column:
 
     @F.arrow_udf("array<struct<l: string, r: string>>")
     def paired(left: pa.Array, right: pa.Array) -> pa.Array:
-        kind = pa.list_(pa.struct([("l", pa.string()), ("r", pa.string())]))
-        rows = zip(left.to_pylist(), right.to_pylist())
-        return pa.array(
-            [None if a is None or b is None else [{"l": x, "r": y} for x, y in sequences.paired(a, b)] for a, b in rows],
-            kind,
-        )
+        return sequences.paired_lists(left, right)
 
     return paired(before, after)
 
@@ -215,7 +210,8 @@ def op_list(pairs: Column, header_lines: Column) -> Column:
     """All diff operations in order: header lines as added, then the body.
 
     A run of changed pairs gives all its removed lines, then all its added ones.  Runs are the
-    gaps between equal pairs, so each pair is visited once.
+    gaps between equal pairs, so each pair is visited once.  Where no pair holds two different lines its runs
+    have that order already, as ``diff_ops`` gives them, and each pair is one operation.
     """
 
     def ops(sign: str, lines: Column) -> Column:
@@ -240,7 +236,18 @@ def op_list(pairs: Column, header_lines: Column) -> Column:
     )
     starts = F.concat(F.array(F.lit(-1)), equal)
     ends = F.concat(equal, F.array(F.size(pairs)))
-    return F.concat(ops("+", header_lines), F.flatten(F.zip_with(starts, ends, up_to)))
+    by_run = F.flatten(F.zip_with(starts, ends, up_to))
+
+    def alone(p: Column) -> Column:
+        sign = F.when(p["l"].isNull(), "+").when(p["r"].isNull(), "-").otherwise(" ")
+        return F.struct(sign.alias("op"), F.coalesce(p["l"], p["r"]).alias("line"))
+
+    each = F.transform(pairs, alone).cast(f"array<{DIFF_OP}>")
+    # a pair of nothing at all is no operation
+    mixed = F.exists(
+        pairs, lambda p: F.coalesce(p["l"] != p["r"], F.lit(False)) | (p["l"].isNull() & p["r"].isNull())
+    )
+    return F.concat(ops("+", header_lines), F.when(mixed, by_run).otherwise(each))
 
 
 def line_diff(df: DataFrame, key: str = "path", **args: Any) -> DataFrame:
