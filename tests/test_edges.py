@@ -87,6 +87,15 @@ def test_base64_as_a_lenient_reader_takes_it(spark):
     assert [tuple(r) for r in rows] == [(b, lenient(b)) for b in bodies]
 
 
+def test_base64_is_cleaned_once(spark):
+    df = spark.createDataFrame([("YWJj",)], "body STRING").select(
+        listings.decoded(F.col("body")).alias("text")
+    )
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    for step in ("regexp_replace(", "split("):
+        assert plan.count(step) == 1, step
+
+
 @pytest.mark.parametrize(
     "glob, name, hit",
     [

@@ -83,20 +83,22 @@ def decoded(body: Column) -> Column:
     clean-up runs only on bodies that hold some; the possessive test passes over the rest quickly.
     """
     body = F.replace(F.replace(body, F.lit("\n"), F.lit("")), F.lit("\r"), F.lit(""))
-    pure = body.rlike("^[A-Za-z0-9+/]*+={0,2}$") & (F.length(body) % 4 == 0)
-    clean = F.when(pure, body).otherwise(padded(F.regexp_replace(body, "[^A-Za-z0-9+/=]", "")))
-    raw = F.when(F.length(clean) % 4 == 0, F.try_to_binary(clean, F.lit("base64")))
-    return F.try_validate_utf8(raw.cast("string"))
+
+    def cleaned(b: Column) -> Column:
+        pure = b.rlike("^[A-Za-z0-9+/]*+={0,2}$") & (F.length(b) % 4 == 0)
+        return F.when(pure, b).otherwise(padded(F.regexp_replace(b, "[^A-Za-z0-9+/=]", "")))
+
+    def read(clean: Column) -> Column:
+        raw = F.when(F.length(clean) % 4 == 0, F.try_to_binary(clean, F.lit("base64")))
+        return F.try_validate_utf8(raw.cast("string"))
+
+    # each step is computed once for a body, however often the next one looks at it
+    return scalars.bind(scalars.bind(body, cleaned), read)
 
 
 def padded(body: Column) -> Column:
     """Base64 with padding anywhere, as a lenient reader takes it: characters count by fours, padding
     that does not complete a four is skipped, and the first that does ends the text."""
-    parts = F.split(body, "=", -1)
-    start = F.struct(
-        F.get(parts, F.lit(0)).alias("text"), F.lit(0).alias("pads"), F.lit(False).alias("done")
-    )
-
     def next_part(state: Column, part: Column) -> Column:
         place = F.length(state["text"]) % 4
         pads = F.when(place >= 2, state["pads"] + 1).otherwise(state["pads"])
@@ -108,9 +110,13 @@ def padded(body: Column) -> Column:
             done.alias("done"),
         )
 
-    rest = F.slice(parts, 2, F.size(parts))
-    whole = F.aggregate(rest, start, next_part)
-    return closed(whole)
+    def whole(parts: Column) -> Column:
+        start = F.struct(
+            F.get(parts, F.lit(0)).alias("text"), F.lit(0).alias("pads"), F.lit(False).alias("done")
+        )
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), start, next_part)
+
+    return closed(scalars.bind(F.split(body, "=", -1), whole))
 
 
 def closed(state: Column) -> Column:
