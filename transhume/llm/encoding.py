@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from transhume.llm import spans
 
 #: Pieces remembered by a Python worker: about 60 bytes each.
-REMEMBERED = 800_000
+REMEMBERED = 1_500_000
 #: Bytes of texts worked on at once, and new pieces the library gets at once: it keeps much of each token.
 AT_ONCE = 4 << 20
 #: Both for jobs whose other stages need the memory.
@@ -84,11 +84,12 @@ class Encoder:
         texts = [x.decode() for x in found]
         inside = np.array([not x[-1].isspace() and x[0] in " \t\n\x0b\x0c\r" for x in texts], bool)
         run = [x for x, y in zip(texts, inside) if y]
-        ids = np.array(self.tokenizer.encode("".join(run), add_special_tokens=False).ids, np.uint32)
+        (whole,) = self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)
+        ids = np.array(whole.ids, np.uint32)
         ends = np.cumsum(np.array([len(x) for x, y in zip(found, inside) if y], np.int64))
         closed = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
         alone = [x for x, y in zip(texts, inside) if not y]
-        other = [e.ids for e in self.tokenizer.encode_batch(alone, add_special_tokens=False)]
+        other = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
         size = np.zeros(len(found), np.int64)
         size[inside] = np.diff(closed, prepend=0)
         size[~inside] = [len(x) for x in other]
