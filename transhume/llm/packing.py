@@ -43,6 +43,8 @@ NODES = 2000
 LOOKS = 50
 #: Ids that go from Python to Spark at once, or those of one longer text.
 IDS_AT_ONCE = 1 << 20
+#: Pieces of text remembered by a worker, which holds the ids of a batch besides.
+REMEMBERED = 800_000
 
 PIECES = (
     "doc_id BIGINT, piece INT, start BIGINT, length BIGINT, part INT, number BIGINT, ids ARRAY<INT>"
@@ -263,7 +265,7 @@ def places(fillings: list[Filling]) -> list[tuple[int, int, int, int, int, int]]
 def _cutter(tokenizer: str, capacity: int, forget: bool = False):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = encoding.encoder(tokenizer, **(encoding.LEAN if forget else {}))
+        encoder = encoding.encoder(tokenizer, **(encoding.LEAN if forget else {"remembered": REMEMBERED}))
         at_once = IDS_AT_ONCE // 4 if forget else IDS_AT_ONCE
         seen = [0] * (capacity + 1)
         names = ["doc_id", "piece", "start", "length", "part", "number", "ids"]
