@@ -25,7 +25,7 @@ REMEMBERED = 1_500_000
 #: Bytes of texts worked on at once, and new pieces the library gets at once: it keeps much of each token.
 AT_ONCE = 4 << 20
 #: Both for jobs whose other stages need the memory.
-LEAN = {"at_once": 1 << 20, "remembered": 200_000}
+LEAN = {"at_once": 1 << 20, "remembered": 200_000, "fast": False}
 NEW_AT_ONCE = 30_000
 
 #: White space beyond ASCII, as the tokenizer's pattern takes it.
@@ -58,8 +58,8 @@ def pieces(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Encoder:
     """Encodes columns of texts with one tokenizer file."""
 
-    def __init__(self, path: str, at_once: int = AT_ONCE, remembered: int = REMEMBERED):
-        self.at_once, self.remembered = at_once, remembered
+    def __init__(self, path: str, at_once: int = AT_ONCE, remembered: int = REMEMBERED, fast: bool = True):
+        self.at_once, self.remembered, self.fast = at_once, remembered, fast
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -84,12 +84,13 @@ class Encoder:
         texts = [x.decode() for x in found]
         inside = np.array([not x[-1].isspace() and x[0] in " \t\n\x0b\x0c\r" for x in texts], bool)
         run = [x for x, y in zip(texts, inside) if y]
-        (whole,) = self.tokenizer.encode_batch_fast(["".join(run)], add_special_tokens=False)
+        batch = self.tokenizer.encode_batch_fast if self.fast else self.tokenizer.encode_batch
+        (whole,) = batch(["".join(run)], add_special_tokens=False)
         ids = np.array(whole.ids, np.uint32)
         ends = np.cumsum(np.array([len(x) for x, y in zip(found, inside) if y], np.int64))
         closed = np.searchsorted(np.cumsum(self.width[ids]), ends) + 1
         alone = [x for x, y in zip(texts, inside) if not y]
-        other = [e.ids for e in self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)]
+        other = [e.ids for e in batch(alone, add_special_tokens=False)]
         size = np.zeros(len(found), np.int64)
         size[inside] = np.diff(closed, prepend=0)
         size[~inside] = [len(x) for x in other]

@@ -265,7 +265,7 @@ def places(fillings: list[Filling]) -> list[tuple[int, int, int, int, int, int]]
 def _cutter(tokenizer: str, capacity: int, forget: bool = False):
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        encoder = encoding.encoder(tokenizer, **(encoding.LEAN if forget else {"remembered": REMEMBERED}))
+        encoder = encoding.encoder(tokenizer, **(encoding.LEAN if forget else {"remembered": REMEMBERED, "fast": False}))
         at_once = IDS_AT_ONCE // 4 if forget else IDS_AT_ONCE
         seen = [0] * (capacity + 1)
         names = ["doc_id", "piece", "start", "length", "part", "number", "ids"]
