@@ -93,3 +93,24 @@ def test_repeated_bodies_do_not_multiply(spark):
         F.count("*").alias("n"), F.count_distinct("content").alias("k")
     )
     assert sorted(map(tuple, rows.collect())) == [("p", 2, 1), ("q", 1, 1)]
+
+
+def test_latest_result_in_a_store_that_only_spark_reads(spark, tmp_path):
+    for name, number in (("r_1.json", 1), ("r_3.json", 3), ("other_9.json", 9)):
+        spark.range(number, number + 1).write.json(f"{tmp_path}/{name}")
+    spark.range(2, 3).coalesce(1).write.json(f"{tmp_path}/r_2.json")
+    hadoop = spark._jsc.hadoopConfiguration()
+    given = {
+        "fs.onlyspark.impl": "org.apache.hadoop.fs.viewfs.ViewFileSystemOverloadScheme",
+        "fs.viewfs.overload.scheme.target.onlyspark.impl": "org.apache.hadoop.fs.LocalFileSystem",
+        "fs.viewfs.mounttable.results.link./saved": f"file://{tmp_path}",
+    }
+    for key, value in given.items():
+        hadoop.set(key, value)
+    try:
+        rows = files.read_latest(spark, "onlyspark://results/saved", "r_*.json").collect()
+        assert [row["id"] for row in rows] == [3]
+        assert files.latest_path(spark, "onlyspark://results/saved", "none_*.json") is None
+    finally:
+        for key in given:
+            hadoop.unset(key)

@@ -7,7 +7,6 @@ from itertools import count
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from transhume.session import scratch_dir
 from transhume.storage import LISTED, list_folders, resolve
@@ -89,10 +88,19 @@ def glob_regex(glob: str) -> str:
 
 
 def latest_path(spark: SparkSession, folder: str, glob: str) -> str | None:
-    """The saved result whose name sorts last, a file or a folder; found without reading any."""
-    name = glob_regex(glob)
-    found = list_level(spark, top_folder(spark, folder), 1)
-    newest = found.where(F.col("relative").rlike(f"^{name}$")).agg(F.max("relative")).first()[0]
+    """The saved result whose name sorts last, a file or a folder; found without reading any.
+
+    The names come one after the other from the store's own client, as Spark reads the folder, and only
+    the last is kept.
+    """
+    name = re.compile(glob_regex(glob))
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    listed = place.getFileSystem(spark._jsc.hadoopConfiguration()).listStatusIterator(place)
+    newest = None
+    while listed.hasNext():
+        found = listed.next().getPath().getName()
+        if name.fullmatch(found) and (newest is None or found > newest):
+            newest = found
     return newest and f"{folder.rstrip('/')}/{newest}"
 
 
