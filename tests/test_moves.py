@@ -8,6 +8,7 @@ from transhume.operators import joins
 from transhume.plans import migration
 from transhume.sinks import objects
 from transhume.sources import files
+from workload import q_jobs
 
 
 def test_every_listed_table_has_a_status(spark, tmp_path):
@@ -114,3 +115,14 @@ def test_latest_result_in_a_store_that_only_spark_reads(spark, tmp_path):
     finally:
         for key in given:
             hadoop.unset(key)
+
+
+def test_copies_of_tables_that_are_folders_are_compared(spark, tmp_path):
+    for name, key in q_jobs.KEYS.items():
+        rows = spark.range(1, 4).select(F.col("id").alias(key), F.lit("x").alias("other"))
+        rows.repartition(2).write.parquet(f"{tmp_path}/{name}.parquet")
+    found = q_jobs.sink_copy(spark, str(tmp_path)).collect()
+    assert {(r["name"], r["n_rows"], r["key_sum"], r["n_differing"]) for r in found} == {
+        (name, 3, 6, 0) for name in q_jobs.KEYS
+    }
+    assert len(found) == len(q_jobs.KEYS)

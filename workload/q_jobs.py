@@ -115,13 +115,16 @@ def sink_export(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sink_copy", f"SELECT *, 0::BIGINT AS n_differing FROM ({counts_sql()})")
 def sink_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The copies read as tables, and their bytes compared; long files go in ranges of a megabyte."""
+    """The copies read as tables, and their bytes compared; long files go in ranges of a megabyte.
+
+    A table is a file or a folder of files."""
     root = scratch_dir(spark, "copied")
     manifest = file_manifest(spark, sf_dir)
     parts.copy_large(manifest, root, RANGE).write.json(f"{root}-status")
     compared = views.kept(parts.compare_files(manifest, root, RANGE), "compared")
-    name = F.regexp_replace("key", "\\.parquet$", "").alias("name")
-    return contents(spark, root, ".parquet").join(compared.select(name, "n_differing"), "name")
+    name = F.regexp_replace(F.substring_index("key", "/", 1), "\\.parquet$", "").alias("name")
+    differing = compared.groupBy(name).agg(F.sum("n_differing").alias("n_differing"))
+    return contents(spark, root, ".parquet").join(differing, "name")
 
 
 @query(
