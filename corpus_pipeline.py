@@ -21,8 +21,19 @@ from pyspark.sql import DataFrame, SparkSession
 from transhume.llm import encoding, exact, jaccard, language, packing, shared, winnow
 
 
+#: Bytes of texts at once between Spark and Python.  Executors keep the memory of the largest batch, on both
+#: sides, until the last stage ends.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Batches of at most that many bytes, or one longer text."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a letter, in learned languages.  Without labels nothing can be told, and all stay."""
+    small_batches(spark)
     model = language.fit(docs)
     return language.keep_known(docs, model) if model.langs else docs
 
@@ -34,6 +45,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
@@ -44,6 +56,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their ids, a digest of these, and their places in sequences."""
+    small_batches(spark)
     return packing.digests(packing.pack(docs, encoding.default_path("byte_bpe_50k.json"), forget=True))
 
 

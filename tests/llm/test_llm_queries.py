@@ -1,5 +1,6 @@
 """The queries with SQL against DuckDB, on given tables and on awkward rows."""
 
+import pyarrow as pa
 import pytest
 from compare import database, differences
 from texts import DISTINCT, LONG
@@ -58,3 +59,17 @@ def test_awkward_rows(spark, awkward, name):
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_empty_tables(spark, tables, name):
     assert QUERIES[name](spark, tables([])).collect() == []
+
+
+def test_pipeline_moves_small_batches(spark):
+    import corpus_pipeline
+
+    docs = spark.range(0, 1500, 1, 1).selectExpr("id AS doc_id", "repeat('word ', 4000) AS text", "'en' AS lang")
+    corpus_pipeline.known_language(spark, docs, "")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes], pa.int64())], names=["n"])
+
+    largest = max(r["n"] for r in docs.select("text").mapInArrow(sizes, "n BIGINT").collect())
+    assert largest < 2 * corpus_pipeline.BATCH_BYTES
