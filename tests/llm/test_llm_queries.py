@@ -73,3 +73,40 @@ def test_pipeline_moves_small_batches(spark):
 
     largest = max(r["n"] for r in docs.select("text").mapInArrow(sizes, "n BIGINT").collect())
     assert largest < 2 * corpus_pipeline.BATCH_BYTES
+
+
+def peak_mb(work):
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        for _ in work:
+            pass
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def long_texts(n):
+    return [" ".join(f"w{(i * 7919 + j * 31) % 9973}x{j % 977}" for j in range(1500)) for i in range(n)]
+
+
+def test_predictor_holds_little_at_once():
+    from transhume.llm import language
+
+    texts = pa.array(long_texts(200))
+    counts = language._count(iter([pa.RecordBatch.from_arrays([texts, pa.array(["en"] * 200)], names=["text", "lang"])]))
+    model = language.Model(pa.Table.from_batches(list(counts)))
+    keys = pa.array(range(200), pa.int64())
+    batch = pa.RecordBatch.from_arrays([keys, texts, keys], names=["doc_id", "text", "row"])
+    assert peak_mb(language._predictor(model)(iter([batch]))) < 20
+
+
+def test_lean_encoder_holds_little_at_once():
+    from transhume.llm import encoding
+
+    encoder = encoding.Encoder(encoding.default_path("byte_bpe_50k.json"), **encoding.LEAN)
+    texts = pa.array(long_texts(200))
+    for _ in encoder.encode(texts):  # its pieces are known from here on
+        pass
+    assert peak_mb(encoder.encode(texts)) < 22

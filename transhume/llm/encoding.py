@@ -25,7 +25,7 @@ REMEMBERED = 1_500_000
 #: Bytes of texts worked on at once, and new pieces the library gets at once: it keeps much of each token.
 AT_ONCE = 4 << 20
 #: Both for jobs whose other stages need the memory.
-LEAN = {"at_once": 1 << 20, "remembered": 200_000, "fast": False}
+LEAN = {"at_once": 1 << 18, "remembered": 200_000, "fast": False}
 NEW_AT_ONCE = 30_000
 
 #: White space beyond ASCII, as the tokenizer's pattern takes it.

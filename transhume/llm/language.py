@@ -40,7 +40,7 @@ SMOOTH = 0.5
 LEAST_SHARE = 0.3
 UND = "und"
 #: A document of many trigrams is worked on with those of others up to this many characters.
-AT_ONCE = 2 << 20
+AT_ONCE = 1 << 18
 
 LETTER = re.compile(r"[^\W\d_]")
 COUNTS = "lang STRING, bucket INT, n BIGINT"
