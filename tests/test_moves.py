@@ -126,3 +126,17 @@ def test_copies_of_tables_that_are_folders_are_compared(spark, tmp_path):
         (name, 3, 6, 0) for name in q_jobs.KEYS
     }
     assert len(found) == len(q_jobs.KEYS)
+
+
+def test_a_table_that_is_not_moved_is_a_row_of_the_migration(spark, tmp_path):
+    for name, key in q_jobs.KEYS.items():
+        rows = spark.range(1, 4).select(F.col("id").alias(key), F.lit("x").alias("other"))
+        rows.write.parquet(f"{tmp_path}/{name}.parquet")
+    (tmp_path / "nation.parquet" / "_delta_log").mkdir()
+    (tmp_path / "nation.parquet" / "_delta_log" / "0.json").write_text("{}")
+    found = q_jobs.job_migrate(spark, str(tmp_path)).collect()
+    rows = {r["fq_name"].rsplit(".", 1)[1]: tuple(r)[1:] for r in found}
+    assert len(found) == len(rows) == len(q_jobs.KEYS) + 2
+    for name in ("nation", "absent", "gone"):
+        assert rows.pop(name) == (None, False, None, None, True)
+    assert set(rows.values()) == {(3, True, 3, 6, True)}

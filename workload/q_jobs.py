@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,8 +73,11 @@ def counts_sql() -> str:
     )
 
 
-def contents(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
-    """Row count and sum of keys of every given table as it was written below a folder."""
+def contents(
+    spark: SparkSession, folder: str, suffix: str = "", names: Collection[str] = tuple(KEYS)
+) -> DataFrame:
+    """Row count and sum of keys of every given table, or of those named, as it was written below a folder."""
+    none = spark.createDataFrame([], "name STRING, n_rows BIGINT, key_sum BIGINT")
     found = [
         spark.read.parquet(f"{folder}/{name}{suffix}").agg(
             F.lit(name).alias("name"),
@@ -81,8 +85,9 @@ def contents(spark: SparkSession, folder: str, suffix: str = "") -> DataFrame:
             F.sum(F.col(key).cast("long")).alias("key_sum"),
         )
         for name, key in KEYS.items()
+        if name in names
     ]
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, found, none)
 
 
 def given_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -301,7 +306,9 @@ def sink_conv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT 'lake.given.gone', NULL, false, NULL, NULL, true""",
 )
 def job_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All given tables, and two whose files do not exist; copies and sidecars are read back."""
+    """All given tables, and two whose files do not exist; copies and sidecars are read back.
+
+    What the move failed to write is not read: its row tells, and the others are as they are."""
     tables = given_tables(spark, sf_dir)
     without = tables.where("name IN ('region', 'nation')").withColumns(
         {
@@ -310,15 +317,18 @@ def job_migrate(spark: SparkSession, sf_dir: str) -> DataFrame:
         }
     )
     root = scratch_dir(spark, "migrated")
-    status = migration.migrate_tables(spark, tables.unionByName(without), root)
-    read = contents(spark, f"{root}/migrated-tables/lake/given").select(
+    status = views.kept(migration.migrate_tables(spark, tables.unionByName(without), root), "moved")
+    table_name = F.element_at(F.split("fq_name", "\\."), -1).alias("name")
+    moved = [row["name"] for row in status.where("ok").select(table_name).collect()]
+    read = contents(spark, f"{root}/migrated-tables/lake/given", names=moved).select(
         F.concat(F.lit("lake.given."), "name").alias("fq_name"),
         F.col("n_rows").alias("n_read"),
         "key_sum",
     )
     file = F.when(F.col("ok"), sinks.HIDDEN_SIDECAR).otherwise(sinks.SIDECAR)
     status = status.withColumn("key", F.concat_ws("/", "dest_key", file))
-    sidecars = views.kept(objects.get_texts(status, root), "texts").select(
+    written = status.where("sidecar_ok")
+    sidecars = views.kept(objects.get_texts(written, root), "texts").select(
         "key", F.concat(F.lit("lake.given."), F.get_json_object("text", "$.name")).alias("described")
     )
     joined = status.join(read, "fq_name", "left").join(sidecars, "key", "left")
