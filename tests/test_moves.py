@@ -140,3 +140,16 @@ def test_a_table_that_is_not_moved_is_a_row_of_the_migration(spark, tmp_path):
     for name in ("nation", "absent", "gone"):
         assert rows.pop(name) == (None, False, None, None, True)
     assert set(rows.values()) == {(3, True, 3, 6, True)}
+
+
+def test_a_sidecar_that_is_not_written_is_a_row(spark, tmp_path):
+    rows = [(1, "one", "b", "t", 1, 1.5), (2, "two", "b" * 300, "t", 1, 1.5), (3, "three", "b", "t", 1, 1.5)]
+    part = spark.createDataFrame(
+        rows,
+        "p_partkey LONG, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    )
+    part.write.parquet(f"{tmp_path}/part.parquet")
+    found = q_jobs.sink_sidecar(spark, str(tmp_path)).collect()
+    assert sorted((r["ok"], r["whole"], r["name"]) for r in found if r["ok"]) == [(True, True, "t1"), (True, True, "t3")]
+    failed = [(r["whole"], r["name"], r["n_members"]) for r in found if not r["ok"]]
+    assert failed == [(None, None, None)]

@@ -140,16 +140,16 @@ def sink_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
       comment AS notes, 12 AS n_members FROM tables_v""",
 )
 def sink_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every file read back, beside what the writer reports of it."""
+    """Every file read back, beside what the writer reports of it; one that it failed to write is not read."""
     root = scratch_dir(spark, "sidecars")
     tables = views.tables(spark, sf_dir)
     sinks.write_sidecars(tables, root).write.parquet(f"{root}-status")
     status = spark.read.parquet(f"{root}-status")
-    found = views.kept(objects.get_texts(status, root), "texts")
+    found = views.kept(objects.get_texts(status.where("ok"), root), "texts")
     schema = """name STRING, table_type STRING, size_bytes BIGINT, notes STRING,
         columns ARRAY<STRUCT<name: STRING, type: STRING, nullable: BOOLEAN>>"""
     body = F.from_json("text", schema)
-    return found.join(status, "key").select(
+    return status.join(found, "key", "left").select(
         "key",
         "ok",
         (F.octet_length("text") == F.col("n_bytes")).alias("whole"),
