@@ -1,6 +1,7 @@
 """Sequence diff: longest common subsequences, and the operations that follow from them."""
 
 import json
+import os
 import random
 import time
 from collections import defaultdict
@@ -11,7 +12,8 @@ from hypothesis import strategies as st
 
 from transhume.functions import sequences
 from transhume.operators import rewrite
-from transhume.sinks.reports import write_conversion_report
+from transhume.sinks.reports import write_conversion_report, write_json
+from workload import q_more
 
 RANDOM = random.Random(3)
 
@@ -152,3 +154,44 @@ def test_lists_of_a_batch_are_paired_as_one_by_one():
     ]
     assert found.to_pylist() == expected
     assert sequences.paired_lists(pa.array([], kind), pa.array([], kind)).to_pylist() == []
+
+
+def sizes(folder, end):
+    return [os.path.getsize(f"{folder}/{name}") for name in os.listdir(folder) if name.endswith(end)]
+
+
+def test_the_report_that_the_query_keeps_is_packed(spark, tmp_path, monkeypatch):
+    random_ = random.Random(4)
+    words = ["".join(random_.choices("abcdeinorst", k=random_.randint(2, 9))) for _ in range(3000)]
+    texts = [" ".join(random_.choices(words, k=random_.randint(1, 900))) for _ in range(300)] + ["", None]
+    docs = [(i, text, "en", "src") for i, text in enumerate(texts, 1)]
+    schema = "doc_id LONG, text STRING, lang STRING, source STRING"
+    spark.createDataFrame(docs, schema).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(q_more, "scratch_dir", lambda spark, label: f"{tmp_path}/{label}")
+    found = defaultdict(list)
+    for row in q_more.conv_sequence(spark, str(tmp_path)).orderBy("path", "seq").collect():
+        found[row["path"]].append((row["op"], row["line"]))
+    expected = {}
+    for row in q_more.views.assets(spark, str(tmp_path)).where("content IS NOT NULL").collect():
+        ops, run, added = [], [], []
+        for i, word in enumerate(row["content"].split(" ")):
+            line = f"{i}:" + "".join(c for c in word if "a" <= c <= "z")
+            if i % 5 == 3:
+                run.append(("-", line))
+            else:
+                ops, run, added = [*ops, *run, *added, (" ", line)], [], []
+            if i % 7 == 2:
+                added.append(("+", f"new {i}"))
+        expected[row["path"]] = [*ops, *run, *added]
+    assert dict(found) == expected
+    kept, text = sum(sizes(f"{tmp_path}/sequence-report", "")), sum(len(text or "") for text in texts)
+    assert kept < 3 * text, kept / text
+
+
+def test_packed_files_hold_a_bounded_number_of_rows(spark, tmp_path):
+    rows = spark.range(2500).selectExpr("id", "if(id % 2 = 0, repeat('x', 50), null) AS x").coalesce(1)
+    write_json(rows, f"{tmp_path}/plain")
+    write_json(rows, f"{tmp_path}/packed", packed=True)
+    assert len(sizes(f"{tmp_path}/plain", ".json")) == 1 and len(sizes(f"{tmp_path}/packed", ".json.gz")) == 3
+    plain, packed = (sorted(r[0] for r in spark.read.text(f"{tmp_path}/{p}").collect()) for p in ("plain", "packed"))
+    assert plain == packed and len(packed) == 2500

@@ -20,6 +20,10 @@ from transhume.values import ASSETS_PREFIX, TABLES_PREFIX
 SIDECAR = "schema.json"
 HIDDEN_SIDECAR = "_schema.json"
 
+# One task reads a packed file whole, so its rows are bounded.  The default level takes twice the time for files
+# a twentieth smaller.
+PACKED = {"compression": "gzip", "zlib.compress.level": "FOUR", "maxRecordsPerFile": 1000}
+
 
 def export_table(
     spark: SparkSession, info: Mapping, root: str, fmt: str = "parquet"
@@ -90,8 +94,10 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_json(df: DataFrame, path: str, packed: bool = False) -> None:
+    """JSON lines with every key present; ``packed`` by gzip, which Spark's readers undo by the file names."""
+    options = {"ignoreNullFields": "false", **(PACKED if packed else {})}
+    df.write.mode("overwrite").options(**options).json(path)
 
 
 def write_inventory(parts: Mapping[str, DataFrame], path: str, as_of: str | None = None) -> None:
@@ -110,9 +116,10 @@ def write_inventory(parts: Mapping[str, DataFrame], path: str, as_of: str | None
         list(pool.map(write, parts))
 
 
-def write_conversion_report(df: DataFrame, path: str, **args: Any) -> None:
+def write_conversion_report(df: DataFrame, path: str, packed: bool = False, **args: Any) -> None:
     """Path, key, outcome, lines and diff of every conversion; the lists stay inside the row.
 
+    It holds each line three times, with JSON around it: many times the sources, unless ``packed``.
     ``args`` go to the diff; sources that don't line up are compared as sequences."""
     ops = op_list(F.col("pairs"), F.col("header_lines"))
     lines = diff_ops(df, **{"sequence": True, **args})
@@ -128,4 +135,4 @@ def write_conversion_report(df: DataFrame, path: str, **args: Any) -> None:
         F.concat("header_lines", after).alias("after_lines"),
         ops.alias("diffs"),
     )
-    write_json(report, path)
+    write_json(report, path, packed)

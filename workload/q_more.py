@@ -53,7 +53,7 @@ def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
 def conv_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The diff of edited sources, read back from the report that was written."""
     path = scratch_dir(spark, "sequence-report")
-    sinks.write_conversion_report(edited(spark, sf_dir), path, rules=())
+    sinks.write_conversion_report(edited(spark, sf_dir), path, packed=True, rules=())
     report = spark.read.schema("path STRING, diffs ARRAY<STRUCT<op: STRING, line: STRING>>").json(path)
     return report.select("path", F.posexplode("diffs").alias("seq", "d")).select("path", "seq", "d.*")
 
