@@ -195,3 +195,18 @@ def test_packed_files_hold_a_bounded_number_of_rows(spark, tmp_path):
     assert len(sizes(f"{tmp_path}/plain", ".json")) == 1 and len(sizes(f"{tmp_path}/packed", ".json.gz")) == 3
     plain, packed = (sorted(r[0] for r in spark.read.text(f"{tmp_path}/{p}").collect()) for p in ("plain", "packed"))
     assert plain == packed and len(packed) == 2500
+
+
+def test_lists_go_to_python_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark.conf.get(name)
+    df = edited(spark, [("a\nb", "b")])
+    try:
+        spark.conf.set(name, "64m")
+        assert ops_of(df, sequence=True)["p0"] == [("-", "a"), (" ", "b")]
+        assert int(spark.conf.get(name).rstrip("b")) == 4 << 20
+        spark.conf.set(name, "1m")  # a smaller one stays
+        rewrite.line_diff(df, sequence=True)
+        assert spark.conf.get(name) in ("1m", f"{1 << 20}b")
+    finally:
+        spark.conf.set(name, given)

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from transhume import values
 from transhume.functions import scalars, sequences, text
 from transhume.operators.fields import existing
+from transhume.session import small_batches
 from transhume.values import Rewrite
 
 DIFF_OP = "struct<op: string, line: string>"
@@ -191,6 +192,7 @@ def diff_ops(
         F.zip_with("_marked", "_after", lambda l, r: zipped(F.split(l, LINE_MARK), F.array(r)))
     )
     if sequence:
+        small_batches(df.sparkSession)
         split = split.withColumn("_done", F.col("aligned") | joins)
         sides = [F.when(~F.col("_done"), F.col(c)) for c in ("_before", "_after")]
         split = split.withColumn("_other", sequence_pairs(*sides))
@@ -238,11 +240,13 @@ def op_list(pairs: Column, header_lines: Column) -> Column:
     ends = F.concat(equal, F.array(F.size(pairs)))
     by_run = F.flatten(F.zip_with(starts, ends, up_to))
 
-    def alone(p: Column) -> Column:
-        sign = F.when(p["l"].isNull(), "+").when(p["r"].isNull(), "-").otherwise(" ")
-        return F.struct(sign.alias("op"), F.coalesce(p["l"], p["r"]).alias("line"))
+    def sign(l: Column, r: Column) -> Column:
+        return F.when(l.isNull(), "+").when(r.isNull(), "-").otherwise(" ")
 
-    each = F.transform(pairs, alone).cast(f"array<{DIFF_OP}>")
+    # Two lists zipped: a struct made for each pair by itself would be copied once more.
+    signs = F.zip_with(pairs["l"], pairs["r"], sign)
+    lines = F.zip_with(pairs["l"], pairs["r"], lambda l, r: F.coalesce(l, r))
+    each = F.arrays_zip(signs.alias("op"), lines.alias("line")).cast(f"array<{DIFF_OP}>")
     # a pair of nothing at all is no operation
     mixed = F.exists(
         pairs, lambda p: F.coalesce(p["l"] != p["r"], F.lit(False)) | (p["l"].isNull() & p["r"].isNull())

@@ -37,3 +37,12 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
         root = tempfile.mkdtemp(prefix="transhume-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
+    """At most about so many bytes at once between Spark and Python: a worker keeps the memory of its largest
+    batch, several times over, and so does the executor beside it."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
+    if not 0 < given <= size:
+        spark.conf.set(name, size)

@@ -123,10 +123,7 @@ def write_conversion_report(df: DataFrame, path: str, packed: bool = False, **ar
     ``args`` go to the diff; sources that don't line up are compared as sequences."""
     ops = op_list(F.col("pairs"), F.col("header_lines"))
     lines = diff_ops(df, **{"sequence": True, **args})
-    before = F.transform(
-        F.filter("pairs", lambda p: p["l"].isNotNull()), lambda p: p["l"]
-    )
-    after = F.transform(F.filter("pairs", lambda p: p["r"].isNotNull()), lambda p: p["r"])
+    before, after = (F.filter(F.col("pairs")[side], F.isnotnull) for side in ("l", "r"))
     report = lines.select(
         "path",
         "converted_key",

@@ -23,10 +23,10 @@ from workload.views import ASSETS, SCAN, TABLES, UNITS, with_
 
 def edited(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sources of one numbered word a line, and the same with lines left out and put in."""
-    lines = "transform(split(content, ' ', -1), (w, i) -> concat(i, ':', regexp_replace(w, '[^a-z]', '')))"
-    after = """flatten(transform(ls, (l, i) -> concat(
-        if(i % 5 = 3, cast(array() as array<string>), array(l)),
-        if(i % 7 = 2, array(concat('new ', i)), cast(array() as array<string>)))))"""
+    lines = "transform(split(regexp_replace(content, '[^a-z ]', ''), ' ', -1), (w, i) -> concat(i, ':', w))"
+    # what is null is left out as the lines are joined
+    after = r"""transform(ls, (l, i) -> if(i % 7 = 2, if(i % 5 = 3, concat('new ', i), concat(l, '\n', 'new ', i)),
+        if(i % 5 = 3, null, l)))"""
     rows = views.assets(spark, sf_dir).select("path", F.expr(lines).alias("ls"))
     return rows.select(
         "path",
