@@ -210,3 +210,23 @@ def test_lists_go_to_python_in_small_batches(spark):
         assert spark.conf.get(name) in ("1m", f"{1 << 20}b")
     finally:
         spark.conf.set(name, given)
+
+
+@pytest.mark.parametrize("rules", [(), None])
+def test_operations_of_the_report_are_those_of_the_diff(spark, tmp_path, rules):
+    texts = [(None, "a"), ("a", None), ("", ""), ("a", ""), ("", "\n"), ("same\r\nx", "same\nx"), ("display(a)\nb\x0bc", "print(a)\nb\u2028c")]
+    for ends in ("\n", "\r", "\r\n", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029", "\n\r"):
+        a, b = (RANDOM.choices("abcd", k=RANDOM.randint(1, 9)) for _ in range(2))
+        texts += [(ends.join(a), "\n".join(b)), ("\n".join(a) + ends, ends.join(b) + ends)]
+    df = edited(spark, texts)
+    args = {} if rules is None else {"rules": rules}
+    write_conversion_report(df.withColumn("converted_key", df["path"]), f"{tmp_path}/report", packed=True, **args)
+    ops = ops_of(df, sequence=True, **args)
+    schema = "path STRING, before_lines ARRAY<STRING>, after_lines ARRAY<STRING>, diffs ARRAY<STRUCT<op: STRING, line: STRING>>"
+    for row in spark.read.schema(schema).json(f"{tmp_path}/report").collect():
+        before, body = texts[int(row["path"][1:])]
+        if before is None or body is None:
+            assert row["diffs"] is None
+            continue
+        assert [(d["op"], d["line"]) for d in row["diffs"]] == ops.get(row["path"], [])
+        assert (row["before_lines"], row["after_lines"]) == (before.splitlines(), body.splitlines())

@@ -61,9 +61,10 @@ def lines(text: Column) -> Column:
         .when(ends_line(text), F.left(text, size - 1))
         .otherwise(text)
     )
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, LINE_END, -1)
-    )
+    # Most texts have no other line end than \n, and splitting by that alone takes no regular expression.
+    others = contains_any(body, LINE_END_CHARS[1:])
+    split = F.when(others, F.split(body, LINE_END, -1)).otherwise(F.split(body, "\n", -1))
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(split)
 
 
 def newline_count(text: Column) -> Column:

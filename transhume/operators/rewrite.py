@@ -208,12 +208,13 @@ def diff_ops(
     return split.drop("_before", "_after", "_marked", "_done", "_other")
 
 
-def op_list(pairs: Column, header_lines: Column) -> Column:
+def op_list(pairs: Column, header_lines: Column, apart: bool = False) -> Column:
     """All diff operations in order: header lines as added, then the body.
 
     A run of changed pairs gives all its removed lines, then all its added ones.  Runs are the
     gaps between equal pairs, so each pair is visited once.  Where no pair holds two different lines its runs
-    have that order already, as ``diff_ops`` gives them, and each pair is one operation.
+    have that order already, as ``diff_ops`` gives them, and each pair is one operation.  ``apart`` says that no row
+    has such a pair, and saves the look at each: sequences that are compared without rules have none.
     """
 
     def ops(sign: str, lines: Column) -> Column:
@@ -247,6 +248,8 @@ def op_list(pairs: Column, header_lines: Column) -> Column:
     signs = F.zip_with(pairs["l"], pairs["r"], sign)
     lines = F.zip_with(pairs["l"], pairs["r"], lambda l, r: F.coalesce(l, r))
     each = F.arrays_zip(signs.alias("op"), lines.alias("line")).cast(f"array<{DIFF_OP}>")
+    if apart:
+        return F.concat(ops("+", header_lines), each)
     # a pair of nothing at all is no operation
     mixed = F.exists(
         pairs, lambda p: F.coalesce(p["l"] != p["r"], F.lit(False)) | (p["l"].isNull() & p["r"].isNull())

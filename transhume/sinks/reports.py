@@ -14,7 +14,7 @@ from transhume.operators.rewrite import diff_ops, op_list
 from transhume.schemas import COLUMN_LIST
 from transhume.sinks.objects import put_texts
 from transhume.sources.files import read_table
-from transhume.values import ASSETS_PREFIX, TABLES_PREFIX
+from transhume.values import ASSETS_PREFIX, REWRITES, TABLES_PREFIX
 
 # Readers of plain files would take the sidecar for data, but for names with an underscore.
 SIDECAR = "schema.json"
@@ -121,8 +121,10 @@ def write_conversion_report(df: DataFrame, path: str, packed: bool = False, **ar
 
     It holds each line three times, with JSON around it: many times the sources, unless ``packed``.
     ``args`` go to the diff; sources that don't line up are compared as sequences."""
-    ops = op_list(F.col("pairs"), F.col("header_lines"))
-    lines = diff_ops(df, **{"sequence": True, **args})
+    args = {"sequence": True, **args}
+    apart = args["sequence"] and not args.get("rules", REWRITES)
+    ops = op_list(F.col("pairs"), F.col("header_lines"), apart)
+    lines = diff_ops(df, **args)
     before, after = (F.filter(F.col("pairs")[side], F.isnotnull) for side in ("l", "r"))
     report = lines.select(
         "path",
