@@ -44,5 +44,5 @@ def small_batches(spark: SparkSession, size: int = 4 << 20) -> None:
     batch, several times over, and so does the executor beside it."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     given = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name))
-    if not 0 < given <= size:
+    if given > size:
         spark.conf.set(name, size)
